@@ -4,7 +4,7 @@ from wardline.functions.coerce import (
     first_text,
     half_up,
     json_int,
-    json_number,
+    json_string,
     json_text,
     lenient_float,
     lenient_int,
@@ -19,7 +19,7 @@ __all__ = [
     "first_text",
     "half_up",
     "json_int",
-    "json_number",
+    "json_string",
     "json_text",
     "lenient_float",
     "lenient_int",

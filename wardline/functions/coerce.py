@@ -20,14 +20,19 @@ def first_text(*cols: Column) -> Column:
     return F.coalesce(*[non_empty(c) for c in cols], F.lit(""))
 
 
-def json_text(doc: Column, path: str) -> Column:
-    """Text of a JSON member; null when missing, empty, zero or false.
+def json_string(doc: Column, path: str) -> Column:
+    """Raw text of a JSON member; null when missing."""
+    return F.try_variant_get(doc, path, "string")
+
+
+def present_text(text: Column, member: Column) -> Column:
+    """``text`` unless it stands for "absent": empty, a zero or false.
 
-    Only real zeros and booleans count as absent: the string "0" is kept. The member's type
-    is looked up just for the few spellings where it matters.
+    ``text`` is the raw text of ``member``. Only real zeros and booleans count as absent, the
+    string "0" is kept; the member's type is looked up just for the spellings where it
+    matters. Bind ``text`` in a projection of its own, as it is used several times.
     """
-    text = F.try_variant_get(doc, path, "string")
-    kind = F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
+    kind = F.schema_of_variant(member)
     return (
         F.when(text == "", F.lit(None))
         .when(text.isin("0", "0.0", "false"), F.when(kind == "STRING", text))
@@ -37,12 +42,13 @@ def json_text(doc: Column, path: str) -> Column:
     )
 
 
-def json_int(doc: Column, path: str) -> Column:
-    return lenient_int(F.try_variant_get(doc, path, "string"))
+def json_text(doc: Column, path: str) -> Column:
+    """Text of one JSON member; null when missing, empty, zero or false."""
+    return present_text(json_string(doc, path), F.try_variant_get(doc, path, "variant"))
 
 
-def json_number(doc: Column, path: str) -> Column:
-    return lenient_float(json_text(doc, path))
+def json_int(doc: Column, path: str) -> Column:
+    return lenient_int(json_string(doc, path))
 
 
 def lenient_int(text: Column) -> Column:
@@ -76,23 +82,39 @@ def half_up(col: Column, decimals: int) -> Column:
     return F.floor(col * scale + 0.5).cast("double") / scale
 
 
-def _decode_segment(segment: Column) -> Column:
-    # Accept the url-safe alphabet, drop anything else, repair the length, never throw.
+_WELL_FORMED = "^(?:[A-Za-z0-9+/]{4})*+(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
+
+
+def _repaired(segment: Column) -> Column:
+    """Accept the url-safe alphabet, drop anything else, repair the length."""
     clean = F.translate(F.regexp_replace(segment, r"[^A-Za-z0-9+/_\-]", ""), "-_", "+/")
-    usable = F.length(clean) - (F.length(clean) % 4 == 1).cast("int")
-    padded = F.rpad(
-        F.substring(clean, F.lit(1), usable), (F.ceil(usable / 4) * 4).cast("int"), "="
-    )
-    return F.make_valid_utf8(F.unbase64(padded).cast("string"))
+
+    def pad(c: Column) -> Column:
+        usable = F.length(c) - (F.length(c) % 4 == 1).cast("int")
+        return F.rpad(
+            F.substring(c, F.lit(1), usable), (F.ceil(usable / 4) * 4).cast("int"), "="
+        )
+
+    # "let" over a one-element array: the cleaned text is used four times
+    return F.transform(F.array(clean), pad)[0]
+
+
+def _decode_segment(segment: Column) -> Column:
+    base64 = F.when(segment.rlike(_WELL_FORMED), segment).otherwise(_repaired(segment))
+    return F.make_valid_utf8(F.unbase64(base64).cast("string"))
 
 
 def decode_field(encoded: Column) -> Column:
-    """Percent-decode, split on ';', base64-decode each part. Null or '' gives []."""
+    """Percent-decode, split on ';', base64-decode each part. Null or '' gives [].
+
+    Never throws: undecodable characters are dropped, bad UTF-8 is replaced.
+    """
     # '+' is a base64 digit here, and a '%' not followed by two hex digits is literal.
-    escaped = F.replace(
-        F.regexp_replace(encoded, r"%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B")
-    )
-    parts = F.split(F.try_url_decode(escaped), ";")
+    unescaped = F.when(encoded.contains("%"), F.try_url_decode(
+        F.replace(
+            F.regexp_replace(encoded, r"%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B")
+        )
+    )).otherwise(encoded)
     return F.when(
         F.coalesce(encoded, F.lit("")) == "", F.array().cast("array<string>")
-    ).otherwise(F.transform(parts, _decode_segment))
+    ).otherwise(F.transform(F.split(unescaped, ";"), _decode_segment))

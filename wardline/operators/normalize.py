@@ -1,7 +1,8 @@
 """Decode and flatten raw event documents into the event table.
 
-Every output column is its own expression over the parsed document, so a job that needs
-three columns decodes three: Catalyst drops the rest.
+Two projections: the first takes the raw texts out of the parsed document, each once; the
+second derives every output column from them. Each output column is its own expression, so a
+job that needs three columns extracts and decodes three: Catalyst drops the rest.
 """
 
 from __future__ import annotations
@@ -13,47 +14,120 @@ from wardline.functions.coerce import (
     decode_field,
     epoch_timestamp,
     first_text,
-    json_int,
-    json_text,
+    json_string,
     lenient_float,
+    lenient_int,
+    present_text,
 )
 from wardline.settings import ACTION_PRIORITY
 
 DEFAULT_SOURCE = "security-events"
 
-
-def rule_ids(doc: Column) -> Column:
+# --- Fixed values: where the raw document keeps each field ----------------------------
+RULE_LISTS = {
+    "rule_version": "attackData.ruleVersions",
+    "rule_message": "attackData.ruleMessages",
+    "rule_tag": "attackData.ruleTags",
+    "rule_data": "attackData.ruleData",
+    "rule_selector": "attackData.ruleSelectors",
+    "rule_action": "attackData.ruleActions",
+}
+# The first path with a value wins.
+TEXT_FIELDS = {
+    "policy_id": ("attackData.policyId", "policyId"),
+    "client_ip": ("attackData.clientIP", "httpMessage.clientIP", "clientIP"),
+    "protocol": ("httpMessage.protocol",),
+    "method": ("httpMessage.method",),
+    "host": ("httpMessage.host",),
+    "path": ("httpMessage.path",),
+    "query": ("httpMessage.query",),
+    "geo_continent": ("geo.continent",),
+    "geo_country": ("geo.country",),
+    "geo_city": ("geo.city",),
+    "geo_region": ("geo.regionCode",),
+    "user_risk_uuid": ("userRiskData.uuid",),
+}
+# Texts that may arrive as numbers, where a zero means absent.
+NUMERIC_TEXT_FIELDS = {
+    "request_id": ("httpMessage.requestId", "requestId"),
+    "start": ("httpMessage.start", "start"),
+    "port": ("httpMessage.port",),
+    "response_status": ("httpMessage.status",),
+    "response_bytes": ("httpMessage.bytes",),
+    "geo_asn": ("geo.asn",),
+}
+INT_FIELDS = {
+    "bot_score": "botScore",
+    "bot_response_segment": "botResponseSegment",
+    "user_risk_score": "userRiskData.score",
+}
+OPEN_FIELDS = {
+    "request_headers": "httpMessage.requestHeaders",
+    "response_headers": "httpMessage.responseHeaders",
+    "bot_client_data": "botData",
+}
+# ---------------------------------------------------------------------------------------
+
+
+def _raw(path: str) -> Column:
+    """The bound raw text of a path."""
+    return F.col(f"`_{path}`")
+
+
+def bind_texts(tagged: DataFrame) -> DataFrame:
+    """Take every raw text out of ``doc`` once; unused ones are pruned."""
+    paths = {
+        *RULE_LISTS.values(),
+        *INT_FIELDS.values(),
+        *(p for paths in TEXT_FIELDS.values() for p in paths),
+        *(p for paths in NUMERIC_TEXT_FIELDS.values() for p in paths),
+    }
+    doc = F.col("doc")
     ids = F.try_variant_get(doc, "$.attackData.rules", "array<string>")
+    return tagged.select(
+        "*",
+        *[json_string(doc, f"$.{p}").alias(f"_{p}") for p in sorted(paths)],
+        F.transform(
+            F.coalesce(ids, F.array().cast("array<string>")),
+            lambda r: F.coalesce(r, F.lit("null")),
+        ).alias("_rule_ids"),
+    )
+
+
+def text_field(name: str) -> Column:
+    return first_text(*[_raw(p) for p in TEXT_FIELDS[name]])
+
+
+def numeric_text_field(name: str) -> Column:
     return F.coalesce(
-        F.transform(ids, lambda r: F.coalesce(r, F.lit("null"))),
-        F.array().cast("array<string>"),
+        *[
+            present_text(_raw(p), F.try_variant_get("doc", f"$.{p}", "variant"))
+            for p in NUMERIC_TEXT_FIELDS[name]
+        ],
+        F.lit(""),
     )
 
 
-def _rule_list(doc: Column, name: str) -> Column:
-    return decode_field(json_text(doc, f"$.attackData.{name}"))
+def int_field(name: str) -> Column:
+    return lenient_int(_raw(INT_FIELDS[name]))
+
+
+def rule_list(name: str) -> Column:
+    return decode_field(_raw(RULE_LISTS[name]))
 
 
 def _at(values: Column, i: Column) -> Column:
     return F.coalesce(F.get(values, i), F.lit(""))
 
 
-def assemble_rules(doc: Column) -> Column:
+def assemble_rules() -> Column:
     """One struct per rule id. The lists align by position: short ones fill with '',
     surplus entries are dropped."""
-    lists = {
-        "rule_version": "ruleVersions",
-        "rule_message": "ruleMessages",
-        "rule_tag": "ruleTags",
-        "rule_data": "ruleData",
-        "rule_selector": "ruleSelectors",
-        "rule_action": "ruleActions",
-    }
     # One struct of decoded lists, bound once by the outer transform, so that no list is
     # decoded again per rule.
     bound = F.array(
         F.struct(
-            rule_ids(doc).alias("ids"), *[_rule_list(doc, n).alias(c) for c, n in lists.items()]
+            F.col("_rule_ids").alias("ids"), *[rule_list(name).alias(name) for name in RULE_LISTS]
         )
     )
     return F.transform(
@@ -61,16 +135,16 @@ def assemble_rules(doc: Column) -> Column:
         lambda b: F.transform(
             b["ids"],
             lambda rule, i: F.struct(
-                rule.alias("rule"), *[_at(b[c], i).alias(c) for c in lists]
+                rule.alias("rule"), *[_at(b[name], i).alias(name) for name in RULE_LISTS]
             ),
         ),
     )[0]
 
 
-def rule_actions(doc: Column) -> Column:
+def rule_actions() -> Column:
     """Lower-cased action per rule, without decoding the other five lists."""
     bound = F.array(
-        F.struct(rule_ids(doc).alias("ids"), _rule_list(doc, "ruleActions").alias("actions"))
+        F.struct(F.col("_rule_ids").alias("ids"), rule_list("rule_action").alias("actions"))
     )
     return F.transform(
         bound,
@@ -80,10 +154,10 @@ def rule_actions(doc: Column) -> Column:
 
 def action_summary(actions: Column) -> Column:
     """The highest-priority action present, else 'none'."""
-    ranked = F.filter(
-        F.array(*[F.lit(a) for a in ACTION_PRIORITY]), lambda a: F.array_contains(actions, a)
-    )
-    return F.coalesce(F.get(ranked, F.lit(0)), F.lit("none"))
+    summary = F.lit("none")
+    for action in reversed(ACTION_PRIORITY):
+        summary = F.when(F.array_contains(actions, action), action).otherwise(summary)
+    return summary
 
 
 def severity_indicators(actions: Column) -> dict[str, Column]:
@@ -99,65 +173,56 @@ def event_id(request_id: Column, config_id: Column, start: Column) -> Column:
     return F.sha2(F.concat_ws(":", request_id, config_id, start), 256)
 
 
-def _open(doc: Column, path: str) -> Column:
+def _open(path: str) -> Column:
     """An open object, or null when it is missing or JSON null."""
-    value = F.try_variant_get(doc, path, "variant")
+    value = F.try_variant_get("doc", f"$.{path}", "variant")
     return F.when(~F.is_variant_null(value), value)
 
 
 def normalize_events(tagged: DataFrame, *, source: str = DEFAULT_SOURCE) -> DataFrame:
     """Flat event rows from ``(config_id, batch_id, poll_time, line_pos, doc)``."""
-    doc = F.col("doc")
-
-    def text(*paths: str) -> Column:
-        return first_text(*[json_text(doc, f"$.{p}") for p in paths])
-
-    bound = tagged.withColumns(
+    bound = bind_texts(tagged).withColumns(
         {
-            "_actions": rule_actions(doc),
-            "_request_id": text("httpMessage.requestId", "requestId"),
-            "_start": text("httpMessage.start", "start"),
+            "_actions": rule_actions(),
+            "_request_id": numeric_text_field("request_id"),
+            "_start": numeric_text_field("start"),
         }
     )
     epoch = lenient_float(F.col("_start"))
-    actions = F.col("_actions")
-    indicators = severity_indicators(actions)
-    return bound.select(
+    timed = bound.withColumn("event_time_epoch", epoch)
+    indicators = severity_indicators(F.col("_actions"))
+
+    def texts(*names: str) -> list[Column]:
+        return [
+            (text_field(n) if n in TEXT_FIELDS else numeric_text_field(n)).alias(n) for n in names
+        ]
+
+    return timed.select(
         event_id(F.col("_request_id"), F.col("config_id"), F.col("_start")).alias("id"),
         F.lit(source).alias("source"),
         "config_id",
-        text("attackData.policyId", "policyId").alias("policy_id"),
+        *texts("policy_id"),
         "batch_id",
-        text("attackData.clientIP", "httpMessage.clientIP", "clientIP").alias("client_ip"),
-        assemble_rules(doc).alias("decoded_rules"),
-        action_summary(actions).alias("rule_action_summary"),
+        *texts("client_ip"),
+        assemble_rules().alias("decoded_rules"),
+        action_summary(F.col("_actions")).alias("rule_action_summary"),
         F.col("_request_id").alias("request_id"),
-        epoch_timestamp(epoch).alias("event_time"),
-        epoch.alias("event_time_epoch"),
-        text("httpMessage.protocol").alias("protocol"),
-        text("httpMessage.method").alias("method"),
-        text("httpMessage.host").alias("host"),
-        text("httpMessage.port").alias("port"),
-        text("httpMessage.path").alias("path"),
-        text("httpMessage.query").alias("query"),
-        _open(doc, "$.httpMessage.requestHeaders").alias("request_headers"),
-        text("httpMessage.status").alias("response_status"),
-        text("httpMessage.bytes").alias("response_bytes"),
-        _open(doc, "$.httpMessage.responseHeaders").alias("response_headers"),
-        text("geo.continent").alias("geo_continent"),
-        text("geo.country").alias("geo_country"),
-        text("geo.city").alias("geo_city"),
-        text("geo.regionCode").alias("geo_region"),
-        text("geo.asn").alias("geo_asn"),
-        json_int(doc, "$.botScore").alias("bot_score"),
-        json_int(doc, "$.botResponseSegment").alias("bot_response_segment"),
-        _open(doc, "$.botData").alias("bot_client_data"),
-        json_int(doc, "$.userRiskData.score").alias("user_risk_score"),
+        epoch_timestamp(F.col("event_time_epoch")).alias("event_time"),
+        "event_time_epoch",
+        *texts("protocol", "method", "host", "port", "path", "query"),
+        _open(OPEN_FIELDS["request_headers"]).alias("request_headers"),
+        *texts("response_status", "response_bytes"),
+        _open(OPEN_FIELDS["response_headers"]).alias("response_headers"),
+        *texts("geo_continent", "geo_country", "geo_city", "geo_region", "geo_asn"),
+        int_field("bot_score").alias("bot_score"),
+        int_field("bot_response_segment").alias("bot_response_segment"),
+        _open(OPEN_FIELDS["bot_client_data"]).alias("bot_client_data"),
+        int_field("user_risk_score").alias("user_risk_score"),
         F.coalesce(
-            F.try_variant_get(doc, "$.userRiskData.reasons", "array<string>"),
+            F.try_variant_get("doc", "$.userRiskData.reasons", "array<string>"),
             F.array().cast("array<string>"),
         ).alias("user_risk_reasons"),
-        text("userRiskData.uuid").alias("user_risk_uuid"),
+        *texts("user_risk_uuid"),
         *[c.alias(name) for name, c in indicators.items()],
         "poll_time",
         "line_pos",

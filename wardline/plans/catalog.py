@@ -11,15 +11,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.functions import (
-    decode_field,
-    json_int,
-    json_text,
-    lenient_float,
-    preview,
-    score_band,
-)
-from wardline.functions.coerce import epoch_timestamp, first_text
+from wardline.functions import lenient_float, preview, score_band
+from wardline.functions.coerce import epoch_timestamp
 from wardline.operators import normalize, serving, spend, stats, trends, upkeep
 from wardline.operators import windows as win
 from wardline.plans import inputs as src
@@ -62,12 +55,10 @@ def _normalized(spark, sf):
 
 @query
 def read_raw_ndjson(spark, sf):
-    return _parsed(spark, sf).select(
+    return normalize.bind_texts(_parsed(spark, sf)).select(
         "config_id",
         "poll_epoch",
-        F.coalesce(
-            json_text(F.col("doc"), "$.httpMessage.requestId"), json_text(F.col("doc"), "$.requestId")
-        ).alias("request_id"),
+        normalize.numeric_text_field("request_id").alias("request_id"),
         F.try_variant_get("doc", "$.total", "bigint").alias("total"),
     )
 
@@ -121,14 +112,11 @@ def incremental_slice(spark, sf):
 
 @query
 def decode_fields(spark, sf):
-    doc = F.col("doc")
-    return _tagged(spark, sf).select(
-        first_text(
-            json_text(doc, "$.httpMessage.requestId"), json_text(doc, "$.requestId")
-        ).alias("request_id"),
+    return normalize.bind_texts(_tagged(spark, sf)).select(
+        normalize.numeric_text_field("request_id").alias("request_id"),
         "batch_id",
-        F.array_join(decode_field(json_text(doc, "$.attackData.ruleTags")), "|").alias("tags"),
-        F.array_join(decode_field(json_text(doc, "$.attackData.ruleActions")), "|").alias("actions"),
+        F.array_join(normalize.rule_list("rule_tag"), "|").alias("tags"),
+        F.array_join(normalize.rule_list("rule_action"), "|").alias("actions"),
     )
 
 
@@ -189,25 +177,23 @@ def event_id(spark, sf):
 
 @query
 def event_time(spark, sf):
-    doc = F.col("doc")
-    start = first_text(json_text(doc, "$.httpMessage.start"), json_text(doc, "$.start"))
-    epoch = lenient_float(start)
-    return _tagged(spark, sf).select(
-        start.alias("start"),
-        epoch.alias("event_time_epoch"),
-        F.unix_millis(epoch_timestamp(epoch)).alias("event_time_ms"),
+    started = normalize.bind_texts(_tagged(spark, sf)).select(
+        normalize.numeric_text_field("start").alias("start")
+    )
+    timed = started.withColumn("event_time_epoch", lenient_float(F.col("start")))
+    return timed.withColumn(
+        "event_time_ms", F.unix_millis(epoch_timestamp(F.col("event_time_epoch")))
     )
 
 
 @query
 def lenient_ints(spark, sf):
-    doc = F.col("doc")
     return (
-        _tagged(spark, sf)
+        normalize.bind_texts(_tagged(spark, sf))
         .select(
             "config_id",
-            json_int(doc, "$.botScore").alias("bot_score"),
-            json_int(doc, "$.userRiskData.score").alias("user_risk_score"),
+            normalize.int_field("bot_score").alias("bot_score"),
+            normalize.int_field("user_risk_score").alias("user_risk_score"),
         )
         .groupBy("config_id", "bot_score", "user_risk_score")
         .agg(F.count("*").alias("n"))

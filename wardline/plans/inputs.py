@@ -8,6 +8,7 @@ says so) and gives the later operators the plan they have over a stored event ta
 
 from __future__ import annotations
 
+import base64
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from wardline.operators.normalize import DEFAULT_SOURCE
 from wardline.operators.stats import window_summary
 from wardline.operators.upkeep import upsert_events
 from wardline.operators.windows import analysis_windows, poll_aggregate
+from wardline.session import fan_out
 from wardline.settings import Settings
 from wardline.sources.ndjson import batch_id
 
@@ -60,7 +62,7 @@ def _per_type(make):
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per delivery of an event: every fiftieth is delivered again one poll later."""
     seconds = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
-    rows = table(spark, sf_dir, "events").select(
+    rows = fan_out(table(spark, sf_dir, "events"), "event_id").select(
         "event_id",
         "user_id",
         "event_type",
@@ -97,10 +99,9 @@ def _line_pos(seq):
 
 
 def _encoded(values: list[str]):
-    joined = F.array_join(
-        F.transform(_strings(values), lambda v: F.base64(F.encode(v, "UTF-8"))), ";"
-    )
-    return F.replace(joined, F.lit("="), F.lit("%3D"))
+    """The delivered form of a rule list: ';'-joined base64 with '=' percent-encoded."""
+    joined = ";".join(base64.b64encode(v.encode()).decode() for v in values)
+    return F.lit(joined.replace("=", "%3D"))
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,17 +145,19 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("k").cast("string").alias("botScore"),
         F.struct(F.col("risk").cast("string").alias("score")).alias("userRiskData"),
     )
-    text = F.to_json(document)
-    damaged = F.when(n % 97 == 0, F.array(F.substring(text, 1, 40)))
-    lines = d.select(
-        "config_id",
-        "poll_epoch",
-        n.alias("_n"),
-        F.posexplode(
-            F.concat(F.array(text), F.coalesce(damaged, F.array().cast("array<string>")))
-        ).alias("_part", "value"),
-    ).select(
-        "config_id", "poll_epoch", _line_pos(F.col("_n") * 2 + F.col("_part")).alias("line_pos"), "value"
+    # a damaged line repeats the first part of its event
+    parts = F.when(n % 97 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    lines = (
+        d.select("config_id", "poll_epoch", n.alias("_n"), F.to_json(document).alias("_text"),
+                 F.explode(parts).alias("_part"))
+        .select(
+            "config_id",
+            "poll_epoch",
+            _line_pos(F.col("_n") * 2 + F.col("_part")).alias("line_pos"),
+            F.when(F.col("_part") == 0, F.col("_text"))
+            .otherwise(F.substring("_text", 1, 40))
+            .alias("value"),
+        )
     )
     metadata = (
         d.groupBy("config_id", "poll_epoch", "poll_no")

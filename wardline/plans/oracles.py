@@ -292,7 +292,7 @@ s5 as (select *, case when total <= 12 then 0 when t1 then 1 when t2 then 2 when
         # sources
         "read_raw_ndjson": ev("""
 select config_id, poll_epoch, request_id, cast(null as bigint) as total from arr
-union all select config_id, poll_epoch, null, count(*) from arr group by 1, 2"""),
+union all select config_id, poll_epoch, '', count(*) from arr group by 1, 2"""),
         "line_quality": ev("""
 select config_id, poll_epoch, count(*) + count(*) filter (event_id % 97 = 0) + 1 as lines,
   count(*) filter (event_id % 97 = 0) as malformed, cast(1 as bigint) as metadata, count(*) as events
@@ -372,14 +372,14 @@ select p_brand as "key", p_partkey as change_seq, (p_partkey % 1500)::varchar as
 from part left join customer on c_custkey = p_partkey % 1500""",
         "upsert_users": """
 with lg as (
-  select o_orderkey as seq, o_orderdate as at, c_name || case o_orderstatus when 'F' then '@example.com'
+  select o_orderkey as seq, o_orderdate as login_at, c_name || case o_orderstatus when 'F' then '@example.com'
       else '@partner.example.com' end as email,
     case when o_orderpriority = '5-LOW' then null else c_name || '/' || o_orderstatus end as name
   from orders join customer on o_custkey = c_custkey where o_orderstatus <> 'P'),
 per as (
-  select email, arg_min(coalesce(name, ''), row(at, seq)) as first_name,
-    arg_max(name, row(at, seq)) filter (name is not null) as new_name,
-    max(at) as last_at, count(*) as n from lg group by 1),
+  select email, arg_min(coalesce(name, ''), row(login_at, seq)) as first_name,
+    arg_max(name, row(login_at, seq)) filter (name is not null) as new_name,
+    max(login_at) as last_at, count(*) as n from lg group by 1),
 u as (select c_custkey::varchar as id, c_name || '@example.com' as email, c_name as name,
   case when c_nationkey = 0 then 'admin' else 'analyst' end as role from customer)
 select coalesce(id, left(sha256(email), 32)) as id, email,

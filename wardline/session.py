@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Safe on any cluster; sizes such as shuffle partitions stay with the submitter.
 SESSION_CONF = {
@@ -50,3 +50,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured is None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return configured
+
+
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a small input over the cores before costly per-row work.
+
+    Only a scan of fewer partitions than the cluster has cores is moved; a large one already
+    keeps every core busy and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
