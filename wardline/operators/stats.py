@@ -10,7 +10,14 @@ from wardline.functions.text import fenced_json
 from wardline.operators.windows import batch_tier, window_polls
 from wardline.settings import DEFAULTS, SCORE_BUCKETS, Settings
 
-TOP_KINDS = ("ip", "path", "country", "rule_tag")
+TOP_KINDS = {
+    "ip": "top_ips",
+    "path": "top_paths",
+    "country": "top_countries",
+    "rule_tag": "top_rule_tags",
+}
+SCORES = ("bot_score", "user_risk_score")
+ALL_KINDS = ("event", "deny_ip", *TOP_KINDS, *SCORES)
 
 
 def window_events(windows: DataFrame, events: DataFrame) -> DataFrame:
@@ -22,37 +29,39 @@ def window_events(windows: DataFrame, events: DataFrame) -> DataFrame:
     return events.join(window_polls(windows), "batch_id")
 
 
-def value_counts(joined: DataFrame) -> DataFrame:
-    """Count and deny count per (window, kind, value) for all four reported kinds.
+def value_counts(joined: DataFrame, kinds: tuple[str, ...] = ALL_KINDS) -> DataFrame:
+    """Rows per (window, kind, value): the one table every statistic derives from.
 
-    One pass and one shuffle serve every top list, the distinct addresses and the deny
-    concentration; partial aggregation absorbs hot values.
+    One pass and one shuffle serve the top lists, the distinct addresses, the deny
+    concentration and both scores (a score is a value of its own kind, so mean and
+    distribution follow from its counts). Partial aggregation absorbs hot values.
     """
-    values = F.concat(
-        F.array(
-            *[
-                F.struct(F.lit(kind).alias("kind"), F.col(column).alias("value"))
-                for kind, column in (
-                    ("ip", "client_ip"),
-                    ("path", "path"),
-                    ("country", "geo_country"),
-                )
-            ]
-        ),
-        F.transform(
-            F.coalesce(F.col("decoded_rules.rule_tag"), F.array().cast("array<string>")),
-            lambda tag: F.struct(F.lit("rule_tag").alias("kind"), tag.alias("value")),
-        ),
+    deny = F.col("rule_action_summary") == "deny"
+    single = {
+        "event": F.lit("*"),
+        "ip": F.col("client_ip"),
+        "deny_ip": F.when(deny, F.col("client_ip")),
+        "path": F.col("path"),
+        "country": F.col("geo_country"),
+        "bot_score": F.col("bot_score").cast("string"),
+        "user_risk_score": F.col("user_risk_score").cast("string"),
+    }
+    values = F.array(
+        *[F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, c in single.items() if k in kinds]
     )
-    return (
-        joined.select(
-            "window_id",
-            (F.col("rule_action_summary") == "deny").alias("_deny"),
-            F.inline(values),
+    if "rule_tag" in kinds:
+        tags = F.coalesce(F.col("decoded_rules.rule_tag"), F.array().cast("array<string>"))
+        values = F.concat(
+            values,
+            F.transform(
+                tags, lambda t: F.struct(F.lit("rule_tag").alias("kind"), t.alias("value"))
+            ),
         )
+    return (
+        joined.select("window_id", F.inline(values))
         .filter(F.col("value") != "")
         .groupBy("window_id", "kind", "value")
-        .agg(F.count("*").alias("n"), F.count_if("_deny").alias("deny_n"))
+        .agg(F.count("*").alias("n"))
     )
 
 
@@ -239,19 +248,6 @@ def priority_sample(
     )
 
 
-def deny_concentration(counts: DataFrame, *, settings: Settings = DEFAULTS) -> DataFrame:
-    """Per window: denied events with an address, and those of the busiest few addresses."""
-    ips = counts.filter((F.col("kind") == "ip") & (F.col("deny_n") > 0))
-    busiest = Window.partitionBy("window_id").orderBy(F.col("deny_n").desc(), "value")
-    top = (
-        ips.withColumn("_rn", F.row_number().over(busiest))
-        .filter(F.col("_rn") <= settings.coordinated_ips)
-        .groupBy("window_id")
-        .agg(F.sum("deny_n").alias("top_deny"))
-    )
-    return ips.groupBy("window_id").agg(F.sum("deny_n").alias("ip_deny")).join(top, "window_id")
-
-
 def severity_class(
     deny_ratio: Column, coordinated: Column, settings: Settings = DEFAULTS
 ) -> Column:
@@ -265,38 +261,88 @@ def severity_class(
     )
 
 
-def classify_severity(
-    windows: DataFrame, counts: DataFrame, *, settings: Settings = DEFAULTS
+def _window_tops(counts: DataFrame, n: int, settings: Settings) -> DataFrame:
+    """The top lists as sorted arrays of (key, count), and the denied events of the busiest
+    addresses: at most n rows per window and kind are collected."""
+    entry = F.struct("rank", F.col("value").alias("key"), F.col("n").alias("count"))
+
+    def pick(kind: str) -> Column:
+        listed = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, entry)))
+        return F.transform(
+            listed, lambda e: F.struct(e["key"].alias("key"), e["count"].alias("count"))
+        )
+
+    busiest = (F.col("kind") == "deny_ip") & (F.col("rank") <= settings.coordinated_ips)
+    # Ranks run over every kind: a filter on the kind would be pushed below the shuffle of
+    # the counts, which could then no longer be shared with the totals.
+    return (
+        top_values(counts, max(n, settings.coordinated_ips))
+        .groupBy("window_id")
+        .agg(
+            *[F.slice(pick(kind), 1, n).alias(name) for kind, name in TOP_KINDS.items()],
+            F.sum(F.when(busiest, F.col("n"))).alias("top_deny"),
+        )
+    )
+
+
+def _window_totals(counts: DataFrame) -> DataFrame:
+    kind, n = F.col("kind"), F.col("n")
+
+    def total(of: Column) -> Column:
+        return F.coalesce(F.sum(F.when(of, n)), F.lit(0))
+
+    def mean(score: str) -> Column:
+        weighted = F.sum(F.when(kind == score, F.col("value").cast("bigint") * n))
+        return half_up(F.coalesce(weighted / F.sum(F.when(kind == score, n)), F.lit(0.0)), 2)
+
+    def buckets(score: str) -> Column:
+        bucket = score_bucket(F.when(kind == score, F.col("value").cast("bigint")))
+        return F.array(
+            *[
+                F.struct(F.lit(b).alias("bucket"), total(bucket == b).alias("n"))
+                for b in SCORE_BUCKETS
+            ]
+        )
+
+    return counts.groupBy("window_id").agg(
+        total(kind == "event").alias("stored_events"),
+        F.count_if(kind == "ip").alias("unique_ips"),
+        total(kind == "deny_ip").alias("ip_deny"),
+        *[mean(s).alias(f"avg_{s}") for s in SCORES],
+        *[buckets(s).alias(f"{s}_distribution") for s in SCORES],
+    )
+
+
+def window_statistics(
+    counts: DataFrame, *, top_n: int = 10, settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """Add ``coordinated`` and ``severity``. Coordinated: the busiest few addresses hold at
-    least the given share of the window's denied events."""
+    """All statistics, one row per window, from ``value_counts``."""
+    return _window_totals(counts).join(_window_tops(counts, top_n, settings), "window_id")
+
+
+def _classified(df: DataFrame, settings: Settings) -> DataFrame:
     share = F.col("top_deny") >= settings.coordinated_share * F.col("ip_deny")
     return (
-        windows.join(deny_concentration(counts, settings=settings), "window_id", "left")
-        .withColumn("coordinated", F.coalesce(share, F.lit(False)))
+        df.withColumn("coordinated", F.coalesce(share, F.lit(False)))
         .withColumn("severity", severity_class(F.col("deny_ratio"), F.col("coordinated"), settings))
         .drop("top_deny", "ip_deny")
     )
 
 
-def _top_lists(counts: DataFrame, n: int) -> DataFrame:
-    """The four top lists as sorted arrays of (key, count): at most 4n rows per window."""
-
-    def pick(kind: str) -> Column:
-        entry = F.struct("rank", F.col("value").alias("key"), F.col("n").alias("count"))
-        listed = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, entry)))
-        return F.transform(listed, lambda e: F.struct(e["key"].alias("key"), e["count"].alias("count")))
-
-    return (
-        top_values(counts, n)
+def classify_severity(
+    windows: DataFrame, joined: DataFrame, *, settings: Settings = DEFAULTS
+) -> DataFrame:
+    """Add ``coordinated`` and ``severity``. Coordinated: the busiest few addresses hold at
+    least the given share of the window's denied events."""
+    counts = value_counts(joined, kinds=("deny_ip",))
+    busiest = (
+        top_values(counts, settings.coordinated_ips)
         .groupBy("window_id")
-        .agg(
-            pick("ip").alias("top_ips"),
-            pick("path").alias("top_paths"),
-            pick("country").alias("top_countries"),
-            pick("rule_tag").alias("top_rule_tags"),
-        )
+        .agg(F.sum("n").alias("top_deny"))
     )
+    denied = counts.groupBy("window_id").agg(F.sum("n").alias("ip_deny"))
+    joined_in = windows.join(denied.join(busiest, "window_id"), "window_id", "left")
+    return _classified(joined_in, settings)
 
 
 def window_summary(
@@ -307,25 +353,9 @@ def window_summary(
     Counts of the snapshot are arrivals; ``stored_events`` and the statistics are over stored
     rows, which a re-delivery moves to a newer batch.
     """
-    joined = window_events(windows, events)
-    counts = value_counts(joined)
-    scores = joined.groupBy("window_id").agg(
-        F.count("*").alias("stored_events"),
-        average_score("bot_score").alias("avg_bot_score"),
-        average_score("user_risk_score").alias("avg_user_risk_score"),
-        bucket_counts("bot_score").alias("bot_score_distribution"),
-        bucket_counts("user_risk_score").alias("user_risk_score_distribution"),
-    )
-    ips = (
-        counts.groupBy("window_id")
-        .agg(F.count_if(F.col("kind") == "ip").alias("unique_ips"))
-    )
-    summary = (
-        classify_severity(windows, counts, settings=settings)
-        .join(scores, "window_id", "left")
-        .join(ips, "window_id", "left")
-        .join(_top_lists(counts, top_n), "window_id", "left")
-    )
+    counts = value_counts(window_events(windows, events))
+    statistics = window_statistics(counts, top_n=top_n, settings=settings)
+    summary = _classified(windows.join(statistics, "window_id", "left"), settings)
     # A window keeps its record even when every event of it moved to a newer batch.
     zeros = {
         "stored_events": 0,
@@ -338,19 +368,16 @@ def window_summary(
     )
     no_values = F.array().cast("array<struct<key:string,count:bigint>>")
     empty = {
-        **{f"{score}_distribution": no_scores for score in ("bot_score", "user_risk_score")},
-        **{f"top_{name}": no_values for name in ("ips", "paths", "countries", "rule_tags")},
+        **{f"{score}_distribution": no_scores for score in SCORES},
+        **{name: no_values for name in TOP_KINDS.values()},
     }
-    return (
-        summary.fillna(zeros)
-        .withColumns(
-            {
-                **{name: F.coalesce(name, default) for name, default in empty.items()},
-                "batch_id": F.col("poll_batch_ids")[0],
-                "model_used": batch_tier(),
-                "created_at": F.col("closed_at"),
-            }
-        )
+    return summary.fillna(zeros).withColumns(
+        {
+            **{name: F.coalesce(name, default) for name, default in empty.items()},
+            "batch_id": F.col("poll_batch_ids")[0],
+            "model_used": batch_tier(),
+            "created_at": F.col("closed_at"),
+        }
     )
 
 

@@ -441,8 +441,7 @@ def priority_sample(spark, sf):
 
 @query
 def classify_severity(spark, sf):
-    counts = stats.value_counts(_joined(spark, sf))
-    return stats.classify_severity(src.windows(spark, sf), counts).select(
+    return stats.classify_severity(src.windows(spark, sf), _joined(spark, sf)).select(
         "window_id", "deny_ratio", "coordinated", "severity"
     )
 
