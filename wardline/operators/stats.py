@@ -438,7 +438,9 @@ def batch_request(
             F.col("avg_user_risk_score").alias("avgUserRiskScore"),
             F.col("user_risk_score_distribution").alias("userRiskScoreDistribution"),
         ).alias("statistics"),
-        F.col("events").alias("sampledEvents"),
+        F.coalesce("events", F.array().cast(events.schema["events"].dataType)).alias(
+            "sampledEvents"
+        ),
     )
     return summaries.join(events, "window_id", "left").select(
         "window_id",
