@@ -15,6 +15,14 @@ SESSION_CONF = {
     # Window events join: keep the skew split even where the result feeds an aggregation.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
+# Only possible when the session starts. Recording the call site of every column expression
+# costs more than building the plans.
+START_CONF = {
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # A window summary alone has some hundred generated classes; the default cache of 100
+    # would compile them anew on every run.
+    "spark.sql.codegen.cache.maxEntries": "5000",
+}
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -30,9 +38,10 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
         .appName("wardline")
         .config("spark.sql.shuffle.partitions", str(cpus if cpus != "*" else 8))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
     )
-    for key, value in {**SESSION_CONF, **conf}.items():
+    for key, value in {**SESSION_CONF, **START_CONF, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
