@@ -6,7 +6,13 @@ from pyspark.sql import functions as F
 from wardline.operators.upkeep import upsert_events
 from wardline.operators.windows import analysis_windows, poll_aggregate
 from wardline.plans import inputs as src
-from wardline.streaming import ingest_stream, read_bronze, read_poll_log, stream_windows
+from wardline.streaming import (
+    ingest_stream,
+    read_bronze,
+    read_poll_log,
+    stream_raw_ndjson,
+    stream_windows,
+)
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +33,8 @@ def _ids(df):
 
 def test_ingest_matches_batch(spark, sf_dir, landed, tmp_path):
     target = str(tmp_path)
-    query = ingest_stream(spark, landed, target, max_files_per_trigger=40, available_now=True)
+    lines = stream_raw_ndjson(spark, landed, max_files_per_trigger=40)
+    query = ingest_stream(lines, target, available_now=True)
     query.awaitTermination()
     assert query.exception() is None
     lo, hi = src.EPOCH_0 + 7200, src.EPOCH_0 + 14400
@@ -48,7 +55,7 @@ def test_ingest_matches_batch(spark, sf_dir, landed, tmp_path):
         r.batch_id: r.offset for r in expected.select("batch_id", "offset").collect()
     }
     # a restart on the same checkpoint finds nothing new
-    again = ingest_stream(spark, landed, target, available_now=True)
+    again = ingest_stream(stream_raw_ndjson(spark, landed), target, available_now=True)
     again.awaitTermination()
     assert _ids(read_bronze(spark, target)) == _ids(expected)
 

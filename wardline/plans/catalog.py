@@ -17,7 +17,8 @@ from wardline.operators import normalize, serving, spend, stats, trends, upkeep
 from wardline.operators import windows as win
 from wardline.plans import inputs as src
 from wardline.plans.inputs import FIXTURE
-from wardline.session import configure
+from wardline import streaming
+from wardline.session import configure, scratch_path
 from wardline.sources import exports, ndjson
 from wardline.settings import Settings
 
@@ -107,6 +108,41 @@ def incremental_slice(spark, sf):
     ).select("config_id", "request_id", "poll_no")
 
 
+def _finish(stream) -> None:
+    stream.awaitTermination()
+    if stream.exception() is not None:
+        raise stream.exception()
+
+
+def _stored(spark, df, name):
+    """Write ``df`` as files of the shared folder, for a stream to read."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+@query
+def ingest_stream(spark, sf):
+    """All raw lines through the streaming ingest; the event table over its bronze files."""
+    lines = _stored(spark, src.raw_lines(spark, sf), "raw-lines")
+    target = scratch_path(spark, "ingest")
+    _finish(streaming.ingest_stream(lines, target, available_now=True))
+    return upkeep.upsert_events(streaming.read_bronze(spark, target)).select(
+        "id", "batch_id", "client_ip"
+    )
+
+
+@query
+def ingest_poll_log(spark, sf):
+    """The poll log the streaming ingest leaves behind."""
+    lines = _stored(spark, src.raw_lines(spark, sf), "raw-lines")
+    target = scratch_path(spark, "ingest")
+    _finish(streaming.ingest_stream(lines, target, available_now=True))
+    return streaming.read_poll_log(spark, target).select(
+        "batch_id", "event_count", "deny_count", "alert_count", "monitor_count", "last_offset"
+    )
+
+
 # --- decode and normalise -----------------------------------------------------------
 
 
@@ -362,6 +398,25 @@ def trigger_time_ceiling(spark, sf):
     return _flat_windows(src.windows(spark, sf).filter("trigger_reason = 'time_ceiling'"))
 
 
+@query
+def stream_windows(spark, sf):
+    """The windows of a stream of polls, with state per config."""
+    for key, value in streaming.STATE_STORE.items():
+        spark.conf.set(key, value)
+    polls = _stored(spark, src.polls(spark, sf), "polls")
+    target = scratch_path(spark, "windows")
+    sink = (
+        streaming.stream_windows(polls, settings=FIXTURE)
+        .writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", f"{target}/data")
+        .option("checkpointLocation", f"{target}/checkpoint")
+        .trigger(availableNow=True)
+    )
+    _finish(sink.start())
+    return _flat_windows(spark.read.parquet(f"{target}/data"))
+
+
 def _window_crossings(closed):
     minute = F.floor(F.unix_seconds("call_ts") / 60)
     return spend.budget_flags(
@@ -766,6 +821,27 @@ def export_csv(spark, sf):
     )
 
 
+@query
+def export_manifest(spark, sf):
+    """Exports of every country as CSV, one by one, and their manifest."""
+    folder = scratch_path(spark, "exports")
+    table = src.events(spark, sf)
+    for country in sorted(filter(None, src.COUNTRIES)):
+        exports.run_export(
+            spark,
+            table,
+            folder,
+            f"export-{country}",
+            fmt="csv",
+            criteria={"geo_country": country},
+            limit=None,
+            as_of=src.AS_OF,
+        )
+    return exports.export_manifest(spark, folder).select(
+        "id", "status", "format", "actual_rows", "has_data", _s("created_at"), _s("completed_at")
+    )
+
+
 # --- spend --------------------------------------------------------------------------
 
 

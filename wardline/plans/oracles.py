@@ -308,6 +308,10 @@ select config_id, request_id, poll_no from arr, (select max(poll_no) as last_0 f
   where config_id = 'cfg-0' and poll_no < 1430)
 where (config_id = 'cfg-0' and poll_no > last_0)
   or (config_id = 'cfg-1' and epoch >= 1706659200 - 12 * 3600)"""),
+        "ingest_stream": ev("select id, batch_id, client_ip from evt"),
+        "ingest_poll_log": polls("""
+select batch_id, ec as event_count, dc as deny_count, ac as alert_count, mc as monitor_count,
+  'o' || poll_no as last_offset from polls"""),
         # decode and normalise
         "decode_fields": ev(f"select request_id, batch_id, {raw_tags} as tags, {acts} as actions from arr"),
         "assemble_rules": ev(f"""
@@ -402,6 +406,7 @@ select config_id, batch_id, t as poll_time_s, ec as event_count, dc as deny_coun
             EVENTS + "," + POLLS + "," + _fold("2.0", "1000000000", "1.2"), FLAT_WINDOW, True
         ),
         "trigger_time_ceiling": _win(FLAT_WINDOW + " where reason = 'time_ceiling'"),
+        "stream_windows": _win(FLAT_WINDOW),
         "route_tier": _with(
             WINDOWS + WINDOW_CALLS,
             """
@@ -574,6 +579,10 @@ select a.request_id as analysis_id, a.id as ref, cast(e.epoch as double) as even
         "window_counts": _win("""
 select count(*) as count_all, count(*) filter (closed > 1704693600 - 168 * 3600) as count_filtered from win"""),
         "export_csv": ev(f"select {export_cols} from evt"),
+        "export_manifest": ev("""
+select 'export-' || country as id, 'complete' as status, 'csv' as format, count(*) as actual_rows,
+  true as has_data, 1706659200 as created_at_s, 1706659200 as completed_at_s
+from evt where country <> '' group by country"""),
         # spend
         "call_cost": usage("select call_seq, tier, nano as cost_nano from cost"),
         "daily_spend": usage(f"""

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Safe on any cluster; sizes such as shuffle partitions stay with the submitter.
 SESSION_CONF = {
@@ -61,6 +63,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder for one run under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def broadcast_checked(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Broadcast ``df`` if it has at most ``max_rows`` rows, otherwise leave the choice of join
+    to the planner. Counting stops one row past the limit."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def fan_out(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a small input over the cores before costly per-row work.
 

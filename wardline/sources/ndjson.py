@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions.times import utc_seconds
+from wardline.session import broadcast_checked
 from wardline.settings import DEFAULTS, Settings
 
 
@@ -139,7 +140,8 @@ def incremental_slice(
 
     After the last offset; from ``as_of`` minus the stale limit when the last poll is older
     than that limit; everything when the config has no offset yet. ``poll_log`` has
-    ``config_id, poll_time, last_offset``; its latest rows are one per config.
+    ``config_id, poll_time, last_offset``; its latest rows are one per config, so the events
+    normally stay where they are and only that small table moves.
     """
     latest = (
         poll_log.groupBy("config_id")
@@ -158,6 +160,6 @@ def incremental_slice(
         | F.coalesce(~stale & (F.col(offset) > F.col("_last_offset")), F.lit(False))
         | F.coalesce(stale & (F.col(event_epoch) >= fallback), F.lit(False))
     )
-    return events.join(latest, "config_id", "left").filter(wanted).drop(
+    return events.join(broadcast_checked(latest), "config_id", "left").filter(wanted).drop(
         "_last_offset", "_last_poll"
     )

@@ -1,7 +1,8 @@
 from wardline.streaming.ingest import ingest_stream, read_bronze, read_poll_log, stream_raw_ndjson
-from wardline.streaming.windows import stream_windows
+from wardline.streaming.windows import STATE_STORE, stream_windows
 
 __all__ = [
+    "STATE_STORE",
     "ingest_stream",
     "read_bronze",
     "read_poll_log",

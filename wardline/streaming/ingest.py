@@ -43,26 +43,29 @@ def stream_raw_ndjson(
 
 
 def ingest_stream(
-    spark: SparkSession,
-    path: str,
+    lines: DataFrame,
     target: str,
     *,
     source: str = DEFAULT_SOURCE,
-    max_files_per_trigger: int | None = None,
     available_now: bool = False,
     interval: str = "30 seconds",
 ) -> StreamingQuery:
-    """Start ingest of ``path`` into ``target``/{bronze,poll_log}."""
+    """Start ingest of streaming raw lines into ``target``/{bronze,poll_log}.
 
-    def write(lines: DataFrame, epoch: int) -> None:
-        parsed = parse_lines(with_line_pos(lines))
+    ``lines`` comes from ``stream_raw_ndjson``, or from any source that already has
+    ``config_id, poll_epoch, line_pos, value``.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        positioned = batch if "line_pos" in batch.columns else with_line_pos(batch)
+        parsed = parse_lines(positioned)
         events = normalize_events(tag_batch(event_docs(parsed)), source=source)
         bronze = f"{target}/bronze/epoch={epoch}"
         events.withColumn("event_date", F.to_date("event_time")).write.mode(
             "overwrite"
         ).partitionBy("event_date").parquet(bronze)
-        # the poll log is counted from what was written: the lines are decoded once
-        polls = poll_aggregate(lines.sparkSession.read.parquet(bronze))
+        # the poll log is counted from what was written: the events are decoded once
+        polls = poll_aggregate(batch.sparkSession.read.parquet(bronze))
         offsets = (
             split_batch_metadata(parsed)[1]
             .withColumn("batch_id", batch_id(F.col("config_id"), F.col("poll_epoch")))
@@ -72,10 +75,8 @@ def ingest_stream(
             f"{target}/poll_log/epoch={epoch}"
         )
 
-    writer = (
-        stream_raw_ndjson(spark, path, max_files_per_trigger=max_files_per_trigger)
-        .writeStream.foreachBatch(write)
-        .option("checkpointLocation", f"{target}/checkpoint")
+    writer = lines.writeStream.foreachBatch(write).option(
+        "checkpointLocation", f"{target}/checkpoint"
     )
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     return writer.trigger(**trigger).start()
