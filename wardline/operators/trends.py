@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.times import utc_literal
 from wardline.operators.windows import strategic_tier, summary_tier
+from wardline.session import checkpointed
 from wardline.settings import DEFAULTS, SEVERITIES, Settings
 
 WINDOW_TABLE_COLUMNS = (
@@ -168,8 +169,8 @@ def strategic_request(
 ) -> DataFrame:
     """One request over the newest windows: numbered table, trends, notable windows and the
     previous strategic analysis. Only the newest ``strategic_windows`` rows take part."""
-    latest = latest_windows(summaries, settings=settings)
-    # the table's rows in full, and every report over them, all tiny
+    # some twenty rows that nine reports read
+    latest = checkpointed(latest_windows(summaries, settings=settings))
     table = window_table(latest, settings=settings)
     trend = deny_ratio_trend(latest)
     none, no_data = "None detected", "No data"

@@ -528,10 +528,23 @@ def window_summary(spark, sf):
 
 @query
 def batch_request(spark, sf):
+    """The requests, with some members read back out of their JSON."""
     closed, joined = src.windows(spark, sf), _joined(spark, sf)
     summary = stats.window_summary(closed, src.events(spark, sf), settings=FIXTURE)
-    return stats.batch_request(summary, joined, settings=SAMPLING).select(
-        "window_id", "config_id", "tier", F.col("sampled").cast("bigint").alias("sampled"), "request"
+    requests = stats.batch_request(summary, joined, settings=SAMPLING).withColumn(
+        "doc", F.parse_json("request")
+    )
+    return requests.select(
+        "window_id",
+        "config_id",
+        "tier",
+        F.col("sampled").cast("bigint").alias("sampled"),
+        F.variant_get("doc", "$.metadata.denyRatio", "string").alias("deny_ratio"),
+        F.variant_get("doc", "$.metadata.windowStart", "string").alias("window_start"),
+        F.variant_get("doc", "$.statistics.uniqueIPs", "bigint").alias("unique_ips"),
+        F.variant_get("doc", "$.statistics.topIPs[0].key", "string").alias("top_ip"),
+        F.variant_get("doc", "$.sampledEvents[0].id", "string").alias("first_event"),
+        F.variant_get("doc", "$.sampledEvents[0].rules[0]", "string").alias("first_rule"),
     )
 
 
@@ -624,13 +637,35 @@ def latest_prior(spark, sf):
 
 @query
 def strategic_request(spark, sf):
-    return trends.strategic_request(src.summaries(spark, sf), src.strategic_records(spark, sf))
+    """The request, with some of its sections cut out again."""
+
+    def section(title):
+        return F.regexp_extract("request", rf"## {title}\n(.*?)(?:\n|$)", 1)
+
+    return trends.strategic_request(
+        src.summaries(spark, sf), src.strategic_records(spark, sf)
+    ).select(
+        "batch_count",
+        "tier",
+        section("Severity Distribution").alias("severities"),
+        section("Persistent IPs").alias("persistent_ips"),
+        section("Geographic Distribution").alias("countries"),
+        section("Most Recent Strategic Assessment").alias("prior_analysis"),
+    )
 
 
 @query
 def hourly_request(spark, sf):
-    return trends.hourly_request(src.summaries(spark, sf)).select(
-        "config_id", _s("interval_start"), "batch_count", "tier", "request"
+    requests = trends.hourly_request(src.summaries(spark, sf)).withColumn(
+        "doc", F.parse_json("request")
+    )
+    return requests.select(
+        "config_id",
+        _s("interval_start"),
+        "batch_count",
+        "tier",
+        F.variant_get("doc", "$[0].id", "string").alias("newest_window"),
+        F.variant_get("doc", "$[0].analysis", "string").alias("newest_analysis"),
     )
 
 
@@ -794,13 +829,20 @@ def window_counts(spark, sf):
 
 @query
 def export_ndjson(spark, sf):
-    """Exported rows of all deny events, each as its JSON line."""
+    """The JSON lines of all deny events, with some members read back."""
     rows = exports.export_rows(
         src.events(spark, sf), {"rule_action_summary": "deny"}, limit=None
     )
     fields = exports.export_fields(rows)
-    return fields.select(
-        "id", F.to_json(F.struct(*fields.columns), {"ignoreNullFields": "false"}).alias("line")
+    lines = fields.select(
+        F.to_json(F.struct(*fields.columns), {"ignoreNullFields": "false"}).alias("line")
+    ).withColumn("doc", F.parse_json("line"))
+    return lines.select(
+        F.variant_get("doc", "$.id", "string").alias("id"),
+        F.variant_get("doc", "$.clientIP", "string").alias("client_ip"),
+        F.variant_get("doc", "$.decodedRules[1].ruleTag", "string").alias("second_tag"),
+        F.variant_get("doc", "$.botScore", "int").alias("bot_score"),
+        F.col("line").contains('"botScore":null').alias("null_kept"),
     )
 
 

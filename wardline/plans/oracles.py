@@ -460,6 +460,25 @@ left join top i on i.window_id = s.window_id and i.kind = 'ip' and i.rk = 1
 left join top g on g.window_id = s.window_id and g.kind = 'tag' and g.rk = 1
 left join (select window_id, count(*) as listed from top where kind = 'path' group by 1) p
   on p.window_id = s.window_id"""),
+        "batch_request": _with(
+            JOINED + TOPS + "," + sampled,
+            """
+select s.window_id, config_id, tier, least(12, stored) as sampled,
+  printf('%.1f%%', floor(ratio * 1000 + 0.5) / 10) as deny_ratio,
+  strftime(make_timestamp(ws * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') as window_start,
+  ips as unique_ips, i.value as top_ip, f.id as first_event, f.rule as first_rule
+from summ s
+left join top i on i.window_id = s.window_id and i.kind = 'ip' and i.rk = 1
+left join (
+  select p.window_id, p.id, w.rule from (
+    select *, row_number() over (partition by window_id order by tier,
+      case when tier = 4 then h else '' end, poll_epoch, event_id) as pos
+    from s5 where tier is not null) p
+  join (select window_id, id, list_filter(tags, lambda x: x <> '')[1] as rule from we) w
+    on w.window_id = p.window_id and w.id = p.id
+  where pos = 1) f on f.window_id = s.window_id""",
+            True,
+        ),
         "parse_response": """
 with c as (
   select conv_id || '-' || turn as response_id, conv_id % 3 as kind, role, turn, text,
@@ -509,6 +528,32 @@ where severity in ('critical', 'high')""").replace("analysis, coalesce(ips", "an
         "latest_prior": _sum("""
 select id, analysis, severity, created as created_at_s from strat where status = 'complete'
 order by created desc, id limit 1"""),
+        "strategic_request": _sum(
+            """
+select cast(20 as bigint) as batch_count, 'opus' as tier,
+  (select '{' || """
+            + " || ',' || ".join(
+                f"'\"{s}\":' || count(*) filter (severity = '{s}')"
+                for s in ("critical", "high", "medium", "low", "info")
+            )
+            + """ || '}' from last) as severities,
+  (select coalesce('[' || string_agg('{"ip":"' || ip || '","batch_count":' || n || '}', ',' order by n desc, ip)
+      || ']', 'None detected') from (
+    select value as ip, count(*) as n from top join last using (window_id)
+    where kind = 'ip' and top.rk <= 3 group by 1 having count(*) >= 2 order by n desc, ip limit 20)) as persistent_ips,
+  (select coalesce('[' || string_agg('{"country":"' || c || '","count":' || n || '}', ',' order by n desc, c)
+      || ']', 'No data') from (
+    select value as c, cast(sum(n) as bigint) as n from top join last using (window_id)
+    where kind = 'country' group by 1 order by n desc, c limit 10)) as countries,
+  (select analysis from strat where status = 'complete' order by created desc, id limit 1) as prior_analysis""",
+            ",\nlast as (select * from (" + NEWEST + ") where rk <= 20)",
+        ),
+        "hourly_request": _sum("""
+select config_id, hr * 3600 as interval_start_s, count(*) as batch_count, 'sonnet' as tier,
+  max(window_id) filter (rk = 1) as newest_window, max(analysis) filter (rk = 1) as newest_analysis
+from (select *, row_number() over (partition by config_id, hr order by closed desc, window_id) as rk
+  from (select *, closed // 3600 as hr from summ))
+where rk <= 20 group by config_id, hr"""),
         "strategic_summary": _sum(f"""
 select 'running' as status, 'scheduled' as trigger_type, 'opus' as model,
   1706659200 - 168 * 3600 as window_start_s, 1706659200 as window_end_s,
@@ -578,6 +623,9 @@ select a.request_id as analysis_id, a.id as ref, cast(e.epoch as double) as even
   e.path, e.action as rule_action_summary from arr a left join evt e on e.id = a.id"""),
         "window_counts": _win("""
 select count(*) as count_all, count(*) filter (closed > 1704693600 - 168 * 3600) as count_filtered from win"""),
+        "export_ndjson": ev("""
+select id, client_ip, tags[2] as second_tag, bot as bot_score, bot is null as null_kept
+from evt where action = 'deny'"""),
         "export_csv": ev(f"select {export_cols} from evt"),
         "export_manifest": ev("""
 select 'export-' || country as id, 'complete' as status, 'csv' as format, count(*) as actual_rows,

@@ -68,6 +68,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Store a small intermediate result that several reports read, and cut its lineage."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    return df.checkpoint()
+
+
 def broadcast_checked(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Broadcast ``df`` if it has at most ``max_rows`` rows, otherwise leave the choice of join
     to the planner. Counting stops one row past the limit."""
