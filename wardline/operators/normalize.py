@@ -14,7 +14,6 @@ from wardline.functions.coerce import (
     decode_field,
     epoch_timestamp,
     first_text,
-    json_string,
     lenient_float,
     lenient_int,
     present_text,
@@ -82,15 +81,11 @@ def bind_texts(tagged: DataFrame) -> DataFrame:
         *(p for paths in TEXT_FIELDS.values() for p in paths),
         *(p for paths in NUMERIC_TEXT_FIELDS.values() for p in paths),
     }
-    doc = F.col("doc")
-    ids = F.try_variant_get(doc, "$.attackData.rules", "array<string>")
-    return tagged.select(
+    return tagged.selectExpr(
         "*",
-        *[json_string(doc, f"$.{p}").alias(f"_{p}") for p in sorted(paths)],
-        F.transform(
-            F.coalesce(ids, F.array().cast("array<string>")),
-            lambda r: F.coalesce(r, F.lit("null")),
-        ).alias("_rule_ids"),
+        *[f"try_variant_get(doc, '$.{p}', 'string') as `_{p}`" for p in sorted(paths)],
+        "transform(coalesce(try_variant_get(doc, '$.attackData.rules', 'array<string>'), array()),"
+        " r -> coalesce(r, 'null')) as _rule_ids",
     )
 
 

@@ -69,73 +69,56 @@ def baseline_rate(polls: DataFrame, *, settings: Settings = DEFAULTS) -> DataFra
     )
 
 
-def _sum_with(acc: Column, poll: Column, name: str) -> Column:
-    return acc[name] + poll[name]
-
-
 COUNTERS = ("event_count", "deny_count", "alert_count", "monitor_count")
 _WINDOW_TYPE = (
     "struct<start_ms:bigint,end_ms:bigint,event_count:bigint,deny_count:bigint,"
     "alert_count:bigint,monitor_count:bigint,poll_batch_ids:array<string>,"
     "reason:string,escalated:boolean>"
 )
-_STATE_TYPE = f"struct<open:{_WINDOW_TYPE},closed:array<{_WINDOW_TYPE}>>"
-
+_EMPTY = "cast(named_struct({}) as {})".format(
+    ", ".join(
+        f"'{name}', {value}"
+        for name, value in (
+            ("start_ms", "null"),
+            ("end_ms", "null"),
+            *((c, "0") for c in COUNTERS),
+            ("poll_batch_ids", "array()"),
+            ("reason", "null"),
+            ("escalated", "false"),
+        )
+    ),
+    _WINDOW_TYPE,
+)
 
-def _empty_window() -> Column:
-    return F.struct(
-        F.lit(None).cast("bigint").alias("start_ms"),
-        F.lit(None).cast("bigint").alias("end_ms"),
-        *[F.lit(0).cast("bigint").alias(c) for c in COUNTERS],
-        F.array().cast("array<string>").alias("poll_batch_ids"),
-        F.lit(None).cast("string").alias("reason"),
-        F.lit(False).alias("escalated"),
-    )
 
+def _fold(polls: str, settings: Settings) -> Column:
+    """The polls of one cell, in order, to the windows closed in it and the one left open.
 
-def trigger_reason(count: Column, deny: Column, spike: Column, settings: Settings) -> Column:
-    """Why a window with these totals closes now; null if it stays open. The deny ratio
-    overrides the count, the spike only adds a reason where there is none."""
-    return (
-        F.when(deny / count >= settings.deny_ratio_threshold, "severity_escalation")
-        .when(count >= settings.event_count_threshold, "event_count")
-        .when(spike, "severity_escalation")
+    Each step is a chain of one-element transforms, "let" style: add the poll to the open
+    window, judge the sum, then keep it open or close it. The deny ratio overrides the count
+    as the reason; a spike adds a reason only where there is none.
+    """
+    summed = ", ".join(f"'{c}', s.open.{c} + p.{c}" for c in COUNTERS)
+    grown = (
+        f"named_struct('start_ms', coalesce(s.open.start_ms, p.ms), 'end_ms', p.ms, {summed},"
+        " 'poll_batch_ids', array_append(s.open.poll_batch_ids, p.batch_id))"
     )
-
-
-def _add_poll(settings: Settings):
-    def step(state: Column, poll: Column) -> Column:
-        window = state["open"]
-        start = F.coalesce(window["start_ms"], poll["ms"])
-        count = _sum_with(window, poll, "event_count")
-        deny = _sum_with(window, poll, "deny_count")
-        minutes = F.greatest(F.lit(1.0), (poll["ms"] - start) / 60_000)
-        spike = (poll["baseline_rate"] > 0) & (
-            count / minutes > poll["baseline_rate"] * settings.spike_multiplier
-        )
-        grown = F.struct(
-            start.alias("start_ms"),
-            poll["ms"].alias("end_ms"),
-            *[_sum_with(window, poll, c).alias(c) for c in COUNTERS],
-            F.array_append(window["poll_batch_ids"], poll["batch_id"]).alias("poll_batch_ids"),
-            trigger_reason(count, deny, spike, settings).alias("reason"),
-            (spike | (deny / count >= settings.deny_ratio_threshold)).alias("escalated"),
-        )
-        # "let" over a one-element array: the grown window is built once per poll
-        return F.transform(
-            F.array(grown),
-            lambda w: F.when(
-                w["reason"].isNull(),
-                F.struct(w.alias("open"), state["closed"].alias("closed")),
-            ).otherwise(
-                F.struct(
-                    _empty_window().alias("open"),
-                    F.array_append(state["closed"], w).alias("closed"),
-                )
-            ),
-        )[0]
-
-    return step
+    judged = f"""named_struct('w', g,
+        'deny', g.deny_count / g.event_count >= {settings.deny_ratio_threshold}D,
+        'many', g.event_count >= {settings.event_count_threshold},
+        'spike', p.baseline_rate > 0 and g.event_count / greatest(1D, (g.end_ms - g.start_ms) / 60000)
+          > p.baseline_rate * {settings.spike_multiplier}D)"""
+    kept = ", ".join(f"'{c}', j.w.{c}" for c in ("start_ms", "end_ms", *COUNTERS, "poll_batch_ids"))
+    finished = f"""named_struct({kept},
+        'reason', case when j.deny then 'severity_escalation' when j.many then 'event_count'
+          when j.spike then 'severity_escalation' end,
+        'escalated', j.deny or j.spike)"""
+    step = f"""transform(transform(transform(array({grown}), g -> {judged}), j -> {finished}), w ->
+        if(w.reason is null,
+          named_struct('open', w, 'closed', s.closed),
+          named_struct('open', {_EMPTY}, 'closed', array_append(s.closed, w))))[0]"""
+    start = f"named_struct('open', {_EMPTY}, 'closed', cast(array() as array<{_WINDOW_TYPE}>))"
+    return F.expr(f"aggregate({polls}, {start}, (s, p) -> {step})")
 
 
 def analysis_windows(
@@ -166,8 +149,7 @@ def analysis_windows(
             F.first("_last").alias("_last"),
         )
     )
-    start = F.struct(_empty_window().alias("open"), F.array().alias("closed")).cast(_STATE_TYPE)
-    folded = cells.withColumn("_state", F.aggregate("_polls", start, _add_poll(settings)))
+    folded = cells.withColumn("_state", _fold("_polls", settings))
     # What is left over closes at the tick, if that tick has come.
     left_over = F.when(
         F.col("_state.open.start_ms").isNotNull() & (F.col("_tick_end") <= F.col("_last")),

@@ -20,7 +20,6 @@ from wardline.operators.upkeep import upsert_events
 from wardline.operators.windows import analysis_windows, poll_aggregate
 from wardline.session import fan_out
 from wardline.settings import Settings
-from wardline.sources.ndjson import batch_id
 
 # Thresholds for these tables: polls of half an hour hold few events each.
 FIXTURE = Settings(event_count_threshold=30)
@@ -44,194 +43,171 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(values: tuple[str, ...], index: str):
-    return F.get(F.array(*[F.lit(v) for v in values]), F.expr(index).cast("int"))
+def _text(value: str) -> str:
+    return "'" + value + "'"
 
 
-def _strings(values: list[str]):
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+def _list(values) -> str:
+    return f"cast(array({', '.join(map(_text, values))}) as array<string>)"
 
 
-def _per_type(make):
-    chosen = F.lit(None)
-    for event_type, rules in RULES.items():
-        chosen = F.when(F.col("event_type") == event_type, make(*rules)).otherwise(chosen)
-    return chosen
+def _per_type(render, default: str = "null") -> str:
+    """SQL for a value per event type, from its rule ids, actions and tags."""
+    arms = " ".join(f"when '{t}' then {render(*rules)}" for t, rules in RULES.items())
+    return f"case event_type {arms} else {default} end"
 
 
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per delivery of an event: every fiftieth is delivered again one poll later."""
-    seconds = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
-    rows = fan_out(table(spark, sf_dir, "events"), "event_id").select(
-        "event_id",
-        "user_id",
-        "event_type",
-        "value",
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
-        (seconds + EPOCH_0).alias("epoch"),
-        F.floor(seconds / POLL_SPAN_SECONDS).alias("_poll"),
-    )
-    again = F.when(F.col("event_id") % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(
-        F.array(F.lit(0))
-    )
     return (
-        rows.select("*", F.explode(again).alias("_late"))
-        .withColumn("poll_no", F.col("_poll") + F.col("_late"))
-        .drop("_poll", "_late")
-        .withColumns(
-            {
-                "config_id": F.concat(F.lit("cfg-"), F.col("user_id") % 2),
-                "poll_epoch": EPOCH_0 + POLL_EVERY_SECONDS * F.col("poll_no"),
-                "request_id": F.concat(F.lit("req-"), "event_id"),
-                "client_ip": F.expr("concat('198.51.', user_id div 256, '.', user_id % 256)"),
-                "path": _pick(PATHS, "event_id % 7"),
-                "country": _pick(COUNTRIES, "user_id % 6"),
-                "risk": F.floor(F.col("value") / 5),
-            }
+        fan_out(table(spark, sf_dir, "events"), "event_id")
+        .selectExpr(
+            "event_id",
+            "user_id",
+            "event_type",
+            "cast(get_json_object(props, '$.k') as int) as k",
+            "floor(value / 5) as risk",
+            "timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) as _seconds",
+            "explode(if(event_id % 50 = 0, array(0, 1), array(0))) as _late",
+        )
+        .selectExpr(
+            "event_id",
+            "event_type",
+            "k",
+            "risk",
+            f"_seconds + {EPOCH_0} as epoch",
+            f"_seconds div {POLL_SPAN_SECONDS} + _late as poll_no",
+            f"{EPOCH_0} + {POLL_EVERY_SECONDS} * (_seconds div {POLL_SPAN_SECONDS} + _late)"
+            " as poll_epoch",
+            "concat('cfg-', user_id % 2) as config_id",
+            "concat('req-', event_id) as request_id",
+            "concat('198.51.', user_id div 256, '.', user_id % 256) as client_ip",
+            f"get({_list(PATHS)}, cast(event_id % 7 as int)) as path",
+            f"get({_list(COUNTRIES)}, cast(user_id % 6 as int)) as country",
         )
     )
 
 
-def _line_pos(seq):
-    return F.struct(
-        F.lit("").alias("file"), F.lit(0).cast("bigint").alias("block_start"), seq.alias("seq")
-    )
+def _line_pos(seq: str) -> str:
+    return f"named_struct('file', '', 'block_start', 0L, 'seq', {seq}) as line_pos"
 
 
-def _encoded(values: list[str]):
+def _encoded(values: list[str]) -> str:
     """The delivered form of a rule list: ';'-joined base64 with '=' percent-encoded."""
     joined = ";".join(base64.b64encode(v.encode()).decode() for v in values)
-    return F.lit(joined.replace("=", "%3D"))
+    return _text(joined.replace("=", "%3D"))
+
+
+# Where a field sits varies by event, so that every fall-through is taken; members that are
+# null are left out of the JSON.
+_DOCUMENT = f"""named_struct(
+  'attackData', named_struct(
+    'clientIP', if(event_id % 3 = 0, client_ip, null),
+    'policyId', if(event_id % 2 = 0, 'pol-1', null),
+    'rules', {_per_type(lambda ids, acts, tags: _list(ids))},
+    'ruleActions', {_per_type(lambda ids, acts, tags: _encoded(acts))},
+    'ruleTags', {_per_type(lambda ids, acts, tags: _encoded(tags))},
+    'ruleMessages', {_per_type(lambda ids, a, t: _encoded([f"Rule {i} matched" for i in ids]))},
+    'ruleVersions', {_per_type(lambda ids, acts, tags: _encoded(["4"] * len(ids)))}),
+  'httpMessage', named_struct(
+    'requestId', if(event_id % 5 <> 0, request_id, null),
+    'start', if(event_id % 4 <> 0, cast(epoch as string), null),
+    'protocol', 'HTTP/1.1',
+    'method', if(event_id % 2 = 0, 'GET', 'POST'),
+    'host', 'www.example.com',
+    'port', '443',
+    'path', path,
+    'status', if(event_type = 'error', '403', '200'),
+    'bytes', event_id % 5000,
+    'requestHeaders', named_struct('User-Agent', 'Mozilla/5.0'),
+    'clientIP', if(event_id % 3 = 1, client_ip, null)),
+  'geo', named_struct('country', country),
+  'requestId', if(event_id % 5 = 0, request_id, null),
+  'start', if(event_id % 4 = 0, epoch, null),
+  'clientIP', if(event_id % 3 = 2, client_ip, null),
+  'policyId', if(event_id % 2 = 1, 'pol-2', null),
+  'botScore', cast(k as string),
+  'userRiskData', named_struct('score', cast(risk as string)))"""
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(config_id, poll_epoch, line_pos, value): undecoded lines as a poll delivers them."""
     d = deliveries(spark, sf_dir)
-    n = F.col("event_id")
-
-    def only(condition, value):
-        return F.when(condition, value)
-
-    document = F.struct(
-        F.struct(
-            only(n % 3 == 0, F.col("client_ip")).alias("clientIP"),
-            only(n % 2 == 0, F.lit("pol-1")).alias("policyId"),
-            _per_type(lambda ids, _a, _t: _strings(ids)).alias("rules"),
-            _per_type(lambda _i, actions, _t: _encoded(actions)).alias("ruleActions"),
-            _per_type(lambda _i, _a, tags: _encoded(tags)).alias("ruleTags"),
-            _per_type(lambda ids, _a, _t: _encoded([f"Rule {i} matched" for i in ids])).alias(
-                "ruleMessages"
-            ),
-            _per_type(lambda ids, _a, _t: _encoded(["4"] * len(ids))).alias("ruleVersions"),
-        ).alias("attackData"),
-        F.struct(
-            only(n % 5 != 0, F.col("request_id")).alias("requestId"),
-            only(n % 4 != 0, F.col("epoch").cast("string")).alias("start"),
-            F.lit("HTTP/1.1").alias("protocol"),
-            F.when(n % 2 == 0, "GET").otherwise("POST").alias("method"),
-            F.lit("www.example.com").alias("host"),
-            F.lit("443").alias("port"),
-            F.col("path").alias("path"),
-            F.when(F.col("event_type") == "error", "403").otherwise("200").alias("status"),
-            (n % 5000).alias("bytes"),
-            F.struct(F.lit("Mozilla/5.0").alias("User-Agent")).alias("requestHeaders"),
-            only(n % 3 == 1, F.col("client_ip")).alias("clientIP"),
-        ).alias("httpMessage"),
-        F.struct(F.col("country").alias("country")).alias("geo"),
-        only(n % 5 == 0, F.col("request_id")).alias("requestId"),
-        only(n % 4 == 0, F.col("epoch")).alias("start"),
-        only(n % 3 == 2, F.col("client_ip")).alias("clientIP"),
-        only(n % 2 == 1, F.lit("pol-2")).alias("policyId"),
-        F.col("k").cast("string").alias("botScore"),
-        F.struct(F.col("risk").cast("string").alias("score")).alias("userRiskData"),
-    )
     # a damaged line repeats the first part of its event
-    parts = F.when(n % 97 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    lines = (
-        d.select("config_id", "poll_epoch", n.alias("_n"), F.to_json(document).alias("_text"),
-                 F.explode(parts).alias("_part"))
-        .select(
-            "config_id",
-            "poll_epoch",
-            _line_pos(F.col("_n") * 2 + F.col("_part")).alias("line_pos"),
-            F.when(F.col("_part") == 0, F.col("_text"))
-            .otherwise(F.substring("_text", 1, 40))
-            .alias("value"),
-        )
+    lines = d.selectExpr(
+        "config_id",
+        "poll_epoch",
+        "event_id",
+        f"to_json({_DOCUMENT}) as _text",
+        "explode(if(event_id % 97 = 0, array(0, 1), array(0))) as _part",
+    ).selectExpr(
+        "config_id",
+        "poll_epoch",
+        _line_pos("event_id * 2 + _part"),
+        "if(_part = 0, _text, substring(_text, 1, 40)) as value",
     )
     metadata = (
         d.groupBy("config_id", "poll_epoch", "poll_no")
         .agg(F.count("*").alias("total"))
-        .select(
+        .selectExpr(
             "config_id",
             "poll_epoch",
-            _line_pos(F.lit(2**62)).alias("line_pos"),
-            F.to_json(
-                F.struct(
-                    "total",
-                    F.lit(600_000).alias("limit"),
-                    F.concat(F.lit("o"), "poll_no").alias("offset"),
-                )
-            ).alias("value"),
+            _line_pos(f"{2**62}L"),
+            "to_json(named_struct('total', total, 'limit', 600000, 'offset', concat('o', poll_no)))"
+            " as value",
         )
     )
     return lines.unionByName(metadata)
 
 
+def _rule_structs(ids: list[str], actions: list[str], tags: list[str]) -> str:
+    padded = tags + [""] * (len(ids) - len(tags))
+    rules = ", ".join(
+        f"named_struct('rule', '{rule}', 'rule_version', '4', 'rule_message', 'Rule {rule} matched',"
+        f" 'rule_tag', '{tag}', 'rule_data', '', 'rule_selector', '', 'rule_action', '{action}')"
+        for rule, action, tag in zip(ids, actions, padded)
+    )
+    return f"array({rules})"
+
+
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised events, one row per delivery."""
-    n = F.col("event_id")
-    rules = _per_type(
-        lambda ids, actions, tags: F.array(
-            *[
-                F.struct(
-                    F.lit(rule).alias("rule"),
-                    F.lit("4").alias("rule_version"),
-                    F.lit(f"Rule {rule} matched").alias("rule_message"),
-                    F.lit(tags[i] if i < len(tags) else "").alias("rule_tag"),
-                    F.lit("").alias("rule_data"),
-                    F.lit("").alias("rule_selector"),
-                    F.lit(actions[i]).alias("rule_action"),
-                )
-                for i, rule in enumerate(ids)
-            ]
-        )
+    actions = _per_type(
+        lambda ids, acts, tags: _list([a.lower() for a in acts]), "cast(array() as array<string>)"
     )
-    actions = F.coalesce(
-        _per_type(lambda _i, acts, _t: _strings([a.lower() for a in acts])),
-        F.array().cast("array<string>"),
-    )
-    summary = _per_type(lambda _i, acts, _t: F.lit(acts[0].lower()))
-    return deliveries(spark, sf_dir).select(
-        F.sha2(F.concat_ws(":", "request_id", "config_id", F.col("epoch").cast("string")), 256).alias(
-            "id"
-        ),
-        F.lit(DEFAULT_SOURCE).alias("source"),
-        "config_id",
-        F.when(n % 2 == 0, "pol-1").otherwise("pol-2").alias("policy_id"),
-        batch_id(F.col("config_id"), F.col("poll_epoch")).alias("batch_id"),
-        "client_ip",
-        F.coalesce(rules, F.array().cast(rules_type())).alias("decoded_rules"),
-        F.coalesce(summary, F.lit("none")).alias("rule_action_summary"),
-        "request_id",
-        F.timestamp_seconds("epoch").alias("event_time"),
-        F.col("epoch").cast("double").alias("event_time_epoch"),
-        F.lit("HTTP/1.1").alias("protocol"),
-        F.when(n % 2 == 0, "GET").otherwise("POST").alias("method"),
-        F.lit("www.example.com").alias("host"),
-        F.lit("443").alias("port"),
-        "path",
-        F.when(F.col("event_type") == "error", "403").otherwise("200").alias("response_status"),
-        F.col("country").alias("geo_country"),
-        F.nullif(F.col("k"), F.lit(0)).alias("bot_score"),
-        F.nullif(F.col("risk").cast("int"), F.lit(0)).alias("user_risk_score"),
-        F.array_contains(actions, "deny").alias("has_deny"),
-        F.size(actions).alias("rule_count"),
-        actions.alias("actions"),
-        F.timestamp_seconds("poll_epoch").alias("poll_time"),
-        _line_pos(n * 2).alias("line_pos"),
-        F.concat(F.lit("o"), "poll_no").alias("offset"),
-        "poll_no",
+    rules = _per_type(_rule_structs, f"cast(array() as {rules_type()})")
+    summary = _per_type(lambda ids, acts, tags: _text(acts[0].lower()), "'none'")
+    return (
+        deliveries(spark, sf_dir)
+        .selectExpr(
+            "sha2(concat_ws(':', request_id, config_id, cast(epoch as string)), 256) as id",
+            f"'{DEFAULT_SOURCE}' as source",
+            "config_id",
+            "if(event_id % 2 = 0, 'pol-1', 'pol-2') as policy_id",
+            "concat_ws('@', config_id, cast(poll_epoch as string)) as batch_id",
+            "client_ip",
+            f"{rules} as decoded_rules",
+            f"{summary} as rule_action_summary",
+            "request_id",
+            "timestamp_seconds(epoch) as event_time",
+            "cast(epoch as double) as event_time_epoch",
+            "'HTTP/1.1' as protocol",
+            "if(event_id % 2 = 0, 'GET', 'POST') as method",
+            "'www.example.com' as host",
+            "'443' as port",
+            "path",
+            "if(event_type = 'error', '403', '200') as response_status",
+            "country as geo_country",
+            "nullif(k, 0) as bot_score",
+            "nullif(cast(risk as int), 0) as user_risk_score",
+            "event_type = 'error' as has_deny",
+            f"{actions} as actions",
+            "timestamp_seconds(poll_epoch) as poll_time",
+            _line_pos("event_id * 2"),
+            "concat('o', poll_no) as offset",
+            "poll_no",
+        )
+        .withColumn("rule_count", F.size("actions"))
     )
 
 

@@ -556,7 +556,7 @@ from (select *, row_number() over (partition by config_id, hr order by closed de
 where rk <= 20 group by config_id, hr"""),
         "strategic_summary": _sum(f"""
 select 'running' as status, 'scheduled' as trigger_type, 'opus' as model,
-  1706659200 - 168 * 3600 as window_start_s, 1706659200 as window_end_s,
+  cast(1706659200 - 168 * 3600 as bigint) as window_start_s, 1706659200::bigint as window_end_s,
   count(*) as batch_summary_count, string_agg(window_id, '|' order by rk) as batch_summary_ids,
   cast(sum(ec) as bigint) as total_events, cast(sum(dc) as bigint) as total_denies,
   cast(sum(ac) as bigint) as total_alerts from ({NEWEST}) where rk <= 20"""),
@@ -629,7 +629,7 @@ from evt where action = 'deny'"""),
         "export_csv": ev(f"select {export_cols} from evt"),
         "export_manifest": ev("""
 select 'export-' || country as id, 'complete' as status, 'csv' as format, count(*) as actual_rows,
-  true as has_data, 1706659200 as created_at_s, 1706659200 as completed_at_s
+  true as has_data, 1706659200::bigint as created_at_s, 1706659200::bigint as completed_at_s
 from evt where country <> '' group by country"""),
         # spend
         "call_cost": usage("select call_seq, tier, nano as cost_nano from cost"),
