@@ -14,6 +14,7 @@ from wardline.functions.coerce import epoch_timestamp
 from wardline.operators.normalize import normalize_events, rules_long
 from wardline.sources import ndjson
 
+# The golden event; what it must become is in test_golden_event.
 RAW = {
     "attackData": {
         "clientIP": "203.0.113.42",
@@ -178,6 +179,16 @@ def test_last_metadata_line_wins(spark):
     assert [tuple(r) for r in metadata.collect()] == [("c", 1, 2, "o2")]
 
 
+def test_metadata_prefilter_misses_nothing(spark):
+    lines = ['{"total":1,"offset":"o"}', '{"total":1,"\\u006ffset":"o"}', '{"total":1}']
+    df = spark.createDataFrame([("c", 1, i, v) for i, v in enumerate(lines)],
+                               "config_id string, poll_epoch long, line_pos long, value string")
+    kept = df.filter(ndjson.may_be_metadata(F.col("value")))
+    assert sorted(r.line_pos for r in kept.collect()) == [0, 1]
+    both = [ndjson.parse_lines(d).filter(ndjson.is_metadata(F.col("doc"))).count() for d in (df, kept)]
+    assert both == [2, 2]
+
+
 def test_read_files(spark, tmp_path):
     folder = tmp_path / "config_id=c1" / "poll_epoch=100"
     folder.mkdir(parents=True)

@@ -579,7 +579,7 @@ def severity_counts(spark, sf):
 
 @query
 def deny_ratio_trend(spark, sf):
-    return trends.deny_ratio_trend(src.summaries(spark, sf)).select(
+    return trends.deny_ratio_trend(src.dated_windows(spark, sf)).select(
         "config_id", _s("time"), "deny_ratio", "event_count"
     )
 
@@ -671,7 +671,7 @@ def hourly_request(spark, sf):
 
 @query
 def strategic_summary(spark, sf):
-    return trends.strategic_summary(src.summaries(spark, sf), as_of=src.AS_OF).select(
+    return trends.strategic_summary(src.dated_windows(spark, sf), as_of=src.AS_OF).select(
         "status",
         "trigger_type",
         "model",
@@ -824,7 +824,7 @@ def referenced_events(spark, sf):
 
 @query
 def window_counts(spark, sf):
-    return serving.window_counts(src.summaries(spark, sf), datetime(2024, 1, 8, 6, 0))
+    return serving.window_counts(src.dated_windows(spark, sf), datetime(2024, 1, 8, 6, 0))
 
 
 @query

@@ -230,6 +230,11 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis_windows(polls(spark, sf_dir), settings=FIXTURE)
 
 
+def dated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows alone, dated like their records: enough for reports on counts."""
+    return windows(spark, sf_dir).withColumn("created_at", F.col("closed_at"))
+
+
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Window records with response fields that a rule derives from the statistics."""
     record = window_summary(windows(spark, sf_dir), events(spark, sf_dir), settings=FIXTURE)
@@ -258,8 +263,7 @@ def strategic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One strategic record per config and hour of windows; every fifth hour failed."""
     hour = F.floor(F.unix_seconds("created_at") / 3600)
     return (
-        windows(spark, sf_dir)
-        .withColumn("created_at", F.col("closed_at"))
+        dated_windows(spark, sf_dir)
         .groupBy("config_id", hour.alias("_hour"))
         .agg(
             F.sum("event_count").alias("total_events"),

@@ -52,9 +52,9 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a local one only where none is set (tests)."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if configured is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = (
+        spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    )
     if configured is None and spark.sparkContext.master.startswith("local"):
         configured = tempfile.mkdtemp(prefix="wardline-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", configured)

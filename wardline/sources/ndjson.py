@@ -69,6 +69,12 @@ def is_metadata(doc: Column) -> Column:
     )
 
 
+def may_be_metadata(value: Column) -> Column:
+    """Cheap text test that no metadata line fails: its member name is written out, or some
+    character of it is escaped."""
+    return value.contains('"offset"') | value.contains("\\u")
+
+
 def event_docs(parsed: DataFrame) -> DataFrame:
     return parsed.filter(~is_metadata(F.col("doc")))
 

@@ -17,6 +17,7 @@ from wardline.operators.windows import poll_aggregate
 from wardline.sources.ndjson import (
     batch_id,
     event_docs,
+    may_be_metadata,
     parse_lines,
     split_batch_metadata,
     tag_batch,
@@ -58,16 +59,17 @@ def ingest_stream(
 
     def write(batch: DataFrame, epoch: int) -> None:
         positioned = batch if "line_pos" in batch.columns else with_line_pos(batch)
-        parsed = parse_lines(positioned)
-        events = normalize_events(tag_batch(event_docs(parsed)), source=source)
+        docs = event_docs(parse_lines(positioned))
+        events = normalize_events(tag_batch(docs), source=source)
         bronze = f"{target}/bronze/epoch={epoch}"
         events.withColumn("event_date", F.to_date("event_time")).write.mode(
             "overwrite"
         ).partitionBy("event_date").parquet(bronze)
-        # the poll log is counted from what was written: the events are decoded once
+        # the poll log is counted from what was written, and only lines that can be metadata
+        # are parsed again
         polls = poll_aggregate(batch.sparkSession.read.parquet(bronze))
         offsets = (
-            split_batch_metadata(parsed)[1]
+            split_batch_metadata(parse_lines(positioned.filter(may_be_metadata(F.col("value")))))[1]
             .withColumn("batch_id", batch_id(F.col("config_id"), F.col("poll_epoch")))
             .select("batch_id", F.col("offset").alias("last_offset"))
         )
