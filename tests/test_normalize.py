@@ -180,7 +180,7 @@ def test_last_metadata_line_wins(spark):
 
 
 def test_metadata_prefilter_misses_nothing(spark):
-    lines = ['{"total":1,"offset":"o"}', '{"total":1,"\\u006ffset":"o"}', '{"total":1}']
+    lines = ['{"total":1,"offset":"o"}', '{"total":1,"\\u006fffset":"o"}', '{"total":1}']
     df = spark.createDataFrame([("c", 1, i, v) for i, v in enumerate(lines)],
                                "config_id string, poll_epoch long, line_pos long, value string")
     kept = df.filter(ndjson.may_be_metadata(F.col("value")))
