@@ -87,3 +87,36 @@ def test_stream_windows_match_batch(spark, sf_dir, tmp_path):
     rows = lambda df: sorted(map(tuple, df.collect()), key=lambda r: r[0])
     assert rows(got) == rows(batch)
     assert got.count() > 50
+
+
+def test_idle_config_is_flushed(spark, sf_dir, tmp_path):
+    """A quiet config's window closes by a timer, as the ceiling would close it."""
+    import time
+
+    polls = src.polls(spark, sf_dir).filter(F.unix_seconds("poll_time") == src.EPOCH_0 + 30)
+    polls = polls.withColumn("deny_count", F.lit(0).cast("bigint"))
+    folder = str(tmp_path / "polls")
+    polls.coalesce(1).write.parquet(folder)
+    expected = {r.config_id: r.event_count for r in polls.collect()}
+    query = (
+        stream_windows(
+            spark.readStream.schema(polls.schema).parquet(folder), idle_flush_seconds=2
+        )
+        .writeStream.outputMode("append")
+        .format("memory")
+        .queryName("idle_windows")
+        .option("checkpointLocation", str(tmp_path / "checkpoint"))
+        .trigger(processingTime="1 second")
+        .start()
+    )
+    try:
+        deadline = time.time() + 90
+        while spark.table("idle_windows").count() < len(expected) and time.time() < deadline:
+            time.sleep(1)
+        rows = spark.table("idle_windows").collect()
+    finally:
+        query.stop()
+    assert query.exception() is None
+    assert {r.config_id: r.event_count for r in rows} == expected
+    assert {r.trigger_reason for r in rows} == {"time_ceiling"}
+    assert all((r.closed_at - r.window_start).total_seconds() == 300 for r in rows)
