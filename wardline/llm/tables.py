@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to a bounded number of rows and characters."""
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()
+        lengths = pc.binary_length(batch.column(text)).fill_null(0).to_pylist()
         start = size = 0
         for i, n in enumerate(lengths):
             if i > start and (i - start >= SLICE_ROWS or size + n > SLICE_CHARS):
