@@ -1,3 +1,29 @@
 """DuckDB counterparts of the queries that SQL can express."""
 
+from __future__ import annotations
+
 ORACLES: dict[str, str] = {}
+
+# A line without white space at its ends, A-Z lower-cased.
+_LINE_KEY = (
+    "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), "
+    "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+)
+
+ORACLES["op7_line_dedup"] = f"""
+with lines as (
+  select doc_id, unnest(range(len(parts))) as pos, unnest(parts) as line
+  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents)
+), keyed as (
+  select *, {_LINE_KEY} as key from lines
+), shared as (
+  select key, min(doc_id) as owner from keyed where length(key) >= 10
+  group by key having count(distinct doc_id) > 1
+), marked as (
+  select k.doc_id, k.pos, k.line, s.key is not null and s.owner <> k.doc_id as gone
+  from keyed k left join shared s on k.key = s.key
+)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+from marked group by doc_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe
+from wardline.llm import bpe, linededup
 from wardline.llm.tables import read_table
 from wardline.session import configure
 
@@ -30,6 +30,13 @@ def vocabulary() -> str:
         return file.read()
 
 
+@query
+def op7_line_dedup(spark, sf):
+    return linededup.dedup_lines(read_table(spark, sf, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 @query
 def op9_bpe(spark, sf):
     coded = bpe.encode_documents(read_table(spark, sf, "documents"), vocabulary())
