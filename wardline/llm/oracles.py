@@ -27,3 +27,41 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
 from marked group by doc_id
 """
+
+# Words of letters and digits, A-Z lower-cased, as a list.
+FOLDED_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+ORACLES["op5_decontamination"] = f"""
+with items as (
+  select item_id, {FOLDED_WORDS} as w from benchmark
+), windows as (
+  select item_id, least(10, len(w)) as n,
+    unnest([array_to_string(list_slice(w, s, s + least(10, len(w)) - 1), ' ')
+      for s in range(1, len(w) - least(10, len(w)) + 2)]) as words
+  from items where len(w) > 0
+), docs as (
+  select doc_id, {FOLDED_WORDS} as w from documents
+), sizes as (
+  select distinct n from windows
+), runs as (
+  select doc_id, n, unnest(range(1, len(w) - n + 2)) as s,
+    unnest([array_to_string(list_slice(w, s, s + n - 1), ' ') for s in range(1, len(w) - n + 2)]) as words
+  from docs, sizes where len(w) >= n
+), hits as (
+  select r.doc_id, r.n, r.s, w.item_id from runs r join windows w on r.words = w.words and r.n = w.n
+), places as (
+  select distinct doc_id, unnest(range(s, s + n)) as p from hits
+), per_doc as (
+  select doc_id, count(*) as n_hit from places group by doc_id
+), found as (
+  select doc_id, count(distinct item_id) as n_items,
+    string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids
+  from hits group by doc_id
+)
+select d.doc_id, len(d.w) as n_words, coalesce(p.n_hit, 0) as n_hit, coalesce(f.n_items, 0) as n_items,
+  sha256(coalesce(f.ids, '')) as items_sha256, coalesce(p.n_hit, 0) > 0 as contaminated
+from docs d left join per_doc p on d.doc_id = p.doc_id left join found f on d.doc_id = f.doc_id
+"""

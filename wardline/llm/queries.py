@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, linededup
+from wardline.llm import bpe, decontam, linededup
 from wardline.llm.tables import read_table
 from wardline.session import configure
 
@@ -30,6 +30,21 @@ def vocabulary() -> str:
         return file.read()
 
 
+@query
+def op5_decontamination(spark, sf):
+    found = decontam.find_contamination(
+        read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark")
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query
 def op7_line_dedup(spark, sf):
     return linededup.dedup_lines(read_table(spark, sf, "documents")).select(

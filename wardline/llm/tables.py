@@ -14,7 +14,7 @@ from wardline.session import scratch_path
 #: Rows that a Python task holds at a time; Arrow batches are cut to it.
 SLICE_ROWS = 256
 #: Characters that a Python task holds at a time (one longer text is a slice of its own).
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
