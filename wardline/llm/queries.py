@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, decontam, linededup
+from wardline.llm import bpe, decontam, linededup, neardup
 from wardline.llm.tables import read_table
 from wardline.session import configure
 
@@ -61,3 +61,8 @@ def op9_bpe(spark, sf):
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op10_near_dedup(spark, sf):
+    return neardup.near_duplicates(read_table(spark, sf, "documents"))
