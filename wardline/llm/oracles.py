@@ -65,3 +65,31 @@ select d.doc_id, len(d.w) as n_words, coalesce(p.n_hit, 0) as n_hit, coalesce(f.
   sha256(coalesce(f.ids, '')) as items_sha256, coalesce(p.n_hit, 0) > 0 as contaminated
 from docs d left join per_doc p on d.doc_id = p.doc_id left join found f on d.doc_id = f.doc_id
 """
+
+# Words between white space, as a list.
+PLAIN_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+ORACLES["op8_substring_dedup"] = f"""
+with docs as (
+  select doc_id, {PLAIN_WORDS} as w from documents
+), words as (
+  select doc_id, unnest(range(len(w))) as i, unnest(w) as word from docs
+), windows as (
+  select doc_id, unnest(range(len(w) - 19)) as s,
+    unnest([array_to_string(list_slice(w, s, s + 19), ' ') for s in range(1, len(w) - 18)]) as words
+  from docs where len(w) >= 20
+), repeated as (
+  select doc_id, s from (
+    select doc_id, s, row_number() over (partition by words order by doc_id, s) as r from windows
+  ) where r > 1
+), gone as (
+  select distinct doc_id, unnest(range(s, s + 20)) as i from repeated
+), kept as (
+  select words.doc_id, count(*) filter (gone.i is not null) as n_removed,
+    string_agg(words.word, ' ' order by words.i) filter (gone.i is null) as text
+  from words left join gone on words.doc_id = gone.doc_id and words.i = gone.i group by words.doc_id
+)
+select d.doc_id, len(d.w) as n_words, coalesce(k.n_removed, 0) as n_removed,
+  sha256(coalesce(k.text, '')) as kept_sha256
+from docs d left join kept k on d.doc_id = k.doc_id
+"""

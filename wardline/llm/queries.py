@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, decontam, linededup, neardup
+from wardline.llm import bpe, decontam, linededup, neardup, substrings
 from wardline.llm.tables import read_table
 from wardline.session import configure
 
@@ -52,6 +52,13 @@ def op7_line_dedup(spark, sf):
     )
 
 
+@query
+def op8_substring_dedup(spark, sf):
+    return substrings.remove_repeats(read_table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 @query
 def op9_bpe(spark, sf):
     coded = bpe.encode_documents(read_table(spark, sf, "documents"), vocabulary())
