@@ -7,8 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, decontam, linededup, neardup, substrings
-from wardline.llm.tables import read_table
+from wardline.llm import (
+    bpe,
+    decontam,
+    licenses,
+    linededup,
+    neardup,
+    rules,
+    sharding,
+    substrings,
+)
+from wardline.llm.tables import read_table, stored
 from wardline.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +39,43 @@ def vocabulary() -> str:
         return file.read()
 
 
+@query
+def op1_sharding(spark, sf):
+    return sharding.assign_shards(read_table(spark, sf, "documents")).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        F.col("shard").cast("int").alias("shard"),
+        F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op3_license_scan(spark, sf):
+    found = licenses.scan_licenses(read_table(spark, sf, "documents"))
+    return found.withColumns(
+        {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
+    )
+
+
+@query
+def op4_quality_rules(spark, sf):
+    figures = stored(rules.features(read_table(spark, sf, "documents")), "figures")
+    learnt = stored(rules.cutoffs(figures, read_table(spark, sf, "labels")), "cutoffs")
+    return rules.verdicts(figures, learnt).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
 @query
 def op5_decontamination(spark, sf):
     found = decontam.find_contamination(
