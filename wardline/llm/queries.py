@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardline.llm import (
     bpe,
+    classifier,
     decontam,
     licenses,
     linededup,
@@ -52,6 +53,18 @@ def op1_sharding(spark, sf):
     )
 
 
+@query
+def op2_quality_classifier(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    net = classifier.fit(docs, read_table(spark, sf, "labels"))
+    return classifier.score_documents(docs, net).select(
+        "doc_id",
+        classifier.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op3_license_scan(spark, sf):
     found = licenses.scan_licenses(read_table(spark, sf, "documents"))
