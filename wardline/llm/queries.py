@@ -14,6 +14,7 @@ from wardline.llm import (
     licenses,
     linededup,
     neardup,
+    pii,
     rules,
     sharding,
     substrings,
@@ -104,6 +105,18 @@ def op5_decontamination(spark, sf):
     )
 
 
+@query
+def op6_pii(spark, sf):
+    found = pii.find_personal_data(read_table(spark, sf, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{name}") for k, name in enumerate(pii.BASE_KINDS)),
+        F.sha2(pii.as_text("base"), 256).alias("base_sha256"),
+        pii.as_text("spans").alias("spans"),
+    )
+
+
 @query
 def op7_line_dedup(spark, sf):
     return linededup.dedup_lines(read_table(spark, sf, "documents")).select(
