@@ -99,12 +99,30 @@ def test_empty(spark):
     assert neardup.near_duplicates(docs).count() == 0
 
 
-def test_across_leaves_no_pair_of_outsiders(spark):
-    rows = [(1, n, label) for n, label in [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 5)]]
-    members = spark.createDataFrame(rows, "band long, node long, label long")
-    pairs = {(r.a, r.b) for r in neardup.across(members).collect()}
-    want = {(i, j) for _, i, x in rows for _, j, y in rows if i < j and x != y}
-    assert pairs == want
+@pytest.mark.parametrize("weight", [1, 90, 10**6])
+def test_outsiders_meet_everyone_of_another_class(spark, weight):
+    rng = random.Random(weight)
+    base = rng.choices([f"w{i}" for i in range(300)], k=40)
+    texts = []
+    for _ in range(30):
+        text = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            text[rng.randrange(40)] = f"new{rng.randrange(9999)}"
+        texts.append(" ".join(text))
+    texts.append("")
+    labels = [i if i % 3 else 0 for i in range(len(texts))]
+    left = [(7, i, x) for i, x in enumerate(labels)] + [(8, i, labels[i]) for i in range(5)]
+    left = spark.createDataFrame(left, "band long, node long, label long")
+    nodes = spark.createDataFrame([(i, 36) for i in range(len(texts))], "node long, weight long")
+    whole = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    dealt = neardup.blocks(left, nodes, weight)
+    found = [(r.a, r.b) for r in neardup.link_outsiders(dealt, whole, 0.8, 5).collect()]
+    bags = [bag(t) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if alike(bags[i], bags[j]) >= 0.8]
+    assert {tuple(sorted(p, reverse=True)) for p in found} <= set(near)
+    same = [(i, j) for i in range(len(texts)) for j in range(i) if labels[i] == labels[j]]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    assert classes_of(rows, found + same) == classes_of(rows, near + same)
 
 
 def test_components(spark):

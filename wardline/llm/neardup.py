@@ -7,11 +7,13 @@ with its total weight, so that about ``k (ln k + 2)`` are thrown however long it
 one of ``k`` coordinates, and a coordinate keeps the earliest. Two signatures agree in a coordinate
 with the probability of the weighted Jaccard similarity of the texts.
 
-Equal texts are one node. Bands of equal coordinates form buckets. No bucket emits all its pairs: its
-members are compared with one centre, links are verified on the whole texts, and what the links connect
-needs no more tests for its class. A few more centres are tried where a bucket still falls into several
-classes; the pairs across classes that are left are then all tested, so a bucket of any size loses no link
-between its classes. Text moves only for nodes that share a bucket.
+Equal texts are one node. Bands of equal coordinates form buckets. No bucket emits all its pairs: first its
+members are compared with one centre, and links are verified on the whole texts. What the links connect
+needs no more tests for its class. Buckets that still fall into several classes are joined to clusters,
+and in each cluster the outsiders (all nodes but its largest class) are compared with every node of
+another class, exactly and block by block: a task holds two blocks of bounded weight and returns only
+the links that join classes. So a bucket of any size loses no link between its classes. Text moves only
+for nodes that share a bucket.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +34,8 @@ SHINGLE = 5
 #: Agreement of signatures under which a pair is not verified, as a share of the similarity asked
 #: for: six standard deviations below it at 96 coordinates.
 AGREEMENT = 0.68
-#: Centres tried in a bucket before all pairs across its classes are.
-CENTRES = 4
+#: Units of weight in a block of the comparison of outsiders.
+BLOCK_WEIGHT = 200_000
 SALTS = 16
 
 
@@ -142,58 +145,112 @@ def buckets(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
     return salted(members, "node").join(to_all_salts(shared), ["band", "salt"]).select("band", "node")
 
 
-def to_centres(members: DataFrame, seed: int | None) -> DataFrame:
-    """Pairs (a, b) of each bucket's centre and its other members; ``label`` (if any) differs.
-
-    The centre is the least node, or with a ``seed`` the least by a hash that all buckets share.
-    """
-    order = F.col("node") if seed is None else F.xxhash64(F.col("node"), F.lit(seed))
-    labelled = "label" in members.columns
-    label = F.col("label") if labelled else F.lit(None).cast("long")
-    own = members.select("band", "node", label.alias("label"))
-    centre = own.groupBy("band").agg(
-        F.min(F.struct(order.alias("o"), F.col("node").alias("c"), F.col("label").alias("l"))).alias("m")
+def to_centres(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's least node and its other members."""
+    centre = members.groupBy("band").agg(F.min("node").alias("a"))
+    met = salted(members.withColumnRenamed("node", "b"), "b").join(
+        to_all_salts(centre), ["band", "salt"]
     )
-    met = salted(own, "node").join(to_all_salts(centre), ["band", "salt"])
-    other = F.col("label") != F.col("m.l") if labelled else F.col("node") != F.col("m.c")
-    return met.where(other).select(
-        F.least("node", "m.c").alias("a"), F.greatest("node", "m.c").alias("b")
-    ).distinct()
+    return met.where("a <> b").select("a", "b").distinct()
 
 
-def unresolved(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+def unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(band, node, label): buckets whose members lie in several classes."""
-    own = members.withColumn("label", F.col("node"))
-    if labels is not None:
-        own = (
-            members.join(labels, "node", "left")
-            .withColumn("label", F.coalesce("root", "node"))
-            .drop("root")
-        )
-    own = stored(own.select("band", "node", "label"), "labelled")
+    own = members.join(labels, "node", "left").select(
+        "band", "node", F.coalesce("root", "node").alias("label")
+    )
+    own = stored(own, "labelled")
     mixed = own.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"))
     mixed = to_all_salts(mixed.where(F.col("x") != F.col("y")).select("band"))
     return salted(own, "node").join(mixed, ["band", "salt"]).select("band", "node", "label")
 
 
-def across(members: DataFrame) -> DataFrame:
-    """All pairs (a, b) of one bucket and different classes that outsiders of the bucket form.
+def blocks(left: DataFrame, nodes: DataFrame, weight: int) -> DataFrame:
+    """Outsiders and the others of each cluster of ``left``, dealt to pairs of blocks.
 
-    Outsiders are the members that are not of the bucket's largest class; two members of the
-    largest class need no test.
+    (cluster, kind, i, j, node, label, outside): kind 0 holds block i of the outsiders and block j
+    of the largest class, kind 1 two blocks of outsiders. A block has about ``weight`` units.
     """
-    sizes = members.groupBy("band", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("band").agg(F.max(F.struct("n", "label"))["label"].alias("main"))
-    known = salted(members, "node").join(to_all_salts(main), ["band", "salt"])
-    few = known.where(F.col("label") != F.col("main")).select(
-        "band", F.col("node").alias("u"), F.col("label").alias("l")
+    centre = left.groupBy("band").agg(F.min("node").alias("u"))
+    shares = salted(left.withColumnRenamed("node", "v"), "v").join(
+        to_all_salts(centre), ["band", "salt"]
+    )
+    cluster = components(shares.select("u", "v")).withColumnRenamed("root", "cluster")
+    own = stored(
+        left.select("node", "label").distinct().join(cluster, "node").join(
+            nodes.select("node", "weight"), "node"
+        ),
+        "clusters",
+    )
+    sizes = own.groupBy("cluster", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    totals = sizes.groupBy("cluster").agg(
+        F.max(F.struct("n", "label", "w")).alias("main"), F.sum("w").alias("all")
+    )
+    count = lambda w: F.greatest(F.ceil(w / weight), F.lit(1)).cast("int")
+    totals = totals.select(
+        "cluster",
+        F.col("main.label").alias("main"),
+        count(F.col("all") - F.col("main.w")).alias("outer"),
+        count(F.col("main.w")).alias("inner"),
     )
+    dealt = salted(own, "node").join(to_all_salts(totals), ["cluster", "salt"])
+    dealt = dealt.withColumn("outside", F.col("label") != F.col("main")).withColumn(
+        "own",
+        F.pmod(
+            F.xxhash64("node"), F.when(F.col("outside"), F.col("outer")).otherwise(F.col("inner"))
+        ).cast("int"),
+    )
+    to = lambda n: F.sequence(F.lit(0), n - 1)
+    pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    mine = F.col("own")
+    with_inner = F.transform(to(F.col("inner")), lambda j: pair(0, mine, j))
+    with_outer = F.transform(
+        F.filter(to(F.col("outer")), lambda o: o != mine),
+        lambda o: pair(1, F.least(o, mine), F.greatest(o, mine)),
+    )
+    of_main = F.transform(to(F.col("outer")), lambda i: pair(0, i, mine))
+    pairs = F.when(F.col("outside"), F.concat(with_inner, with_outer)).otherwise(of_main)
+    return dealt.select("cluster", "node", "label", "outside", "own", F.inline(pairs))
+
+
+def link_outsiders(
+    dealt: DataFrame, whole: DataFrame, threshold: float, shingle: int
+) -> DataFrame:
+    """(a, b): links that join classes, from every pair of blocks."""
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        text, unit = weighted_units(Words(rows["text"].tolist(), FOLDED, True), shingle)
+        _, unit = np.unique(unit, return_inverse=True)
+        borders = np.searchsorted(text, np.arange(len(rows) + 1))
+        weight = np.diff(borders)
+        filled = np.flatnonzero(weight)
+        nodes, labels = rows["node"].to_numpy(), rows["label"].to_numpy()
+        outside, own = rows["outside"].to_numpy(), rows["own"].to_numpy()
+        kind, i, j = (int(rows[c].iloc[0]) for c in ("kind", "i", "j"))
+        # two blocks of outsiders: across only; else outsiders with the others, once among themselves
+        first = outside & (own == i) if kind else outside
+        second = own == j if kind else (~outside | (j == 0))
+        marks = np.zeros(len(unit) + 1, bool)
+        groups = labels.copy()
+        found = []
+        for x in np.flatnonzero(first):
+            mine = unit[borders[x] : borders[x + 1]]
+            marks[mine] = True
+            both = np.zeros(len(rows), np.int64)
+            if len(filled):
+                both[filled] = np.add.reduceat(marks[unit], borders[filled], dtype=np.int64)
+            marks[mine] = False
+            near = second & (both >= threshold * (weight[x] + weight - both)) & (both > 0)
+            for y in np.flatnonzero(near & (groups != groups[x])):
+                if groups[x] != groups[y]:
+                    found.append((nodes[x], nodes[y]))
+                    groups[groups == groups[y]] = groups[x]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
     return (
-        salted(members, "node")
-        .join(to_all_salts(few), ["band", "salt"])
-        .where(F.col("label") != F.col("l"))
-        .select(F.least("node", "u").alias("a"), F.greatest("node", "u").alias("b"))
-        .distinct()
+        dealt.join(whole, "node")
+        .groupBy("cluster", "kind", "i", "j")
+        .applyInPandas(compare, "a long, b long")
     )
 
 
@@ -280,24 +337,15 @@ def near_duplicates(
         held.join(needed, ["content", "holder"]).dropDuplicates(["node"]).select("node", "text"),
         "texts",
     )
-    labels, found, tried = None, None, None
-    for step in range(CENTRES + 1):
-        open_buckets = members if step == 0 else stored(unresolved(members, labels), "unresolved")
-        if step and open_buckets.isEmpty():
-            break
-        if step == 0:
-            pairs = to_centres(open_buckets, None)
-        elif step < CENTRES:
-            pairs = to_centres(open_buckets, step)
-        else:
-            pairs = across(open_buckets)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = stored(links(pairs, nodes, whole, threshold, shingle), "verified")
-        found = new if found is None else found.unionByName(new)
-        labels = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    pairs = stored(to_centres(members), "pairs")
+    found = stored(links(pairs, nodes, whole, threshold, shingle), "verified")
+    as_links = lambda df: df.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    labels = components(as_links(found))
+    left = stored(unresolved(members, labels), "unresolved")
+    if not left.isEmpty():
+        dealt = blocks(left, nodes, BLOCK_WEIGHT)
+        more = stored(link_outsiders(dealt, whole, threshold, shingle), "outsiders")
+        labels = components(as_links(found.unionByName(more)))
     named = nodes.join(labels, "node", "left").select(
         "content", F.coalesce("root", "node").alias("root")
     )
