@@ -237,11 +237,14 @@ def test_batch_request_payload(spark, sf_dir):
             assert "" not in event["rules"]
 
 
-def test_hourly_request_keeps_twenty(spark):
+def test_hourly_request_lists_all_or_the_newest(spark):
     df = summaries(spark, *[{"analysis": "x" * 600} for _ in range(23)]).withColumns(
         {"top_ips": F.col("top_countries"), "top_paths": F.col("top_countries"), "model_used": F.lit("haiku")}
     )
     row = trends.hourly_request(df).first()
     body = json.loads(row.request)
-    assert row.batch_count == 20 == len(body) and len(body[0]["analysis"]) == 500
+    assert row.batch_count == row.listed_count == len(body) == 23 and len(body[0]["analysis"]) == 500
+    cut = trends.hourly_request(df, settings=Settings(summary_max_windows=20)).first()
+    body = json.loads(cut.request)
+    assert (cut.batch_count, cut.listed_count) == (23, 20)
     assert [e["n"] for e in body] == list(range(1, 21))

@@ -1,11 +1,16 @@
 """Stream equals batch."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
+from wardline.operators.normalize import normalize_events
 from wardline.operators.upkeep import upsert_events
 from wardline.operators.windows import analysis_windows, poll_aggregate
 from wardline.plans import inputs as src
+from wardline.schemas import EVENT
+from wardline.sources.ndjson import event_docs, incremental_slice, parse_lines, tag_batch
 from wardline.streaming import (
     ingest_stream,
     read_bronze,
@@ -60,6 +65,50 @@ def test_ingest_matches_batch(spark, sf_dir, landed, tmp_path):
     assert _ids(read_bronze(spark, target)) == _ids(expected)
 
 
+def test_ingest_survives_idle_polls_and_keeps_every_event(spark, tmp_path):
+    """First poll without events, one without metadata, an event that repeats a member."""
+    raw, target = tmp_path / "raw", str(tmp_path / "out")
+
+    def land(epoch, *lines):
+        folder = raw / "config_id=c" / f"poll_epoch={epoch}"
+        folder.mkdir(parents=True)
+        (folder / "a.ndjson").write_text("\n".join(lines))
+
+    def run():
+        query = ingest_stream(stream_raw_ndjson(spark, str(raw)), target, available_now=True)
+        query.awaitTermination()
+        assert query.exception() is None
+
+    event = '{"httpMessage":{"requestId":"%s","start":"1704067200","status":"200"}}'
+    land(100, '{"total":0,"limit":10,"offset":"o9"}')
+    run()
+    assert read_bronze(spark, target).count() == 0
+    land(200, event % "a", '{"httpMessage":{"requestId":"b","start":"1"},"httpMessage":'
+         '{"requestId":"c","start":"1704067200"}}', "not json")
+    run()
+    land(300, '{"total":0,"limit":10,"offset":"o10"}', "")
+    run()
+    assert sorted(r.request_id for r in read_bronze(spark, target).collect()) == ["a", "c"]
+    log = read_poll_log(spark, target).orderBy("poll_time").collect()
+    assert [(r.event_count, r.last_offset) for r in log] == [(0, "o9"), (2, None), (0, "o10")]
+    # progress survives the poll that named no offset
+    left = incremental_slice(
+        read_bronze(spark, target), read_poll_log(spark, target), datetime(1970, 1, 1, 0, 6)
+    )
+    assert left.count() == 0
+
+
+def test_reading_before_the_first_micro_batch(spark, tmp_path):
+    assert read_bronze(spark, str(tmp_path)).count() == 0
+    assert read_poll_log(spark, str(tmp_path)).count() == 0
+
+
+def test_event_schema_is_the_contract(spark, sf_dir):
+    tagged = tag_batch(event_docs(parse_lines(src.raw_lines(spark, sf_dir))))
+    contract = spark.createDataFrame([], EVENT).schema
+    assert normalize_events(tagged).schema.simpleString() == contract.simpleString()
+
+
 def test_stream_windows_match_batch(spark, sf_dir, tmp_path):
     polls = src.polls(spark, sf_dir).filter(F.unix_seconds("poll_time") < src.EPOCH_0 + 14400)
     folder = str(tmp_path / "polls")

@@ -33,9 +33,10 @@ def test_upsert_is_pruned_before_the_shuffle(spark, sf_dir):
 def test_retention_boundary(spark):
     df = spark.sql(
         "select timestamp'2024-01-24 00:00:00' ts, 1 i union all select timestamp'2024-01-23 23:59:59', 2"
+        " union all select null, 3"
     )
     kept = upkeep.apply_retention(df, "events", datetime(2024, 1, 31), ts="ts").collect()
-    assert [r.i for r in kept] == [1]
+    assert sorted(r.i for r in kept) == [1, 3]
 
 
 @pytest.mark.parametrize("block_rows", [1, 7, 1000])
@@ -59,17 +60,28 @@ def test_blocked_windows_equal_plain_ones(spark, block_rows):
 
 def test_incremental_slice(spark):
     events = spark.createDataFrame(
-        [(c, o, float(e)) for c in ("fresh", "stale", "new") for o, e in ((1, 0), (2, 50_000), (3, 90_000))],
-        "config_id string, offset int, event_time_epoch double",
+        [
+            (c, p, datetime(1970, 1, 2, p), float(e))
+            for c in ("fresh", "stale", "new")
+            for p, e in ((0, 0), (1, 50_000), (2, 90_000))
+        ],
+        "config_id string, poll int, poll_time timestamp, event_time_epoch double",
     )
     log = spark.createDataFrame(
-        [("fresh", datetime(1970, 1, 2), 1), ("fresh", datetime(1970, 1, 2, 1), 2), ("stale", datetime(1970, 1, 1), 3)],
-        "config_id string, poll_time timestamp, last_offset int",
+        [
+            # opaque offsets; the newest poll returned none, which moves nothing
+            ("fresh", datetime(1970, 1, 2), "o9"),
+            ("fresh", datetime(1970, 1, 2, 1), "o10"),
+            ("fresh", datetime(1970, 1, 2, 2), None),
+            ("stale", datetime(1970, 1, 1), "x"),
+            ("new", datetime(1970, 1, 2, 2), None),
+        ],
+        "config_id string, poll_time timestamp, last_offset string",
     )
     rows = ndjson.incremental_slice(events, log, datetime(1970, 1, 2, 2)).collect()
-    got = sorted((r.config_id, r.offset) for r in rows)
+    got = sorted((r.config_id, r.poll) for r in rows)
     # 12 h before 26:00 is 50,400 s
-    assert got == [("fresh", 3), ("new", 1), ("new", 2), ("new", 3), ("stale", 3)]
+    assert got == [("fresh", 2), ("new", 0), ("new", 1), ("new", 2), ("stale", 2)]
 
 
 def test_upsert_users(spark):
@@ -107,14 +119,14 @@ def ids(df):
     return [r.id for r in df.collect()]
 
 
-def test_time_range_applies_after_the_limit(spark):
+def test_time_range_is_searched_unless_asked_otherwise(spark):
     df = served(spark)
-    assert sorted(ids(serving.query_events(df, limit=3, end=8))) == ["e7", "e8"]
-    assert ids(serving.query_events(df, limit=3, end=6, time_filter="before_limit")) == ["e6", "e5", "e4"]
+    late = serving.query_events(df, limit=3, end=8, time_filter="after_limit")
+    assert sorted(ids(late)) == ["e7", "e8"]
+    assert ids(serving.query_events(df, limit=3, end=6)) == ["e6", "e5", "e4"]
     # a null time passes the upper bound and fails the lower one
     assert "e3" in ids(serving.query_events(df, end=2))
     assert "e3" not in ids(serving.query_events(df, start=1))
-    assert serving.row_limit(5000, 100, 1000) == 1000 and serving.row_limit(0, 100, 1000) == 100
 
 
 def test_page_past_the_end_keeps_the_total(spark):

@@ -3,7 +3,11 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+from pyspark.sql import functions as F
+
 from wardline.operators.windows import analysis_windows, baseline_rate, poll_aggregate, route_tier
+from wardline.operators.spend import budget_flags, budget_gate
+from wardline.plans.inputs import window_calls
 from wardline.settings import Settings
 
 T0 = 1_704_067_200
@@ -115,8 +119,18 @@ def test_configs_do_not_mix(spark):
     assert [(r.config_id, r.event_count) for r in rows] == [("a", 600)]
 
 
-def test_route_tier_stops_at_the_cap(spark):
-    windows = analysis_windows(polls(spark, [(0, 600, 0), (60, 600, 300), (120, 600, 0)]))
-    cap = spark.sql(f"select date'2024-01-01' as date, timestamp_seconds({T0 + 60}) as cap_reached_at")
-    tiers = [r.tier for r in route_tier(windows, cap).orderBy("closed_at").collect()]
-    assert tiers == ["haiku", "sonnet"]
+def test_route_tier_agrees_with_the_gate_on_ties(spark):
+    """Ten configs close at the same two moments; the cap is reached by the second call."""
+    windows = None
+    for i in range(10):
+        own = analysis_windows(polls(spark, [(0, 600, 0), (60 + i % 2, 600, 300)], f"c{i}"))
+        windows = own if windows is None else windows.unionByName(own)
+    calls = window_calls(windows)
+    settings = Settings(cap_nano_usd=2 * 600 * 150_000)
+    order, block = ["call_ts", "call_seq"], F.floor(F.unix_seconds("call_ts") / 60)
+    crossings = budget_flags(calls, order=order, block=block, settings=settings)
+    gate = budget_gate(calls, order=order, block=block, settings=settings)
+    admitted = sorted(r.call_seq for r in gate.filter("admitted").collect())
+    routed = route_tier(windows, crossings).collect()
+    assert sorted(r.window_id for r in routed) == admitted
+    assert len(admitted) == 2 and windows.count() == 20

@@ -57,9 +57,9 @@ def lenient_int(text: Column) -> Column:
     sign = F.when(F.ltrim(text).startswith("-"), F.lit(-1)).otherwise(F.lit(1))
     decimal = F.regexp_extract(text, r"^\s*([+-]?\d+)", 1)
     value = F.when(
-        hexadecimal != "", F.conv(hexadecimal, 16, 10).try_cast("int") * sign
-    ).otherwise(decimal.try_cast("int"))
-    return F.nullif(value, F.lit(0))
+        hexadecimal != "", F.conv(hexadecimal, 16, 10).try_cast("bigint") * sign
+    ).otherwise(decimal.try_cast("bigint"))
+    return F.nullif(value, F.lit(0).cast("bigint"))
 
 
 def lenient_float(text: Column) -> Column:

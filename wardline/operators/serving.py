@@ -12,15 +12,6 @@ from wardline.functions.text import entity_refs
 from wardline.functions.times import utc_literal
 from wardline.settings import DEFAULTS, Settings
 
-MAX_QUERY_ROWS = 1_000
-MAX_STREAM_ROWS = 100
-STREAM_STRATEGIC_ROWS = 10
-
-
-def row_limit(requested: int | None, default: int, most: int) -> int:
-    return min(requested or default, most)
-
-
 def event_by_id(events: DataFrame, event_id: str | Column) -> DataFrame:
     return events.filter(F.col("id") == event_id)
 
@@ -34,11 +25,14 @@ def query_events(
     action: str | None = None,
     start: float | None = None,
     end: float | None = None,
-    limit: int | None = None,
-    time_filter: str = "after_limit",
+    limit: int | None = 100,
+    time_filter: str = "before_limit",
 ) -> DataFrame:
-    """Newest matching events. By default the time range applies to the limited rows, so a
-    range in the past may give fewer rows than exist; ``before_limit`` searches the range."""
+    """The newest ``limit`` matching events; None returns all of them.
+
+    The time range is searched; with ``after_limit`` it only applies to the limited rows, so a range
+    in the past may give fewer rows than exist.
+    """
     if time_filter not in ("after_limit", "before_limit"):
         raise ValueError(f"time_filter: {time_filter}")
     equal = {
@@ -61,18 +55,20 @@ def query_events(
 
     if time_filter == "before_limit":
         events = events.filter(in_range)
-    newest = events.orderBy(at.desc_nulls_last(), "id").limit(row_limit(limit, 100, MAX_QUERY_ROWS))
+    newest = events.orderBy(at.desc_nulls_last(), "id")
+    if limit is not None:
+        newest = newest.limit(limit)
     return newest.filter(in_range) if time_filter == "after_limit" else newest
 
 
-def ip_drilldown(events: DataFrame, ip: str, limit: int = 50) -> DataFrame:
+def ip_drilldown(events: DataFrame, ip: str, limit: int | None = 50) -> DataFrame:
     return query_events(events, client_ip=ip, limit=limit).select(
         "event_time", "method", "path", "rule_action_summary", "geo_country", "bot_score", "id"
     )
 
 
 def batch_page(
-    events: DataFrame, batch_id: str, *, limit: int | None = None, offset: int = 0
+    events: DataFrame, batch_id: str, *, limit: int = 100, offset: int = 0
 ) -> DataFrame:
     """A page of one batch, by event id, with the batch's total on every row.
 
@@ -81,7 +77,7 @@ def batch_page(
     """
     batch = events.filter(F.col("batch_id") == batch_id)
     total = batch.groupBy("batch_id").agg(F.count("*").alias("total"))
-    page = batch.orderBy("id").offset(offset).limit(row_limit(limit, 100, MAX_QUERY_ROWS))
+    page = batch.orderBy("id").offset(offset).limit(limit)
     return total.join(page, "batch_id", "left")
 
 
@@ -106,27 +102,22 @@ def analysis_stream(
     strategic: DataFrame,
     *,
     severity: str | None = None,
-    limit: int | None = None,
+    limit: int = 50,
+    strategic_limit: int = 10,
 ) -> DataFrame:
-    """Newest window and strategic analyses together, newest first.
-
-    The severity filter applies after the limit and to windows only; of the newest strategic
-    records the complete ones are shown.
-    """
+    """The newest windows (of one severity, if asked for) and the newest complete strategic
+    analyses together, newest first."""
     newest = [F.col("created_at").desc(), F.col("id")]
-    batch = (
-        summaries.withColumn("id", F.col("window_id"))
-        .orderBy(*newest)
-        .limit(row_limit(limit, 50, MAX_STREAM_ROWS))
-    )
+    batch = summaries.withColumn("id", F.col("window_id"))
     if severity:
         batch = batch.filter(F.col("severity") == severity)
-    batch = batch.withColumns(
+    batch = batch.orderBy(*newest).limit(limit).withColumns(
         {"type": F.lit("batch"), "events": F.col("event_count"), "model": F.col("model_used")}
     )
     done = (
-        strategic.orderBy(*newest).limit(STREAM_STRATEGIC_ROWS)
-        .filter(F.col("status") == "complete")
+        strategic.filter(F.col("status") == "complete")
+        .orderBy(*newest)
+        .limit(strategic_limit)
         .withColumns({"type": F.lit("strategic"), "events": F.col("total_events")})
     )
     merged = batch.select(*[c for c in STREAM_COLUMNS if c in batch.columns]).unionByName(
@@ -158,11 +149,11 @@ def analysis_by_id(summaries: DataFrame, strategic: DataFrame, wanted: str) -> D
     return batch.unionByName(other).orderBy("_rank").limit(1).drop("_rank")
 
 
-def volume_series(summaries: DataFrame, limit: int | None = None) -> DataFrame:
-    """Newest windows in chronological order."""
+def volume_series(summaries: DataFrame, limit: int = 30) -> DataFrame:
+    """The newest ``limit`` windows in chronological order."""
     return (
         summaries.orderBy(F.col("created_at").desc(), "window_id")
-        .limit(row_limit(limit, 30, MAX_STREAM_ROWS))
+        .limit(limit)
         .select(
             F.col("created_at").alias("time"), "window_id", "event_count", "deny_count", "severity"
         )
@@ -175,7 +166,7 @@ def scaled_series(
 ) -> DataFrame:
     """Both lines of a volume series as points in a box, one decimal.
 
-    The series is at most ``MAX_STREAM_ROWS`` rows, so one group is fine here.
+    A series is as many points as were asked for (see ``volume_series``), one small group.
     """
     draw_w, draw_h = float(width - 2 * pad), float(height - 2 * pad)
     group = Window.partitionBy(F.lit(0))

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from wardline.functions.times import utc_literal
 from wardline.operators.windows import strategic_tier, summary_tier
-from wardline.session import checkpointed
 from wardline.settings import DEFAULTS, SEVERITIES, Settings
 
 WINDOW_TABLE_COLUMNS = (
@@ -169,8 +168,8 @@ def strategic_request(
 ) -> DataFrame:
     """One request over the newest windows: numbered table, trends, notable windows and the
     previous strategic analysis. Only the newest ``strategic_windows`` rows take part."""
-    # some twenty rows that nine reports read
-    latest = checkpointed(latest_windows(summaries, settings=settings))
+    # some twenty rows that nine reports read; their exchanges are shared by the planner
+    latest = latest_windows(summaries, settings=settings)
     table = window_table(latest, settings=settings)
     trend = deny_ratio_trend(latest)
     none, no_data = "None detected", "No data"
@@ -260,14 +259,18 @@ def _notable_section(latest: DataFrame) -> DataFrame:
 def hourly_request(
     summaries: DataFrame, *, by: Sequence[str] = ("config_id",), settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """One request per interval over its newest summaries, analyses cut to 500 characters."""
+    """One request per interval over its summaries, newest first.
+
+    ``batch_count`` is the interval's number of summaries, ``listed_count`` those in the request: all,
+    or the newest ``summary_max_windows``. Analyses are cut to ``summary_analysis_chars``.
+    """
     span = F.window("created_at", f"{settings.summary_interval_minutes} minutes")
     newest = Window.partitionBy(*by, "interval_start").orderBy(*_newest("window_id"))
-    listed = (
-        summaries.withColumn("interval_start", span["start"])
-        .withColumn("_rn", F.row_number().over(newest))
-        .filter(F.col("_rn") <= settings.summary_max_windows)
+    listed = summaries.withColumn("interval_start", span["start"]).withColumn(
+        "_rn", F.row_number().over(newest)
     )
+    most = settings.summary_max_windows
+    is_listed = F.lit(True) if most is None else F.col("_rn") <= most
     entry = F.struct(
         F.col("_rn").alias("n"),
         F.col("window_id").alias("id"),
@@ -286,13 +289,14 @@ def hourly_request(
         F.col("notable_ips").alias("notableIPs"),
         F.col("notable_patterns").alias("notablePatterns"),
         F.col("model_used").alias("model"),
-        F.substring("analysis", 1, 500).alias("analysis"),
+        F.substring("analysis", 1, settings.summary_analysis_chars).alias("analysis"),
     )
     return (
         listed.groupBy(*by, "interval_start")
         .agg(
             F.count("*").alias("batch_count"),
-            F.to_json(F.sort_array(F.collect_list(entry))).alias("request"),
+            F.count_if(is_listed).alias("listed_count"),
+            F.to_json(F.sort_array(F.collect_list(F.when(is_listed, entry)))).alias("request"),
         )
         .withColumn("tier", summary_tier())
     )

@@ -34,14 +34,19 @@ def upsert_events(arrivals: DataFrame) -> DataFrame:
 def apply_retention(
     df: DataFrame, table: str, as_of: datetime, *, ts: str, date_partition: str | None = None
 ) -> DataFrame:
-    """Rows still inside the table's lifetime at ``as_of``. With ``date_partition`` whole
-    partitions are pruned before any file is opened."""
+    """Rows still inside the table's lifetime at ``as_of``.
+
+    The lifetime counts from the write, so ``ts`` is the time a row was written (``poll_time`` of an
+    event, not its own time); a row without one is kept. With ``date_partition``, the date of that
+    time, whole partitions are pruned before any file is opened.
+    """
     cutoff = utc_literal(as_of) - F.make_dt_interval(
         secs=F.lit(RETENTION_SECONDS[table]).cast("decimal(18,6)")
     )
-    kept = df.filter(F.col(ts) >= cutoff)
+    kept = df.filter(F.col(ts).isNull() | (F.col(ts) >= cutoff))
     if date_partition:
-        kept = kept.filter(F.col(date_partition) >= F.to_date(cutoff))
+        day = F.col(date_partition)
+        kept = kept.filter(day.isNull() | (day >= F.to_date(cutoff)))
     return kept
 
 

@@ -202,15 +202,21 @@ def strategic_tier() -> Column:
 
 
 def route_tier(windows: DataFrame, crossings: DataFrame) -> DataFrame:
-    """Add ``tier``; windows that close after the day's budget cap was reached get no row.
+    """Add ``tier``; windows after the one whose call reached the day's budget cap get no row.
 
-    ``crossings``: ``date, cap_reached_at`` per day, from ``budget_flags``.
+    ``crossings``: ``date, cap_reached_at, cap_call`` per day, from ``budget_flags`` over the calls of
+    the windows (``call_seq`` is the window id). Windows count in the order of (closed_at,
+    window_id), like the budget gate, so of several that close at one moment only those up to the
+    crossing pass.
     """
-    day_cap = crossings.select(F.col("date").alias("_date"), "cap_reached_at")
+    day_cap = crossings.select(
+        F.col("date").alias("_date"), F.struct("cap_reached_at", "cap_call").alias("_cap")
+    )
+    own = F.struct(F.col("closed_at"), F.col("window_id"))
     return (
         windows.withColumn("_date", F.to_date("closed_at"))
         .join(day_cap, "_date", "left")
-        .filter(F.col("cap_reached_at").isNull() | (F.col("closed_at") <= F.col("cap_reached_at")))
+        .filter(F.col("_cap").isNull() | F.col("_cap.cap_call").isNull() | (own <= F.col("_cap")))
         .withColumn("tier", batch_tier())
-        .drop("_date", "cap_reached_at")
+        .drop("_date", "_cap")
     )

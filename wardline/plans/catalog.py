@@ -6,7 +6,7 @@ Results are flat: arrays come out as one row per element, timestamps as epoch nu
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,27 +84,27 @@ def tag_batch(spark, sf):
 
 
 def _offset_poll_log(spark, sf):
-    """cfg-0 was polled until shortly before the end, cfg-1 stopped half-way."""
-    return (
-        src.polls(spark, sf)
-        .withColumn("offset", F.floor((F.unix_seconds("poll_time") - src.EPOCH_0) / 30))
-        .filter(
-            F.col("offset") < F.when(F.col("config_id") == "cfg-0", 1430).otherwise(700)
-        )
-        .select(
-            "config_id",
-            F.timestamp_seconds(src.EPOCH_0 + F.col("offset") * src.POLL_SPAN_SECONDS).alias(
-                "poll_time"
-            ),
-            F.col("offset").alias("last_offset"),
-        )
+    """Opaque offsets: cfg-0 was polled until shortly before the end, its last polls without an
+    offset; cfg-1 stopped half-way."""
+    no = F.floor((F.unix_seconds("poll_time") - src.EPOCH_0) / src.POLL_EVERY_SECONDS)
+    busy = F.col("config_id") == "cfg-0"
+    polled = src.polls(spark, sf).withColumn("no", no)
+    return polled.filter(F.col("no") < F.when(busy, 1430).otherwise(700)).select(
+        "config_id",
+        "poll_time",
+        F.when(~busy | (F.col("no") < 1400), F.concat(F.lit("o"), F.col("no"))).alias("last_offset"),
     )
 
 
 @query
 def incremental_slice(spark, sf):
+    """Six hours after the first poll's day began; a config is stale after three here."""
+    as_of = datetime.fromtimestamp(src.EPOCH_0 + 12 * 3600, timezone.utc).replace(tzinfo=None)
     return ndjson.incremental_slice(
-        src.arrivals(spark, sf), _offset_poll_log(spark, sf), src.AS_OF, offset="poll_no"
+        src.arrivals(spark, sf),
+        _offset_poll_log(spark, sf),
+        as_of,
+        settings=Settings(offset_stale_hours=3),
     ).select("config_id", "request_id", "poll_no")
 
 
@@ -256,8 +256,10 @@ def upsert_latest(spark, sf):
 
 @query
 def apply_retention(spark, sf):
+    """A week after the middle of the polls: what was polled before it has expired."""
+    as_of = datetime.fromtimestamp(src.EPOCH_0 + 7 * 86_400 + 6 * 3600, timezone.utc)
     return upkeep.apply_retention(
-        src.events(spark, sf), "events", src.AS_OF, ts="event_time"
+        src.events(spark, sf), "events", as_of.replace(tzinfo=None), ts="poll_time"
     ).select("id", "event_time_epoch")
 
 
@@ -417,10 +419,14 @@ def stream_windows(spark, sf):
     return _flat_windows(spark.read.parquet(f"{target}/data"))
 
 
+# A cap that is reached within the day, by a window that closes together with others.
+CAPPED = Settings(cap_nano_usd=1_500_000_000)
+
+
 def _window_crossings(closed):
     minute = F.floor(F.unix_seconds("call_ts") / 60)
     return spend.budget_flags(
-        src.window_calls(closed), order=["call_ts", "call_seq"], block=minute
+        src.window_calls(closed), order=["call_ts", "call_seq"], block=minute, settings=CAPPED
     )
 
 
@@ -663,6 +669,7 @@ def hourly_request(spark, sf):
         "config_id",
         _s("interval_start"),
         "batch_count",
+        "listed_count",
         "tier",
         F.variant_get("doc", "$[0].id", "string").alias("newest_window"),
         F.variant_get("doc", "$[0].analysis", "string").alias("newest_analysis"),
@@ -716,8 +723,7 @@ def query_events_in_range(spark, sf):
             path="/admin",
             start=start,
             end=start + 5 * 86_400,
-            limit=1_000,
-            time_filter="before_limit",
+            limit=None,
         )
     )
 
@@ -727,11 +733,22 @@ def query_events_range_after_limit(spark, sf):
     start = src.EPOCH_0 + 26 * 86_400
     return _served(
         serving.query_events(
-            src.events(spark, sf), path="/search", start=start, end=start + 3 * 86_400, limit=300
+            src.events(spark, sf),
+            path="/search",
+            start=start,
+            end=start + 3 * 86_400,
+            limit=300,
+            time_filter="after_limit",
         )
     )
 
 
+@query
+def query_events_all(spark, sf):
+    """Every event of one country: more rows than any page holds."""
+    return _served(serving.query_events(src.events(spark, sf), geo_country="RU", limit=None))
+
+
 @query
 def ip_drilldown(spark, sf):
     return serving.ip_drilldown(src.events(spark, sf), "198.51.0.7").select(
@@ -830,9 +847,7 @@ def window_counts(spark, sf):
 @query
 def export_ndjson(spark, sf):
     """The JSON lines of all deny events, with some members read back."""
-    rows = exports.export_rows(
-        src.events(spark, sf), {"rule_action_summary": "deny"}, limit=None
-    )
+    rows = exports.export_rows(src.events(spark, sf), {"rule_action_summary": "deny"})
     fields = exports.export_fields(rows)
     lines = fields.select(
         F.to_json(F.struct(*fields.columns), {"ignoreNullFields": "false"}).alias("line")
@@ -848,7 +863,7 @@ def export_ndjson(spark, sf):
 
 @query
 def export_csv(spark, sf):
-    rows = exports.csv_fields(exports.export_rows(src.events(spark, sf), limit=None))
+    rows = exports.csv_fields(exports.export_rows(src.events(spark, sf)))
     return rows.select(
         "id",
         "clientIP",
@@ -876,7 +891,6 @@ def export_manifest(spark, sf):
             f"export-{country}",
             fmt="csv",
             criteria={"geo_country": country},
-            limit=None,
             as_of=src.AS_OF,
         )
     return exports.export_manifest(spark, folder).select(

@@ -198,8 +198,8 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
             "path",
             "if(event_type = 'error', '403', '200') as response_status",
             "country as geo_country",
-            "nullif(k, 0) as bot_score",
-            "nullif(cast(risk as int), 0) as user_risk_score",
+            "nullif(cast(k as bigint), 0L) as bot_score",
+            "nullif(cast(risk as bigint), 0L) as user_risk_score",
             "event_type = 'error' as has_deny",
             f"{actions} as actions",
             "timestamp_seconds(poll_epoch) as poll_time",

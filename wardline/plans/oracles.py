@@ -39,7 +39,7 @@ arr0 as (
     '198.51.' || (user_id // 256) || '.' || (user_id % 256) as client_ip,
     {_case('event_id % 7', PATHS)} as path,
     {_case('user_id % 6', COUNTRIES)} as country,
-    nullif(k, 0) as bot, nullif(cast(floor(value / 5) as integer), 0) as risk,
+    nullif(cast(k as bigint), 0) as bot, nullif(cast(floor(value / 5) as bigint), 0) as risk,
     {_type_case(lambda ids, acts, tags: f"'{acts[0].lower()}'", "'none'")} as action,
     {_type_case(lambda ids, acts, tags: _list(_padded(tags, len(ids))), '[]::varchar[]')} as tags,
     case when event_id % 2 = 0 then 'GET' else 'POST' end as method,
@@ -305,9 +305,9 @@ select batch_id, config_id, poll_epoch, count(*) as n, poll_epoch as poll_time_s
 from arr group by all"""),
         "incremental_slice": ev("""
 select config_id, request_id, poll_no from arr, (select max(poll_no) as last_0 from arr
-  where config_id = 'cfg-0' and poll_no < 1430)
+  where config_id = 'cfg-0' and poll_no < 1400)
 where (config_id = 'cfg-0' and poll_no > last_0)
-  or (config_id = 'cfg-1' and epoch >= 1706659200 - 12 * 3600)"""),
+  or (config_id = 'cfg-1' and epoch >= 1704067200 + 12 * 3600 - 3 * 3600)"""),
         "ingest_stream": ev("select id, batch_id, client_ip from evt"),
         "ingest_poll_log": polls("""
 select batch_id, ec as event_count, dc as deny_count, ac as alert_count, mc as monitor_count,
@@ -343,7 +343,7 @@ from arr left join ({rule_rows}) r using (event_type) group by all"""),
         "upsert_latest": ev("select id, batch_id, client_ip from evt"),
         "apply_retention": ev(
             "select id, cast(epoch as double) as event_time_epoch from evt"
-            " where epoch >= 1706659200 - 604800"
+            " where poll_epoch >= 1704067200 + 6 * 3600"
         ),
         "poll_state": polls("""
 select config_id, t as poll_time_s, batch_id as last_batch_id, ec as events_in_last_batch,
@@ -411,9 +411,7 @@ select config_id, batch_id, t as poll_time_s, ec as event_count, dc as deny_coun
             WINDOWS + WINDOW_CALLS,
             """
 select window_id, case when escalated then 'sonnet' else 'haiku' end as tier, closed as closed_at_s
-from calls left join (
-  select day, min(closed) as cap_at from spent where upto >= 10000000000 group by 1) using (day)
-where cap_at is null or closed <= cap_at""",
+from spent where upto - nano < 1500000000""",
             True,
         ),
         # statistics
@@ -549,11 +547,11 @@ select cast(20 as bigint) as batch_count, 'opus' as tier,
             ",\nlast as (select * from (" + NEWEST + ") where rk <= 20)",
         ),
         "hourly_request": _sum("""
-select config_id, hr * 3600 as interval_start_s, count(*) as batch_count, 'sonnet' as tier,
+select config_id, hr * 3600 as interval_start_s, count(*) as batch_count, count(*) as listed_count, 'sonnet' as tier,
   max(window_id) filter (rk = 1) as newest_window, max(analysis) filter (rk = 1) as newest_analysis
 from (select *, row_number() over (partition by config_id, hr order by closed desc, window_id) as rk
   from (select *, closed // 3600 as hr from summ))
-where rk <= 20 group by config_id, hr"""),
+group by config_id, hr"""),
         "strategic_summary": _sum(f"""
 select 'running' as status, 'scheduled' as trigger_type, 'opus' as model,
   cast(1706659200 - 168 * 3600 as bigint) as window_start_s, 1706659200::bigint as window_end_s,
@@ -567,12 +565,13 @@ select 'running' as status, 'scheduled' as trigger_type, 'opus' as model,
         ),
         "query_events_in_range": ev(
             f"{served} from evt where path = '/admin' and epoch between 1704067200 + 864000"
-            " and 1704067200 + 1296000 order by epoch desc, id limit 1000"
+            " and 1704067200 + 1296000"
         ),
         "query_events_range_after_limit": ev(
             f"select * from ({served} from evt where path = '/search' order by epoch desc, id limit 300)"
             " where event_time_epoch between 1704067200 + 26 * 86400 and 1704067200 + 29 * 86400"
         ),
+        "query_events_all": ev(f"{served} from evt where country = 'RU'"),
         "ip_drilldown": ev("""
 select epoch as event_time_s, method, path, action as rule_action_summary, country as geo_country,
   bot as bot_score, id from evt where client_ip = '198.51.0.7' order by epoch desc, id limit 50"""),
@@ -583,11 +582,12 @@ left join (select batch_id, id, client_ip from evt where batch_id = 'cfg-0@17040
   order by id limit 5 offset 2) p using (batch_id)"""),
         "analysis_stream": _sum(f"""
 select window_id as id, 'batch' as type, closed as created_at_s, severity, cast(ec as bigint) as events,
-  tier as model, cast(dc as bigint) as deny_count from ({NEWEST}) where rk <= 100 and severity = 'high'
+  tier as model, cast(dc as bigint) as deny_count from (
+  select *, row_number() over (order by rk) as r from ({NEWEST}) where severity = 'high') where r <= 100
 union all
 select id, 'strategic', created, severity, te, 'opus', null from (
-  select *, row_number() over (order by created desc, id) as rk from strat)
-where rk <= 10 and status = 'complete'"""),
+  select *, row_number() over (order by created desc, id) as rk from strat where status = 'complete')
+where rk <= 10"""),
         "analysis_by_id": _sum("""
 select 'strategic' as type, id, created as created_at_s, severity, analysis, te as events
 from strat where id = 's-cfg-0-473352'"""),

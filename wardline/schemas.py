@@ -19,72 +19,23 @@ RULE = T.StructType(
     ]
 )
 
-LINE_POS = T.StructType(
-    [
-        T.StructField("file", T.StringType()),
-        T.StructField("block_start", T.LongType()),
-        T.StructField("seq", T.LongType()),
-    ]
-)
-
+# The other tables as DDL, which needs no session.
 # Normalised events, in the order `normalize_events` returns them.
-EVENT_COLUMNS = (
-    "id",
-    "source",
-    "config_id",
-    "policy_id",
-    "batch_id",
-    "client_ip",
-    "decoded_rules",
-    "rule_action_summary",
-    "request_id",
-    "event_time",
-    "event_time_epoch",
-    "protocol",
-    "method",
-    "host",
-    "port",
-    "path",
-    "query",
-    "request_headers",
-    "response_status",
-    "response_bytes",
-    "response_headers",
-    "geo_continent",
-    "geo_country",
-    "geo_city",
-    "geo_region",
-    "geo_asn",
-    "bot_score",
-    "bot_response_segment",
-    "bot_client_data",
-    "user_risk_score",
-    "user_risk_reasons",
-    "user_risk_uuid",
-    "has_deny",
-    "has_tarpit",
-    "rule_count",
-    "actions",
-    "poll_time",
-    "line_pos",
+EVENT = (
+    "id string, source string, config_id string, policy_id string, batch_id string,"
+    f" client_ip string, decoded_rules array<{RULE.simpleString()}>, rule_action_summary string,"
+    " request_id string, event_time timestamp, event_time_epoch double, protocol string,"
+    " method string, host string, port string, path string, query string, request_headers variant,"
+    " response_status string, response_bytes string, response_headers variant,"
+    " geo_continent string, geo_country string, geo_city string, geo_region string, geo_asn string,"
+    " bot_score bigint, bot_response_segment bigint, bot_client_data variant,"
+    " user_risk_score bigint, user_risk_reasons array<string>, user_risk_uuid string,"
+    " has_deny boolean, has_tarpit boolean, rule_count int, actions array<string>,"
+    " poll_time timestamp, line_pos struct<file:string,block_start:bigint,seq:bigint>"
 )
-
-POLL_COLUMNS = (
-    "config_id",
-    "batch_id",
-    "poll_time",
-    "event_count",
-    "deny_count",
-    "alert_count",
-    "monitor_count",
-)
-
-USAGE_LOG = T.StructType(
-    [
-        T.StructField("call_seq", T.LongType()),
-        T.StructField("call_ts", T.TimestampType()),
-        T.StructField("tier", T.StringType()),
-        T.StructField("input_tokens", T.LongType()),
-        T.StructField("output_tokens", T.LongType()),
-    ]
+# What the streaming ingest writes, with the columns of its folders.
+BRONZE = EVENT + ", event_date date, epoch bigint"
+POLL_LOG = (
+    "config_id string, batch_id string, poll_time timestamp, event_count bigint,"
+    " deny_count bigint, alert_count bigint, monitor_count bigint, last_offset string, epoch bigint"
 )

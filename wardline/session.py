@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Safe on any cluster; sizes such as shuffle partitions stay with the submitter.
 SESSION_CONF = {
@@ -16,6 +15,10 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Window events join: keep the skew split even where the result feeds an aggregation.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A line that repeats a member is an event all the same; its last value counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
+    # Rows that a Python task receives at a time; texts can be long.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 # Only possible when the session starts. Recording the call site of every column expression
 # costs more than building the plans.
@@ -68,20 +71,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Store a small intermediate result that several reports read, and cut its lineage."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint()
-
-
-def broadcast_checked(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``max_rows`` rows, otherwise leave the choice of join
-    to the planner. Counting stops one row past the limit."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def fan_out(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a small input over the cores before costly per-row work.
 

@@ -56,7 +56,9 @@ class Settings:
     coordinated_share: float = 0.5
     # cross-window reports
     summary_interval_minutes: int = 60
-    summary_max_windows: int = 20
+    # windows listed in an hourly request (None: all), and characters of each analysis
+    summary_max_windows: int | None = None
+    summary_analysis_chars: int = 500
     strategic_windows: int = 20
     lookback_hours: int = 168
     # spend

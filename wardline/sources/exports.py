@@ -73,7 +73,6 @@ CSV_FIELDS = (
 )
 # --------------------------------------------------------------------------------------
 
-EXPORT_LIMIT = 10_000
 _RULES_TYPE = f"array<struct<{','.join(f'{f}:string' for f in RULE_FIELDS)}>>"
 _ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
@@ -94,9 +93,9 @@ MANIFEST = T.StructType(
 
 
 def export_rows(
-    events: DataFrame, criteria: dict[str, str] | None = None, limit: int | None = EXPORT_LIMIT
+    events: DataFrame, criteria: dict[str, str] | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Events matching the equality criteria; ``limit=None`` exports all of them."""
+    """All events matching the equality criteria on any columns, or any ``limit`` of them."""
     for column, value in (criteria or {}).items():
         events = events.filter(F.col(column) == value)
     return events if limit is None else events.limit(limit)
@@ -143,7 +142,7 @@ def run_export(
     *,
     fmt: str = "ndjson",
     criteria: dict[str, str] | None = None,
-    limit: int | None = EXPORT_LIMIT,
+    limit: int | None = None,
     requested_by_user_id: str | None = None,
     as_of: datetime,
     finished: datetime | None = None,
@@ -165,7 +164,7 @@ def run_export(
         )
         return "complete"
     except Exception as error:  # the manifest records any failure
-        _append_status(spark, folder, base, 2, "failed", done, error=str(error)[:500])
+        _append_status(spark, folder, base, 2, "failed", done, error=str(error))
         return "failed"
 
 

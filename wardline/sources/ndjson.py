@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions.times import utc_seconds
-from wardline.session import broadcast_checked
 from wardline.settings import DEFAULTS, Settings
 
 
@@ -138,34 +137,27 @@ def incremental_slice(
     poll_log: DataFrame,
     as_of: datetime,
     *,
-    offset: str = "offset",
-    event_epoch: str = "event_time_epoch",
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """Rows a backfill at ``as_of`` still has to read, per config.
 
-    After the last offset; from ``as_of`` minus the stale limit when the last poll is older
-    than that limit; everything when the config has no offset yet. ``poll_log`` has
-    ``config_id, poll_time, last_offset``; its latest rows are one per config, so the events
-    normally stay where they are and only that small table moves.
+    Offsets are opaque, so progress is told by polls: an offset covers everything up to the poll
+    that returned it, and a poll without one moves nothing. Wanted are rows of polls after the last
+    offset; from ``as_of`` minus the stale limit (by event time) when the last poll is older than
+    that limit; everything when the config has no offset yet. ``events`` needs ``config_id``,
+    ``poll_time`` and ``event_time_epoch``, ``poll_log`` ``config_id, poll_time, last_offset``: the
+    ingest's own tables.
     """
-    latest = (
-        poll_log.groupBy("config_id")
-        .agg(F.max_by(F.struct("last_offset", "poll_time"), F.col("poll_time")).alias("p"))
-        .select(
-            "config_id",
-            F.col("p.last_offset").alias("_last_offset"),
-            F.col("p.poll_time").alias("_last_poll"),
-        )
+    covered = F.when(F.col("last_offset").isNotNull(), F.col("poll_time"))
+    latest = poll_log.groupBy("config_id").agg(
+        F.max(covered).alias("_covered_to"), F.max("poll_time").alias("_last_poll")
     )
     now = F.lit(utc_seconds(as_of))
-    stale = now - F.unix_millis("_last_poll") / 1000 > settings.offset_stale_hours * 3600
-    fallback = F.floor(now - F.lit(settings.offset_stale_hours * 3600.0))
+    limit = F.lit(settings.offset_stale_hours * 3600.0)
+    stale = now - F.unix_millis("_last_poll") / 1000 > limit
     wanted = (
-        F.col("_last_offset").isNull()
-        | F.coalesce(~stale & (F.col(offset) > F.col("_last_offset")), F.lit(False))
-        | F.coalesce(stale & (F.col(event_epoch) >= fallback), F.lit(False))
-    )
-    return events.join(broadcast_checked(latest), "config_id", "left").filter(wanted).drop(
-        "_last_offset", "_last_poll"
+        F.col("_covered_to").isNull()
+        | F.coalesce(~stale & (F.col("poll_time") > F.col("_covered_to")), F.lit(False))
+        | F.coalesce(stale & (F.col("event_time_epoch") >= F.floor(now - limit)), F.lit(False))
     )
+    return events.join(latest, "config_id", "left").filter(wanted).drop("_covered_to", "_last_poll")

@@ -3,27 +3,29 @@
 One query owns one checkpoint; the checkpoint takes the place of offsets and of any lease
 between pollers. Each micro-batch writes into directories named after its epoch and replaces
 them when it is replayed, so a restart neither loses nor doubles rows. Bronze keeps every
-delivery; ``upsert_events`` over it is the event table.
+delivery, by date and then epoch; ``upsert_events`` over it is the event table.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wardline.operators.normalize import DEFAULT_SOURCE, normalize_events
 from wardline.operators.windows import poll_aggregate
+from wardline.schemas import BRONZE, POLL_LOG
+from wardline.session import configure
 from wardline.sources.ndjson import (
     batch_id,
-    event_docs,
-    may_be_metadata,
     parse_lines,
     split_batch_metadata,
     tag_batch,
     with_line_pos,
 )
 
+COUNTERS = ("event_count", "deny_count", "alert_count", "monitor_count")
 LINE_SCHEMA = "value string, config_id string, poll_epoch bigint"
 
 
@@ -58,24 +60,26 @@ def ingest_stream(
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
+        # the stream runs on a session of its own
+        configure(batch.sparkSession)
         positioned = batch if "line_pos" in batch.columns else with_line_pos(batch)
-        docs = event_docs(parse_lines(positioned))
-        events = normalize_events(tag_batch(docs), source=source)
-        bronze = f"{target}/bronze/epoch={epoch}"
-        events.withColumn("event_date", F.to_date("event_time")).write.mode(
-            "overwrite"
-        ).partitionBy("event_date").parquet(bronze)
-        # the poll log is counted from what was written, and only lines that can be metadata
-        # are parsed again
-        polls = poll_aggregate(batch.sparkSession.read.parquet(bronze))
-        offsets = (
-            split_batch_metadata(parse_lines(positioned.filter(may_be_metadata(F.col("value")))))[1]
-            .withColumn("batch_id", batch_id(F.col("config_id"), F.col("poll_epoch")))
-            .select("batch_id", F.col("offset").alias("last_offset"))
-        )
-        polls.join(offsets, "batch_id", "left").write.mode("overwrite").parquet(
-            f"{target}/poll_log/epoch={epoch}"
-        )
+        # lines are read and parsed once, for events and poll log; a lost block is parsed again
+        parsed = parse_lines(positioned).persist()
+        try:
+            docs, metadata = split_batch_metadata(parsed)
+            events = normalize_events(tag_batch(docs), source=source)
+            dated = events.withColumn("event_date", F.to_date("event_time"))
+            # one writer per date and micro-batch, replaced as a whole on replay
+            dated.withColumn("epoch", F.lit(epoch)).repartition("event_date").write.mode(
+                "overwrite"
+            ).option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "epoch").parquet(
+                f"{target}/bronze"
+            )
+            poll_log(poll_aggregate(events), metadata).write.mode("overwrite").parquet(
+                f"{target}/poll_log/epoch={epoch}"
+            )
+        finally:
+            parsed.unpersist()
 
     writer = lines.writeStream.foreachBatch(write).option(
         "checkpointLocation", f"{target}/checkpoint"
@@ -84,19 +88,42 @@ def ingest_stream(
     return writer.trigger(**trigger).start()
 
 
+def poll_log(polls: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Counts and last offset of every poll; one that brought only metadata has counts of 0."""
+    offsets = metadata.select(
+        "config_id",
+        batch_id(F.col("config_id"), F.col("poll_epoch")).alias("batch_id"),
+        F.timestamp_seconds("poll_epoch").alias("poll_time"),
+        F.col("offset").alias("last_offset"),
+    )
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in COUNTERS]
+    keys = ["config_id", "batch_id", "poll_time"]
+    return polls.join(offsets, keys, "full").select(*keys, *counts, "last_offset")
+
+
 def read_bronze(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.parquet(f"{target}/bronze").drop("epoch")
+    """All deliveries so far; empty before the first event."""
+    return _read(spark, f"{target}/bronze", BRONZE).drop("epoch")
 
 
 def read_poll_log(spark: SparkSession, target: str) -> DataFrame:
     """One row per poll; a poll whose files fell into two micro-batches is added up."""
-    counters = ("event_count", "deny_count", "alert_count", "monitor_count")
+    has_offset = F.when(F.col("last_offset").isNotNull(), F.col("epoch"))
     return (
-        spark.read.parquet(f"{target}/poll_log")
+        _read(spark, f"{target}/poll_log", POLL_LOG)
         .groupBy("config_id", "batch_id", "poll_time")
         .agg(
-            *[F.sum(c).alias(c) for c in counters],
-            F.max_by(F.col("last_offset"), F.when(F.col("last_offset").isNotNull(), F.col("epoch")))
-            .alias("last_offset"),
+            *[F.sum(c).alias(c) for c in COUNTERS],
+            F.max_by(F.col("last_offset"), has_offset).alias("last_offset"),
         )
     )
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of the ingest with its known schema, also when no file has been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
