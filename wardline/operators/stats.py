@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from wardline.functions.coerce import half_up
 from wardline.functions.text import fenced_json
+from wardline.operators.normalize import DEFAULT_SOURCE
+from wardline.operators.spend import cost_nano, usd
+from wardline.operators.upkeep import upsert_latest
 from wardline.operators.windows import batch_tier, window_polls
 from wardline.settings import DEFAULTS, SCORE_BUCKETS, Settings
 
@@ -487,3 +490,40 @@ def parse_response(responses: DataFrame, *, text: str = "response") -> DataFrame
             )
         ],
     )
+
+
+def complete_windows(
+    summaries: DataFrame,
+    answers: DataFrame,
+    *,
+    source: str = DEFAULT_SOURCE,
+    settings: Settings = DEFAULTS,
+) -> DataFrame:
+    """Window records with the fields of their responses, tokens and cost.
+
+    ``answers``: ``parse_response`` over rows with ``window_id, response_seq, input_tokens,
+    output_tokens``; the last of several answers counts. A window without one keeps its own severity
+    class, an empty analysis and lists, and no tokens.
+    """
+    fields = ("analysis", "severity", "flags", "notable_ips", "notable_patterns")
+    latest = upsert_latest(answers, ["window_id"], ["response_seq"]).select(
+        "window_id",
+        "input_tokens",
+        "output_tokens",
+        *[F.col(f).alias(f"_{f}") for f in fields],
+    )
+    no_values = F.array().cast("array<string>")
+    answered = F.col("_analysis").isNotNull()
+    tokens = {f"{side}_tokens": F.coalesce(f"{side}_tokens", F.lit(0)) for side in ("input", "output")}
+    joined = summaries.join(latest, "window_id", "left").withColumns(tokens)
+    cost = cost_nano(F.col("model_used"), F.col("input_tokens"), F.col("output_tokens"), settings)
+    return joined.withColumns(
+        {
+            "answered": answered,
+            "source": F.lit(source),
+            "analysis": F.coalesce("_analysis", F.lit("")),
+            "severity": F.coalesce("_severity", "severity"),
+            **{f: F.coalesce(f"_{f}", no_values) for f in fields[2:]},
+            "estimated_cost_usd": usd(cost),
+        }
+    ).drop(*[f"_{f}" for f in fields])

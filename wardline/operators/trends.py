@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.times import utc_literal
+from wardline.operators.normalize import DEFAULT_SOURCE
+from wardline.operators.spend import cost_nano, usd
 from wardline.operators.windows import strategic_tier, summary_tier
 from wardline.settings import DEFAULTS, SEVERITIES, Settings
 
@@ -309,12 +311,17 @@ def strategic_summary(
     as_of: datetime,
     run_id: str | None = None,
     requested_by: str | None = None,
+    requested_by_user_id: str | None = None,
+    time_range: str | None = None,
+    failure: tuple[str, str] | None = None,
+    source: str = DEFAULT_SOURCE,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """The record of one strategic run over the newest windows, always one row.
 
-    Totals are summed from the windows. ``response`` (one row of ``parse_response``) completes
-    the run; without one it is still running, without any summaries it has failed.
+    Totals are summed from the windows. ``response`` (one row of ``parse_response``, with
+    ``input_tokens`` and ``output_tokens`` if known) completes the run; without one it is still
+    running. It has failed without any summaries, or with a ``failure`` (step, message).
     """
     latest = latest_windows(summaries, settings=settings)
     totals = latest.agg(
@@ -331,27 +338,46 @@ def strategic_summary(
         F.coalesce(F.sum("deny_count"), F.lit(0)).alias("total_denies"),
         F.coalesce(F.sum("alert_count"), F.lit(0)).alias("total_alerts"),
     ).withColumn("_one", F.lit(1))
-    fields = ("analysis", "severity", "flags", "recommendations", "policy_effectiveness_notes")
+    types = {
+        "analysis": "string",
+        "severity": "string",
+        "flags": "array<string>",
+        "recommendations": "array<string>",
+        "policy_effectiveness_notes": "string",
+        "campaigns_detected": "variant",
+        "input_tokens": "bigint",
+        "output_tokens": "bigint",
+    }
+    given = () if response is None else response.columns
+    missing = {f: F.lit(None).cast(t) for f, t in types.items() if f not in given}
     if response is None:
-        types = {f: "array<string>" if f in ("flags", "recommendations") else "string" for f in fields}
-        joined = totals.withColumns({f: F.lit(None).cast(t) for f, t in types.items()})
+        joined = totals.withColumns(missing)
         answered = F.lit(False)
     else:
-        joined = totals.join(
-            response.select(F.lit(1).alias("_one"), F.lit(True).alias("_answered"), *fields),
-            "_one",
-            "left",
+        answer = response.withColumns(missing).select(
+            F.lit(1).alias("_one"), F.lit(True).alias("_answered"), *types
         )
+        joined = totals.join(answer, "_one", "left")
         answered = F.coalesce("_answered", F.lit(False))
     empty = F.col("batch_summary_count") == 0
-    status = F.when(empty, "failed").when(answered, "complete").otherwise("running")
+    failed = empty | F.lit(failure is not None)
+    status = F.when(failed, "failed").when(answered, "complete").otherwise("running")
+    # Fixed format: the texts of a run that has failed.
+    reason = "Analysis error at [{}]: {}".format(*failure) if failure else None
+    told = F.when(empty, "No batch analyses available.").otherwise(
+        F.coalesce(F.lit(reason), F.col("analysis"))
+    )
+    cost = cost_nano(strategic_tier(), F.col("input_tokens"), F.col("output_tokens"), settings)
     trigger = "debug" if requested_by == "debug" else ("on_demand" if run_id else "scheduled")
     end = utc_literal(as_of)
     return joined.select(
         F.lit(run_id or f"scheduled-{as_of:%Y%m%dT%H%M%S}").alias("id"),
         status.alias("status"),
         F.lit(trigger).alias("trigger_type"),
+        F.lit(source).alias("source"),
         F.lit(requested_by).cast("string").alias("requested_by"),
+        F.lit(requested_by_user_id).cast("string").alias("requested_by_user_id"),
+        F.lit(time_range).cast("string").alias("time_range_requested"),
         utc_literal(as_of - timedelta(hours=settings.lookback_hours)).alias("window_start"),
         end.alias("window_end"),
         end.alias("created_at"),
@@ -361,9 +387,13 @@ def strategic_summary(
         "total_events",
         "total_denies",
         "total_alerts",
-        F.when(empty, "No batch analyses available.").otherwise(F.col("analysis")).alias("analysis"),
-        F.when(~empty, F.col("severity")).alias("severity"),
+        told.alias("analysis"),
+        F.when(~failed, F.col("severity")).alias("severity"),
         "flags",
         "recommendations",
         "policy_effectiveness_notes",
+        "campaigns_detected",
+        "input_tokens",
+        "output_tokens",
+        usd(cost).alias("estimated_cost_usd"),
     )

@@ -567,6 +567,27 @@ def parse_response(spark, sf):
     )
 
 
+@query
+def complete_windows(spark, sf):
+    closed = src.windows(spark, sf)
+    record = stats.window_summary(closed, src.events(spark, sf), settings=FIXTURE)
+    answers = stats.parse_response(src.window_responses(closed))
+    return stats.complete_windows(record, answers).select(
+        "window_id",
+        "answered",
+        "analysis",
+        "severity",
+        F.array_join("flags", "|").alias("flags"),
+        F.array_join("notable_ips", "|").alias("notable_ips"),
+        F.size("notable_patterns").cast("bigint").alias("n_patterns"),
+        "model_used",
+        "input_tokens",
+        "output_tokens",
+        "estimated_cost_usd",
+        "unique_ips",
+    )
+
+
 # --- trends -------------------------------------------------------------------------
 
 
@@ -676,9 +697,53 @@ def hourly_request(spark, sf):
     )
 
 
+def _strategic_answer(spark):
+    text = (
+        '{"analysis":"calm","severity":"low","flags":["f"],"recommendations":["r","s"],'
+        '"policyEffectivenessNotes":"good","campaignsDetected":[{"name":"c1","events":3}]}'
+    )
+    row = spark.range(1).select(
+        F.lit(text).alias("response"),
+        F.lit(4000).cast("bigint").alias("input_tokens"),
+        F.lit(500).cast("bigint").alias("output_tokens"),
+    )
+    return stats.parse_response(row)
+
+
 @query
 def strategic_summary(spark, sf):
-    return trends.strategic_summary(src.dated_windows(spark, sf), as_of=src.AS_OF).select(
+    """Three runs over the same windows: still running, answered, and failed."""
+    rows = src.dated_windows(spark, sf)
+    runs = [
+        trends.strategic_summary(rows, as_of=src.AS_OF),
+        trends.strategic_summary(
+            rows,
+            _strategic_answer(spark),
+            as_of=src.AS_OF,
+            run_id="run-1",
+            requested_by="ann@example.com",
+            requested_by_user_id="17",
+            time_range="24h",
+        ),
+        trends.strategic_summary(
+            rows, as_of=src.AS_OF, run_id="run-2", requested_by="debug", failure=("call_model", "timeout")
+        ),
+    ]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2]).select(
+        "id",
+        "source",
+        "requested_by",
+        "requested_by_user_id",
+        "time_range_requested",
+        "analysis",
+        "severity",
+        F.array_join("flags", "|").alias("flags"),
+        F.array_join("recommendations", "|").alias("recommendations"),
+        "policy_effectiveness_notes",
+        F.to_json("campaigns_detected").alias("campaigns"),
+        "input_tokens",
+        "output_tokens",
+        "estimated_cost_usd",
         "status",
         "trigger_type",
         "model",

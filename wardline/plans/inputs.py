@@ -259,6 +259,34 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def window_responses(window_rows: DataFrame) -> DataFrame:
+    """A model's answers to three windows in four: fenced, bare with empty members, and plain; the
+    plain one comes a second time and changes its mind."""
+    kind = F.col("event_count") % 4
+    body = F.to_json(
+        F.struct(
+            F.concat(F.lit("Window "), "window_id").alias("analysis"),
+            F.lit("high").alias("severity"),
+            F.array("trigger_reason").alias("flags"),
+            F.array(F.lit("198.51.0.1")).alias("notableIPs"),
+        )
+    )
+    answers = window_rows.filter(kind < 3).select(
+        "window_id",
+        F.when(kind == 0, F.concat(F.lit("Result:\n```json\n"), body, F.lit("\n```")))
+        .when(kind == 1, F.lit('{"analysis":"","severity":""}'))
+        .otherwise("No verdict yet")
+        .alias("response"),
+        (F.col("event_count") * 300).alias("input_tokens"),
+        (F.col("event_count") * 60).alias("output_tokens"),
+        F.lit(1).alias("response_seq"),
+    )
+    again = answers.filter("response = 'No verdict yet'").withColumns(
+        {"response": F.concat(F.lit("Quiet "), "window_id"), "response_seq": F.lit(2)}
+    )
+    return answers.unionByName(again)
+
+
 def strategic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One strategic record per config and hour of windows; every fifth hour failed."""
     hour = F.floor(F.unix_seconds("created_at") / 3600)

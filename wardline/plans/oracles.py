@@ -6,6 +6,7 @@ the windows are folded poll by poll over each config's whole history.
 
 from __future__ import annotations
 
+from wardline.operators.normalize import DEFAULT_SOURCE
 from wardline.plans.inputs import COUNTRIES, PATHS, RULES
 
 
@@ -552,12 +553,36 @@ select config_id, hr * 3600 as interval_start_s, count(*) as batch_count, count(
 from (select *, row_number() over (partition by config_id, hr order by closed desc, window_id) as rk
   from (select *, closed // 3600 as hr from summ))
 group by config_id, hr"""),
+        "complete_windows": _sum("""
+select window_id, ec % 4 < 3 as answered,
+  case ec % 4 when 0 then 'Window ' || window_id when 1 then '{"analysis":"","severity":""}'
+    when 2 then 'Quiet ' || window_id else '' end as analysis,
+  case ec % 4 when 0 then 'high' when 3 then severity else 'info' end as severity,
+  case when ec % 4 = 0 then reason else '' end as flags,
+  case when ec % 4 = 0 then '198.51.0.1' else '' end as notable_ips, 0::bigint as n_patterns,
+  tier as model_used, cast(case when ec % 4 < 3 then ec * 300 else 0 end as bigint) as input_tokens,
+  cast(case when ec % 4 < 3 then ec * 60 else 0 end as bigint) as output_tokens,
+  case when ec % 4 = 3 then 0 when escalated then ec * 300 * 3000 + ec * 60 * 15000
+    else ec * 300 * 250 + ec * 60 * 1250 end / 1e9::double as estimated_cost_usd,
+  ips as unique_ips from summ"""),
         "strategic_summary": _sum(f"""
-select 'running' as status, 'scheduled' as trigger_type, 'opus' as model,
+select r.*, 'opus' as model,
   cast(1706659200 - 168 * 3600 as bigint) as window_start_s, 1706659200::bigint as window_end_s,
   count(*) as batch_summary_count, string_agg(window_id, '|' order by rk) as batch_summary_ids,
   cast(sum(ec) as bigint) as total_events, cast(sum(dc) as bigint) as total_denies,
-  cast(sum(ac) as bigint) as total_alerts from ({NEWEST}) where rk <= 20"""),
+  cast(sum(ac) as bigint) as total_alerts
+from ({NEWEST}), (values
+  ('scheduled-20240131T000000', '{DEFAULT_SOURCE}', null, null, null, null, null, null, null, null,
+    null, null::bigint, null::bigint, null::double, 'running', 'scheduled'),
+  ('run-1', '{DEFAULT_SOURCE}', 'ann@example.com', '17', '24h', 'calm', 'low', 'f', 'r|s', 'good',
+    '[{{"events":3,"name":"c1"}}]', 4000, 500,
+    (4000 * 15000 + 500 * 75000) / 1e9::double, 'complete', 'on_demand'),
+  ('run-2', '{DEFAULT_SOURCE}', 'debug', null, null, 'Analysis error at [call_model]: timeout', null,
+    null, null, null, null, null, null, null, 'failed', 'debug')
+) r(id, source, requested_by, requested_by_user_id, time_range_requested, analysis, severity, flags,
+  recommendations, policy_effectiveness_notes, campaigns, input_tokens, output_tokens,
+  estimated_cost_usd, status, trigger_type)
+where rk <= 20 group by all"""),
         # serving
         "event_by_id": ev(f"{served} from evt where id = (select min(id) from arr)"),
         "query_events": ev(
