@@ -19,7 +19,7 @@ from wardline.plans import inputs as src
 from wardline.plans.inputs import FIXTURE
 from wardline import streaming
 from wardline.session import configure, scratch_path
-from wardline.sources import exports, ndjson
+from wardline.sources import event_table, exports, ndjson
 from wardline.settings import Settings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -759,6 +759,29 @@ def strategic_summary(spark, sf):
 
 # --- serving ------------------------------------------------------------------------
 
+_TABLES: dict[tuple[str, str], str] = {}
+
+
+def _stored_events(spark, sf):
+    """The event table as files, merged from three batches once per session: the re-deliveries of
+    the middle one change rows of the first."""
+    key = (spark.sparkContext.applicationId, sf)
+    rows = src.arrivals(spark, sf).drop("offset", "poll_no")
+    if key not in _TABLES:
+        path = scratch_path(spark, "events")
+        no = F.floor((F.unix_seconds("poll_time") - src.EPOCH_0) / src.POLL_EVERY_SECONDS)
+        for part in range(3):
+            event_table.merge_events(spark, path, rows.filter(F.pmod(no, F.lit(3)) == part))
+        _TABLES[key] = path
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return event_table.read_events(spark, _TABLES[key], schema + ", event_date date")
+
+
+@query
+def merge_events(spark, sf):
+    return _stored_events(spark, sf).select("id", "batch_id", F.col("event_date").cast("string").alias("event_date"))
+
+
 def _served(rows):
     return rows.select(
         "id", "batch_id", "client_ip", "path", "geo_country", "rule_action_summary", "event_time_epoch"
@@ -769,13 +792,13 @@ def _served(rows):
 def event_by_id(spark, sf):
     """Lookup of the smallest id."""
     smallest = src.arrivals(spark, sf).agg(F.min("id")).scalar()
-    return _served(serving.event_by_id(src.events(spark, sf), smallest))
+    return _served(serving.event_by_id(_stored_events(spark, sf), smallest))
 
 
 @query
 def query_events(spark, sf):
     return _served(
-        serving.query_events(src.events(spark, sf), geo_country="US", action="deny", limit=200)
+        serving.query_events(_stored_events(spark, sf), geo_country="US", action="deny", limit=200)
     )
 
 
@@ -784,7 +807,7 @@ def query_events_in_range(spark, sf):
     start = src.EPOCH_0 + 10 * 86_400
     return _served(
         serving.query_events(
-            src.events(spark, sf),
+            _stored_events(spark, sf),
             path="/admin",
             start=start,
             end=start + 5 * 86_400,
@@ -798,7 +821,7 @@ def query_events_range_after_limit(spark, sf):
     start = src.EPOCH_0 + 26 * 86_400
     return _served(
         serving.query_events(
-            src.events(spark, sf),
+            _stored_events(spark, sf),
             path="/search",
             start=start,
             end=start + 3 * 86_400,
@@ -811,12 +834,12 @@ def query_events_range_after_limit(spark, sf):
 @query
 def query_events_all(spark, sf):
     """Every event of one country: more rows than any page holds."""
-    return _served(serving.query_events(src.events(spark, sf), geo_country="RU", limit=None))
+    return _served(serving.query_events(_stored_events(spark, sf), geo_country="RU", limit=None))
 
 
 @query
 def ip_drilldown(spark, sf):
-    return serving.ip_drilldown(src.events(spark, sf), "198.51.0.7").select(
+    return serving.ip_drilldown(_stored_events(spark, sf), "198.51.0.7").select(
         F.unix_seconds("event_time").alias("event_time_s"),
         "method",
         "path",
@@ -830,7 +853,7 @@ def ip_drilldown(spark, sf):
 @query
 def batch_page(spark, sf):
     batch = f"cfg-0@{src.EPOCH_0 + 30 * 100}"
-    return serving.batch_page(src.events(spark, sf), batch, limit=5, offset=2).select(
+    return serving.batch_page(_stored_events(spark, sf), batch, limit=5, offset=2).select(
         "batch_id", "total", "id", "client_ip"
     )
 
@@ -911,12 +934,13 @@ def window_counts(spark, sf):
 
 @query
 def export_ndjson(spark, sf):
-    """The JSON lines of all deny events, with some members read back."""
-    rows = exports.export_rows(src.events(spark, sf), {"rule_action_summary": "deny"})
-    fields = exports.export_fields(rows)
-    lines = fields.select(
-        F.to_json(F.struct(*fields.columns), {"ignoreNullFields": "false"}).alias("line")
-    ).withColumn("doc", F.parse_json("line"))
+    """The JSON lines of all deny events, read back from the files."""
+    path = scratch_path(spark, "export-ndjson")
+    exports.write_ndjson(
+        exports.export_rows(src.events(spark, sf), {"rule_action_summary": "deny"}), path
+    )
+    lines = spark.read.text(path).withColumnRenamed("value", "line")
+    lines = lines.withColumn("doc", F.parse_json("line"))
     return lines.select(
         F.variant_get("doc", "$.id", "string").alias("id"),
         F.variant_get("doc", "$.clientIP", "string").alias("client_ip"),
@@ -928,8 +952,16 @@ def export_ndjson(spark, sf):
 
 @query
 def export_csv(spark, sf):
-    rows = exports.csv_fields(exports.export_rows(src.events(spark, sf)))
-    return rows.select(
+    """All events as CSV, read back from the files; some ids hold quotes, commas and line ends."""
+    odd = F.when(F.col("path") == "/admin", F.concat(F.lit('/admin,"a b"\n'), "geo_country"))
+    rows = src.events(spark, sf).withColumn("path", F.coalesce(odd, "path"))
+    path = scratch_path(spark, "export-csv")
+    exports.write_csv(exports.export_rows(rows), path)
+    kinds = {"botScore": "bigint", "userRiskScore": "bigint"}
+    schema = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in exports.CSV_FIELDS)
+    read = spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=True)
+    # an empty text and null are both written as nothing
+    return read.select(
         "id",
         "clientIP",
         "method",
@@ -938,26 +970,19 @@ def export_csv(spark, sf):
         "geoCountry",
         "botScore",
         "userRiskScore",
-        F.date_format("eventTime", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("eventTime"),
+        "eventTime",
         "responseStatus",
     )
 
 
 @query
 def export_manifest(spark, sf):
-    """Exports of every country as CSV, one by one, and their manifest."""
+    """Exports of every country as CSV, in one job, and their manifest."""
     folder = scratch_path(spark, "exports")
-    table = src.events(spark, sf)
-    for country in sorted(filter(None, src.COUNTRIES)):
-        exports.run_export(
-            spark,
-            table,
-            folder,
-            f"export-{country}",
-            fmt="csv",
-            criteria={"geo_country": country},
-            as_of=src.AS_OF,
-        )
+    requests = {f"export-{c}": {"geo_country": c} for c in src.COUNTRIES if c}
+    exports.run_exports(
+        spark, src.events(spark, sf), folder, requests, fmt="csv", as_of=src.AS_OF
+    )
     return exports.export_manifest(spark, folder).select(
         "id", "status", "format", "actual_rows", "has_data", _s("created_at"), _s("completed_at")
     )

@@ -285,8 +285,10 @@ s4 as (select *, t1 or t2 or t3 as taken, count(*) filter (t1 or t2 or t3) over
 s5 as (select *, case when total <= 12 then 0 when t1 then 1 when t2 then 2 when t3 then 3
     when row_number() over (partition by window_id, taken order by h) <= 12 - n then 4 end as tier
   from s4)"""
-    export_cols = """id, client_ip as "clientIP", method, path, action as "ruleActionSummary",
-  country as "geoCountry", bot as "botScore", risk as "userRiskScore",
+    # an empty text is written as nothing and read back as null
+    export_cols = """id, client_ip as "clientIP", method,
+  case when path = '/admin' then '/admin,"a b"' || chr(10) || country else nullif(path, '') end as path,
+  action as "ruleActionSummary", nullif(country, '') as "geoCountry", bot as "botScore", risk as "userRiskScore",
   strftime(make_timestamp(epoch * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') as "eventTime",
   status as "responseStatus\""""
     return {
@@ -583,6 +585,8 @@ from ({NEWEST}), (values
   recommendations, policy_effectiveness_notes, campaigns, input_tokens, output_tokens,
   estimated_cost_usd, status, trigger_type)
 where rk <= 20 group by all"""),
+        "merge_events": ev("""
+select id, batch_id, strftime(make_timestamp(epoch * 1000000), '%Y-%m-%d') as event_date from evt"""),
         # serving
         "event_by_id": ev(f"{served} from evt where id = (select min(id) from arr)"),
         "query_events": ev(
