@@ -26,7 +26,7 @@ def test_merges_equal_the_view(spark, sf_dir, tmp_path):
     # a lookup reads its rows: predicates reach the scan and nothing is exchanged by id
     plan = serving.ip_drilldown(table, "198.51.0.7")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(client_ip,198.51.0.7)" in plan and "hashpartitioning(id" not in plan
-    day = serving.query_events(table.filter("event_date = date'2024-01-03'"), path="/admin", limit=None)
+    day = serving.query_events(table.filter("event_date = date'2024-01-03'"), path="/console", limit=None)
     plan = day._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan and "Exchange hashpartitioning" not in plan
 

@@ -197,16 +197,16 @@ def test_strategic_request_sections(spark):
     )
     text = trends.strategic_request(df, prior).first().request
     for part in (
-        "Covering the last 2 batch analyses", "Batch Summary Table", '"event_count":100', "Severity Distribution",
-        "Notable Batch Details", "CRITICAL", "Critical finding here.", "Notable IPs: 1.2.3.4, 9.9.9.9",
-        "Previous strategic assessment.", "## Persistent IPs\nNone detected",
+        "The newest 2 windows", "Windows", '"event_count":100', "Windows By Severity",
+        "Windows Of Note", "CRITICAL", "Critical finding here.", "Addresses: 1.2.3.4, 9.9.9.9",
+        "Previous strategic assessment.", "## Recurring Addresses\nnone",
     ):
         assert part in text
     quiet = trends.strategic_request(
         summaries(spark, {"top_countries": [], "top_rule_tags": []}), time_range="24h"
     ).first().request
-    assert "Requested time range: 24h" in quiet and "## Geographic Distribution\nNo data" in quiet
-    assert "Notable Batch Details" not in quiet and "Strategic Assessment" not in quiet
+    assert "Time asked for: 24h" in quiet and "## Countries\nnothing known" in quiet
+    assert "Windows Of Note" not in quiet and "Previous Assessment" not in quiet
 
 
 def test_strategic_summary_with_response(spark):

@@ -20,7 +20,7 @@ TOP_KINDS = {
     "rule_tag": "top_rule_tags",
 }
 SCORES = ("bot_score", "user_risk_score")
-ALL_KINDS = ("event", "deny_ip", *TOP_KINDS, *SCORES)
+ALL_KINDS = ("scores", *TOP_KINDS)
 
 
 def window_events(windows: DataFrame, events: DataFrame) -> DataFrame:
@@ -32,39 +32,40 @@ def window_events(windows: DataFrame, events: DataFrame) -> DataFrame:
     return events.join(window_polls(windows), "batch_id")
 
 
-def value_counts(joined: DataFrame, kinds: tuple[str, ...] = ALL_KINDS) -> DataFrame:
-    """Rows per (window, kind, value): the one table every statistic derives from.
+def value_counts(joined: DataFrame, *, kinds: tuple[str, ...] = ALL_KINDS) -> DataFrame:
+    """Counts per window and value: ``window_id, kind, value, bot, risk, n, denied``.
 
-    One pass and one shuffle serve the top lists, the distinct addresses, the deny
-    concentration and both scores (a score is a value of its own kind, so mean and
-    distribution follow from its counts). Partial aggregation absorbs hot values.
+    One row per event and top list (and rule), and one of kind ``scores`` with both scores, whose
+    counts give the number of events, the means and the distributions. ``denied`` are the deny events
+    of an address. Partial aggregation absorbs hot values, and all statistics share this shuffle.
     """
-    deny = F.col("rule_action_summary") == "deny"
+    no_score = F.lit(None).cast("bigint")
+
+    def entry(kind: str, value: Column, bot: Column = no_score, risk: Column = no_score) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"), value.alias("value"), bot.alias("bot"), risk.alias("risk")
+        )
+
+    scores = [F.col(s).cast("bigint") for s in SCORES]
     single = {
-        "event": F.lit("*"),
-        "ip": F.col("client_ip"),
-        "deny_ip": F.when(deny, F.col("client_ip")),
-        "path": F.col("path"),
-        "country": F.col("geo_country"),
-        "bot_score": F.col("bot_score").cast("string"),
-        "user_risk_score": F.col("user_risk_score").cast("string"),
+        "ip": entry("ip", F.col("client_ip")),
+        "path": entry("path", F.col("path")),
+        "country": entry("country", F.col("geo_country")),
+        "scores": entry("scores", F.lit("*"), *scores),
     }
-    values = F.array(
-        *[F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, c in single.items() if k in kinds]
-    )
+    values = F.array(*[e for kind, e in single.items() if kind in kinds])
     if "rule_tag" in kinds:
         tags = F.coalesce(F.col("decoded_rules.rule_tag"), F.array().cast("array<string>"))
-        values = F.concat(
-            values,
-            F.transform(
-                tags, lambda t: F.struct(F.lit("rule_tag").alias("kind"), t.alias("value"))
-            ),
-        )
+        values = F.concat(values, F.transform(tags, lambda t: entry("rule_tag", t)))
+    deny = (F.col("rule_action_summary") == "deny").alias("deny")
     return (
-        joined.select("window_id", F.inline(values))
+        joined.select("window_id", deny, F.inline(values))
         .filter(F.col("value") != "")
-        .groupBy("window_id", "kind", "value")
-        .agg(F.count("*").alias("n"))
+        .groupBy("window_id", "kind", "value", "bot", "risk")
+        .agg(
+            F.count("*").alias("n"),
+            F.count_if(F.col("deny") & (F.col("kind") == "ip")).alias("denied"),
+        )
     )
 
 
@@ -73,10 +74,26 @@ def top_values(counts: DataFrame, n: int = 10) -> DataFrame:
 
     The rank filter prunes to n rows per group before the shuffle.
     """
-    ranked = Window.partitionBy("window_id", "kind").orderBy(F.col("n").desc(), "value")
+    ranked = Window.partitionBy("window_id", "kind").orderBy(F.col("n").desc(), "value", "bot", "risk")
     return counts.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= n)
 
 
+def denied_by_busiest(counts: DataFrame, n: int) -> DataFrame:
+    """``window_id, top_deny``: deny events of the ``n`` addresses with most of them.
+
+    Only addresses count denials, so no filter on the kind is needed; one would be pushed below the
+    shuffle of the counts, which could then not be shared.
+    """
+    ranked = Window.partitionBy("window_id").orderBy(F.col("denied").desc(), "value")
+    return (
+        counts.filter(F.col("denied") > 0)
+        .withColumn("_rn", F.row_number().over(ranked))
+        .filter(F.col("_rn") <= n)
+        .groupBy("window_id")
+        .agg(F.sum("denied").alias("top_deny"))
+    )
+
+
 def _top(joined: DataFrame, column: Column, n: int) -> DataFrame:
     counts = (
         joined.select("window_id", column.alias("value"))
@@ -163,11 +180,9 @@ def priority_sample(
     *,
     arrival: tuple[str, ...] = ("poll_time", "line_pos"),
     seed: int = 0,
-    keep: Column | None = None,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
-    """A stratified sample per window: ``window_id, id, tier, sample_pos``, and ``kept`` with
-    the ``keep`` expression of each sampled event.
+    """A stratified sample per window: ``window_id, id, tier, sample_pos``.
 
     A window with at most ``sample_size`` events is taken whole, in arrival order. A larger
     one gives, in turn and without repeats, its first deny events, its first high-risk
@@ -196,7 +211,6 @@ def priority_sample(
         F.struct(*arrival).alias("_at"),
         F.md5(F.concat_ws(":", "id", F.lit(str(seed)))).alias("_hash"),
         *[member[t].alias(t) for t in quotas],
-        (F.lit(None) if keep is None else keep).alias("kept"),
     )
     # one candidate list per tier; the order key is the arrival, or the hash for the fill
     lists = F.array(
@@ -214,7 +228,7 @@ def priority_sample(
         .withColumn("_rn", F.row_number().over(in_list))
         .filter(F.col("_rn") <= n + 1)
         .groupBy("window_id", "id", "_at", "_hash", *quotas)
-        .agg(F.max(F.col("list") == "fill").alias("_in_fill"), F.any_value("kept").alias("kept"))
+        .agg(F.max(F.col("list") == "fill").alias("_in_fill"))
     )
     whole = Window.partitionBy("window_id")
     by_arrival = whole.orderBy("_at", "id").rowsBetween(Window.unboundedPreceding, 0)
@@ -245,9 +259,8 @@ def priority_sample(
     rank = F.array_position(F.array(*[F.lit(t) for t in ("all", *quotas, "fill")]), F.col("tier"))
     hash_in_fill = F.when(F.col("tier") == "fill", F.col("_hash")).otherwise("")
     final = whole.orderBy(rank, hash_in_fill, "_at", "id")
-    extra = [] if keep is None else ["kept"]
     return picked.select(
-        "window_id", "id", "tier", F.row_number().over(final).alias("sample_pos"), *extra
+        "window_id", "id", "tier", F.row_number().over(final).alias("sample_pos")
     )
 
 
@@ -264,9 +277,9 @@ def severity_class(
     )
 
 
-def _window_tops(counts: DataFrame, n: int, settings: Settings) -> DataFrame:
-    """The top lists as sorted arrays of (key, count), and the denied events of the busiest
-    addresses: at most n rows per window and kind are collected."""
+def _window_tops(counts: DataFrame, n: int) -> DataFrame:
+    """The top lists as sorted arrays of (key, count): at most n rows per window and kind are
+    collected."""
     entry = F.struct("rank", F.col("value").alias("key"), F.col("n").alias("count"))
 
     def pick(kind: str) -> Column:
@@ -275,16 +288,11 @@ def _window_tops(counts: DataFrame, n: int, settings: Settings) -> DataFrame:
             listed, lambda e: F.struct(e["key"].alias("key"), e["count"].alias("count"))
         )
 
-    busiest = (F.col("kind") == "deny_ip") & (F.col("rank") <= settings.coordinated_ips)
-    # Ranks run over every kind: a filter on the kind would be pushed below the shuffle of
-    # the counts, which could then no longer be shared with the totals.
+    # Ranks run over every kind, for the same reason as in denied_by_busiest.
     return (
-        top_values(counts, max(n, settings.coordinated_ips))
+        top_values(counts, n)
         .groupBy("window_id")
-        .agg(
-            *[F.slice(pick(kind), 1, n).alias(name) for kind, name in TOP_KINDS.items()],
-            F.sum(F.when(busiest, F.col("n"))).alias("top_deny"),
-        )
+        .agg(*[pick(kind).alias(name) for kind, name in TOP_KINDS.items()])
     )
 
 
@@ -294,12 +302,12 @@ def _window_totals(counts: DataFrame) -> DataFrame:
     def total(of: Column) -> Column:
         return F.coalesce(F.sum(F.when(of, n)), F.lit(0))
 
-    def mean(score: str) -> Column:
-        weighted = F.sum(F.when(kind == score, F.col("value").cast("bigint") * n))
-        return half_up(F.coalesce(weighted / F.sum(F.when(kind == score, n)), F.lit(0.0)), 2)
+    def mean(score: Column) -> Column:
+        weighted = F.sum(score * n) / F.sum(F.when(score.isNotNull(), n))
+        return half_up(F.coalesce(weighted, F.lit(0.0)), 2)
 
-    def buckets(score: str) -> Column:
-        bucket = score_bucket(F.when(kind == score, F.col("value").cast("bigint")))
+    def buckets(score: Column) -> Column:
+        bucket = score_bucket(score)
         return F.array(
             *[
                 F.struct(F.lit(b).alias("bucket"), total(bucket == b).alias("n"))
@@ -307,12 +315,13 @@ def _window_totals(counts: DataFrame) -> DataFrame:
             ]
         )
 
+    columns = dict(zip(SCORES, (F.col("bot"), F.col("risk"))))
     return counts.groupBy("window_id").agg(
-        total(kind == "event").alias("stored_events"),
+        total(kind == "scores").alias("stored_events"),
         F.count_if(kind == "ip").alias("unique_ips"),
-        total(kind == "deny_ip").alias("ip_deny"),
-        *[mean(s).alias(f"avg_{s}") for s in SCORES],
-        *[buckets(s).alias(f"{s}_distribution") for s in SCORES],
+        F.sum("denied").alias("ip_deny"),
+        *[mean(c).alias(f"avg_{s}") for s, c in columns.items()],
+        *[buckets(c).alias(f"{s}_distribution") for s, c in columns.items()],
     )
 
 
@@ -320,7 +329,12 @@ def window_statistics(
     counts: DataFrame, *, top_n: int = 10, settings: Settings = DEFAULTS
 ) -> DataFrame:
     """All statistics, one row per window, from ``value_counts``."""
-    return _window_totals(counts).join(_window_tops(counts, top_n, settings), "window_id")
+    busiest = denied_by_busiest(counts, settings.coordinated_ips)
+    return (
+        _window_totals(counts)
+        .join(_window_tops(counts, top_n), "window_id")
+        .join(busiest, "window_id", "left")
+    )
 
 
 def _classified(df: DataFrame, settings: Settings) -> DataFrame:
@@ -337,13 +351,9 @@ def classify_severity(
 ) -> DataFrame:
     """Add ``coordinated`` and ``severity``. Coordinated: the busiest few addresses hold at
     least the given share of the window's denied events."""
-    counts = value_counts(joined, kinds=("deny_ip",))
-    busiest = (
-        top_values(counts, settings.coordinated_ips)
-        .groupBy("window_id")
-        .agg(F.sum("n").alias("top_deny"))
-    )
-    denied = counts.groupBy("window_id").agg(F.sum("n").alias("ip_deny"))
+    counts = value_counts(joined, kinds=("ip",))
+    busiest = denied_by_busiest(counts, settings.coordinated_ips)
+    denied = counts.groupBy("window_id").agg(F.sum("denied").alias("ip_deny"))
     joined_in = windows.join(denied.join(busiest, "window_id"), "window_id", "left")
     return _classified(joined_in, settings)
 
@@ -394,8 +404,8 @@ def batch_request(
 ) -> DataFrame:
     """One JSON request per window: metadata, statistics and the sampled events.
 
-    At most ``sample_size`` events are collected per window; their fields travel with the
-    sample, so the events are not joined a second time.
+    The sample is drawn on narrow rows; the fields of the events it holds, at most ``sample_size``
+    a window, are then fetched by window and id.
     """
     event = F.struct(
         "id",
@@ -410,7 +420,8 @@ def batch_request(
     )
     listed = F.sort_array(F.collect_list(F.struct("sample_pos", "kept")))
     events = (
-        priority_sample(joined, keep=event, settings=settings)
+        joined.select("window_id", "id", event.alias("kept"))
+        .join(priority_sample(joined, settings=settings), ["window_id", "id"])
         .groupBy("window_id")
         .agg(F.transform(listed, lambda e: e["kept"]).alias("events"))
     )

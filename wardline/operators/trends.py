@@ -174,7 +174,7 @@ def strategic_request(
     latest = latest_windows(summaries, settings=settings)
     table = window_table(latest, settings=settings)
     trend = deny_ratio_trend(latest)
-    none, no_data = "None detected", "No data"
+    none, no_data = "none", "nothing known"
 
     head = latest.groupBy(F.lit(1).alias("_one")).agg(F.count("*").alias("batch_count"))
     counts = severity_counts(latest.withColumn("_one", F.lit(1)), by=["_one"]).select(
@@ -212,19 +212,19 @@ def strategic_request(
     if strategic is None:
         request = request.withColumn("prior_analysis", F.lit(None).cast("string"))
     covering = (
-        F.lit(f"Requested time range: {time_range}")
+        F.lit(f"Time asked for: {time_range}")
         if time_range
-        else F.format_string("Covering the last %d batch analyses", "batch_count")
+        else F.format_string("The newest %d windows", "batch_count")
     )
     sections = {
-        "Batch Summary Table": F.col("summary_table"),
-        "Severity Distribution": F.col("severity_distribution"),
-        "Deny Ratio Over Time": F.col("deny_ratio_over_time"),
-        "Persistent IPs": F.coalesce("persistent_ips", F.lit(none)),
-        "Top Attack Types": F.coalesce("top_attack_types", F.lit(none)),
-        "Geographic Distribution": F.coalesce("geographic_distribution", F.lit(no_data)),
-        "Notable Batch Details": F.nullif("notable", F.lit("")),
-        "Most Recent Strategic Assessment": F.nullif("prior_analysis", F.lit("")),
+        "Windows": F.col("summary_table"),
+        "Windows By Severity": F.col("severity_distribution"),
+        "Denied Share By Time": F.col("deny_ratio_over_time"),
+        "Recurring Addresses": F.coalesce("persistent_ips", F.lit(none)),
+        "Frequent Rule Tags": F.coalesce("top_attack_types", F.lit(none)),
+        "Countries": F.coalesce("geographic_distribution", F.lit(no_data)),
+        "Windows Of Note": F.nullif("notable", F.lit("")),
+        "Previous Assessment": F.nullif("prior_analysis", F.lit("")),
     }
     # concat_ws skips the optional sections that are null
     body = F.concat_ws(
@@ -245,7 +245,7 @@ def _notable_section(latest: DataFrame) -> DataFrame:
         "\n",
         F.concat_ws(" ", F.lit("###"), F.upper("severity"), F.col("time").cast("string")),
         "analysis",
-        listing("Notable IPs", "notable_ips"),
+        listing("Addresses", "notable_ips"),
         listing("Patterns", "notable_patterns"),
     )
     newest_first = F.sort_array(

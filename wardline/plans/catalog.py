@@ -507,6 +507,17 @@ def classify_severity(spark, sf):
     )
 
 
+def _listed(name: str):
+    """A top list in order, as ``key:count`` joined by ``|``."""
+    entry = lambda e: F.concat_ws(":", e["key"], e["count"].cast("string"))
+    return F.array_join(F.transform(name, entry), "|").alias(name)
+
+
+def _buckets(name: str):
+    counts = F.transform(name, lambda b: b["n"].cast("string"))
+    return F.array_join(counts, "|").alias(name)
+
+
 @query
 def window_summary(spark, sf):
     return stats.window_summary(
@@ -529,6 +540,8 @@ def window_summary(spark, sf):
         F.get(F.col("top_rule_tags"), F.lit(0))["key"].alias("top_rule_tag"),
         F.coalesce(F.size("top_paths"), F.lit(0)).cast("bigint").alias("paths_listed"),
         F.coalesce(F.col("bot_score_distribution")[4]["n"], F.lit(0)).alias("bot_80_100"),
+        *[_listed(name) for name in stats.TOP_KINDS.values()],
+        *[_buckets(f"{score}_distribution") for score in stats.SCORES],
     )
 
 
@@ -674,10 +687,10 @@ def strategic_request(spark, sf):
     ).select(
         "batch_count",
         "tier",
-        section("Severity Distribution").alias("severities"),
-        section("Persistent IPs").alias("persistent_ips"),
-        section("Geographic Distribution").alias("countries"),
-        section("Most Recent Strategic Assessment").alias("prior_analysis"),
+        section("Windows By Severity").alias("severities"),
+        section("Recurring Addresses").alias("persistent_ips"),
+        section("Countries").alias("countries"),
+        section("Previous Assessment").alias("prior_analysis"),
     )
 
 
@@ -808,7 +821,7 @@ def query_events_in_range(spark, sf):
     return _served(
         serving.query_events(
             _stored_events(spark, sf),
-            path="/admin",
+            path="/console",
             start=start,
             end=start + 5 * 86_400,
             limit=None,
@@ -822,7 +835,7 @@ def query_events_range_after_limit(spark, sf):
     return _served(
         serving.query_events(
             _stored_events(spark, sf),
-            path="/search",
+            path="/find",
             start=start,
             end=start + 3 * 86_400,
             limit=300,
@@ -953,7 +966,7 @@ def export_ndjson(spark, sf):
 @query
 def export_csv(spark, sf):
     """All events as CSV, read back from the files; some ids hold quotes, commas and line ends."""
-    odd = F.when(F.col("path") == "/admin", F.concat(F.lit('/admin,"a b"\n'), "geo_country"))
+    odd = F.when(F.col("path") == "/console", F.concat(F.lit('/console,"a b"\n'), "geo_country"))
     rows = src.events(spark, sf).withColumn("path", F.coalesce(odd, "path"))
     path = scratch_path(spark, "export-csv")
     exports.write_csv(exports.export_rows(rows), path)

@@ -30,12 +30,12 @@ AS_OF = datetime(2024, 1, 31)
 
 # Rules per event type: rule ids, actions, tags (a list may be shorter than the rules).
 RULES = {
-    "error": (["950002", "960010"], ["Deny", "alert"], ["OWASP/SQLi", "CUSTOM/CRED+é"]),
-    "purchase": (["970001"], ["alert"], ["OWASP/ANOMALY"]),
-    "click": (["990001"], ["monitor"], ["BOT/GENERIC"]),
-    "signup": (["973300", "973301"], ["alert", "monitor"], ["OWASP/XSS"]),
+    "error": (["950002", "960010"], ["Deny", "alert"], ["INJECT/QUERY", "LEAK/LOGIN+é"]),
+    "purchase": (["970001"], ["alert"], ["ODD/SHAPE"]),
+    "click": (["990001"], ["monitor"], ["AUTO/CRAWL"]),
+    "signup": (["973300", "973301"], ["alert", "monitor"], ["INJECT/MARKUP"]),
 }
-PATHS = ("/", "/api/login", "/api/users", "/search", "/admin", "/robots.txt", "")
+PATHS = ("/", "/account/enter", "/account/list", "/find", "/console", "/feed.xml", "")
 COUNTRIES = ("US", "RU", "CN", "DE", "BR", "")
 
 

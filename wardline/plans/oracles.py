@@ -243,6 +243,12 @@ spent as (
   from calls)"""
 
 
+def _bucket_counts(score: str) -> list[str]:
+    """Counts of the five ranges of a score; the outer ones are open."""
+    bounds = ["{} < 20", *(f"{{}} >= {b} and {{}} < {b + 20}" for b in (20, 40, 60)), "{} >= 80"]
+    return [f"count(*) filter ({b.replace('{}', score)})" for b in bounds]
+
+
 def _decoded(lists: str) -> str:
     return f"array_to_string({lists}, '|')"
 
@@ -287,7 +293,7 @@ s5 as (select *, case when total <= 12 then 0 when t1 then 1 when t2 then 2 when
   from s4)"""
     # an empty text is written as nothing and read back as null
     export_cols = """id, client_ip as "clientIP", method,
-  case when path = '/admin' then '/admin,"a b"' || chr(10) || country else nullif(path, '') end as path,
+  case when path = '/console' then '/console,"a b"' || chr(10) || country else nullif(path, '') end as path,
   action as "ruleActionSummary", nullif(country, '') as "geoCountry", bot as "botScore", risk as "userRiskScore",
   strftime(make_timestamp(epoch * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') as "eventTime",
   status as "responseStatus\""""
@@ -455,8 +461,22 @@ select s.window_id, config_id, config_id || '@' || ws as batch_id, reason as tri
   tier as model_used, severity, cast(ec as bigint) as event_count, stored as stored_events,
   cast(dc as bigint) as deny_count, ips as unique_ips, cast(avg_bot as double) as avg_bot_score,
   cast(avg_risk as double) as avg_user_risk_score, i.value as top_ip, i.n as top_ip_count,
-  g.value as top_rule_tag, coalesce(p.listed, 0) as paths_listed, bot80 as bot_80_100
+  g.value as top_rule_tag, coalesce(p.listed, 0) as paths_listed, bot80 as bot_80_100,
+  coalesce(l.ips, '') as top_ips, coalesce(l.paths, '') as top_paths,
+  coalesce(l.countries, '') as top_countries, coalesce(l.tags, '') as top_rule_tags,
+  coalesce(d.bots, '0|0|0|0|0') as bot_score_distribution,
+  coalesce(d.risks, '0|0|0|0|0') as user_risk_score_distribution
 from summ s
+left join (
+  select window_id, string_agg(value || ':' || n, '|' order by rk) filter (kind = 'ip') as ips,
+    string_agg(value || ':' || n, '|' order by rk) filter (kind = 'path') as paths,
+    string_agg(value || ':' || n, '|' order by rk) filter (kind = 'country') as countries,
+    string_agg(value || ':' || n, '|' order by rk) filter (kind = 'tag') as tags
+  from top group by 1) l on l.window_id = s.window_id
+left join (
+  select window_id, concat_ws('|', """ + ", ".join(_bucket_counts("bot")) + """) as bots,
+    concat_ws('|', """ + ", ".join(_bucket_counts("risk")) + """) as risks
+  from we group by 1) d on d.window_id = s.window_id
 left join top i on i.window_id = s.window_id and i.kind = 'ip' and i.rk = 1
 left join top g on g.window_id = s.window_id and g.kind = 'tag' and g.rk = 1
 left join (select window_id, count(*) as listed from top where kind = 'path' group by 1) p
@@ -539,11 +559,11 @@ select cast(20 as bigint) as batch_count, 'opus' as tier,
             )
             + """ || '}' from last) as severities,
   (select coalesce('[' || string_agg('{"ip":"' || ip || '","batch_count":' || n || '}', ',' order by n desc, ip)
-      || ']', 'None detected') from (
+      || ']', 'none') from (
     select value as ip, count(*) as n from top join last using (window_id)
     where kind = 'ip' and top.rk <= 3 group by 1 having count(*) >= 2 order by n desc, ip limit 20)) as persistent_ips,
   (select coalesce('[' || string_agg('{"country":"' || c || '","count":' || n || '}', ',' order by n desc, c)
-      || ']', 'No data') from (
+      || ']', 'nothing known') from (
     select value as c, cast(sum(n) as bigint) as n from top join last using (window_id)
     where kind = 'country' group by 1 order by n desc, c limit 10)) as countries,
   (select analysis from strat where status = 'complete' order by created desc, id limit 1) as prior_analysis""",
@@ -593,11 +613,11 @@ select id, batch_id, strftime(make_timestamp(epoch * 1000000), '%Y-%m-%d') as ev
             f"{served} from evt where country = 'US' and action = 'deny' order by epoch desc, id limit 200"
         ),
         "query_events_in_range": ev(
-            f"{served} from evt where path = '/admin' and epoch between 1704067200 + 864000"
+            f"{served} from evt where path = '/console' and epoch between 1704067200 + 864000"
             " and 1704067200 + 1296000"
         ),
         "query_events_range_after_limit": ev(
-            f"select * from ({served} from evt where path = '/search' order by epoch desc, id limit 300)"
+            f"select * from ({served} from evt where path = '/find' order by epoch desc, id limit 300)"
             " where event_time_epoch between 1704067200 + 26 * 86400 and 1704067200 + 29 * 86400"
         ),
         "query_events_all": ev(f"{served} from evt where country = 'RU'"),
