@@ -1,6 +1,7 @@
 """Stream equals batch."""
 
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from wardline.operators.upkeep import upsert_events
 from wardline.operators.windows import analysis_windows, poll_aggregate
 from wardline.plans import inputs as src
 from wardline.schemas import EVENT
+from wardline.settings import Settings
 from wardline.sources.ndjson import event_docs, incremental_slice, parse_lines, tag_batch
 from wardline.streaming import (
     ingest_stream,
@@ -138,6 +140,57 @@ def test_stream_windows_match_batch(spark, sf_dir, tmp_path):
     assert got.count() > 50
 
 
+def test_shuffled_and_split_polls_give_the_batch_windows(spark, sf_dir, tmp_path):
+    """Files out of order by up to ten minutes; every fifth poll comes in two parts."""
+    polls = src.polls(spark, sf_dir).filter(F.unix_seconds("poll_time") < src.EPOCH_0 + 14400)
+    counters = ("event_count", "deny_count", "alert_count", "monitor_count")
+    whole = sorted((r.asDict() for r in polls.collect()), key=lambda r: r["poll_time"])
+    rng, arrivals = random.Random(4), []
+    for i, r in enumerate(whole):
+        parts = [r]
+        if i % 5 == 0 and r["event_count"] > 1:
+            first = {**r, **{c: r[c] // 2 for c in counters}}
+            parts = [first, {**r, **{c: r[c] - first[c] for c in counters}}]
+        arrivals += [(r["poll_time"].timestamp() + rng.uniform(0, 590), p) for p in parts]
+    arrivals.sort(key=lambda a: a[0])
+    folder = str(tmp_path / "polls")
+    size = -(-len(arrivals) // 6)
+    for at in range(0, len(arrivals), size):
+        part = spark.createDataFrame([p for _, p in arrivals[at : at + size]], polls.schema)
+        part.coalesce(1).write.mode("append").parquet(folder)
+    # a last poll, ten minutes on, lets the waiting ones through; an idle one changes nothing
+    last = max(r["poll_time"] for r in whole) + timedelta(minutes=10)
+    ends = [
+        {**r, "poll_time": last, "batch_id": f"end-{r['config_id']}"}
+        for r in {r["config_id"]: r for r in whole}.values()
+    ]
+    ends += [{**ends[0], "batch_id": "idle", **{c: 0 for c in counters}}]
+    extra = spark.createDataFrame(ends, polls.schema)
+    extra.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(polls.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    query = (
+        stream_windows(stream, lateness_seconds=600, settings=src.FIXTURE)
+        .writeStream.outputMode("append")
+        .format("memory")
+        .queryName("shuffled_windows")
+        .option("checkpointLocation", str(tmp_path / "checkpoint"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    assert query.exception() is None
+    batch = analysis_windows(polls.unionByName(extra), settings=src.FIXTURE)
+    before = F.col("closed_at") <= F.lit(last - timedelta(minutes=10))
+    rows = lambda df: sorted(map(tuple, df.filter(before).collect()), key=lambda r: r[0])
+    got = rows(spark.table("shuffled_windows"))
+    assert got == rows(batch) and len(got) > 50
+
+
+def test_idle_flush_before_the_ceiling_is_refused(spark):
+    with pytest.raises(ValueError):
+        stream_windows(spark.range(1), idle_flush_seconds=10)
+
+
 def test_idle_config_is_flushed(spark, sf_dir, tmp_path):
     """A quiet config's window closes by a timer, as the ceiling would close it."""
     import time
@@ -149,7 +202,9 @@ def test_idle_config_is_flushed(spark, sf_dir, tmp_path):
     expected = {r.config_id: r.event_count for r in polls.collect()}
     query = (
         stream_windows(
-            spark.readStream.schema(polls.schema).parquet(folder), idle_flush_seconds=2
+            spark.readStream.schema(polls.schema).parquet(folder),
+            idle_flush_seconds=2,
+            settings=Settings(time_ceiling_seconds=2),
         )
         .writeStream.outputMode("append")
         .format("memory")
@@ -168,4 +223,4 @@ def test_idle_config_is_flushed(spark, sf_dir, tmp_path):
     assert query.exception() is None
     assert {r.config_id: r.event_count for r in rows} == expected
     assert {r.trigger_reason for r in rows} == {"time_ceiling"}
-    assert all((r.closed_at - r.window_start).total_seconds() == 300 for r in rows)
+    assert all((r.closed_at - r.window_start).total_seconds() == 2 for r in rows)

@@ -124,17 +124,21 @@ def _fold(polls: str, settings: Settings) -> Column:
 def analysis_windows(
     polls: DataFrame, *, as_of: datetime | None = None, settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """One row per closed window from the poll table (``poll_aggregate``)."""
+    """One row per closed window from the poll table (``poll_aggregate``, or the ingest's log).
+
+    A poll without events only shows that time has passed.
+    """
     ceiling = settings.time_ceiling_ms
+    busy = F.col("event_count") > 0
     anchors = polls.groupBy("config_id").agg(
-        F.unix_millis(F.min("poll_time")).alias("_t0"),
+        F.unix_millis(F.min(F.when(busy, F.col("poll_time")))).alias("_t0"),
         F.unix_millis(F.max("poll_time")).alias("_last"),
     )
     if as_of is not None:
         anchors = anchors.withColumn("_last", F.lit(int(utc_seconds(as_of) * 1000)))
         polls = polls.filter(F.unix_millis("poll_time") <= int(utc_seconds(as_of) * 1000))
     cells = (
-        baseline_rate(polls, settings=settings)
+        baseline_rate(polls.filter(busy), settings=settings)
         .withColumn("_ms", F.unix_millis("poll_time"))
         .join(anchors, "config_id")
         .withColumn("_tick", F.floor((F.col("_ms") - F.col("_t0")) / ceiling))

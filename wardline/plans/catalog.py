@@ -403,6 +403,7 @@ def trigger_time_ceiling(spark, sf):
 @query
 def stream_windows(spark, sf):
     """The windows of a stream of polls, with state per config."""
+    before = {key: spark.conf.get(key, None) for key in streaming.STATE_STORE}
     for key, value in streaming.STATE_STORE.items():
         spark.conf.set(key, value)
     polls = _stored(spark, src.polls(spark, sf), "polls")
@@ -415,7 +416,11 @@ def stream_windows(spark, sf):
         .option("checkpointLocation", f"{target}/checkpoint")
         .trigger(availableNow=True)
     )
-    _finish(sink.start())
+    try:
+        _finish(sink.start())
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return _flat_windows(spark.read.parquet(f"{target}/data"))
 
 

@@ -459,7 +459,7 @@ from s5 where tier is not null""",
         "window_summary": _sum("""
 select s.window_id, config_id, config_id || '@' || ws as batch_id, reason as trigger_reason,
   tier as model_used, severity, cast(ec as bigint) as event_count, stored as stored_events,
-  cast(dc as bigint) as deny_count, ips as unique_ips, cast(avg_bot as double) as avg_bot_score,
+  cast(dc as bigint) as deny_count, s.ips as unique_ips, cast(avg_bot as double) as avg_bot_score,
   cast(avg_risk as double) as avg_user_risk_score, i.value as top_ip, i.n as top_ip_count,
   g.value as top_rule_tag, coalesce(p.listed, 0) as paths_listed, bot80 as bot_80_100,
   coalesce(l.ips, '') as top_ips, coalesce(l.paths, '') as top_paths,

@@ -2,8 +2,13 @@
 
 The same rules as ``operators.windows.analysis_windows``, one config per state key: the open
 window, the tick grid's anchor, and the polls of the trailing hour. Ticks follow the poll
-times, so a replay gives the windows of the batch job; ``idle_flush_seconds`` closes the
-window of a config that has gone quiet.
+times, so a replay gives the windows of the batch job.
+
+Order: polls wait until a poll ``lateness_seconds`` newer has come, and are then taken by time; a
+poll that arrives in parts meanwhile is one poll. So any arrival order within that span gives the
+batch job's windows. What comes later still is never lost: it counts in the open window, at the
+time the config has reached. ``idle_flush_seconds`` (at least the time ceiling) takes what waits
+and closes the window of a config that has gone quiet; its next poll belongs to a later tick.
 """
 
 from __future__ import annotations
@@ -43,20 +48,26 @@ _STATE = T.StructType([T.StructField("window", T.StringType())])
 class _WindowProcessor(StatefulProcessor):
     """State per config, one small JSON value: anchor, tick, open window, trailing hour."""
 
-    def __init__(self, settings: Settings, idle_flush_seconds: int | None):
+    def __init__(self, settings: Settings, idle_flush_seconds: int | None, lateness_seconds: int):
         self.settings = settings
         self.idle_ms = idle_flush_seconds * 1000 if idle_flush_seconds else None
+        self.lateness_ms = lateness_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("config", _STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        polls = pd.concat(list(rows)).sort_values(["ms", "batch_id"])
         state = self._load()
-        closed = []
-        for poll in polls.itertuples(index=False):
-            closed += self._add(state, poll)
+        waiting = state["waiting"]
+        # one frame at a time; a poll is a few numbers here
+        for frame in rows:
+            for poll in frame.itertuples(index=False):
+                known = waiting.setdefault(poll.batch_id, [int(poll.ms), *[0] * len(COUNTERS)])
+                for i, c in enumerate(COUNTERS, 1):
+                    known[i] += int(getattr(poll, c))
+                state["newest"] = max(state["newest"], int(poll.ms))
+        closed = self._take(state, state["newest"] - self.lateness_ms)
         self.value.update((json.dumps(state),))
         if self.idle_ms:
             for timer in self.handle.listTimers():
@@ -66,17 +77,35 @@ class _WindowProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = self._load()
-        closed = [self._end(state, "time_ceiling", self._tick_end(state), False)] if state["polls"] else []
+        closed = self._take(state, state["newest"])
+        if state["polls"]:
+            end = self._tick_end(state)
+            closed.append(self._end(state, "time_ceiling", end, False))
+            # the tick is over; a straggler of it counts in the next one
+            state["tick"] += 1
+            state["now"] = end
         self.value.update((json.dumps(state),))
         yield self._rows(key[0], closed)
 
+    def _take(self, state: dict, upto: int) -> list[tuple]:
+        """Add the waiting polls up to a time, oldest first."""
+        waiting = state["waiting"]
+        due = sorted((p[0], batch) for batch, p in waiting.items() if p[0] <= upto)
+        closed = []
+        for _, batch in due:
+            ms, *counts = waiting.pop(batch)
+            state["now"] = max(state["now"], ms)
+            closed += self._add(state, batch, state["now"], counts)
+        return closed
+
     def close(self) -> None:
         pass
 
     def _load(self) -> dict:
         if self.value.exists():
             return json.loads(self.value.get()[0])
-        return {"t0": None, "tick": 0, "hour": [], **self._fresh()}
+        clock = {"t0": None, "tick": 0, "now": 0, "newest": 0}
+        return {**clock, "waiting": {}, "hour": [], **self._fresh()}
 
     @staticmethod
     def _fresh() -> dict:
@@ -85,26 +114,31 @@ class _WindowProcessor(StatefulProcessor):
     def _tick_end(self, state: dict) -> int:
         return state["t0"] + (state["tick"] + 1) * self.settings.time_ceiling_ms
 
-    def _add(self, state: dict, poll) -> list[tuple]:
-        cfg, closed, now = self.settings, [], int(poll.ms)
+    def _add(self, state: dict, batch_id: str, now: int, counts: list[int]) -> list[tuple]:
+        cfg, closed = self.settings, []
         if state["t0"] is None:
+            if not counts[0]:
+                return closed
             state["t0"] = now
         tick = (now - state["t0"]) // cfg.time_ceiling_ms
         if tick > state["tick"]:
             if state["polls"]:
                 closed.append(self._end(state, "time_ceiling", self._tick_end(state), False))
             state["tick"] = tick
+        if not counts[0]:
+            return closed
 
         state["hour"] = [
-            p for p in [*state["hour"], [now, int(poll.event_count)]] if p[0] > now - cfg.baseline_ms
+            p for p in [*state["hour"], [now, counts[0]]] if p[0] > now - cfg.baseline_ms
         ]
         minutes = (now - state["hour"][0][0]) / 60_000 or 1.0
         baseline = sum(n for _, n in state["hour"]) / minutes
 
         state["start"] = now if state["start"] is None else state["start"]
         state["end"] = now
-        state["polls"].append(poll.batch_id)
-        state["counts"] = [n + int(getattr(poll, c)) for n, c in zip(state["counts"], COUNTERS)]
+        if batch_id not in state["polls"]:
+            state["polls"].append(batch_id)
+        state["counts"] = [n + c for n, c in zip(state["counts"], counts)]
         events, denied = state["counts"][:2]
 
         by_deny = denied / events >= cfg.deny_ratio_threshold
@@ -132,12 +166,20 @@ class _WindowProcessor(StatefulProcessor):
 
 
 def stream_windows(
-    polls: DataFrame, *, idle_flush_seconds: int | None = None, settings: Settings = DEFAULTS
+    polls: DataFrame,
+    *,
+    idle_flush_seconds: int | None = None,
+    lateness_seconds: int = 0,
+    settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """Closed windows of a streaming poll table, in append mode, with the batch columns.
 
-    The session needs the state store of ``STATE_STORE``.
+    A poll without events only shows that time has passed. A task holds the polls of one config in one micro-batch:
+    limit the files of a trigger when a long history is replayed. The session needs the state
+    store of ``STATE_STORE``.
     """
+    if idle_flush_seconds and idle_flush_seconds < settings.time_ceiling_seconds:
+        raise ValueError("an idle flush before the time ceiling would cut a tick in two")
     inputs = polls.select(
         "config_id",
         "batch_id",
@@ -145,7 +187,7 @@ def stream_windows(
         *[F.col(c).cast("bigint").alias(c) for c in COUNTERS],
     )
     closed = inputs.groupBy("config_id").transformWithStateInPandas(
-        statefulProcessor=_WindowProcessor(settings, idle_flush_seconds),
+        statefulProcessor=_WindowProcessor(settings, idle_flush_seconds, lateness_seconds),
         outputStructType=_CLOSED,
         outputMode="append",
         timeMode="ProcessingTime" if idle_flush_seconds else "None",
