@@ -94,32 +94,26 @@ def denied_by_busiest(counts: DataFrame, n: int) -> DataFrame:
     )
 
 
-def _top(joined: DataFrame, column: Column, n: int) -> DataFrame:
-    counts = (
-        joined.select("window_id", column.alias("value"))
-        .filter(F.col("value") != "")
-        .groupBy("window_id", "value")
-        .agg(F.count("*").alias("n"))
-    )
-    ranked = Window.partitionBy("window_id").orderBy(F.col("n").desc(), "value")
-    return counts.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= n)
+def _top(joined: DataFrame, kind: str, n: int) -> DataFrame:
+    counts = value_counts(joined, kinds=(kind,))
+    return top_values(counts, n).select("window_id", "value", "n", "rank")
 
 
 def top_ips(joined: DataFrame, n: int = 10) -> DataFrame:
-    return _top(joined, F.col("client_ip"), n)
+    return _top(joined, "ip", n)
 
 
 def top_paths(joined: DataFrame, n: int = 10) -> DataFrame:
-    return _top(joined, F.col("path"), n)
+    return _top(joined, "path", n)
 
 
 def top_countries(joined: DataFrame, n: int = 10) -> DataFrame:
-    return _top(joined, F.col("geo_country"), n)
+    return _top(joined, "country", n)
 
 
 def top_rule_tags(joined: DataFrame, n: int = 10) -> DataFrame:
     """Every rule of an event counts, so an event may add to a tag twice."""
-    return _top(joined, F.explode("decoded_rules.rule_tag"), n)
+    return _top(joined, "rule_tag", n)
 
 
 def unique_ips(joined: DataFrame, *, approximate: bool = False) -> DataFrame:
@@ -128,15 +122,9 @@ def unique_ips(joined: DataFrame, *, approximate: bool = False) -> DataFrame:
     return joined.groupBy("window_id").agg(distinct.alias("unique_ips"))
 
 
-def average_score(score: str) -> Column:
-    return half_up(F.coalesce(F.avg(score), F.lit(0.0)), 2)
-
-
 def avg_scores(joined: DataFrame) -> DataFrame:
-    return joined.groupBy("window_id").agg(
-        average_score("bot_score").alias("avg_bot_score"),
-        average_score("user_risk_score").alias("avg_user_risk_score"),
-    )
+    totals = _window_totals(value_counts(joined, kinds=("scores",)))
+    return totals.select("window_id", *[f"avg_{s}" for s in SCORES])
 
 
 def score_bucket(score: Column) -> Column:
@@ -147,30 +135,16 @@ def score_bucket(score: Column) -> Column:
     return F.when(score.isNotNull(), label)
 
 
-def bucket_counts(score: str) -> Column:
-    """All five buckets as an array of (bucket, n), zeros included."""
-    bucket = score_bucket(F.col(score))
-    return F.array(
-        *[
-            F.struct(F.lit(b).alias("bucket"), F.count_if(bucket == b).alias("n"))
-            for b in SCORE_BUCKETS
-        ]
-    )
-
-
 def score_distribution(joined: DataFrame) -> DataFrame:
-    """Long form: window_id, score, bucket, n."""
-    wide = joined.groupBy("window_id").agg(
-        bucket_counts("bot_score").alias("bot_score"),
-        bucket_counts("user_risk_score").alias("user_risk_score"),
-    )
+    """Long form: window_id, score, bucket, n; all five buckets, zeros included."""
+    totals = _window_totals(value_counts(joined, kinds=("scores",)))
     kinds = F.array(
         *[
-            F.struct(F.lit(c).alias("score"), F.col(c).alias("buckets"))
-            for c in ("bot_score", "user_risk_score")
+            F.struct(F.lit(s).alias("score"), F.col(f"{s}_distribution").alias("buckets"))
+            for s in SCORES
         ]
     )
-    return wide.select("window_id", F.inline(kinds)).select(
+    return totals.select("window_id", F.inline(kinds)).select(
         "window_id", "score", F.inline("buckets")
     )
 

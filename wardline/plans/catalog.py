@@ -64,6 +64,28 @@ def read_raw_ndjson(spark, sf):
     )
 
 
+_LANDED: dict[tuple[str, str], str] = {}
+
+
+def _landed(spark, sf) -> str:
+    """The raw lines as files, a folder for each config and poll; written once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LANDED:
+        path = scratch_path(spark, "landed")
+        lines = src.raw_lines(spark, sf).repartition("config_id", "poll_epoch")
+        lines.sortWithinPartitions("config_id", "poll_epoch", "line_pos").select(
+            "value", "config_id", "poll_epoch"
+        ).write.partitionBy("config_id", "poll_epoch").text(path)
+        _LANDED[key] = path
+    return _LANDED[key]
+
+
+@query
+def read_raw_files(spark, sf):
+    """The same lines read from files, counted by poll and kind."""
+    return ndjson.line_quality(ndjson.read_raw_ndjson(spark, _landed(spark, sf)))
+
+
 @query
 def line_quality(spark, sf):
     return ndjson.line_quality(src.raw_lines(spark, sf))
@@ -121,28 +143,49 @@ def _stored(spark, df, name):
     return spark.readStream.schema(df.schema).parquet(path)
 
 
+_INGESTED: dict[tuple[str, str], str] = {}
+
+
+def _ingested(spark, sf) -> str:
+    """The tables that the streaming ingest makes of the landed files; made once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INGESTED:
+        target = scratch_path(spark, "ingest")
+        lines = streaming.stream_raw_ndjson(spark, _landed(spark, sf))
+        _finish(streaming.ingest_stream(lines, target, available_now=True))
+        _INGESTED[key] = target
+    return _INGESTED[key]
+
+
 @query
 def ingest_stream(spark, sf):
-    """All raw lines through the streaming ingest; the event table over its bronze files."""
-    lines = _stored(spark, src.raw_lines(spark, sf), "raw-lines")
-    target = scratch_path(spark, "ingest")
-    _finish(streaming.ingest_stream(lines, target, available_now=True))
-    return upkeep.upsert_events(streaming.read_bronze(spark, target)).select(
-        "id", "batch_id", "client_ip"
-    )
+    """All raw files through the streaming ingest; the event table over its bronze files."""
+    bronze = streaming.read_bronze(spark, _ingested(spark, sf))
+    return upkeep.upsert_events(bronze).select("id", "batch_id", "client_ip")
 
 
 @query
 def ingest_poll_log(spark, sf):
     """The poll log the streaming ingest leaves behind."""
-    lines = _stored(spark, src.raw_lines(spark, sf), "raw-lines")
-    target = scratch_path(spark, "ingest")
-    _finish(streaming.ingest_stream(lines, target, available_now=True))
-    return streaming.read_poll_log(spark, target).select(
+    return streaming.read_poll_log(spark, _ingested(spark, sf)).select(
         "batch_id", "event_count", "deny_count", "alert_count", "monitor_count", "last_offset"
     )
 
 
+@query
+def ingest_slice(spark, sf):
+    """What a backfill still has to read of the ingest's own tables, its last polls without offset."""
+    target = _ingested(spark, sf)
+    no = F.floor((F.unix_seconds("poll_time") - src.EPOCH_0) / src.POLL_EVERY_SECONDS)
+    log = streaming.read_poll_log(spark, target).withColumn(
+        "last_offset", F.when(no < 1400, F.col("last_offset"))
+    )
+    as_of = datetime.fromtimestamp(src.EPOCH_0 + 12 * 3600, timezone.utc).replace(tzinfo=None)
+    return ndjson.incremental_slice(streaming.read_bronze(spark, target), log, as_of).select(
+        "config_id", "batch_id", "request_id"
+    )
+
+
 # --- decode and normalise -----------------------------------------------------------
 
 

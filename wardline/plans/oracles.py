@@ -302,6 +302,10 @@ s5 as (select *, case when total <= 12 then 0 when t1 then 1 when t2 then 2 when
         "read_raw_ndjson": ev("""
 select config_id, poll_epoch, request_id, cast(null as bigint) as total from arr
 union all select config_id, poll_epoch, '', count(*) from arr group by 1, 2"""),
+        "read_raw_files": ev("""
+select config_id, poll_epoch, count(*) + count(*) filter (event_id % 97 = 0) + 1 as lines,
+  count(*) filter (event_id % 97 = 0) as malformed, cast(1 as bigint) as metadata, count(*) as events
+from arr group by 1, 2"""),
         "line_quality": ev("""
 select config_id, poll_epoch, count(*) + count(*) filter (event_id % 97 = 0) + 1 as lines,
   count(*) filter (event_id % 97 = 0) as malformed, cast(1 as bigint) as metadata, count(*) as events
@@ -318,6 +322,9 @@ select config_id, request_id, poll_no from arr, (select max(poll_no) as last_0 f
 where (config_id = 'cfg-0' and poll_no > last_0)
   or (config_id = 'cfg-1' and epoch >= 1704067200 + 12 * 3600 - 3 * 3600)"""),
         "ingest_stream": ev("select id, batch_id, client_ip from evt"),
+        "ingest_slice": ev("""
+select config_id, batch_id, request_id from arr join (select config_id, max(poll_no) as last from arr
+  where poll_no < 1400 group by 1) l using (config_id) where poll_no > last"""),
         "ingest_poll_log": polls("""
 select batch_id, ec as event_count, dc as deny_count, ac as alert_count, mc as monitor_count,
   'o' || poll_no as last_offset from polls"""),
