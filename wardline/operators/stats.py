@@ -57,9 +57,9 @@ def value_counts(joined: DataFrame, *, kinds: tuple[str, ...] = ALL_KINDS) -> Da
     if "rule_tag" in kinds:
         tags = F.coalesce(F.col("decoded_rules.rule_tag"), F.array().cast("array<string>"))
         values = F.concat(values, F.transform(tags, lambda t: entry("rule_tag", t)))
-    deny = (F.col("rule_action_summary") == "deny").alias("deny")
+    deny = F.col("rule_action_summary") == "deny" if "ip" in kinds else F.lit(False)
     return (
-        joined.select("window_id", deny, F.inline(values))
+        joined.select("window_id", deny.alias("deny"), F.inline(values))
         .filter(F.col("value") != "")
         .groupBy("window_id", "kind", "value", "bot", "risk")
         .agg(
