@@ -32,6 +32,8 @@ def brute(rows, window):
 @pytest.mark.parametrize("window", [10, 13, 20])
 def test_brute_force(spark, window, monkeypatch):
     rng = random.Random(window)
+    # small chunks: some blocks meet in a task, some only after the shuffle
+    monkeypatch.setattr(substrings, "CHUNK", {10: 40, 13: 10**6, 20: 1}[window])
     draw = lambda n, v: rng.choices(v, k=n)
     few, many = ["a", "b"], [f"w{i}" for i in range(3000)]
     passages = [draw(rng.randrange(8, 60), many) for _ in range(12)] + [draw(40, few)]
@@ -53,16 +55,28 @@ def test_brute_force(spark, window, monkeypatch):
     assert sorted(map(repr, map(tuple, got))) == brute(rows, window)
 
 
-def test_chunks_flush_often(monkeypatch):
+def test_chunk_hands_on_blocks_marks_and_windows():
+    np = substrings.np
     chunk = substrings.Chunk()
-    n = substrings.np
-    chunk.add(*(n.array(c) for c in ([5, 5, 6], [1, 1, 1], [2, 1, 1], [0, 0, 0], [9, 3, 9], [1, 1, 1])))
-    found = chunk.flush().to_pydict()
-    assert list(zip(found["group"], found["id"], found["again"])) == [
-        (5, 1, False),
-        (5, 2, True),
-        (6, 1, False),
+    # anchor 5: one block in two places; anchor 6: two blocks that share their first window
+    columns = ([6, 5, 5, 6], [71, 1, 1, 72], [3, 2, 1, 4], [0] * 4, [9, 3, 9, 9], [2, 1, 1, 2])
+    kinds = (np.uint64, np.uint64, np.int64, np.int32, np.int64, np.int64)
+    places = substrings.Places(*(np.array(c, k) for c, k in zip(columns, kinds)))
+    chunk.add(places, np.array([801, 802, 90, 90, 801, 803], np.uint64))
+    rows = [r for b in chunk.flush() for r in b.to_pylist()]
+    found = sorted(
+        (r["place"] & 255, r["hash"], r["id"], r["place"] >> 16, r["place"] >> 8 & 255) for r in rows
+    )
+    assert found == [
+        (substrings.BLOCK, 1, 1, 9, 1),
+        (substrings.MARK, 0, 0, 0, 0),
+        (substrings.WINDOW, 801, 3, 9, 1),
+        (substrings.WINDOW, 802, 3, 10, 1),
+        (substrings.WINDOW, 803, 4, 10, 1),
+        (substrings.AGAIN, 0, 2, 3, 1),
+        (substrings.AGAIN, 0, 4, 9, 1),
     ]
+    assert {r["group"] for r in rows if r["place"] & 255 in (0, 1)} == {5, 6}
 
 
 def test_repeated_rows_and_empty(spark):

@@ -9,8 +9,11 @@ further look. At a factor's boundaries blocks share the anchor but not all their
 checked window by window. Windows met earlier become spans, and spans that touch merge.
 
 Blocks travel as 64-bit hashes, not as words; a task keeps only the first of equal blocks it reads (the
-others are factors at once), so a passage in a third of all documents is a few rows per task. An anchor
-and a block's hash are compared together. Spans and boundary windows are stored in the shared folder.
+others are factors at once), so a passage in a third of all documents is a few rows per task. Where a
+task itself sees an anchor with several blocks, as at the ends of such a passage, it hands on their
+windows, keyed by window, and one mark for the anchor: no anchor gathers more rows than there are
+chunks. An anchor and a block's hash are compared together. Spans and boundary windows are stored in
+the shared folder.
 """
 
 from __future__ import annotations
@@ -32,8 +35,12 @@ GRAM = 5
 CHUNK = 300_000
 #: Stands for a null doc_id: the largest id there is.
 LAST_ID = 2**63 - 1
-_PLACE = (("group", "long"), ("hash", "long"), ("id", "long"), ("tag", "int"), ("start", "long"))
-PLACES = ", ".join(f"`{n}` {k}" for n, k in _PLACE) + ", n int, again boolean"
+#: What a place is: a block, the mark of an anchor with several blocks, a window, a repetition.
+BLOCK, MARK, WINDOW, AGAIN = range(4)
+#: ``place`` packs the first word (upper 48 bits), the number of windows and the kind (a byte each), so
+#: that it sorts by word and rows stay narrow.
+PLACES = "`group` long, `hash` long, id long, tag int, place long"
+START, COUNT, KIND = "place >> 16", "(place >> 8) & 255", "place & 255"
 
 
 def anchors(words: Words, window: int) -> tuple[np.ndarray, ...]:
@@ -69,41 +76,90 @@ def block_hashes(words: Words, first, last, anchor, window: int) -> np.ndarray:
     return mix(runs[first] ^ seeded(runs[last] + shape, 3))
 
 
+class Places:
+    """Columns of places: group, hash, id, tag, start, number of windows."""
+
+    def __init__(self, *columns: np.ndarray) -> None:
+        self.columns = columns
+
+    def __len__(self) -> int:
+        return len(self.columns[0])
+
+    def take(self, which: np.ndarray) -> Places:
+        return Places(*(c[which] for c in self.columns))
+
+    def sorted(self) -> tuple[Places, np.ndarray, np.ndarray]:
+        """By sequence and place; where a new sequence begins, and what repeats an earlier place."""
+        group, hashed, ids, tag, start, _ = self.columns
+        order = np.lexsort((start, tag, ids, hashed, group))
+        out = self.take(order)
+        group, hashed, ids, tag, start, _ = out.columns
+        new = np.ones(len(out), bool)
+        new[1:] = (group[1:] != group[:-1]) | (hashed[1:] != hashed[:-1])
+        head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(out) else new.astype(np.int64)
+        # the same place twice is one document read twice, not a repetition
+        return out, new, (ids != ids[head]) | (tag != tag[head]) | (start != start[head])
+
+    def batch(self, kind: int | np.ndarray) -> pa.RecordBatch:
+        """As rows. A window is dealt by its own hash, a repetition by its place."""
+        group, hashed, ids, tag, start, n = self.columns
+        kinds = np.broadcast_to(np.asarray(kind, np.int64), len(self))
+        group = np.where(kinds == WINDOW, seeded(group ^ mix(hashed), 5), group)
+        group = np.where(kinds == AGAIN, seeded(ids.view(np.uint64) ^ start.astype(np.uint64), 6), group)
+        hashed = np.where(kinds == AGAIN, np.uint64(0), hashed)
+        place = (start.astype(np.int64) << 16) | (n.astype(np.int64) << 8) | kinds
+        columns = [group.view(np.int64), hashed.view(np.int64), ids, tag, place]
+        names = ["group", "hash", "id", "tag", "place"]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+
+def window_places(places: Places) -> pa.RecordBatch:
+    """Windows that a task hands on: the first of each, and the repetitions among them."""
+    out, _, again = places.sorted()
+    return out.batch(np.where(again, AGAIN, WINDOW))
+
+
 class Chunk:
-    """Places of equal sequences gathered by a task, reduced to the first of each."""
+    """Blocks gathered by a task, with the hashes of their windows."""
 
     def __init__(self) -> None:
         self.parts: list[tuple] = []
         self.rows = 0
 
-    def add(self, *columns: np.ndarray) -> None:
-        self.parts.append(columns)
-        self.rows += len(columns[0])
+    def add(self, places: Places, windows: np.ndarray) -> None:
+        self.parts.append((*places.columns, windows))
+        self.rows += len(places)
 
-    def flush(self) -> pa.RecordBatch:
-        """All places; ``again``: an equal sequence of this chunk stands earlier."""
-        group, hashed, ids, tag, start, n = (np.concatenate(c) for c in zip(*self.parts))
-        order = np.lexsort((start, tag, ids, hashed, group))
-        group, hashed, ids, tag, start, n = (
-            c[order] for c in (group, hashed, ids, tag, start, n)
-        )
-        new = np.ones(len(group), bool)
-        new[1:] = (group[1:] != group[:-1]) | (hashed[1:] != hashed[:-1])
-        head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        # the same place twice is one document read twice, not a repetition
-        again = (ids != ids[head]) | (tag != tag[head]) | (start != start[head])
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        *columns, windows = (np.concatenate(c) for c in zip(*self.parts))
         self.parts, self.rows = [], 0
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(group.view(np.int64)),
-                pa.array(hashed.view(np.int64)),
-                pa.array(ids),
-                pa.array(tag),
-                pa.array(start),
-                pa.array(n.astype(np.int32)),
-                pa.array(again),
-            ],
-            names=["group", "hash", "id", "tag", "start", "n", "again"],
+        n = columns[-1]
+        blocks = Places(*columns)
+        # where the windows of each block begin travels along in place of their number
+        out, new, again = Places(*columns[:-1], np.cumsum(n) - n).sorted()
+        at = out.columns[-1]
+        group = out.columns[0]
+        n = blocks.columns[-1][np.searchsorted(np.cumsum(blocks.columns[-1]), at, "right")]
+        out.columns = (*out.columns[:-1], n)
+        # groups of several blocks
+        border = np.ones(len(out), bool)
+        border[1:] = group[1:] != group[:-1]
+        number = np.cumsum(border) - 1
+        several = (np.bincount(number, weights=new) > 1)[number] if len(out) else border
+        yield out.take(again).batch(AGAIN)
+        yield out.take(~again & ~several).batch(BLOCK)
+        marks = out.take(border & several)
+        zero = np.zeros(len(marks), np.int64)
+        yield Places(
+            marks.columns[0], zero.astype(np.uint64), zero, zero.astype(np.int32), zero, zero
+        ).batch(MARK)
+        opened = np.flatnonzero(~again & several)
+        count = n[opened]
+        step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        spread = np.repeat(opened, count)
+        group, _, ids, tag, start, _ = out.take(spread).columns
+        yield window_places(
+            Places(group, windows[at[spread] + step], ids, tag, start + step, np.ones(len(step), np.int32))
         )
 
 
@@ -112,51 +168,52 @@ def _keys(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(rows: DataFrame, window: int) -> DataFrame:
-    """Every block of (id, tag, text): anchor hash, block hash, place and number of windows."""
+    """Places of the blocks of (id, tag, text), or of their windows, reduced by chunk."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = Chunk()
         for part in slices(batches):
             words = Words(part.column("text").to_pylist(), PLAIN, False)
             text, first, last, anchor = anchors(words, window)
+            if not len(text):
+                continue
             hashed = block_hashes(words, first, last, anchor, window)
             ids, tags = _keys(part)
-            group = words.runs(GRAM)[anchor] if len(anchor) else np.empty(0, np.uint64)
-            place = first - words.first[text] if len(text) else text
-            chunk.add(group, hashed, ids[text], tags[text], place, last - first + 1)
+            places = Places(
+                words.runs(GRAM)[anchor], hashed, ids[text], tags[text],
+                first - words.first[text], last - first + 1,
+            )
+            # blocks cover every window once, in order
+            chunk.add(places, words.runs(window)[words.whole(window)])
             if chunk.rows >= CHUNK:
-                yield chunk.flush()
+                yield from chunk.flush()
         if chunk.rows:
-            yield chunk.flush()
+            yield from chunk.flush()
 
     return rows.mapInArrow(cut, PLACES)
 
 
 def judge(places: DataFrame) -> DataFrame:
-    """(id, tag, start, n, again, open) of places that an equal sequence precedes, or may in part.
+    """``places`` with ``again`` (an equal sequence stands earlier) and ``open`` (a block, the first of
+    its kind, whose anchor has another one, or a mark). Marks are dropped.
 
-    ``again``: an equal sequence stands earlier. ``open``: the first of its kind, but another
-    sequence shares the group.
+    Dealt by anchor for blocks and by sequence for windows; repetitions only pass through.
     """
-    ahead = F.struct("id", "tag", "start")
-    # what is known to be a repetition needs no company; it only passes through
-    known = F.when(F.col("again"), F.xxhash64("id", "start")).otherwise(F.col("group"))
-    flagged = places.withColumn("key", known)
-    same = Window.partitionBy("key", "again", "hash").orderBy("id", "tag", "start")
-    group = Window.partitionBy("key", "again")
-    return (
-        flagged.withColumn("head", F.first(ahead).over(same))
-        .withColumn("low", F.min("hash").over(group))
-        .withColumn("high", F.max("hash").over(group))
-        .select(
-            "id",
-            "tag",
-            "start",
-            "n",
-            (F.col("again") | (F.col("head") != ahead)).alias("again"),
-            (~F.col("again") & (F.col("head") == ahead) & (F.col("low") != F.col("high"))).alias("open"),
-        )
-        .where("again or open")
+    kind = F.expr(KIND)
+    own = F.struct("id", "tag", "place")
+    same = Window.partitionBy("group", "hash").orderBy("id", "tag", "place")
+    around = Window.partitionBy("group")
+    judged = (
+        places.repartition("group")
+        .withColumn("head", F.first(own).over(same))
+        .withColumn("low", F.min("hash").over(around))
+        .withColumn("high", F.max("hash").over(around))
+    )
+    again = (kind == AGAIN) | (F.col("head") != own)
+    several = F.col("low") != F.col("high")
+    return judged.where(kind != MARK).select(
+        "group", "hash", "id", "tag", "place",
+        again.alias("again"), ((kind == BLOCK) & ~again & several).alias("open"),
     )
 
 
@@ -164,7 +221,6 @@ def boundary_windows(rows: DataFrame, window: int) -> DataFrame:
     """Every window of the open blocks of (id, tag, text, open): its anchor's and its own hash."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = Chunk()
         for part in slices(batches):
             words = Words(part.column("text").to_pylist(), PLAIN, False)
             grams, runs = words.runs(GRAM), words.runs(window)
@@ -179,36 +235,32 @@ def boundary_windows(rows: DataFrame, window: int) -> DataFrame:
             step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
             start = np.repeat(first[block], count) + step
             of = np.repeat(text[block], count)
-            chunk.add(
-                np.repeat(grams[anchor[block]], count) if len(block) else np.empty(0, np.uint64),
-                runs[start],
-                ids[of],
-                tags[of],
-                start - words.first[of],
-                np.ones(len(start), np.int32),
+            yield window_places(
+                Places(
+                    np.repeat(grams[anchor[block]], count), runs[start], ids[of], tags[of],
+                    start - words.first[of], np.ones(len(start), np.int32),
+                )
             )
-            if chunk.rows >= CHUNK:
-                yield chunk.flush()
-        if chunk.rows:
-            yield chunk.flush()
 
     return rows.mapInArrow(cut, PLACES)
 
 
 def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
     """(id, tag, spans): first words and numbers of windows that stand earlier, by document."""
-    judged = stored(judge(blocks(rows, window)), "judged-blocks")
-    opened = judged.where("open").groupBy("id", "tag").agg(F.collect_set("start").alias("open"))
-    edges = stored(
-        judge(boundary_windows(rows.join(opened, ["id", "tag"]), window)).where("again"),
-        "judged-windows",
-    )
-    again = judged.where("again").select("id", "tag", "start", "n")
-    return (
-        again.unionByName(edges.select("id", "tag", "start", "n"))
-        .groupBy("id", "tag")
-        .agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    is_window = F.expr(KIND) == WINDOW
+    judged = judge(blocks(rows, window))
+    judged = stored(judged.where(F.col("again") | F.col("open") | is_window), "judged-blocks")
+    opened = judged.where("open").groupBy("id", "tag").agg(
+        F.collect_set(F.expr(START)).alias("open")
     )
+    more = boundary_windows(rows.join(opened, ["id", "tag"]), window)
+    waiting = judged.where(is_window & ~F.col("again")).select(more.columns)
+    # what is a repetition already needs no second look
+    found = judged.where("again").select("id", "tag", "place")
+    edges = judge(more.unionByName(waiting)).where("again").select("id", "tag", "place")
+    edges = stored(edges, "judged-windows")
+    span = F.struct(F.expr(START).alias("start"), F.expr(COUNT).cast("int").alias("n"))
+    return found.unionByName(edges).groupBy("id", "tag").agg(F.collect_set(span).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
