@@ -3,41 +3,39 @@
 A large star links every larger neighbour of a node to the smallest node around it, a small star
 links the smaller neighbours. Both keep components as they are, and alternating them ends in one
 star per component after a logarithmic number of rounds. Each half is one pre-aggregated minimum
-per node and one join, salted so that the links of a node in millions of links are dealt to
-several tasks; every round is stored in the shared folder.
+per node and one join, which the adaptive skew join splits where a node has millions of links; every
+round is one job, stored in the shared folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wardline.llm.tables import stored
 
-SALTS = 8
 
-
-def _toward_least(links: DataFrame, larger_only: bool) -> DataFrame:
-    """For links (u, v): every v (and u) linked to the least node around u."""
+def _around_least(links: DataFrame, larger_only: bool) -> DataFrame:
+    """For links (u, v): every v, and for a small star every u too, linked to the least around u."""
     least = links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    if larger_only:
-        salted = salted.where(F.col("v") > F.col("u"))
-        around = salted.join(least, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        own = least.where(F.col("salt") == 0).select("u", F.col("m").alias("v"))
-        others = salted.join(least, ["u", "salt"]).select(
-            F.col("v").alias("u"), F.col("m").alias("v")
-        )
-        around = own.unionByName(others)
-    return around.where(F.col("u") != F.col("v")).distinct()
-
-
-def _state(links: DataFrame) -> tuple:
-    return tuple(
-        links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.hash("u", "v"), F.lit(97)))).first()
+    others = links.where(F.col("v") > F.col("u")) if larger_only else links
+    around = others.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    if not larger_only:
+        around = around.unionByName(least.select("u", F.col("m").alias("v")))
+    return around.where(F.col("u") != F.col("v"))
+
+
+def _stored_state(links: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """The stored distinct links, and figures that change whenever they do."""
+    seen = Observation()
+    watched = links.distinct().observe(
+        seen,
+        F.count(F.lit(1)).alias("n"),
+        F.bit_xor(F.xxhash64("u", "v")).alias("x"),
+        F.sum(F.pmod(F.hash("u", "v"), F.lit(97))).alias("s"),
     )
+    table = stored(watched, name)
+    return table, tuple(seen.get[k] for k in ("n", "x", "s"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -49,13 +47,11 @@ def components(links: DataFrame) -> DataFrame:
     links = links.where(F.col("u") != F.col("v")).select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
-    links = stored(links.distinct(), "links")
-    before = _state(links)
+    links, before = _stored_state(links, "links")
     while before[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = stored(_toward_least(both, True), "large-star")
-        links = stored(_toward_least(large, False), "small-star")
-        now = _state(links)
+        small = _around_least(_around_least(both, True), False)
+        links, now = _stored_state(small, "stars")
         if now == before:
             break
         before = now
