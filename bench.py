@@ -29,9 +29,12 @@ HEADLINE = (
     "priority_sample",
     "window_summary",
     "batch_request",
+    "complete_windows",
     "rule_tag_trend",
     "strategic_summary",
     "query_events",
+    "ip_drilldown",
+    "export_csv",
     "analysis_stream",
     "daily_spend",
     "budget_gate",

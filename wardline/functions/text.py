@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# --- Fixed values: formats of model responses and the score bands ------------------
+FENCE = r"```(?:json)?\s*\n([\s\S]*?)\n```"
+MARKER = r"\[{kind}::([^\]]+)\]"
+BANDS = ((80, "critical"), (60, "high"), (40, "medium"))
+# ------------------------------------------------------------------------------------
+
 
 def preview(text: Column, size: int = 500) -> Column:
     """Cut to ``size`` characters, with '...' only when something was cut."""
@@ -15,18 +21,15 @@ def preview(text: Column, size: int = 500) -> Column:
 
 
 def score_band(score: Column) -> Column:
-    return (
-        F.when(score.isNull(), "")
-        .when(score >= 80, "critical")
-        .when(score >= 60, "high")
-        .when(score >= 40, "medium")
-        .otherwise("low")
-    )
+    band = F.when(score.isNull(), "")
+    for least, name in BANDS:
+        band = band.when(score >= least, name)
+    return band.otherwise("low")
 
 
 def entity_refs(text: Column, kind: str) -> Column:
     """All X of ``[kind::X]`` markers, in order."""
-    return F.regexp_extract_all(text, F.lit(rf"\[{kind}::([^\]]+)\]"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(MARKER.replace("{kind}", kind)), F.lit(1))
 
 
 def fenced_json(text: Column) -> Column:
@@ -34,8 +37,7 @@ def fenced_json(text: Column) -> Column:
 
     Null when that is no JSON document.
     """
-    fence = r"```(?:json)?\s*\n([\s\S]*?)\n```"
-    body = F.when(F.regexp_like(text, F.lit(fence)), F.regexp_extract(text, fence, 1)).otherwise(
+    body = F.when(F.regexp_like(text, F.lit(FENCE)), F.regexp_extract(text, FENCE, 1)).otherwise(
         text
     )
     parsed = F.try_parse_json(F.btrim(body, F.lit(" \t\r\n")))

@@ -381,6 +381,7 @@ def batch_request(
     The sample is drawn on narrow rows; the fields of the events it holds, at most ``sample_size``
     a window, are then fetched by window and id.
     """
+    # Member names of the payload, here and in the body below.
     event = F.struct(
         "id",
         F.col("client_ip").alias("clientIP"),

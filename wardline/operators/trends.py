@@ -19,6 +19,7 @@ from wardline.operators.spend import cost_nano, usd
 from wardline.operators.windows import strategic_tier, summary_tier
 from wardline.settings import DEFAULTS, SEVERITIES, Settings
 
+# Columns of the report's window table, in this order.
 WINDOW_TABLE_COLUMNS = (
     "severity",
     "event_count",
@@ -273,6 +274,7 @@ def hourly_request(
     )
     most = settings.summary_max_windows
     is_listed = F.lit(True) if most is None else F.col("_rn") <= most
+    # Member names of the payload.
     entry = F.struct(
         F.col("_rn").alias("n"),
         F.col("window_id").alias("id"),
