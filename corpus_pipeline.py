@@ -28,6 +28,7 @@ def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects; the cutoffs come from the labelled ones among ``docs``."""
+    configure(spark)
     learnt = rules.cutoffs(rules.features(docs), read_table(spark, sf_dir, "labels"))
     judged = rules.verdicts(rules.features(docs, *COLUMNS), stored(learnt, "cutoffs"))
     return judged.where("kept").select("carried.*")
@@ -35,23 +36,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that one of smaller id holds; a text may end up empty."""
+    configure(spark)
     kept = linededup.dedup_lines(docs, carry=("lang", "source"))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each class of near duplicates."""
+    configure(spark)
     return _by_id(docs, neardup.near_duplicates(docs).where("kept"), "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item stands."""
+    configure(spark)
     found = decontam.find_contamination(docs, read_table(spark, sf_dir, "benchmark"))
     return _by_id(docs, found.where("n_hit > 0"), "left_anti")
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document that is left, as digests."""
+    configure(spark)
     return bpe.encode_documents(docs, vocabulary()).select(
         "doc_id",
         F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"),

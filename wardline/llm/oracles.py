@@ -227,7 +227,7 @@ ORACLES["op3_license_scan"] = _license_sql()
 
 
 def _rules_sql(alpha: float = 0.05, delta: float = 0.05) -> str:
-    from wardline.llm.rules import RULES
+    from wardline.llm.rules import PRICE, RULES
 
     part = alpha / len(RULES)
     values = "\nunion all ".join(
@@ -283,8 +283,8 @@ with docs as (
         + (n - i) * ln(1 - {part})) for i in range(k + 1)]) end as chance
   from tests
 ), best as (
-  select stratum, rule, max((bad, cutoff)) as b from judged
-  where chance <= level and bad > 0 group by stratum, rule
+  select stratum, rule, max((bad - {PRICE} * k, cutoff)) as b from judged
+  where chance <= level and bad > {PRICE} * k group by stratum, rule
 ), rejected as (
   select distinct l.doc_id from long l join best b on l.stratum = b.stratum and l.rule = b.rule
   where l.value > b.b[2]

@@ -4,8 +4,9 @@ Every rule is a per-mille figure of a text and rejects above a cutoff. Labelled
 holdout: of the ``n`` good ones of a stratum (its language) a cutoff rejects ``k``. It is valid if the
 exact one-sided binomial bound on its false rejection rate lies below ``alpha`` at a confidence that
 is corrected (Bonferroni) for all strata, rules and cutoffs tested, so that with probability
-``1 - delta`` every cutoff in use keeps the rate. Of the valid cutoffs the one that rejects most of the
-bad documents is used, the most lenient of equals; a rule that rejects none of them stays off.
+``1 - delta`` every cutoff in use keeps the rate. Of the valid cutoffs the one that gains most is used, the
+most lenient of equals: a bad document that it rejects counts one, a good one costs ``PRICE``. A rule
+that gains nothing stays off.
 
 Only column expressions and joins. Texts are read once for the figures, which are stored; what is
 learnt is one row per stratum, joined back with a salt because one language may hold most rows.
@@ -23,6 +24,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 RUN = 5
 SALTS = 64
+#: Bad documents that a rule has to reject for every good one it rejects.
+PRICE = 10
 
 #: Rules by name: per-mille figure as (numerator, denominator), and the cutoffs tried.
 STEPS = (50, 100, 150, 200, 300, 400, 500, 600, 700, 800, 900, 1000)
@@ -194,9 +197,10 @@ def cutoffs(
     judged = tests.withColumn("level", level).withColumn(
         "chance", binomial_tail(F.col("k").cast("double"), F.col("n").cast("double"), part)
     )
-    valid = judged.where((F.col("chance") <= F.col("level")) & (F.col("bad") > 0))
+    judged = judged.withColumn("gain", F.col("bad") - PRICE * F.col("k"))
+    valid = judged.where((F.col("chance") <= F.col("level")) & (F.col("gain") > 0))
     best = valid.groupBy("stratum", "rule").agg(
-        F.max(F.struct("bad", "cutoff"))["cutoff"].cast("long").alias("cutoff")
+        F.max(F.struct("gain", "cutoff"))["cutoff"].cast("long").alias("cutoff")
     )
     columns = [F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES]
     return best.groupBy("stratum").agg(*columns)
