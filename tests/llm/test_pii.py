@@ -56,6 +56,20 @@ def test_base_spans():
     assert pii.spans_of(ODD[5])[0] == []
 
 
+def test_assigned_values_reach_their_end():
+    value = "a1-B_c.9" * 700
+    for text in (f"token={value}", f'secret: "{value}" and more', f"api_key = '{value}', x"):
+        at = text.index(value)
+        assert [c[:3] for c in pii.spans_of(text)[1] if c[0] == 6] == [(6, at, at + len(value))]
+    # signs inside a value start values that end with it; all are read once
+    nested = "abc=" * 100_000 + "x9yzw8vu"
+    found = pii.spans_of(nested)[1]
+    assert len(found) == 100_000 and {c[2] for c in found} == {len(nested)}
+    odd = "token=abc=de1:f2=\u00e9\u00c9x=12345678:key==9 pass:'ab=c' secret=A1b2C3d4 key=key=key=11111111"
+    for kind, start, end, marks in pii.spans_of(odd)[1]:
+        assert marks == pii.cell(odd, (kind, start, end), (kind, start, end) in pii.spans_of(odd)[0])
+
+
 def test_em_finds_reliable_labelers():
     rng = np.random.RandomState(1)
     real = rng.rand(4000) < 0.3
@@ -94,6 +108,16 @@ def test_added_spans(spark):
     ]
 
 
+def test_long_secret_is_added_whole(spark):
+    value = "eyJhbGciOi9" * 500
+    rows = [(i, f"password=hunter2abc{i} here") for i in range(60)]
+    rows += [(100 + i, f"version 999.{i}.1.2 page 4111 1111 1111 1112 of it") for i in range(60)]
+    rows += [(200, f"the token={value} ends")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(docs).collect()}
+    assert [(s.kind, s.start, s.end) for s in got[200]] == [(6, 10, 10 + len(value))]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find_personal_data(docs).count() == 0

@@ -37,7 +37,10 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 # Looser patterns of candidates.
 LOCAL_PHONE = re.compile(r"(?<![\w+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])")
 NATIONAL_ID = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
-ASSIGNED = re.compile(r"""[\x20"']*([^\s"',;]{8,200})""")
+# What may stand between a sign and its value, and a value: however long, it is one to its end.
+LEAD = re.compile(r"""[\x20"']*+""")
+VALUE = re.compile(r"""[^\s"',;]*+""")
+LEAST_VALUE = 8
 ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])[A-Z]{4}[A-Z0-9]{16}(?![A-Za-z0-9])")
 
 # Gazetteers and context words of the labelers.
@@ -56,6 +59,9 @@ CONTEXT = {
 AGAINST = frozenset("version page section figure isbn order chapter no number build".split())
 LABELERS = ("format", "gazetteer", "context", "surroundings", "letters")
 
+#: Number of digits, whether it holds a letter, number of distinct characters of a span.
+Content = tuple[int, bool, int]
+
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Matches of the base pattern, one '@' after the other: all starts before it share its end."""
@@ -105,25 +111,60 @@ def spans_of(text: str) -> tuple[list, list]:
         loose += [(4, *m.span()) for m in LOCAL_PHONE.finditer(text)]
         loose += [(5, *m.span()) for m in NATIONAL_ID.finditer(text)]
     loose += [(6, *m.span()) for m in ACCESS_KEY.finditer(text)]
-    for m in re.finditer("[=:]", text):
-        value = ASSIGNED.match(text, m.end())
-        name = re.search(r"([A-Za-z_-]{3,20})[\x20\"']{0,2}$", text[max(0, m.start() - 24) : m.start()])
-        if value and name:
-            loose.append((6, *value.span(1)))
-    valid = set(base)
-    cells = [(*s, cell(text, s, s in valid)) for s in sorted(valid | set(loose))]
+    assigned = list(assignments(text))
+    loose += [(6, *s) for s in assigned]
+    valid, known = set(base), contents(text, assigned)
+    cells = [
+        (*s, cell(text, s, s in valid, known.get(s[1:]) if s[0] == 6 else None))
+        for s in sorted(valid | set(loose))
+    ]
     return sorted(base, key=lambda s: (s[1], s[0])), cells
 
 
-def votes(text: str, span: tuple[int, int, int], valid: bool) -> list[int]:
+def assignments(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of every assigned value; values with signs in them share their end, found once."""
+    until = 0
+    for m in re.finditer("[=:]", text):
+        start = LEAD.match(text, m.end()).end()
+        if start >= until:
+            until = VALUE.match(text, start).end()
+        if until - start >= LEAST_VALUE and re.search(
+            r"([A-Za-z_-]{3,20})[\x20\"']{0,2}$", text[max(0, m.start() - 24) : m.start()]
+        ):
+            yield start, until
+
+
+def contents(text: str, spans: list[tuple[int, int]]) -> dict[tuple[int, int], Content]:
+    """Content of spans in order, those of one end nested: every character is read once."""
+    out: dict[tuple[int, int], Content] = {}
+    digits, letters, distinct, low, last = 0, False, set(), 0, -1
+    for start, end in reversed(spans):
+        if end != last:
+            digits, letters, distinct, low, last = 0, False, set(), end, end
+        more = text[start:low]
+        digits += count_digits(more)
+        letters = letters or any(c.isalpha() for c in more)
+        distinct.update(more)
+        low = start
+        out[start, end] = digits, letters, len(distinct)
+    return out
+
+
+def count_digits(part: str) -> int:
+    return sum("0" <= c <= "9" for c in part)
+
+
+def votes(text: str, span: tuple[int, int, int], valid: bool, content: Content) -> list[int]:
     """1 for, -1 against, 0 no opinion, by labeler."""
     kind, start, end = span
-    name, part = KINDS[kind], text[start:end]
-    digits = sum("0" <= c <= "9" for c in part)
+    digits, letters, distinct = content
+    name = KINDS[kind]
+    # of a secret only its start is looked at
+    part = text[start : start + 4] if name == "secret" else text[start:end]
     if name in BASE_KINDS:
         form = 1 if valid else -1
     elif name == "secret":
-        form = 1 if digits >= 2 and any(c.isalpha() for c in part) else -1
+        form = 1 if digits >= 2 and letters else -1
     else:
         form = 1 if digits in (9, 10) else -1
     listed = {
@@ -139,7 +180,7 @@ def votes(text: str, span: tuple[int, int, int], valid: bool) -> list[int]:
     open_sides = (not left or not left.isalnum()) and (not right or not right.isalnum())
     mixed = -1
     if name == "secret":
-        mixed = 1 if len(set(part)) >= 8 and digits else -1
+        mixed = 1 if distinct >= 8 and digits else -1
     elif name != "email":
         mixed = 1 if len(set(only_digits(part))) >= 3 else -1
     else:
@@ -147,11 +188,12 @@ def votes(text: str, span: tuple[int, int, int], valid: bool) -> list[int]:
     return [form, 0 if listed is None else 1 if listed else -1, context, 1 if open_sides else -1, mixed]
 
 
-def cell(text: str, span: tuple[int, int, int], valid: bool) -> str:
+def cell(text: str, span: tuple[int, int, int], valid: bool, content: Content | None = None) -> str:
     """Votes and features of a span in a word: kind, votes, length and digits in buckets."""
     kind, start, end = span
-    marks = "".join("-0+"[v + 1] for v in votes(text, span, valid))
-    digits = sum("0" <= c <= "9" for c in text[start:end])
+    content = content or contents(text, [(start, end)])[start, end]
+    marks = "".join("-0+"[v + 1] for v in votes(text, span, valid, content))
+    digits = content[0]
     size = min(4, (end - start) // 8)
     return f"{kind}{marks}{size}{4 * digits // (end - start)}"
 
