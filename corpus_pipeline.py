@@ -1,8 +1,8 @@
 """From raw documents to token ids in five stages, each over all that the one before kept.
 
 A stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the next
-one's ``docs``. All but the last return the columns of ``documents``. A document is known by its doc_id;
-rows of one id are kept or dropped together by stages 3 and 4.
+one's ``docs``. All but the last return the columns of ``documents``. Ids may be null or repeated: stages 3
+and 4 number the rows of their input, store it, and judge each row by its own text.
 """
 
 from __future__ import annotations
@@ -20,10 +20,15 @@ from wardline.session import configure
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of ``docs`` with (left_semi) or without (left_anti) an id; a null id is an id."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how)
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number per row that the stored table fixes."""
+    number = F.monotonically_increasing_id().alias("number")
+    return stored(docs.select(*COLUMNS, number), name)
+
+
+def _by_number(rows: DataFrame, numbers: DataFrame, how: str) -> DataFrame:
+    """Rows with (left_semi) or without (left_anti) one of ``numbers``."""
+    return rows.join(numbers.select("number"), "number", how).select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,16 +47,28 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each class of near duplicates."""
+    """The rows of the least id of each class of near duplicates; of a class without ids its first row."""
     configure(spark)
-    return _by_id(docs, neardup.near_duplicates(docs).where("kept"), "left_semi")
+    rows = _numbered(docs, "near-input")
+    found = neardup.near_classes(rows, carry=("number",))
+    # false comes first: a null id is the last
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number")
+    least = found.groupBy("root").agg(F.min(order).alias("least"))
+    kept = (
+        neardup.salted(found, "number")
+        .join(neardup.to_all_salts(least), ["root", "salt"])
+        .where((F.col("doc_id") == F.col("least.doc_id")) | (F.col("number") == F.col("least.number")))
+    )
+    return _by_number(rows, kept, "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item stands."""
     configure(spark)
-    found = decontam.find_contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    return _by_id(docs, found.where("n_hit > 0"), "left_anti")
+    rows = _numbered(docs, "decontamination-input")
+    benchmark = read_table(spark, sf_dir, "benchmark")
+    found = decontam.find_contamination(rows, benchmark, carry=("number",))
+    return _by_number(rows, found.where("n_hit > 0"), "left_anti")
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,23 @@ def test_awkward_rows(spark, sf_dir):
             docs = stored(stage(spark, docs, sf_dir), name)
         # the line dedup empties row 2, the one without an id is near row 1, 3 and 4 have no words
         assert sorted(r.doc_id or 0 for r in docs.collect()) == ([1, 1, 2] if some else [])
+
+
+def test_rows_of_one_id_are_judged_apart(spark, sf_dir):
+    item = max((r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()), key=len)
+    texts = [" ".join(f"{name}{i}" for i in range(40)) for name in "abcdef"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    as_rows = lambda pairs: [(i, t, "en", str(n), n) for n, (i, t) in enumerate(pairs)]
+    a, b, c, d, e, f = texts
+    near = as_rows(
+        [(5, a), (5, b), (1, a), (None, b + " more"), (None, c), (None, c), (None, d), (7, e), (None, e)]
+        + [(8, f), (None, f"{f} more"), (8, b + " more")]
+    )
+    docs = spark.createDataFrame(near, schema).repartition(3)
+    got = sorted(r.n_chars for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect())
+    assert len(got) == 6 and [n for n in got if n not in (4, 5)] == [1, 2, 6, 7, 9]
+    dirty = as_rows([(None, item), (None, a), (7, f"{b} {item}"), (7, b), (8, c), (8, None), (None, "")])
+    docs = spark.createDataFrame(dirty, schema).repartition(3)
+    got = corpus_pipeline.decontamination(spark, docs, sf_dir).collect()
+    assert sorted(r.n_chars for r in got) == [1, 3, 4, 5, 6]
+    assert {tuple(r) for r in got} <= set(dirty)

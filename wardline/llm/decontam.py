@@ -76,9 +76,17 @@ def shingle_filter(windows: DataFrame, bits: int) -> bytes:
 
 
 def candidates(
-    docs: DataFrame, packed: bytes, sizes: list[int], window: int, bits: int
+    docs: DataFrame,
+    packed: bytes,
+    sizes: list[int],
+    window: int,
+    bits: int,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(row, doc_id, n_words, found): shingles that pass the filter, with the words around them."""
+    """(row, doc_id, n_words, found): shingles that pass the filter, with the words around them.
+
+    The columns named in ``carry`` follow.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(packed)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,13 +118,15 @@ def candidates(
                     part.column("doc_id"),
                     pa.array(words.counts, pa.int64()),
                     pa.array(found, pa.list_(_ARROW_CANDIDATE)),
+                    *(part.column(c) for c in carry),
                 ],
-                names=["row", "doc_id", "n_words", "found"],
+                names=["row", "doc_id", "n_words", "found", *carry],
             )
 
-    rows = texts(docs).withColumn("row", F.monotonically_increasing_id())
+    rows = texts(docs, *carry).withColumn("row", F.monotonically_increasing_id())
+    kinds = dict(rows.dtypes)
     schema = f"row long, doc_id long, n_words long, found array<struct<{CANDIDATE}>>"
-    return rows.mapInArrow(scan, schema)
+    return rows.mapInArrow(scan, schema + "".join(f", `{c}` {kinds[c]}" for c in carry))
 
 
 def rarest_shingles(windows: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -172,9 +182,13 @@ def covered(spans: str):
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = 10,
+    shingle: int = 3,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, n_words, n_hit, spans, items) of every row of ``docs``.
+    """(doc_id, n_words, n_hit, spans, items) and the columns in ``carry`` of every row of ``docs``.
 
     ``spans``: sorted (start, n) in words of all window occurrences; ``n_hit``: words under any of
     them; ``items``: distinct item ids with an occurring window, sorted as strings. A null text has
@@ -186,7 +200,7 @@ def find_contamination(
     short = windows.where(F.col("n") < shingle).select("n").distinct().collect()
     sizes = sorted({shingle, *(r.n for r in short)})
     packed = shingle_filter(windows, FILTER_BITS)
-    scanned = stored(candidates(docs, packed, sizes, window, FILTER_BITS), "candidates")
+    scanned = stored(candidates(docs, packed, sizes, window, FILTER_BITS, carry), "candidates")
     hits = stored(occurrences(scanned, rarest_shingles(windows, scanned)), "occurrences")
     spans = hits.groupBy("row").agg(
         F.sort_array(F.collect_set(F.struct("start", "n"))).alias("spans")
@@ -201,7 +215,7 @@ def find_contamination(
     )
     none = F.array().cast("array<struct<start:int,n:int>>")
     return (
-        scanned.select("row", "doc_id", "n_words")
+        scanned.select("row", "doc_id", "n_words", *carry)
         .join(spans, "row", "left")
         .join(items, "row", "left")
         .select(
@@ -210,5 +224,6 @@ def find_contamination(
             F.coalesce(covered("spans"), F.lit(0).cast("long")).alias("n_hit"),
             F.coalesce("spans", none).alias("spans"),
             F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+            *carry,
         )
     )

@@ -100,8 +100,8 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if both else 0.0
 
 
-def signatures(docs: DataFrame, k: int, shingle: int) -> DataFrame:
-    """(content, weight, signature) of rows of (content, text)."""
+def signatures(docs: DataFrame, k: int, shingle: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, content, weight, signature) and ``carry`` of rows of (doc_id, content, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -116,12 +116,14 @@ def signatures(docs: DataFrame, k: int, shingle: int) -> DataFrame:
                     part.column("content"),
                     pa.array(weight, pa.int64()),
                     pa.ListArray.from_arrays(offsets, pa.array(found.reshape(-1), pa.int32())),
+                    *(part.column(c) for c in carry),
                 ],
-                names=["doc_id", "content", "weight", "signature"],
+                names=["doc_id", "content", "weight", "signature", *carry],
             )
 
+    kinds = dict(docs.dtypes)
     schema = "doc_id long, content binary, weight long, signature array<int>"
-    return docs.mapInArrow(sign, schema)
+    return docs.mapInArrow(sign, schema + "".join(f", `{c}` {kinds[c]}" for c in carry))
 
 
 def salted(df: DataFrame, by: str) -> DataFrame:
@@ -293,28 +295,26 @@ def links(
     return near.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
-def near_duplicates(
+def near_classes(
     docs: DataFrame,
     threshold: float = 0.8,
     bands: int = 24,
     rows: int = 4,
     shingle: int = SHINGLE,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, class_id, n_class, kept) of every row of ``docs``.
-
-    Classes are the connected components of all links: pairs of texts with a weighted Jaccard
-    similarity of at least ``threshold`` on shingles of lower-cased words, a text of fewer words
-    being one shingle. ``class_id`` is the least doc_id of the class and ``n_class`` its rows;
-    ``kept`` holds for the rows of that doc_id. A null or empty text, or one without words, is like
-    no other and equal only to the same text. A null doc_id is in a class like any other row, but
-    names none and is never kept unless the class has no other id (class_id is then null).
-    At 24 bands of 4 rows a pair at the threshold shares no bucket with probability 3e-6.
+    """(doc_id, root) of every row of ``docs``, stored, with the columns named in ``carry``.
+
+    ``root`` numbers the class, the connected component of all links: pairs of texts with a weighted
+    Jaccard similarity of at least ``threshold`` on shingles of lower-cased words, a text of fewer
+    words being one shingle. A null or empty text, or one without words, is like no other and equal
+    only to the same text. At 24 bands of 4 rows a pair at the threshold shares no bucket with
+    probability 3e-6.
     """
     k = bands * rows
-    rows_in = texts(docs).select(
-        "doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("content")
-    )
-    signed = stored(signatures(rows_in, k, shingle), "signed")
+    content = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("content")
+    rows_in = texts(docs, *carry).select("doc_id", "text", content, *carry)
+    signed = stored(signatures(rows_in, k, shingle, carry), "signed")
     # equal texts are one node, named by a number that the stored table fixes
     nodes = (
         signed.withColumn("n", F.monotonically_increasing_id())
@@ -349,8 +349,24 @@ def near_duplicates(
     named = nodes.join(labels, "node", "left").select(
         "content", F.coalesce("root", "node").alias("root")
     )
-    rows_out = signed.select("doc_id", "content").join(named, "content").select("doc_id", "root")
-    rows_out = stored(rows_out, "classes")
+    rows_out = signed.select("doc_id", "content", *carry).join(named, "content")
+    return stored(rows_out.select("doc_id", "root", *carry), "classes")
+
+
+def near_duplicates(
+    docs: DataFrame,
+    threshold: float = 0.8,
+    bands: int = 24,
+    rows: int = 4,
+    shingle: int = SHINGLE,
+) -> DataFrame:
+    """(doc_id, class_id, n_class, kept) of every row of ``docs``, by the classes of ``near_classes``.
+
+    ``class_id`` is the least doc_id of the class and ``n_class`` its rows; ``kept`` holds for the
+    rows of that doc_id. A null doc_id is in a class like any other row, but names none and is never
+    kept unless the class has no other id (class_id is then null).
+    """
+    rows_out = near_classes(docs, threshold, bands, rows, shingle)
     classes = rows_out.groupBy("root").agg(
         F.min("doc_id").alias("class_id"), F.count("*").alias("n_class")
     )
