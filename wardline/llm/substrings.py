@@ -1,15 +1,16 @@
-"""Removal of repeated word sequences by relative Lempel-Ziv parsing against indexed blocks.
+"""Removal of repeated word sequences by anchored blocks and window checks, in place of a greedy parse.
 
 Every document is cut into reference blocks by content: a block is the run of windows (``window`` words
 each) that share their anchor, the least hash of ``GRAM`` consecutive words in the window. Equal windows
 have the same anchor at the same place, wherever they stand, so one index by anchor finds them all. All
-blocks of all documents are indexed; a document is factored greedily against the blocks that start
-earlier (smaller id, or earlier in the same document): whole equal blocks make up a factor and need no
-further look. At a factor's boundaries blocks share the anchor but not all their words; only those are
-checked window by window. Windows met earlier become spans, and spans that touch merge.
+blocks of all documents are indexed, and each is judged on its own against the blocks that start
+earlier (smaller id, or earlier in the same document): one equal to such a block is a repetition and needs
+no further look. Blocks that share the anchor but not all their words are checked window by window.
+Windows met earlier become spans, and spans that touch merge. There is no relative Lempel-Ziv parse: no
+factor is extended across blocks and no factor's length is tested.
 
 Blocks travel as 64-bit hashes, not as words; a task keeps only the first of equal blocks it reads (the
-others are factors at once), so a passage in a third of all documents is a few rows per task. Where a
+others are repetitions at once), so a passage in a third of all documents is a few rows per task. Where a
 task itself sees an anchor with several blocks, as at the ends of such a passage, it hands on their
 windows, keyed by window, and one mark for the anchor: no anchor gathers more rows than there are
 chunks. An anchor and a block's hash are compared together. Spans and boundary windows are stored in
