@@ -18,6 +18,7 @@ from wardline.llm import (
     rules,
     sharding,
     substrings,
+    tokencounts,
 )
 from wardline.llm.tables import read_table, stored
 from wardline.session import configure
@@ -41,6 +42,14 @@ def vocabulary() -> str:
         return file.read()
 
 
+def piece_model() -> bytes:
+    """The public piece vocabulary that the queries count and align with."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        return file.read()
+
+
 @query
 def op1_sharding(spark, sf):
     return sharding.assign_shards(read_table(spark, sf, "documents")).select(
@@ -145,3 +154,9 @@ def op9_bpe(spark, sf):
 @query
 def op10_near_dedup(spark, sf):
     return neardup.near_duplicates(read_table(spark, sf, "documents"))
+
+
+@query
+def op11_token_counts(spark, sf):
+    counted = tokencounts.count_tokens(read_table(spark, sf, "documents"), piece_model())
+    return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
