@@ -296,3 +296,24 @@ from figures f left join rejected r on f.doc_id = r.doc_id
 
 
 ORACLES["op4_quality_rules"] = _rules_sql()
+
+ORACLES["op12_hard_negatives"] = """
+with rows as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    [floor(256 * cast(x as double)) for x in embedding] as v
+  from embeddings where label is not null and embedding is not null
+    and coalesce(list_bool_and([x is not null and isfinite(x) for x in embedding]), true)
+), scores as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+    cast(list_inner_product(a.v, b.v) as bigint) as score
+  from rows a join rows b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0
+), positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scores where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select p.anchor_id, p.positive_id, s.vec_id as negative_id, p.positive_score, s.score as negative_score,
+  cast(row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) as integer) as rank
+from positives p join scores s on s.anchor_id = p.anchor_id and not s.same
+where 50 * p.positive_score <= 100 * s.score and 100 * s.score <= 95 * p.positive_score
+qualify rank <= 3
+"""

@@ -14,6 +14,7 @@ from wardline.llm import (
     licenses,
     linededup,
     neardup,
+    negatives,
     pii,
     rules,
     sharding,
@@ -160,3 +161,11 @@ def op10_near_dedup(spark, sf):
 def op11_token_counts(spark, sf):
     counted = tokencounts.count_tokens(read_table(spark, sf, "documents"), piece_model())
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@query
+def op12_hard_negatives(spark, sf):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_negatives(
+        read_table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, label=moved
+    )
