@@ -9,7 +9,7 @@ import public_tokenizers  # noqa: E402
 import sentencepiece  # noqa: E402
 
 from wardline.llm import tokencounts  # noqa: E402
-from wardline.llm.pieces import Pieces, chunk_parts, chunks  # noqa: E402
+from wardline.llm.pieces import Pieces, chunk_parts, chunks, spelled  # noqa: E402
 from wardline.llm.queries import QUERIES, piece_model  # noqa: E402
 
 ODD = [
@@ -21,6 +21,7 @@ ODD = [
     "\nx",
     "\r\r\n \r",
     "▁a ▁▁ b▁c ▁",
+    "plain words\nin lines\nof a text",
     "<s>a</s><unk> <0x41>\x00b\x00",
     "　x　 y z ",
     "ﬁ½ ① é 日本語テキスト😀😀 \x1c\x1d",
@@ -43,7 +44,7 @@ def test_chunks_encode_as_whole_texts(library):
     pieces = Pieces(piece_model())
     for text in ODD + random_texts():
         found = chunks(text)
-        assert "".join(found) == (" " + text if text else "")
+        assert "".join(map(spelled, found)) == (" " + text if text else "")
         assert [c for part in chunk_parts(text, 7) for c in part] == found
         ids = [i for code in (pieces.encode(found) if found else []) for i in code]
         assert ids == library.encode(text)
@@ -51,10 +52,11 @@ def test_chunks_encode_as_whole_texts(library):
 
 def test_small_memory_and_table(library):
     pieces = Pieces(piece_model())
-    lengths = tokencounts.Lengths(pieces, [" a"], [1], memory=2)
-    for text in ODD + random_texts(100):
-        assert lengths.count(text) == len(library.encode(text))
-        assert len(lengths.seen) <= 2
+    lengths = tokencounts.Lengths(pieces, ["a"], [1], memory=2)
+    for text in [None, *ODD, *random_texts(100)]:
+        assert lengths.counts([text, "a"]) == [len(library.encode(text or "")), 1]
+    lengths.learn([["b"]])
+    assert len(lengths.known) <= 1 + 1
 
 
 def test_summary_keeps_the_frequent():

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.pieces import Pieces, chunk_parts, loaded
+from wardline.llm.pieces import Pieces, chunk_parts, loaded, together
 from wardline.llm.tables import slices, stored, texts
 
 #: Pre-tokens in the table, and those that a summary counts; longer ones than this are in neither.
@@ -33,7 +33,7 @@ FREQUENT = 65_536
 SUMMARY = 131_072
 LONGEST = 64
 #: Pre-tokens that a worker remembers; beyond it the memory starts afresh.
-MEMORY = 300_000
+MEMORY = 500_000
 #: Summaries merged by one task.
 FAN_IN = 32
 
@@ -125,25 +125,31 @@ def frequent_words(docs: DataFrame, size: int = FREQUENT) -> list[str]:
     return sorted(w for _, w in order)
 
 
-class Lengths(dict):
-    """Lengths of the frequent pre-tokens; what it lacks is encoded, and remembered if it is short."""
+class Lengths:
+    """Lengths of the frequent pre-tokens, and of those that a worker has met besides."""
 
     def __init__(self, pieces: Pieces, words: list[str], lengths: list[int], memory: int = MEMORY) -> None:
-        super().__init__(zip(words, lengths))
-        self.pieces, self.memory, self.seen = pieces, memory, {}
-
-    def __missing__(self, word: str) -> int:
-        known = self.seen.get(word)
-        if known is None:
-            known = len(self.pieces.encode([word])[0])
-            if len(word) <= LONGEST:
-                if len(self.seen) >= self.memory:
-                    self.seen.clear()
-                self.seen[word] = known
-        return known
-
-    def count(self, text: str) -> int:
-        return sum(sum(map(self.__getitem__, found)) for found in chunk_parts(text))
+        self.pieces, self.memory = pieces, memory
+        self.table = dict(zip(words, lengths))
+        self.known = dict(self.table)
+
+    def learn(self, found: list[list[str]]) -> None:
+        """Encode what neither tier knows, all at once."""
+        if len(self.known) > len(self.table) + self.memory:
+            self.known = dict(self.table)
+        new = list(set().union(*found).difference(self.known))
+        if new:
+            self.known.update(zip(new, map(len, self.pieces.encode(new))))
+
+    def counts(self, texts: list[str | None]) -> list[int]:
+        """Tokens of each text; all short ones together, a long one in parts."""
+        out = [0] * len(texts)
+        for at, found in together(texts):
+            self.learn(found)
+            length = self.known.__getitem__
+            for i, words in zip(at, found):
+                out[i] += sum(map(length, words))
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -170,7 +176,7 @@ def count_tokens(docs: DataFrame, model: bytes, words: list[str] | None = None)
         lengths = lengths_of(*shared.value)
         for part in slices(batches):
             found = part.column("text")
-            counts = [lengths.count(t) if t else 0 for t in found.to_pylist()]
+            counts = lengths.counts(found.to_pylist())
             size = pc.binary_length(found).fill_null(0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), size, pa.array(counts, pa.int64())],
