@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm import (
+    alignment,
     bpe,
     classifier,
     decontam,
@@ -43,6 +44,14 @@ def vocabulary() -> str:
         return file.read()
 
 
+def byte_vocabulary() -> str:
+    """The public byte-level vocabulary that the alignment query sets against the pieces."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return file.read()
+
+
 def piece_model() -> bytes:
     """The public piece vocabulary that the queries count and align with."""
     import public_tokenizers
@@ -169,3 +178,10 @@ def op12_hard_negatives(spark, sf):
     return negatives.mine_negatives(
         read_table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, label=moved
     )
+
+
+@query
+def op13_alignment(spark, sf):
+    return alignment.align_documents(
+        read_table(spark, sf, "documents"), byte_vocabulary(), piece_model()
+    )
