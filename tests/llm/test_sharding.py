@@ -19,16 +19,19 @@ def cell(text):
 
 def brute(rows, shards, nodes, load):
     """One key after the other: ring order to the owner, the rest clockwise to free places."""
-    points = {}
+    points, nodes_of = {}, defaultdict(set)
     for s in range(shards):
         for v in range(nodes):
-            c = cell(f"shard {s} node {v}")
-            points[c] = min(points.get(c, s), s)
+            name = f"shard {s} node {v}"
+            mark = md5(name.encode()).hexdigest(), s
+            points[cell(name)] = min(points.get(cell(name), mark), mark)
+            nodes_of[cell(name)].add(s)
+    points = {c: s for c, (_, s) in points.items()}
     ring = sorted(points)
     place = lambda i: cell("" if i is None else str(i))
     owner = lambda c: points[next((p for p in ring if p >= c), ring[0])]
     keys = sorted(
-        (place(i), i is not None, i or 0, zlib.crc32((t or "").encode()), len((t or "").encode()) + 16)
+        (place(i), zlib.crc32((t or "").encode()) % sharding.BLOCKS, i is not None, i or 0)
         for i, t in rows
     )
     total = max(len(rows), int(len(rows) * load))
@@ -42,26 +45,26 @@ def brute(rows, shards, nodes, load):
             moving.append(k)
     free = {}
     for s in range(shards):
-        own = [c for c in ring if points[c] == s]
+        own = [c for c in ring if s in nodes_of[c]]
         left = capacity[s] - load_of[s]
         for i, c in enumerate(own):
-            free[c] = left // len(own) + (i < left % len(own))
+            free[c, s] = left // len(own) + (i < left % len(own))
     # first in, first out around the ring, from a point where nobody waits
     by_cell = defaultdict(list)
     for k in moving:
         by_cell[k[0]].append(k)
     balance, least, start = 0, None, 0
     for c in range(sharding.CELLS):
-        balance += len(by_cell[c]) - free.get(c, 0)
+        balance += len(by_cell[c]) - sum(free.get((c, s), 0) for s in nodes_of.get(c, ()))
         if least is None or balance < least:
             least, start = balance, c + 1
     waiting = []
     for turn in range(sharding.CELLS):
         c = (start + turn) % sharding.CELLS
         waiting += by_cell[c]
-        taken = min(len(waiting), free.get(c, 0))
-        if taken:
-            load_of[points[c]] += taken
+        for s in sorted(nodes_of.get(c, ())):
+            taken = min(len(waiting), free[c, s])
+            load_of[s] += taken
             waiting = waiting[taken:]
     assert not waiting
     return load_of, capacity
@@ -87,6 +90,28 @@ def test_balance_and_slots(spark, load):
         assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
 
 
+@pytest.mark.parametrize("shards, nodes", [(500, 1), (3000, 40)])
+def test_many_shards_keep_every_row(spark, shards, nodes):
+    """More nodes than cells: shards that own no cell still get their share."""
+    docs = spark.range(6100).selectExpr("id as doc_id", "'t' as text")
+    got = sharding.assign_shards(docs, shards=shards, nodes=nodes).collect()
+    assert sorted(r.doc_id for r in got) == list(range(6100))
+    sizes = Counter(r.shard for r in got)
+    assert len(sizes) == shards and max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def test_null_ids_of_many_texts(spark):
+    docs = spark.range(20000).selectExpr(
+        "if(id % 3 = 0, id, null) as doc_id", "concat('text ', id) as text", "id as within"
+    )
+    got = sharding.assign_shards(docs, shards=7, nodes=64)
+    slots = defaultdict(list)
+    for r in got.collect():
+        slots[r.shard].append(r.slot)
+    assert sum(map(len, slots.values())) == 20000
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 def test_few_rows_leave_their_owner(spark):
     docs = spark.range(20000).selectExpr("id as doc_id", "'t' as text")
     got = sharding.assign_shards(docs, shards=10, nodes=256)

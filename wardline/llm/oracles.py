@@ -119,7 +119,7 @@ def _cell(text: str) -> str:
     return f"('0x' || substr(md5({text}), 1, 4))::bigint"
 
 
-_RING_ORDER = "cell, doc_id nulls first, text_crc32, size"
+_RING_ORDER = "cell, text_crc32 % 4096, doc_id nulls first, text_crc32, size"
 
 # The same ring and queue as one sequence: rows numbered along the ring, places opened along the ring.
 ORACLES["op1_sharding"] = f"""
@@ -130,13 +130,16 @@ docs as (
     {_cell("coalesce(cast(doc_id as varchar), '')")} as cell
   from documents, crc_table
 ), points as (
-  select cell, min(shard) as shard from (
-    select s as shard, {_cell("'shard ' || s || ' node ' || v")} as cell
+  select cell, shard, min(hash) as hash from (
+    select s as shard, {_cell("'shard ' || s || ' node ' || v")} as cell,
+      md5('shard ' || s || ' node ' || v) as hash
     from range(40) a(s), range(256) b(v)
-  ) group by cell
+  ) group by cell, shard
+), owners as (
+  select cell, arg_min(shard, hash) as shard from points group by cell
 ), owned as (
-  select d.*, coalesce(p.shard, (select arg_min(shard, cell) from points)) as owner
-  from docs d asof left join points p on d.cell <= p.cell
+  select d.*, coalesce(p.shard, (select arg_min(shard, cell) from owners)) as owner
+  from docs d asof left join owners p on d.cell <= p.cell
 ), numbered as (
   select *, row_number() over (partition by owner order by {_RING_ORDER}) - 1 as r from owned
 ), limits as (
@@ -158,16 +161,17 @@ docs as (
   select c.cell, sum(coalesce(m.go, 0) - coalesce(d.places, 0)) over (order by c.cell) as waiting
   from (select unnest(range(65536)) as cell) c
   left join (select cell, count(*) as go from placed where not stays group by cell) m on c.cell = m.cell
-  left join dealt d on c.cell = d.cell
+  left join (select cell, sum(places) as places from dealt group by cell) d on c.cell = d.cell
 ), start as (
   select cell + 1 as origin from balance order by waiting, cell limit 1
 ), queue as (
   select p.*, row_number() over (
-    order by (p.cell - s.origin + 65536) % 65536, doc_id nulls first, text_crc32, size) - 1 as q
+    order by (p.cell - s.origin + 65536) % 65536, text_crc32 % 4096, doc_id nulls first, text_crc32, size
+  ) - 1 as q
   from placed p, start s where not stays
 ), opened as (
   select shard, cell, kept, rank,
-    row_number() over (order by (cell - origin + 65536) % 65536, rank) - 1 as q
+    row_number() over (order by (cell - origin + 65536) % 65536, shard, rank) - 1 as q
   from (select shard, cell, kept, s.origin, unnest(range(places)) as rank from dealt, start s)
 ), moved as (
   select q.doc_id, q.size, q.text_crc32, o.shard,

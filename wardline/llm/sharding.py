@@ -1,15 +1,16 @@
 """Shards by a consistent-hash ring with virtual nodes and bounded loads.
 
 The ring has a fixed number of cells. Every shard has virtual nodes on it; a key belongs to the first
-node at or after its cell. A shard keeps its keys in ring order up to its capacity. Keys beyond it go on
+node at or after its cell. Of nodes that share a cell the one with the least hash owns the keys; the others
+own none there and offer their places all the same, so a shard is never lost, however many there are. A shard keeps its keys in ring order up to its capacity. Keys beyond it go on
 clockwise to the nodes of shards that have room: their free places are dealt over their nodes, and
 the keys queue through them in ring order, each taking the first free place at or after its cell.
 The end of the queue has a closed form (running maxima over cells), so nothing is assigned one by one.
 With many nodes a shard overflows by a few rows in a hundred, and only those leave their ring owner.
 
 Only column expressions, joins and window functions. Texts are read once; from then on rows are three
-numbers, equal rows counted together. Tables of cells have a fixed size; windows over rows are per cell
-of the ring, never per shard.
+numbers, equal rows counted together. Tables of cells have a fixed size; windows over rows are per block
+inside a cell of the ring, never per shard, so null or repeated ids of many texts fill no single task.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wardline.functions.blocked import running_sum
 from wardline.llm.tables import stored, texts
 
 CELLS = 1 << 16
 #: Equal rows are counted in so many groups, so that one row in millions is no single group.
 SALTS = 64
+#: Rows of a cell, first of one id, are numbered in so many blocks, by their text's checksum.
+BLOCKS = 4096
 
 
 def cell(text) -> F.Column:
@@ -43,16 +47,17 @@ def rows_on_ring(docs: DataFrame) -> DataFrame:
 
 
 def virtual_nodes(spark: SparkSession, shards: int, nodes: int) -> DataFrame:
-    """(cell, shard): the nodes on the ring; the lowest shard has a cell that two share."""
+    """(cell, shard, hash): the nodes on the ring; a shard's nodes in one cell are one node."""
     every = spark.range(shards * nodes).select(
-        (F.col("id") / nodes).cast("int").alias("shard"), (F.col("id") % nodes).alias("node")
+        F.floor(F.col("id") / nodes).cast("int").alias("shard"), (F.col("id") % nodes).alias("node")
     )
     name = F.concat_ws(" ", F.lit("shard"), F.col("shard"), F.lit("node"), F.col("node"))
-    return every.groupBy(cell(name).alias("cell")).agg(F.min("shard").alias("shard"))
+    return every.groupBy(cell(name).alias("cell"), "shard").agg(F.min(F.md5(name.cast("binary"))).alias("hash"))
 
 
 def ring(spark: SparkSession, nodes: DataFrame) -> DataFrame:
-    """(cell, owner): who owns each cell, the first node clockwise."""
+    """(cell, owner): who owns each cell, the first node clockwise, of several the one of least hash."""
+    first = nodes.groupBy("cell").agg(F.min_by("shard", F.struct("hash", "shard")).alias("shard"))
     cells = spark.range(CELLS).select(F.col("id").cast("int").alias("cell"))
     # backwards, so that the frame only grows
     onward = Window.orderBy(F.col("cell").desc()).rowsBetween(
@@ -61,7 +66,7 @@ def ring(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     whole = Window.partitionBy(F.lit(1))
     next_node = F.last("shard", ignorenulls=True).over(onward)
     first_node = F.min_by("shard", F.when(F.col("shard").isNotNull(), F.col("cell"))).over(whole)
-    return cells.join(nodes, "cell", "left").select(
+    return cells.join(first, "cell", "left").select(
         "cell", F.coalesce(next_node, first_node).alias("owner")
     )
 
@@ -103,13 +108,15 @@ def assign_shards(
     differ by at most one. ``owner`` is the shard by the ring alone, ``slot`` numbers a shard's rows
     from 0 without gaps: its own in ring order, then those that came on. ``size``: bytes of the text
     plus 16. A null text has no bytes, a null doc_id the cell of an empty text. Equal rows may be
-    dealt over cells that overflow like any others; which of them goes where is immaterial.
+    dealt over cells that overflow like any others; which of them goes where is immaterial. A text of any
+    length is read once, for its size and checksum; an empty table gives no rows; other columns are ignored.
+    Every row gets a place, however many shards and however few nodes there are.
     """
     if load < 1:
         raise ValueError("the load has to leave a place for every row")
     spark = docs.sparkSession
     rows = stored(rows_on_ring(docs), "ring-rows")
-    points = virtual_nodes(spark, shards, nodes)
+    points = stored(virtual_nodes(spark, shards, nodes), "ring-nodes")
     cells = ring(spark, points).join(
         rows.groupBy("cell").agg(F.sum("n").alias("n")), "cell", "left"
     ).withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
@@ -132,12 +139,17 @@ def assign_shards(
         .cast("long").alias("places"),
         F.least("own", "capacity").alias("kept"),
     )
-    queue = stored(_queue(behind, dealt), "ring-queue")
+    inside = Window.partitionBy("cell").orderBy("shard")
+    dealt = stored(dealt.withColumn("behind", before("places", inside)), "ring-places")
+    places = dealt.groupBy("cell").agg(F.sum("places").alias("places"))
+    queue = stored(_queue(behind, places), "ring-queue")
+    waiting, room = queue.agg(F.sum("go"), F.sum("places")).first()
+    if room < waiting:
+        raise RuntimeError(f"{waiting} rows wait for {room} places")
     # rows of a cell in a fixed order
-    inside = Window.partitionBy("cell").orderBy(
-        F.col("doc_id").asc_nulls_first(), "text_crc32", "size", "salt"
-    )
-    groups = rows.withColumn("within", before("n", inside)).join(
+    block = F.col("text_crc32") % BLOCKS
+    order = ["doc_id", "text_crc32", "size", "salt"]
+    groups = running_sum(rows, ["cell"], order, block, "n", "within").join(
         queue.select("cell", "owner", "offset", "stay", "queued", "late"), "cell"
     )
     each = groups.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
@@ -149,9 +161,10 @@ def assign_shards(
     moving = each.where(F.col("at") >= F.col("stay")).withColumn(
         "place", F.col("queued") + F.col("at") - F.col("stay") + F.col("late")
     )
-    open_places = queue.where(F.col("places") > 0).select(
-        F.col("shard"), F.col("cell").alias("node"), "kept",
-        F.posexplode(F.sequence("opened", F.col("opened") + F.col("places") - 1)).alias("i", "place"),
+    opened = F.col("opened") + F.col("behind")
+    open_places = dealt.where(F.col("places") > 0).join(queue.select("cell", "opened"), "cell").select(
+        "shard", F.col("cell").alias("node"), "kept",
+        F.posexplode(F.sequence(opened, opened + F.col("places") - 1)).alias("i", "place"),
     )
     arrived = moving.select("doc_id", "size", "text_crc32", "owner", "place").join(open_places, "place")
     used = arrived.groupBy("shard", "node").agg(F.count("*").alias("used"))
@@ -163,13 +176,13 @@ def assign_shards(
     return settled.unionByName(arrived)
 
 
-def _queue(behind: DataFrame, dealt: DataFrame) -> DataFrame:
+def _queue(behind: DataFrame, places: DataFrame) -> DataFrame:
     """By cell, from the point where nobody waits: keys queued, places opened, and the delay.
 
     Key ``q`` of the queue takes place ``q + late``, the greatest lead of places over keys at any
     cell with keys up to its own: places that opened before a key came are of no use to it.
     """
-    cells = behind.join(dealt, "cell", "left").withColumn(
+    cells = behind.join(places, "cell", "left").withColumn(
         "places", F.coalesce("places", F.lit(0).cast("long"))
     )
     along = Window.partitionBy(F.lit(1)).orderBy("cell")
