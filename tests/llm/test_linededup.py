@@ -21,6 +21,7 @@ ROWS = [
     (8, "the repeated row", "h"),
     (None, f"{LONG}\nonly without an id", "i"),
     (None, "only without an id", "j"),
+    (None, "only without an id", "j"),
     (9, "x" * 200_000 + "\n" + LONG, "k"),
     (10, "x" * 200_000, "l"),
 ]
@@ -33,17 +34,17 @@ def brute(rows, min_chars=10):
         low = "".join(c.lower() if "A" <= c <= "Z" else c for c in line)
         return low if len(low) >= min_chars else None
 
-    big = linededup.LAST_ID
+    # rows without an id are documents of their own, after all others
+    names = [(i is None, n if i is None else i) for n, (i, *_) in enumerate(rows)]
     owner = {}
-    for i, text, _ in rows:
+    for own, (_, text, _) in zip(names, rows):
         for line in (text or "").split("\n"):
             k = key(line)
             if k is not None:
-                owner[k] = min(owner.get(k, big), big if i is None else i)
+                owner[k] = min(owner.get(k, own), own)
     out = []
-    for i, text, more in rows:
+    for own, (i, text, more) in zip(names, rows):
         lines = (text or "").split("\n")
-        own = big if i is None else i
         stay = [x for x in lines if key(x) is None or owner[key(x)] == own]
         out.append((i, "\n".join(stay), len(lines), len(lines) - len(stay), more))
     return sorted(map(repr, out))
@@ -57,6 +58,15 @@ def test_brute_force(spark, batches, fan_in):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_runs")]
 
 
+def test_many_rows_without_id(spark):
+    """A key of every row without id: one keeps it, and no group gathers what all rows drop."""
+    rows = [(None, "\n".join(f"line {i % 2} {j} of many" for j in range(30)), "x") for i in range(3000)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = linededup.dedup_lines(docs)
+    assert got.where("n_dropped = 0").count() == 2
+    assert got.where("n_dropped = 30 and text = ''").count() == 2998
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert linededup.dedup_lines(docs).count() == 0

@@ -57,8 +57,9 @@ def test_awkward_rows(spark, sf_dir):
         docs = spark.createDataFrame(some, schema).withColumn("kept", corpus_pipeline.F.lit(False))
         for name, stage in corpus_pipeline.STAGES:
             docs = stored(stage(spark, docs, sf_dir), name)
-        # the line dedup empties row 2, the one without an id is near row 1, 3 and 4 have no words
-        assert sorted(r.doc_id or 0 for r in docs.collect()) == ([1, 1, 2] if some else [])
+        # one of the equal rows stays; the line dedup empties row 2, the one without an id is near row 1, 3 and
+        # 4 have no words
+        assert sorted(r.doc_id or 0 for r in docs.collect()) == ([1, 2] if some else [])
 
 
 def test_rows_of_one_id_are_judged_apart(spark, sf_dir):

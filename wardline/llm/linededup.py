@@ -6,8 +6,10 @@ against every run without moving the runs; the keys that none of them holds (the
 new run at level 0. ``fan_in`` runs of a level are compacted into one run of the next.
 
 A key is 16 bytes of a line's hash. Every step before the last moves keys only; counts per key are
-pre-aggregated, so a line in a third of all documents is one row per task. Stored: keys, runs, and the
-owners of shared keys, all in folders the cluster shares; a lost executor costs a read of them.
+pre-aggregated, so a line in a third of all documents is one row per task. What a row has to give up
+is gathered by its number, so null or repeated ids make no group larger. Stored: the numbered rows, keys,
+runs, and the owners of shared keys, all in folders under ``spark.checkpoint.dir``; a lost executor costs
+a read of them.
 """
 
 from __future__ import annotations
@@ -17,15 +19,14 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm.tables import slices, stored, texts
+from wardline.session import scratch_path
 
 # Fixed value: the white space stripped from a line's ends.
 BLANK = " \t\n\x0b\x0c\r"
-#: Stands for a null doc_id: the largest id there is.
-LAST_ID = 2**63 - 1
 #: The occurrences of one key are dealt to so many tasks when owners are looked up.
 SALTS = 16
 
@@ -39,24 +40,29 @@ def line_key(line: str, min_chars: int) -> bytes | None:
 
 
 def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(id, key): the distinct keys of every row."""
+    """(row, id, key): the distinct keys of every row."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            ids, found = [], []
-            for i, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
+            rows, ids, found = [], [], []
+            for row, i, text in zip(*(part.column(c).to_pylist() for c in ("row", "doc_id", "text"))):
                 own = {line_key(x, min_chars) for x in (text or "").split("\n")} - {None}
+                rows.extend([row] * len(own))
                 ids.extend([i] * len(own))
                 found.extend(own)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["id", "key"]
+                [pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(found, pa.binary())],
+                names=["row", "id", "key"],
             )
 
-    return docs.select("id", "text").mapInArrow(keys, "id long, key binary")
+    return docs.select("row", "doc_id", "text").mapInArrow(keys, "row long, id long, key binary")
 
 
 class Runs:
-    """Levels of runs; a run is a bucketed table of (key, owner) sorted by key."""
+    """Levels of runs; a run is a bucketed table of (key, owner, row) sorted by key.
+
+    The owner is an id; a key that only rows without id hold has the first of those rows instead.
+    """
 
     def __init__(self, spark: SparkSession, fan_in: int) -> None:
         self.spark, self.fan_in = spark, fan_in
@@ -69,14 +75,17 @@ class Runs:
         return [t for level in self.levels for t in level]
 
     def owners(self, keys: DataFrame) -> DataFrame:
-        """``keys`` with ``owner``: who holds the key in a run, else null (the anti side)."""
-        names = []
+        """``keys`` with ``owner`` and ``row`` of who holds the key in a run, else nulls (the anti side)."""
+        held = {"owner": [], "row": []}
         for i, table in enumerate(self.tables()):
-            names.append(f"_owner{i}")
-            run = self.spark.table(table).select("key", F.col("owner").alias(names[-1]))
+            run = self.spark.table(table)
+            for c, names in held.items():
+                names.append(f"_{c}{i}")
+                run = run.withColumnRenamed(c, names[-1])
             keys = keys.join(run.hint("merge"), "key", "left")
-        owner = F.coalesce(*names) if names else F.lit(None).cast("long")
-        return keys.withColumn("owner", owner).drop(*names)
+        none = F.lit(None).cast("long")
+        found = {c: F.coalesce(*names) if names else none for c, names in held.items()}
+        return keys.withColumns(found).drop(*held["owner"], *held["row"])
 
     def _write(self, run: DataFrame, level: int) -> None:
         table = f"{self.name}_{self.made}"
@@ -87,6 +96,7 @@ class Runs:
             .write.format("parquet")
             .bucketBy(self.buckets, "key")
             .sortBy("key")
+            .option("path", scratch_path(self.spark, "line-run"))
             .saveAsTable(table)
         )
         if level == len(self.levels):
@@ -116,15 +126,11 @@ class Runs:
         self.levels = [[]]
 
 
-def id_or_last() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-
-
 def shared_keys(keys: DataFrame, batches: int, fan_in: int) -> DataFrame:
-    """(key, owner) of every key that two documents hold; owner: the smallest id.
+    """(key, owner, row) of every key that two documents hold: the smallest id, or without one a row.
 
-    ``keys``: (id, key), stored. Batches are cut at quantiles of the id; where the cuts lie does
-    not change the result.
+    ``keys``: (row, id, key), stored. Batches are cut at quantiles of the id, rows without one last; where
+    the cuts lie does not change the result.
     """
     steps = [i / batches for i in range(1, batches)]
     cuts = keys.select(F.percentile_approx("id", F.array(*map(F.lit, steps)))).first()[0]
@@ -134,17 +140,32 @@ def shared_keys(keys: DataFrame, batches: int, fan_in: int) -> DataFrame:
     for low, high in zip([None, *cuts], [*cuts, None]):
         batch = keys
         if low is not None:
-            batch = batch.where(F.col("id") > low)
+            batch = batch.where((F.col("id") > low) | F.col("id").isNull())
         if high is not None:
             batch = batch.where(F.col("id") <= high)
-        own = batch.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+        nameless = F.when(F.col("id").isNull(), F.col("row"))
+        own = batch.groupBy("key").agg(
+            F.min("id").alias("first"),
+            F.max("id").alias("last"),
+            F.min(nameless).alias("first_row"),
+            F.max(nameless).alias("last_row"),
+        )
         met = stored(runs.owners(own), "line-batch")
+        known = F.col("owner").isNotNull() | F.col("row").isNotNull()
+        # without an id the key belongs to its first row
+        first_row = F.when(F.col("first").isNull(), F.col("first_row"))
         if high is not None:
-            new = met.where(F.col("owner").isNull())
-            runs.add(new.select("key", F.col("first").alias("owner")))
+            runs.add(met.where(~known).select("key", F.col("first").alias("owner"), first_row.alias("row")))
+        several = (
+            F.coalesce(F.col("first") < F.col("last"), F.lit(False))
+            | F.coalesce(F.col("first_row") < F.col("last_row"), F.lit(False))
+            | (F.col("first").isNotNull() & F.col("first_row").isNotNull())
+        )
         parts.append(
-            met.where(F.col("owner").isNotNull() | (F.col("first") < F.col("last"))).select(
-                "key", F.coalesce("owner", "first").alias("owner")
+            met.where(known | several).select(
+                "key",
+                F.when(known, F.col("owner")).otherwise(F.col("first")).alias("owner"),
+                F.when(known, F.col("row")).otherwise(first_row).alias("owner_row"),
             )
         )
     runs.close()
@@ -156,14 +177,15 @@ def shared_keys(keys: DataFrame, batches: int, fan_in: int) -> DataFrame:
 
 
 def dropped_keys(keys: DataFrame, shared: DataFrame) -> DataFrame:
-    """(id, drop): the keys that each document has to give up."""
-    salted = keys.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    """(row, drop): the keys that each row has to give up."""
+    salted = keys.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
     owners = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     owners = owners.withColumn("salt", F.col("salt").cast("long"))
+    owns = F.col("id").eqNullSafe(F.col("owner")) & (F.col("id").isNotNull() | (F.col("row") == F.col("owner_row")))
     return (
         salted.join(owners, ["key", "salt"])
-        .where(F.col("id") != F.col("owner"))
-        .groupBy("id")
+        .where(~owns)
+        .groupBy("row")
         .agg(F.collect_set("key").alias("drop"))
     )
 
@@ -179,14 +201,16 @@ def dedup_lines(
 
     Returns doc_id, text (what stays, joined by newlines), n_lines, n_dropped and the columns named
     in ``carry``. A line counts from ``min_chars`` code points on. A null or empty text is one empty
-    line. Rows of one doc_id are one document: none of them drops a line for another. A null doc_id
-    counts as the largest id. Rows are never dropped, even if no line stays (text is then empty).
+    line. Rows of one doc_id are one document: none of them drops a line for another. Rows without
+    doc_id are documents of their own that come after all others, so of equal ones a single row keeps
+    its lines. Rows are never dropped, even if no line stays (text is then empty). A text of any length is
+    split whole by one task; an empty table gives no rows; other columns are ignored.
     """
-    own = docs.select(id_or_last().alias("id"), F.col("text").cast("string").alias("text"))
-    keys = stored(line_keys(own, min_chars), "line-keys")
+    number = F.monotonically_increasing_id().alias("row")
+    rows = stored(texts(docs, *carry).select("*", number), "line-rows")
+    keys = stored(line_keys(rows, min_chars), "line-keys")
     drops = dropped_keys(keys, shared_keys(keys, batches, fan_in))
-    rows = texts(docs, *carry).withColumn("id", id_or_last())
-    joined = rows.join(drops, "id", "left").select("doc_id", "text", *carry, "drop")
+    joined = rows.join(drops, "row", "left").select("doc_id", "text", *carry, "drop")
     out = f"doc_id long, text string, n_lines long, n_dropped long{_ddl(rows, carry)}"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
