@@ -34,8 +34,9 @@ def _by_number(rows: DataFrame, numbers: DataFrame, how: str) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects; the cutoffs come from the labelled ones among ``docs``."""
     configure(spark)
-    learnt = rules.cutoffs(rules.features(docs), read_table(spark, sf_dir, "labels"))
-    judged = rules.verdicts(rules.features(docs, *COLUMNS), stored(learnt, "cutoffs"))
+    figures = stored(rules.features(docs, *COLUMNS), "figures")
+    learnt = rules.cutoffs(figures, read_table(spark, sf_dir, "labels"))
+    judged = rules.verdicts(figures, stored(learnt, "cutoffs"))
     return judged.where("kept").select("carried.*")
 
 
@@ -47,18 +48,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of the least id of each class of near duplicates; of a class without ids its first row."""
+    """One row of each class of near duplicates: that of the least id, of equal ids the first."""
     configure(spark)
     rows = _numbered(docs, "near-input")
     found = neardup.near_classes(rows, carry=("number",))
     # false comes first: a null id is the last
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number")
-    least = found.groupBy("root").agg(F.min(order).alias("least"))
-    kept = (
-        neardup.salted(found, "number")
-        .join(neardup.to_all_salts(least), ["root", "salt"])
-        .where((F.col("doc_id") == F.col("least.doc_id")) | (F.col("number") == F.col("least.number")))
-    )
+    kept = found.groupBy("root").agg(F.min(order)["number"].alias("number"))
     return _by_number(rows, kept, "left_semi")
 
 
