@@ -60,7 +60,7 @@ def test_chunk_hands_on_blocks_marks_and_windows():
     chunk = substrings.Chunk()
     # anchor 5: one block in two places; anchor 6: two blocks that share their first window
     columns = ([6, 5, 5, 6], [71, 1, 1, 72], [3, 2, 1, 4], [0] * 4, [9, 3, 9, 9], [2, 1, 1, 2])
-    kinds = (np.uint64, np.uint64, np.int64, np.int32, np.int64, np.int64)
+    kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64)
     places = substrings.Places(*(np.array(c, k) for c, k in zip(columns, kinds)))
     chunk.add(places, np.array([801, 802, 90, 90, 801, 803], np.uint64))
     rows = [r for b in chunk.flush() for r in b.to_pylist()]
@@ -88,6 +88,35 @@ def test_repeated_rows_and_empty(spark):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_texts_of_one_id_are_told_apart(spark, monkeypatch):
+    """Tags that clash are mixed anew; a text that stands once keeps its words."""
+    tag_of, tried = substrings.tag_of, []
+
+    def clashing(digest, salt):
+        tried.append(salt)
+        return tag_of(digest, salt) if salt > 1 else substrings.F.lit(salt).cast("long")
+
+    monkeypatch.setattr(substrings, "tag_of", clashing)
+    a, b = (" ".join(f"{x}{i}" for i in range(25)) for x in "ab")
+    rows = [(1, a), (None, a), (None, b), (None, b), (2, "short"), (2, a + " " + b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_words, r.n_removed) for r in substrings.remove_repeats(docs).collect()]
+    assert sorted(map(repr, got)) == sorted(
+        map(repr, [(1, 25, 0), (None, 25, 25), (None, 25, 25), (None, 25, 25), (2, 1, 0), (2, 50, 25)])
+    )
+    assert 2 in tried
+
+
+def test_many_texts_of_one_id(spark):
+    texts = [" ".join(f"w{n}x{i}" for i in range(21)) for n in range(400)]
+    rows = [(None, t) for t in texts] + [(7, t) for t in texts[:200]] + [(7, texts[0] + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substrings.remove_repeats(docs).collect()
+    removed = [r.n_removed for r in got if r.doc_id is None]
+    assert sorted(removed) == [0] * 200 + [21] * 200
+    assert sorted(r.n_removed for r in got if r.doc_id == 7) == [0] * 200 + [21]
+
+
 def test_matches_sql(spark, sf_dir):
     name = "op8_substring_dedup"
     assert differences(QUERIES[name](spark, sf_dir), connect(sf_dir), ORACLES[name]) == []

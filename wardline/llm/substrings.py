@@ -24,7 +24,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.tables import slices, stored, texts
@@ -40,7 +40,7 @@ LAST_ID = 2**63 - 1
 BLOCK, MARK, WINDOW, AGAIN = range(4)
 #: ``place`` packs the first word (upper 48 bits), the number of windows and the kind (a byte each), so
 #: that it sorts by word and rows stay narrow.
-PLACES = "`group` long, `hash` long, id long, tag int, place long"
+PLACES = "`group` long, `hash` long, id long, tag long, place long"
 START, COUNT, KIND = "place >> 16", "(place >> 8) & 255", "place & 255"
 
 
@@ -152,7 +152,7 @@ class Chunk:
         marks = out.take(border & several)
         zero = np.zeros(len(marks), np.int64)
         yield Places(
-            marks.columns[0], zero.astype(np.uint64), zero, zero.astype(np.int32), zero, zero
+            marks.columns[0], zero.astype(np.uint64), zero, zero, zero, zero
         ).batch(MARK)
         opened = np.flatnonzero(~again & several)
         count = n[opened]
@@ -264,6 +264,29 @@ def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
     return found.unionByName(edges).groupBy("id", "tag").agg(F.collect_set(span).alias("spans"))
 
 
+def tag_of(digest: Column, salt: int) -> Column:
+    """What tells texts of one id apart: 64 bits of the text's digest, mixed anew for every salt."""
+    return F.xxhash64(digest, F.lit(salt))
+
+
+def telling_salt(rows: DataFrame) -> int:
+    """The first salt under which no two texts of one id, by their whole digests, share a tag.
+
+    ``rows``: (id, digest). Only digests are compared; a second round is needed once in 2^64 pairs of
+    texts of one id.
+    """
+    for salt in range(100):
+        clash = (
+            rows.withColumn("tag", tag_of(F.col("digest"), salt))
+            .groupBy("id", "tag")
+            .agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+            .where(F.col("low") != F.col("high"))
+        )
+        if clash.isEmpty():
+            return salt
+    raise RuntimeError("too many texts of one id to tell them apart by 64 bits")
+
+
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """(doc_id, text, n_words, n_removed) of every row of ``docs`` without repeated windows.
 
@@ -271,16 +294,17 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     document of smaller id, or earlier in the same one. All windows are judged on the input. The
     words that stay are joined by one space. A null or empty text has no words. Rows of one doc_id
     with different texts are ordered by a hash of the text; rows equal in both are one document and
-    get the same result. A null doc_id counts as the largest id.
+    get the same result. A null doc_id counts as the largest id. A text of any length is cut whole
+    by one task; an empty table gives no rows; other columns are ignored.
     """
     if not 2 * GRAM <= window <= 60:
         raise ValueError("a window holds 10 to 60 words")
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     rows = texts(docs).select(
-        F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"),
-        F.hash(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("tag"),
-        "text",
-        "doc_id",
+        F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), digest.alias("digest"), "text", "doc_id"
     )
+    salt = telling_salt(stored(rows.select("id", "digest"), "text-digests"))
+    rows = rows.withColumn("tag", tag_of(F.col("digest"), salt)).drop("digest")
     spans = repeated_spans(rows.select("id", "tag", "text"), window)
     joined = rows.join(spans, ["id", "tag"], "left").select("doc_id", "text", "spans")
 
