@@ -1,15 +1,16 @@
 """Licence notices in texts: phrases, and an exact set-similarity join with notice templates.
 
 A template is contained in a block of words if at least ``threshold`` of its distinct words are in
-it. Words of templates are ordered by document frequency over all documents, the rarest first. To
-reach the containment a block must hold one of the first ``|T| - a + 1`` words of the template (``a``:
-words needed), so only blocks with such a prefix word are joined; the length bound (enough template
-words in the block) and the positional bound (enough left after the matched place) drop most of
-those before the exact count.
-
-Only column expressions and joins. Two scans: word frequencies of the templates' vocabulary, then
-the blocks of documents that hold a prefix word. The templates are a parameter and bounded, so they
-are broadcast; blocks are stored with their documents' counts and texts are never shuffled.
+it, and among them those that tell it from its siblings. Words of templates are ordered by document
+frequency over all documents, the rarest first. To reach the containment a block must hold one of the
+first ``|T| - a + 1`` words of the template (``a``: words needed), so only blocks with such a prefix
+word are joined; the length bound (enough template words in the block) and the positional bound
+(enough left after the matched place) drop most of those before the exact count. Blocks are as long as
+the template asks for, at least 64 words, and start every half.
+
+Only column expressions and joins. Texts are cut into words once: a scan keeps the template words each
+document holds (for the frequencies) and blocks of those documents that hold enough words of some
+template. The templates are a parameter and bounded, so they are broadcast; texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 
 from wardline.llm.tables import stored, texts
 
-# Words, phrases with their labels, and notices with theirs.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# What stands between words, phrases with their labels, and notices with theirs and with
+# the words that a sibling lacks.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PHRASES = {
     "cc-by": "cc by",
@@ -30,16 +32,32 @@ PHRASES = {
     "reserved": "all rights reserved",
 }
 TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license version 2 0"),
+    ("apache-2.0", "licensed under the apache license version 2 0", "apache 2"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except "
+                   "in compliance with the license you may obtain a copy of the license at http www apache org "
+                   "licenses license 2 0 unless required by applicable law or agreed to in writing software "
+                   "distributed under the license is distributed on an as is basis without warranties or "
+                   "conditions of any kind either express or implied", "apache"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are "
-            "permitted provided that the following conditions are met"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
-    ("mit", "released under the mit license"),
+            "permitted provided that the following conditions are met", "redistribution"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc nc"),
+    ("cc-by-sa", "licensed under cc by sa 4 0", "cc sa"),
+    ("gpl-2.0", "this work is licensed under the gnu general public license version 2", "gnu 2"),
+    ("gpl-3.0", "this work is licensed under the gnu general public license version 3", "gnu 3"),
+    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the "
+                "gnu general public license as published by the free software foundation either version 3 of "
+                "the license or at your option any later version", "gnu 3"),
+    ("mit", "released under the mit license", "mit"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this "
-            "software and associated documentation files"),
+            "software and associated documentation files", "hereby granted"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
+            "associated documentation files the software to deal in the software without restriction including "
+            "without limitation the rights to use copy modify merge publish distribute sublicense and or sell "
+            "copies of the software and to permit persons to whom the software is furnished to do so subject to "
+            "the following conditions the above copyright notice and this permission notice shall be included in "
+            "all copies or substantial portions of the software", "hereby granted"),
 )
-#: Words of a block; blocks start every half, so a notice of half as many words lies in one.
+#: Words of a block at least; a block holds twice the notice, so one that starts every half holds it whole.
 BLOCK = 64
 
 
@@ -49,19 +67,22 @@ def strings(values) -> Column:
 
 def words_of(text: Column) -> Column:
     folded = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.regexp_extract_all(folded, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(folded, BETWEEN), "")
 
 
-def vocabulary(templates) -> list[str]:
-    return sorted({w for _, notice in templates for w in notice.split()})
+def block_of(notice: str, block: int = BLOCK) -> int:
+    """Words of the blocks that a notice is looked for in: a power of two times ``block``."""
+    while block < 2 * len(notice.split()):
+        block *= 2
+    return block
 
 
-def frequencies(docs: DataFrame, templates) -> dict[str, int]:
-    """Documents that hold each template word: at most one figure per word of the templates."""
-    held = texts(docs).select(
-        F.explode(F.array_intersect(words_of(F.col("text")), strings(vocabulary(templates)))).alias("w")
-    )
-    return {r.w: r.n for r in held.groupBy("w").agg(F.count("*").alias("n")).collect()}
+def needed_of(notice: str, threshold: float) -> int:
+    return ceil(threshold * len(set(notice.split())) - 1e-9)
+
+
+def vocabulary(templates) -> list[str]:
+    return sorted({w for _, notice, _ in templates for w in notice.split()})
 
 
 def phrase_places(phrase: str) -> Column:
@@ -81,16 +102,15 @@ def _all(conditions) -> Column:
     return out
 
 
-def prefix_table(spark, templates, order: dict[str, int], threshold: float) -> DataFrame:
-    """(word, template, place, size, needed): the prefix words of each template, in global order."""
+def prefix_table(spark, templates, order: dict[str, int], threshold: float, block: int) -> DataFrame:
+    """(word, length, template, place, size, needed): each template's prefix words, in global order."""
     rows = []
-    for number, (_, notice) in enumerate(templates):
-        words = sorted(set(notice.split()), key=order.__getitem__)
-        needed = ceil(threshold * len(words) - 1e-9)
+    for number, (_, notice, _) in enumerate(templates):
+        words, needed = sorted(set(notice.split()), key=order.__getitem__), needed_of(notice, threshold)
         for place, word in enumerate(words[: len(words) - needed + 1]):
-            values = (F.lit(word), F.lit(number), F.lit(place), F.lit(len(words)), F.lit(needed))
-            rows.append(F.struct(*values))
-    names = ["word", "template", "place", "size", "needed"]
+            values = (word, block_of(notice, block), number, place, len(words), needed)
+            rows.append(F.struct(*map(F.lit, values)))
+    names = ["word", "length", "template", "place", "size", "needed"]
     return spark.range(1).select(F.inline(F.array(*rows))).toDF(*names)
 
 
@@ -101,60 +121,78 @@ def scan_licenses(
 
     ``n_base``: places of phrases, the first and last by word number from 0 (null without one);
     label arrays are distinct and sorted, ``labels`` with those of contained templates.
-    ``score``: 1 with a phrase, else the best containment that meets the threshold, else 0.
-    A null text has no words. Every row gives one row; repeated ones each their own.
+    ``score``: 1 with a phrase, else the best containment that meets the threshold, else 0. Templates are
+    (label, notice, words that have to be there), notices of any length.
+    A null or empty text has no words; one of any length is cut whole by one task. Every row gives one
+    row, repeated rows and ids each their own; an empty table none; other columns are ignored.
     """
-    if any(len(notice.split()) > block // 2 for _, notice in templates):
-        raise ValueError("a template is longer than half a block")
-    spark = docs.sparkSession
-    seen = frequencies(docs, templates)
-    ordered = sorted(vocabulary(templates), key=lambda w: (seen.get(w, 0), w))
-    prefixes = prefix_table(spark, templates, {w: i for i, w in enumerate(ordered)}, threshold)
-    rare = sorted({
-        w
-        for _, notice in templates
-        for w in sorted(set(notice.split()), key=ordered.index)[
-            : len(set(notice.split())) - ceil(threshold * len(set(notice.split())) - 1e-9) + 1
-        ]
-    })
+    known = vocabulary(templates)
     rows = texts(docs).select(
         F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words")
     )
+    rows = rows.withColumn("held", F.array_intersect("words", strings(known)))
     n = F.size("words")
-    own_words = lambda i: F.array_intersect(
-        strings(ordered), F.slice("words", i + 1, F.lit(block))
-    )
-    blocks = F.when(
-        F.size(F.array_intersect("words", strings(rare))) > 0,
-        F.transform(F.sequence(F.lit(0), n - 1, F.lit(block // 2)), own_words),
-    ).otherwise(F.array().cast("array<array<string>>"))
+    lengths = sorted({block_of(notice, block) for _, notice, _ in templates})
+
+    def cut(length: int) -> Column:
+        """Template words of each block, where the whole text holds enough of some template."""
+        own = [t for t in templates if block_of(t[1], block) == length]
+        likely = F.lit(False)
+        for _, notice, _ in own:
+            both = F.array_intersect("held", strings(sorted(set(notice.split()))))
+            likely = likely | (F.size(both) >= needed_of(notice, threshold))
+        held = lambda i: F.array_intersect(F.slice("words", i + 1, F.lit(length)), "held")
+        return F.when(likely, F.transform(F.sequence(F.lit(0), n - 1, F.lit(length // 2)), held))
+
     places = F.map_from_arrays(
         strings(PHRASES), F.array(*(phrase_places(p) for p in PHRASES.values()))
     )
     scanned = stored(
         rows.select(
-            "row", "doc_id", n.cast("long").alias("n_words"), places.alias("places"), blocks.alias("blocks")
+            "row",
+            "doc_id",
+            n.cast("long").alias("n_words"),
+            "held",
+            places.alias("places"),
+            *(cut(length).alias(f"blocks_{length}") for length in lengths),
         ),
         "license-blocks",
     )
-    return _labelled(scanned, _contained(scanned, prefixes, templates))
+    # at most one figure per word of the templates
+    seen = scanned.select(F.explode("held").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    seen = {r.w: r.n for r in seen.collect()}
+    order = {w: i for i, w in enumerate(sorted(known, key=lambda w: (seen.get(w, 0), w)))}
+    prefixes = prefix_table(docs.sparkSession, templates, order, threshold, block)
+    return _labelled(scanned, _contained(scanned, prefixes, templates, order, lengths))
 
 
-def _contained(scanned: DataFrame, prefixes: DataFrame, templates) -> DataFrame:
+def _contained(
+    scanned: DataFrame, prefixes: DataFrame, templates, order: dict[str, int], lengths: list[int]
+) -> DataFrame:
     """(row, found, best): labels of contained templates and the best containment."""
-    blocks = scanned.select("row", F.posexplode("blocks").alias("block", "own"))
-    tokens = blocks.select("row", "block", "own", F.posexplode("own").alias("at", "word"))
+    cut = [
+        scanned.select("row", F.lit(length).alias("length"), F.posexplode(f"blocks_{length}").alias("block", "own"))
+        for length in lengths
+    ]
+    blocks = cut[0]
+    for more in cut[1:]:
+        blocks = blocks.unionByName(more)
+    # the template words in global order: what follows a matched place is what is left
+    blocks = blocks.withColumn("own", F.array_intersect(strings(sorted(order, key=order.get)), "own"))
+    tokens = blocks.select("row", "length", "own", F.posexplode("own").alias("at", "word"))
     left = F.least(F.col("size") - F.col("place"), F.size("own") - F.col("at"))
     pairs = (
-        tokens.join(F.broadcast(prefixes), "word")
+        tokens.join(F.broadcast(prefixes), ["word", "length"])
         .where(F.size("own") >= F.col("needed"))  # length
         .where(left >= F.col("needed"))  # position
     )
-    wanted = F.array(*(strings(sorted(set(t.split()))) for _, t in templates))
+    wanted = F.array(*(strings(sorted(set(t.split()))) for _, t, _ in templates))
+    telling = F.array(*(strings(must.split()) for *_, must in templates))[F.col("template")]
     overlap = F.size(F.array_intersect("own", wanted[F.col("template")]))
-    label = strings(label for label, _ in templates)[F.col("template")]
+    label = strings(label for label, *_ in templates)[F.col("template")]
     return (
-        pairs.withColumn("overlap", overlap)
+        pairs.where(F.size(F.array_except(telling, "own")) == 0)
+        .withColumn("overlap", overlap)
         .where(F.col("overlap") >= F.col("needed"))
         .select("row", label.alias("label"), (F.col("overlap") / F.col("size")).alias("share"))
         .groupBy("row")

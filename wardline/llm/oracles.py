@@ -188,18 +188,18 @@ from (
 
 
 def _license_sql() -> str:
-    from wardline.llm.licenses import BLOCK, PHRASES, TEMPLATES
+    from wardline.llm.licenses import PHRASES, TEMPLATES, block_of
 
     phrases = ", ".join(f"('{label}', string_split('{p}', ' '))" for label, p in PHRASES.items())
     notices = ", ".join(
-        f"({i}, '{label}', list_distinct(string_split('{t}', ' ')))"
-        for i, (label, t) in enumerate(TEMPLATES)
+        f"({i}, '{label}', list_distinct(string_split('{t}', ' ')), string_split('{must}', ' '), {block_of(t)})"
+        for i, (label, t, must) in enumerate(TEMPLATES)
     )
     return f"""
 with docs as (
   select doc_id, {FOLDED_WORDS} as w from documents
 ), phrases(label, p) as (values {phrases}
-), templates(id, label, t) as (values {notices}
+), templates(id, label, t, must, size) as (values {notices}
 ), places as (
   select doc_id, label, unnest([s for s in range(len(w) - len(p) + 1)
     if list_slice(w, s + 1, s + len(p)) = p]) as s
@@ -207,13 +207,15 @@ with docs as (
 ), base as (
   select doc_id, count(*) as n_base, min(s) as first_word, max(s) as last_word,
     list(distinct label) as found from places group by doc_id
+), sizes as (
+  select distinct size from templates
 ), blocks as (
-  select doc_id, unnest([list_slice(w, s + 1, s + {BLOCK}) for s in range(0, len(w), {BLOCK // 2})]) as b
-  from docs
+  select doc_id, size, unnest([list_slice(w, s + 1, s + size) for s in range(0, len(w), size // 2)]) as b
+  from docs, sizes
 ), shares as (
   select doc_id, label, len(list_intersect(t, b)) / len(t)::double as share,
     len(list_intersect(t, b)) as n, len(t) as m
-  from blocks, templates
+  from blocks join templates on blocks.size = templates.size where list_has_all(b, must)
 ), contained as (
   select doc_id, list(distinct label) as found, max(share) as best
   from shares where 10 * n >= 8 * m group by doc_id
