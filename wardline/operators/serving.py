@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from math import trunc
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,10 @@ from wardline.functions.text import entity_refs
 from wardline.functions.times import utc_literal
 from wardline.settings import DEFAULTS, Settings
 
+#: Time bounds further from 1970 select by time alone.
+MOST_SECONDS = 6e10
+
+
 def event_by_id(events: DataFrame, event_id: str | Column) -> DataFrame:
     return events.filter(F.col("id") == event_id)
 
@@ -54,6 +59,8 @@ def query_events(
         in_range = in_range & F.coalesce(at <= end, F.lit(True))
 
     if time_filter == "before_limit":
+        if "event_date" in events.columns:
+            events = events.filter(in_dates(start, end))
         events = events.filter(in_range)
     newest = events.orderBy(at.desc_nulls_last(), "id")
     if limit is not None:
@@ -61,6 +68,21 @@ def query_events(
     return newest.filter(in_range) if time_filter == "after_limit" else newest
 
 
+def in_dates(start: float | None, end: float | None) -> Column:
+    """Bounds of time as bounds of ``event_date``, a partition column: whole dates are not read.
+
+    Event times are whole milliseconds towards 0, so the bounds are cut alike. Rows without a date have no time, or
+    one beyond all dates, so they stay in the filter and are judged by their time.
+    """
+    day, wanted = F.col("event_date"), F.lit(True)
+    for bound, above in ((start, True), (end, False)):
+        seconds = bound and trunc(bound * 1000) / 1000
+        if seconds and abs(seconds) < MOST_SECONDS:
+            edge = F.lit((datetime(1970, 1, 1) + timedelta(seconds=seconds)).date())
+            wanted = wanted & ((day >= edge if above else day <= edge) | day.isNull())
+    return wanted
+
+
 def ip_drilldown(events: DataFrame, ip: str, limit: int | None = 50) -> DataFrame:
     return query_events(events, client_ip=ip, limit=limit).select(
         "event_time", "method", "path", "rule_action_summary", "geo_country", "bot_score", "id"
@@ -68,16 +90,19 @@ def ip_drilldown(events: DataFrame, ip: str, limit: int | None = 50) -> DataFram
 
 
 def batch_page(
-    events: DataFrame, batch_id: str, *, limit: int = 100, offset: int = 0
+    events: DataFrame, batch_id: str, *, limit: int = 100, offset: int = 0, after: str | None = None
 ) -> DataFrame:
     """A page of one batch, by event id, with the batch's total on every row.
 
-    The page is a distributed top-k and the total a partial count; a page past the end is one
-    row without event.
+    ``after`` is the last id of the page before: the next page starts behind it and costs what the first
+    one did, while ``offset`` sorts all rows it skips. The page is a distributed top-k and the total a
+    partial count; a page past the end is one row without event. With ``read_batch`` as ``events`` only the
+    dates of the batch are read.
     """
     batch = events.filter(F.col("batch_id") == batch_id)
     total = batch.groupBy("batch_id").agg(F.count("*").alias("total"))
-    page = batch.orderBy("id").offset(offset).limit(limit)
+    rest = batch if after is None else batch.filter(F.col("id") > after)
+    page = rest.orderBy("id").offset(offset).limit(limit)
     return total.join(page, "batch_id", "left")
 
 

@@ -32,8 +32,10 @@ def window_events(windows: DataFrame, events: DataFrame) -> DataFrame:
     return events.join(window_polls(windows), "batch_id")
 
 
-def value_counts(joined: DataFrame, *, kinds: tuple[str, ...] = ALL_KINDS) -> DataFrame:
-    """Counts per window and value: ``window_id, kind, value, bot, risk, n, denied``.
+def value_counts(
+    joined: DataFrame, *, kinds: tuple[str, ...] = ALL_KINDS, key: str = "window_id"
+) -> DataFrame:
+    """Counts per window (or other ``key``) and value: ``window_id, kind, value, bot, risk, n, denied``.
 
     One row per event and top list (and rule), and one of kind ``scores`` with both scores, whose
     counts give the number of events, the means and the distributions. ``denied`` are the deny events
@@ -59,9 +61,9 @@ def value_counts(joined: DataFrame, *, kinds: tuple[str, ...] = ALL_KINDS) -> Da
         values = F.concat(values, F.transform(tags, lambda t: entry("rule_tag", t)))
     deny = F.col("rule_action_summary") == "deny" if "ip" in kinds else F.lit(False)
     return (
-        joined.select("window_id", deny.alias("deny"), F.inline(values))
+        joined.select(key, deny.alias("deny"), F.inline(values))
         .filter(F.col("value") != "")
-        .groupBy("window_id", "kind", "value", "bot", "risk")
+        .groupBy(key, "kind", "value", "bot", "risk")
         .agg(
             F.count("*").alias("n"),
             F.count_if(F.col("deny") & (F.col("kind") == "ip")).alias("denied"),
@@ -69,6 +71,20 @@ def value_counts(joined: DataFrame, *, kinds: tuple[str, ...] = ALL_KINDS) -> Da
     )
 
 
+def window_counts_from_batches(windows: DataFrame, batch_counts: DataFrame) -> DataFrame:
+    """``value_counts`` of every window as sums over its polls: no event is read.
+
+    ``batch_counts``: counts per batch of the stored rows, such as the event table keeps.
+    """
+    keys = ["window_id", "kind", "value", "bot", "risk"]
+    summed = (
+        batch_counts.join(window_polls(windows), "batch_id")
+        .groupBy(*keys)
+        .agg(F.sum("n").alias("n"), F.sum("denied").alias("denied"))
+    )
+    return summed.filter(F.col("n") > 0)
+
+
 def top_values(counts: DataFrame, n: int = 10) -> DataFrame:
     """The n most frequent values per window and kind; ties by value.
 
@@ -122,6 +138,30 @@ def unique_ips(joined: DataFrame, *, approximate: bool = False) -> DataFrame:
     return joined.groupBy("window_id").agg(distinct.alias("unique_ips"))
 
 
+def ip_sketches(events: DataFrame, *, log2_size: int = 12) -> DataFrame:
+    """(batch_id, sketch): a mergeable distinct count of the addresses of each poll.
+
+    A sketch has at most about 2^log2_size bytes; its relative standard error is about
+    1.04 / 2^(log2_size / 2), and small counts are all but exact.
+    """
+    ip = F.nullif(F.col("client_ip"), F.lit(""))
+    return events.groupBy("batch_id").agg(F.hll_sketch_agg(ip, log2_size).alias("sketch"))
+
+
+def unique_ips_from_sketches(windows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Distinct addresses of every window from the sketches of its polls: no event is read.
+
+    Sketches can't give back: an address counts in the poll that first brought it even if all its events
+    have moved to a newer one. Several sketches of a poll (its files fell into two micro-batches) merge.
+    """
+    merged = F.hll_sketch_estimate(F.hll_union_agg("sketch"))
+    return (
+        sketches.join(window_polls(windows), "batch_id")
+        .groupBy("window_id")
+        .agg(merged.alias("unique_ips"))
+    )
+
+
 def avg_scores(joined: DataFrame) -> DataFrame:
     totals = _window_totals(value_counts(joined, kinds=("scores",)))
     return totals.select("window_id", *[f"avg_{s}" for s in SCORES])
@@ -341,6 +381,13 @@ def window_summary(
     rows, which a re-delivery moves to a newer batch.
     """
     counts = value_counts(window_events(windows, events))
+    return window_records(windows, counts, top_n=top_n, settings=settings)
+
+
+def window_records(
+    windows: DataFrame, counts: DataFrame, *, top_n: int = 10, settings: Settings = DEFAULTS
+) -> DataFrame:
+    """``window_summary`` from the counts of each window."""
     statistics = window_statistics(counts, top_n=top_n, settings=settings)
     summary = _classified(windows.join(statistics, "window_id", "left"), settings)
     # A window keeps its record even when every event of it moved to a newer batch.

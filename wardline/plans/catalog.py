@@ -147,12 +147,15 @@ _INGESTED: dict[tuple[str, str], str] = {}
 
 
 def _ingested(spark, sf) -> str:
-    """The tables that the streaming ingest makes of the landed files; made once per session."""
+    """The tables that the streaming ingest makes of the landed files in three micro-batches or more; made once
+    per session."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _INGESTED:
         target = scratch_path(spark, "ingest")
-        lines = streaming.stream_raw_ndjson(spark, _landed(spark, sf))
-        _finish(streaming.ingest_stream(lines, target, available_now=True))
+        lines = streaming.stream_raw_ndjson(spark, _landed(spark, sf), max_files_per_trigger=1000)
+        _finish(
+            streaming.ingest_stream(lines, target, available_now=True, table=f"{target}/events", counts=True)
+        )
         _INGESTED[key] = target
     return _INGESTED[key]
 
@@ -164,6 +167,13 @@ def ingest_stream(spark, sf):
     return upkeep.upsert_events(bronze).select("id", "batch_id", "client_ip")
 
 
+@query
+def ingest_event_table(spark, sf):
+    """The event table that the micro-batches of the ingest merged into."""
+    table = event_table.read_events(spark, f"{_ingested(spark, sf)}/events")
+    return table.select("id", "batch_id", "client_ip")
+
+
 @query
 def ingest_poll_log(spark, sf):
     """The poll log the streaming ingest leaves behind."""
@@ -181,9 +191,7 @@ def ingest_slice(spark, sf):
         "last_offset", F.when(no < 1400, F.col("last_offset"))
     )
     as_of = datetime.fromtimestamp(src.EPOCH_0 + 12 * 3600, timezone.utc).replace(tzinfo=None)
-    return ndjson.incremental_slice(streaming.read_bronze(spark, target), log, as_of).select(
-        "config_id", "batch_id", "request_id"
-    )
+    return streaming.read_slice(spark, target, as_of, log=log).select("config_id", "batch_id", "request_id")
 
 
 # --- decode and normalise -----------------------------------------------------------
@@ -527,6 +535,13 @@ def unique_ips(spark, sf):
     return stats.unique_ips(_joined(spark, sf))
 
 
+@query
+def unique_ips_sketched(spark, sf):
+    """Distinct addresses delivered in every window, from the sketches that the ingest keeps per poll."""
+    sketches = streaming.read_sketches(spark, _ingested(spark, sf))
+    return stats.unique_ips_from_sketches(src.windows(spark, sf), sketches)
+
+
 @query
 def avg_scores(spark, sf):
     return stats.avg_scores(_joined(spark, sf))
@@ -566,11 +581,8 @@ def _buckets(name: str):
     return F.array_join(counts, "|").alias(name)
 
 
-@query
-def window_summary(spark, sf):
-    return stats.window_summary(
-        src.windows(spark, sf), src.events(spark, sf), settings=FIXTURE
-    ).select(
+def _recorded(records):
+    return records.select(
         "window_id",
         "config_id",
         "batch_id",
@@ -593,6 +605,22 @@ def window_summary(spark, sf):
     )
 
 
+@query
+def window_summary(spark, sf):
+    return _recorded(
+        stats.window_summary(src.windows(spark, sf), src.events(spark, sf), settings=FIXTURE)
+    )
+
+
+@query
+def window_summary_from_counts(spark, sf):
+    """The same records from the signed counts that the ingest keeps per poll; no event is read."""
+    windows = src.windows(spark, sf)
+    counts = event_table.read_counts(spark, f"{_ingested(spark, sf)}/events")
+    totals = stats.window_counts_from_batches(windows, counts)
+    return _recorded(stats.window_records(windows, totals, settings=FIXTURE))
+
+
 @query
 def batch_request(spark, sf):
     """The requests, with some members read back out of their JSON."""
@@ -820,27 +848,61 @@ def strategic_summary(spark, sf):
 
 # --- serving ------------------------------------------------------------------------
 
-_TABLES: dict[tuple[str, str], str] = {}
+_TABLES: dict[tuple[str, str], tuple[str, str]] = {}
 
 
-def _stored_events(spark, sf):
-    """The event table as files, merged from three batches once per session: the re-deliveries of
-    the middle one change rows of the first."""
-    key = (spark.sparkContext.applicationId, sf)
+def _merged_table(spark, sf, path, **options) -> str:
+    """Merge the deliveries into ``path`` in three batches: the re-deliveries of the middle one change
+    rows of the first. Returns the table's schema."""
     rows = src.arrivals(spark, sf).drop("offset", "poll_no")
+    no = F.floor((F.unix_seconds("poll_time") - src.EPOCH_0) / src.POLL_EVERY_SECONDS)
+    for part in range(3):
+        event_table.merge_events(spark, path, rows.filter(F.pmod(no, F.lit(3)) == part), **options)
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", event_date date"
+
+
+def _event_table(spark, sf) -> tuple[str, str]:
+    """Path and schema of the event table, merged and compacted once per session."""
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _TABLES:
         path = scratch_path(spark, "events")
-        no = F.floor((F.unix_seconds("poll_time") - src.EPOCH_0) / src.POLL_EVERY_SECONDS)
-        for part in range(3):
-            event_table.merge_events(spark, path, rows.filter(F.pmod(no, F.lit(3)) == part))
-        _TABLES[key] = path
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return event_table.read_events(spark, _TABLES[key], schema + ", event_date date")
+        schema = _merged_table(spark, sf, path)
+        event_table.compact_events(spark, path, schema=schema)
+        _TABLES[key] = path, schema
+    return _TABLES[key]
+
+
+def _stored_events(spark, sf):
+    path, schema = _event_table(spark, sf)
+    return event_table.read_events(spark, path, schema)
 
 
 @query
 def merge_events(spark, sf):
-    return _stored_events(spark, sf).select("id", "batch_id", F.col("event_date").cast("string").alias("event_date"))
+    """Three merges into a new table, read over base and deltas."""
+    path = scratch_path(spark, "merged")
+    schema = _merged_table(spark, sf, path)
+    table = event_table.read_events(spark, path, schema)
+    return table.select("id", "batch_id", F.col("event_date").cast("string").alias("event_date"))
+
+
+@query
+def compact_events(spark, sf):
+    """The same table with deltas compacted as they come."""
+    path = scratch_path(spark, "compacted")
+    schema = _merged_table(spark, sf, path, delta_rows=1, file_rows=20_000)
+    table = event_table.read_events(spark, path, schema)
+    return table.select("id", "batch_id", F.col("event_date").cast("string").alias("event_date"))
+
+
+@query
+def purge_events(spark, sf):
+    """A week after the middle of the polls: expired dates leave the table, mixed ones are rewritten."""
+    path = scratch_path(spark, "purged")
+    schema = _merged_table(spark, sf, path)
+    as_of = datetime.fromtimestamp(src.EPOCH_0 + 7 * 86_400 + 6 * 3600, timezone.utc)
+    event_table.purge_events(spark, path, as_of.replace(tzinfo=None), schema)
+    return event_table.read_events(spark, path, schema).select("id", "event_time_epoch")
 
 
 def _served(rows):
@@ -913,10 +975,12 @@ def ip_drilldown(spark, sf):
 
 @query
 def batch_page(spark, sf):
+    """The second page of a batch, behind the last id of the first one."""
     batch = f"cfg-0@{src.EPOCH_0 + 30 * 100}"
-    return serving.batch_page(_stored_events(spark, sf), batch, limit=5, offset=2).select(
-        "batch_id", "total", "id", "client_ip"
-    )
+    path, schema = _event_table(spark, sf)
+    rows = event_table.read_batch(spark, path, batch, schema)
+    last = serving.batch_page(rows, batch, limit=2).agg(F.max("id")).first()[0]
+    return serving.batch_page(rows, batch, limit=5, after=last).select("batch_id", "total", "id", "client_ip")
 
 
 @query

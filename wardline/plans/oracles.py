@@ -297,7 +297,13 @@ s5 as (select *, case when total <= 12 then 0 when t1 then 1 when t2 then 2 when
   action as "ruleActionSummary", nullif(country, '') as "geoCountry", bot as "botScore", risk as "userRiskScore",
   strftime(make_timestamp(epoch * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') as "eventTime",
   status as "responseStatus\""""
-    return {
+    merged = ev("""
+select id, batch_id, strftime(make_timestamp(epoch * 1000000), '%Y-%m-%d') as event_date from evt""")
+    retained = ev(
+        "select id, cast(epoch as double) as event_time_epoch from evt"
+        " where poll_epoch >= 1704067200 + 6 * 3600"
+    )
+    found = {
         # sources
         "read_raw_ndjson": ev("""
 select config_id, poll_epoch, request_id, cast(null as bigint) as total from arr
@@ -322,6 +328,7 @@ select config_id, request_id, poll_no from arr, (select max(poll_no) as last_0 f
 where (config_id = 'cfg-0' and poll_no > last_0)
   or (config_id = 'cfg-1' and epoch >= 1704067200 + 12 * 3600 - 3 * 3600)"""),
         "ingest_stream": ev("select id, batch_id, client_ip from evt"),
+        "ingest_event_table": ev("select id, batch_id, client_ip from evt"),
         "ingest_slice": ev("""
 select config_id, batch_id, request_id from arr join (select config_id, max(poll_no) as last from arr
   where poll_no < 1400 group by 1) l using (config_id) where poll_no > last"""),
@@ -357,10 +364,8 @@ select config_id, rule, rule_tag, rule_action, count(*) as n
 from arr left join ({rule_rows}) r using (event_type) group by all"""),
         # upkeep
         "upsert_latest": ev("select id, batch_id, client_ip from evt"),
-        "apply_retention": ev(
-            "select id, cast(epoch as double) as event_time_epoch from evt"
-            " where poll_epoch >= 1704067200 + 6 * 3600"
-        ),
+        "apply_retention": retained,
+        "purge_events": retained,
         "poll_state": polls("""
 select config_id, t as poll_time_s, batch_id as last_batch_id, ec as events_in_last_batch,
   cast(sum(ec) over (partition by config_id, t // 86400 order by t) as bigint) as total_events_today
@@ -439,6 +444,10 @@ from spent where upto - nano < 1500000000""",
         "unique_ips": _we(
             "select window_id, count(distinct nullif(client_ip, '')) as unique_ips from we group by 1"
         ),
+        "unique_ips_sketched": _win(
+            "select window_id, count(distinct nullif(client_ip, '')) as unique_ips"
+            " from member join arr using (batch_id) group by 1"
+        ),
         "avg_scores": _we(
             f"select window_id, {_avg('bot')} as avg_bot_score, {_avg('risk')} as avg_user_risk_score"
             " from we group by 1"
@@ -612,8 +621,8 @@ from ({NEWEST}), (values
   recommendations, policy_effectiveness_notes, campaigns, input_tokens, output_tokens,
   estimated_cost_usd, status, trigger_type)
 where rk <= 20 group by all"""),
-        "merge_events": ev("""
-select id, batch_id, strftime(make_timestamp(epoch * 1000000), '%Y-%m-%d') as event_date from evt"""),
+        "merge_events": merged,
+        "compact_events": merged,
         # serving
         "event_by_id": ev(f"{served} from evt where id = (select min(id) from arr)"),
         "query_events": ev(
@@ -711,3 +720,6 @@ select strftime(d, '%Y-%m-%d') as date, coalesce(total, 0) / 1e9::double as esti
 from (select unnest(generate_series(min(date), max(date), interval 1 day))::date as d from usage)
 left join day on day.date = d"""),
     }
+    # the same records from counts per poll
+    found["window_summary_from_counts"] = found["window_summary"]
+    return found

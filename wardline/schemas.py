@@ -39,3 +39,4 @@ POLL_LOG = (
     "config_id string, batch_id string, poll_time timestamp, event_count bigint,"
     " deny_count bigint, alert_count bigint, monitor_count bigint, last_offset string, epoch bigint"
 )
+SKETCHES = "batch_id string, sketch binary, epoch bigint"

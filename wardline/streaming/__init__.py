@@ -1,4 +1,11 @@
-from wardline.streaming.ingest import ingest_stream, read_bronze, read_poll_log, stream_raw_ndjson
+from wardline.streaming.ingest import (
+    ingest_stream,
+    read_bronze,
+    read_poll_log,
+    read_sketches,
+    read_slice,
+    stream_raw_ndjson,
+)
 from wardline.streaming.windows import STATE_STORE, stream_windows
 
 __all__ = [
@@ -6,6 +13,8 @@ __all__ = [
     "ingest_stream",
     "read_bronze",
     "read_poll_log",
+    "read_sketches",
+    "read_slice",
     "stream_raw_ndjson",
     "stream_windows",
 ]
