@@ -1,22 +1,26 @@
 """Stream equals batch."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from wardline.operators.normalize import normalize_events
+from wardline.operators.stats import ip_sketches, unique_ips, unique_ips_from_sketches, value_counts
 from wardline.operators.upkeep import upsert_events
-from wardline.operators.windows import analysis_windows, poll_aggregate
+from wardline.operators.windows import analysis_windows, poll_aggregate, window_polls
 from wardline.plans import inputs as src
 from wardline.schemas import EVENT
 from wardline.settings import Settings
+from wardline.sources import event_table
 from wardline.sources.ndjson import event_docs, incremental_slice, parse_lines, tag_batch
 from wardline.streaming import (
     ingest_stream,
     read_bronze,
     read_poll_log,
+    read_slice,
     stream_raw_ndjson,
     stream_windows,
 )
@@ -67,6 +71,110 @@ def test_ingest_matches_batch(spark, sf_dir, landed, tmp_path):
     assert _ids(read_bronze(spark, target)) == _ids(expected)
 
 
+def test_stream_feeds_the_table_once(spark, sf_dir, landed, tmp_path):
+    """The table of the stream equals the batch view, also after the last micro-batch ran twice."""
+    target, table = str(tmp_path / "out"), str(tmp_path / "table")
+
+    def run():
+        lines = stream_raw_ndjson(spark, landed, max_files_per_trigger=12)
+        query = ingest_stream(lines, target, available_now=True, table=table, counts=True, file_rows=4)
+        query.awaitTermination()
+        assert query.exception() is None
+
+    run()
+    lo, hi = src.EPOCH_0 + 7200, src.EPOCH_0 + 14400
+    arrived = src.arrivals(spark, sf_dir).filter(F.unix_seconds("poll_time").between(lo, hi - 1))
+    expected = _ids(upsert_events(arrived))
+    assert _ids(event_table.read_events(spark, table)) == expected
+    commits = sorted((tmp_path / "out" / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    assert len(commits) >= 3
+    counts = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    state = event_table.versions(spark, table), counts(event_table.read_counts(spark, table))
+    # the driver was lost after the merge, before the stream noted the epoch
+    commits[-1].unlink()
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    run()
+    assert _ids(event_table.read_events(spark, table)) == expected
+    assert _ids(read_bronze(spark, target)) == _ids(arrived)
+    assert (event_table.versions(spark, table), counts(event_table.read_counts(spark, table))) == state
+    # several files a day and epoch, each a range of ids
+    files = list((tmp_path / "out" / "bronze").rglob("part-*.parquet"))
+    assert len(files) > len({p.parent for p in files})
+    live = event_table.read_events(spark, table)
+    want = value_counts(live, key="batch_id").select(event_table.read_counts(spark, table).columns)
+    assert state[1] == counts(want)
+
+
+def test_files_that_land_twice(spark, tmp_path):
+    """Within the remembered epochs a delivery is stored once; a later one is left to the merge."""
+    raw, target, table = tmp_path / "raw", str(tmp_path / "out"), str(tmp_path / "table")
+    event = '{"httpMessage":{"requestId":"%s","start":"1704067200","status":"%s"}}'
+
+    def land(epoch, name, *lines):
+        folder = raw / "config_id=c" / f"poll_epoch={epoch}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text("\n".join(lines))
+        query = ingest_stream(
+            stream_raw_ndjson(spark, str(raw)), target, available_now=True, table=table, remembered_epochs=2
+        )
+        query.awaitTermination()
+        assert query.exception() is None
+
+    stored = lambda: read_bronze(spark, target).count()
+    land(100, "a", event % ("x", 200), event % ("y", 200), '{"total":2,"offset":"o1"}')
+    land(100, "b", event % ("x", 200), event % ("z", 200))
+    assert stored() == 3  # x came again in the next epoch
+    land(200, "a", event % ("y", 500))
+    assert stored() == 4  # a newer poll delivers y once more
+    land(100, "c", event % ("x", 200))
+    assert stored() == 5  # three epochs later x is stored again, and merged
+    rows = {r.request_id: (r.batch_id, r.response_status) for r in event_table.read_events(spark, table).collect()}
+    assert rows == {"x": ("c@100", "200"), "y": ("c@200", "500"), "z": ("c@100", "200")}
+    log = {r.batch_id: r.event_count for r in read_poll_log(spark, target).collect()}
+    assert log == {"c@100": 4, "c@200": 1}
+
+
+def test_a_slice_reads_its_epochs(spark, sf_dir, landed, tmp_path):
+    target = str(tmp_path)
+    query = ingest_stream(stream_raw_ndjson(spark, landed, max_files_per_trigger=12), target, available_now=True)
+    query.awaitTermination()
+    log = read_poll_log(spark, target)
+    bronze = read_bronze(spark, target)
+    last = log.agg(F.max("poll_time")).first()[0]
+    epochs = spark.read.parquet(f"{target}/poll_log").groupBy("epoch").agg(F.max("poll_time").alias("t"))
+    newest = epochs.orderBy(F.desc("t"), "epoch").first().epoch
+    # the offsets of the newest polls are missing: only from their first epoch on is read
+    cut = epochs.where(F.col("epoch") < newest).agg(F.max("t")).first()[0] if newest else last
+    for edge in (cut, last - timedelta(days=99)):
+        some = log.withColumn("last_offset", F.when(F.col("poll_time") <= F.lit(edge), F.col("last_offset")))
+        for as_of in (last, last + timedelta(days=60)):
+            naive = as_of.replace(tzinfo=None)
+            want = incremental_slice(bronze, some, naive)
+            got = read_slice(spark, target, naive, log=some)
+            assert _ids(got) == _ids(want)
+    plan = read_slice(spark, target, last.replace(tzinfo=None))._jdf.queryExecution().executedPlan().toString()
+    filters = re.findall(r"PartitionFilters: \[[^\n]*", plan)
+    assert filters and not any(f.startswith("PartitionFilters: []") for f in filters) or "LocalTableScan" in plan
+
+
+def test_sketches_merge(spark):
+    """Distinct addresses of windows from sketches per poll; the error against exact counts is small."""
+    polls = [(f"b{i}", i) for i in range(8)]
+    events = spark.range(200_000).select(
+        F.concat(F.lit("b"), (F.col("id") % 8)).alias("batch_id"),
+        F.concat(F.lit("a"), F.pmod(F.xxhash64("id"), F.lit(30_000))).alias("client_ip"),
+    )
+    windows = spark.createDataFrame(
+        [("w1", [b for b, _ in polls[:3]]), ("w2", [b for b, _ in polls[3:]]), ("w3", ["no"])],
+        "window_id string, poll_batch_ids array<string>",
+    )
+    got = {r.window_id: r.unique_ips for r in unique_ips_from_sketches(windows, ip_sketches(events)).collect()}
+    exact = unique_ips(events.join(window_polls(windows), "batch_id")).collect()
+    assert set(got) == {"w1", "w2"}
+    for r in exact:
+        assert abs(got[r.window_id] - r.unique_ips) < 0.05 * r.unique_ips
+
+
 def test_ingest_survives_idle_polls_and_keeps_every_event(spark, tmp_path):
     """First poll without events, one without metadata, an event that repeats a member."""
     raw, target = tmp_path / "raw", str(tmp_path / "out")
