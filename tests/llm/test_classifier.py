@@ -56,6 +56,47 @@ def test_scores_do_not_depend_on_company_or_segments(monkeypatch):
     assert abs(changed[0] - want[-1]) > 1e-6  # the end of a long text counts
 
 
+def naive(net, text):
+    """Every window, chunk and feature one by one."""
+    raw = text.encode()
+    short = [float(len(raw) < n) for n in c.SHORT]
+    raw += bytes((len(raw) // c.PAD + 1) * c.PAD - len(raw))
+    filters = np.vstack([net.first, net.second])
+    answers = []
+    for at in range(0, len(raw), c.STEP):
+        window = raw[at : at + 2 * c.STEP].ljust(2 * c.STEP, b"\0")
+        codes = np.concatenate([c.CODES[b] for b in window])
+        answers.append([max(0.0, float(codes @ filters[:, f] + net.bias[f])) for f in range(c.FILTERS)])
+    blocks = len(answers) // c.BLOCK
+    chunks = []
+    for first in range(max(1, blocks - 1)):
+        windows = answers[first * c.BLOCK : (first + 2) * c.BLOCK]
+        chunks.append([max(w[f] for w in windows) for f in range(c.FILTERS)])
+    features = [sum(x) / len(chunks) for x in zip(*chunks)]
+    features += [max(x) for x in zip(*chunks)] + [min(x) for x in zip(*chunks)] + short
+    z = sum(w * (x - s) / d for w, x, s, d in zip(net.weights, features, net.shift, net.scale))
+    return 1 / (1 + np.exp(-(z + net.offset[0])))
+
+
+def test_scores_equal_a_naive_convolution():
+    net = network(3)
+    rng = np.random.RandomState(4)
+    net.shift = rng.normal(0, 1, c.FEATURES).astype(np.float32)
+    net.scale = rng.uniform(0.5, 2, c.FEATURES).astype(np.float32)
+    texts = [*TEXTS, "x" * c.PAD, "y" * (c.PAD - 1), "one two " * 31, "0123456789 | Z" * 60]
+    got = c.score_texts(net, texts)
+    assert np.allclose(got, [naive(net, t) for t in texts], atol=1e-5)
+
+
+def test_long_labelled_texts_are_scored_and_not_learnt_from(spark):
+    rows = [(i, f"text {i} of some words") for i in range(60)] + [(i, "long " * 40_000) for i in range(60, 64)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(64)], "doc_id long, quality int")
+    whole, some = c.fit(docs, labels), c.fit(docs.where("doc_id < 60"), labels.where("doc_id < 60"))
+    assert np.array_equal(whole.first, some.first) and np.array_equal(whole.weights, some.weights)
+    assert c.score_documents(docs, whole).where("score between 0 and 1").count() == 64
+
+
 def test_rows(spark):
     rows = [(1, "good words here", 9.0), (1, "good words here", 8.0), (None, None, 1.0), (2, "", 2.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score double")

@@ -32,6 +32,9 @@ SHORT = (32, 64, 128, 256)
 FEATURES = 3 * FILTERS + len(SHORT)
 #: Labelled rows that are learnt from at most.
 SAMPLE_ROWS = 3000
+#: Bytes of a text that is learnt from at most, so that the sample and a step of training are bounded too;
+#: a longer one is left out of the sample, never of the scoring.
+SAMPLE_BYTES = 32_768
 EPOCHS, BATCH, RATE = 6, 48, 0.004
 
 
@@ -222,11 +225,15 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(text.cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
+def fit(
+    docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES
+) -> Network:
     """Train on at most ``rows`` labelled rows that are not held out, chosen by a hash of the id.
 
     Half of them of each label; the last layer's offset then puts the labels' true shares back.
-    A document with several labels counts as the worst of them. Labels 0 and 1 only.
+    A document with several labels counts as the worst of them. Labels 0 and 1 only. Rows of texts of more
+    than ``most_bytes`` bytes are not learnt from, so at most ``rows * most_bytes`` bytes are collected.
+    A null text is learnt from like an empty one; of repeated ids each row counts, up to ``rows``.
     """
     marks = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -238,7 +245,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     good, bad = (marks.where(F.col("quality") == q).orderBy(*order).limit(rows // 2) for q in (1, 0))
     # at most ``rows`` rows of two numbers
-    own = texts(docs).join(F.broadcast(good.unionByName(bad)), "doc_id")
+    short = texts(docs).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
+    own = short.join(F.broadcast(good.unionByName(bad)), "doc_id")
     learnt = own.orderBy(*order, "text").limit(rows).select("text", "quality").toPandas()
     marked = learnt["quality"].to_numpy(np.float64)
     net = train(learnt["text"].tolist(), marked)
@@ -249,7 +257,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
 
 
 def score_documents(docs: DataFrame, net: Network) -> DataFrame:
-    """(doc_id, score) of every row; a null text is scored like an empty one."""
+    """(doc_id, score) of every row; a null text is scored like an empty one.
+
+    A text of any length is scored whole, a bounded number of blocks at a time. Equal texts have equal
+    scores, repeated rows and ids a row each; an empty table gives none; other columns are ignored.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,7 @@
 A large star links every larger neighbour of a node to the smallest node around it, a small star
 links the smaller neighbours. Both keep components as they are, and alternating them ends in one
 star per component after a logarithmic number of rounds. Each half is one pre-aggregated minimum
-per node and one join, which the adaptive skew join splits where a node has millions of links; every
+per node and one salted join, so the links of a centre of millions are dealt over many tasks; every
 round is one job, stored in the shared folder.
 """
 
@@ -15,11 +15,17 @@ from pyspark.sql import functions as F
 from wardline.llm.tables import stored
 
 
+#: The links of one node are dealt over so many groups.
+SALTS = 32
+
+
 def _around_least(links: DataFrame, larger_only: bool) -> DataFrame:
     """For links (u, v): every v, and for a small star every u too, linked to the least around u."""
     least = links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     others = links.where(F.col("v") > F.col("u")) if larger_only else links
-    around = others.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    dealt = others.withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS)))
+    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    around = dealt.join(copies, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not larger_only:
         around = around.unionByName(least.select("u", F.col("m").alias("v")))
     return around.where(F.col("u") != F.col("v"))

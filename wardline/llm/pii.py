@@ -1,7 +1,7 @@
 """Personal data by weak supervision: labelers vote, EM weighs them, a classifier decides.
 
 Fixed patterns give the base spans. Looser patterns give candidates, also those that fail a base test.
-Labelers (format, gazetteer, context, surroundings, letters) vote for, against, or not on each candidate.
+Labelers (format, gazetteer, context, surroundings, letters, denial) vote for, against, or not on each candidate.
 Expectation-maximisation estimates, from counts of vote patterns over all documents, how often each
 labeler says what about real and unreal spans; its posteriors train a logistic classifier of spans on
 votes, kind, length and share of digits. Candidates it accepts are added where they overlap no base span.
@@ -43,21 +43,47 @@ VALUE = re.compile(r"""[^\s"',;]*+""")
 LEAST_VALUE = 8
 ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])[A-Z]{4}[A-Z0-9]{16}(?![A-Za-z0-9])")
 
-# Gazetteers and context words of the labelers.
-TOP_DOMAINS = frozenset("com org net edu gov info io co de fr es uk us eu".split())
-KEY_PREFIXES = frozenset("AKIA ASIA AGPA AIDA AROA".split())
-SECRET_NAMES = frozenset("password passwd pwd secret token apikey api_key access_key".split())
+#: Keys that name their issuer in their first letters.
+ISSUED_KEY = re.compile(
+    r"(?<![A-Za-z0-9])(?:gh[opsu]_|github_pat_|glpat-|xox[abpr]-|AIza|[rs]k_live_|[rs]k_test_|npm_|pypi-|hf_|SG\.)"
+    r"[A-Za-z0-9_.-]{16,}+"
+)
+
+# Gazetteers and context words of the labelers.
+TOP_DOMAINS = frozenset(
+    "com org net edu gov mil int info biz name pro aero coop museum jobs mobi travel tel cat asia post "
+    "io co me tv cc ai app dev cloud online site shop store tech blog news xyz top club page wiki zone agency "
+    "ar at au be bg br ca ch cl cn cy cz de dk ee es eu fi fr gr hk hr hu id ie il in ir is it jp kr kz lt "
+    "lu lv ma mt mx my ng nl no nz pe ph pk pl pt ro rs ru sa se sg si sk th tr tw ua uk us uy ve vn za".split()
+)
+KEY_PREFIXES = frozenset(
+    "AKIA ASIA AGPA AIDA AROA AIPA ANPA ANVA ABIA ACCA gho_ ghp_ ghs_ ghu_ gith glpa xoxa xoxb xoxp xoxr AIza "
+    "sk_l sk_t rk_l rk_t npm_ pypi hf_ eyJh eyJ0 eyJr".split()
+)
+SECRET_NAMES = frozenset(
+    "password passwd passphrase passcode pwd pass secret token apikey api_key api-key access_key access-key "
+    "auth_token auth-token client_secret private_key credential credentials bearer authorization session "
+    "cookie key pin".split()
+)
+EASY_CODES = frozenset(f"{d}{d}{d}" for d in range(10)) | {"123", "000", "555"}
+_CALLS = "phone tel telephone call called calling dial mobile cell cellphone fax text sms whatsapp hotline contact"
 CONTEXT = {
-    "email": frozenset("mail email e-mail contact write address".split()),
-    "ip": frozenset("ip host address server client from".split()),
-    "card": frozenset("card visa credit payment account".split()),
-    "phone": frozenset("phone tel telephone call mobile fax".split()),
-    "local_phone": frozenset("phone tel telephone call mobile fax".split()),
-    "national_id": frozenset("ssn social security id insurance".split()),
+    "email": frozenset("mail email e-mail mailto contact write address reach send reply inbox to from cc".split()),
+    "ip": frozenset("ip ipv host address addr server client from peer gateway dns subnet ping ssh login".split()),
+    "card": frozenset("card visa mastercard amex credit debit payment account pay cvv expiry charged".split()),
+    "phone": frozenset(_CALLS.split()),
+    "local_phone": frozenset(_CALLS.split()),
+    "national_id": frozenset("ssn social security id identity insurance national taxpayer tin sin".split()),
     "secret": SECRET_NAMES,
 }
-AGAINST = frozenset("version page section figure isbn order chapter no number build".split())
-LABELERS = ("format", "gazetteer", "context", "surroundings", "letters")
+AGAINST = frozenset(
+    "version release page section figure table isbn issn doi order chapter no number build part item invoice "
+    "serial model batch lot row line step score id_ port".split()
+)
+LABELERS = ("format", "gazetteer", "context", "surroundings", "letters", "denial")
+
+#: Spans that the rates over all kinds count like when those of one kind are estimated.
+OWN_TRUST = 500.0
 
 #: Number of digits, whether it holds a letter, number of distinct characters of a span.
 Content = tuple[int, bool, int]
@@ -110,7 +136,7 @@ def spans_of(text: str) -> tuple[list, list]:
             (base if passes else loose).append((KINDS.index(kind), start, end))
         loose += [(4, *m.span()) for m in LOCAL_PHONE.finditer(text)]
         loose += [(5, *m.span()) for m in NATIONAL_ID.finditer(text)]
-    loose += [(6, *m.span()) for m in ACCESS_KEY.finditer(text)]
+    loose += [(6, *m.span()) for p in (ACCESS_KEY, ISSUED_KEY) for m in p.finditer(text)]
     assigned = list(assignments(text))
     loose += [(6, *s) for s in assigned]
     valid, known = set(base), contents(text, assigned)
@@ -166,12 +192,12 @@ def votes(text: str, span: tuple[int, int, int], valid: bool, content: Content)
     elif name == "secret":
         form = 1 if digits >= 2 and letters else -1
     else:
-        form = 1 if digits in (9, 10) else -1
+        form = 1 if well_formed(name, only_digits(part)) else -1
     listed = {
         "email": part.rpartition(".")[2].lower() in TOP_DOMAINS,
         "phone": part[1] in "123456789",
-        "secret": part[:4] in KEY_PREFIXES,
-        "local_phone": only_digits(part)[:1] not in ("0", "1"),
+        "secret": part[:4] in KEY_PREFIXES or part[:3] in KEY_PREFIXES,
+        "local_phone": part[:3].strip("(") not in EASY_CODES,
         "national_id": part[:3] not in ("000", "666") and part[:1] != "9",
     }.get(name)
     near = set(re.findall(r"[a-z_-]+", text[max(0, start - 40) : start].lower()))
@@ -185,7 +211,16 @@ def votes(text: str, span: tuple[int, int, int], valid: bool, content: Content)
         mixed = 1 if len(set(only_digits(part))) >= 3 else -1
     else:
         mixed = 1 if any(c.isalpha() for c in part.partition("@")[0]) else -1
-    return [form, 0 if listed is None else 1 if listed else -1, context, 1 if open_sides else -1, mixed]
+    # the last word before it names another sort of number
+    denial = -1 if set(re.findall(r"[a-z_]+", text[max(0, start - 12) : start].lower())[-1:]) & AGAINST else 0
+    return [form, 0 if listed is None else 1 if listed else -1, context, 1 if open_sides else -1, mixed, denial]
+
+
+def well_formed(name: str, digits: str) -> bool:
+    """Whether the parts of a local phone number or national id are ones that are given out."""
+    if name == "local_phone":
+        return len(digits) == 10 and digits[0] in "23456789" and digits[3] in "23456789"
+    return len(digits) == 9 and digits[3:5] != "00" and digits[5:] != "0000"
 
 
 def cell(text: str, span: tuple[int, int, int], valid: bool, content: Content | None = None) -> str:
@@ -206,18 +241,36 @@ def split_cells(cells: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return kind, vote, rest
 
 
-def reliabilities(vote: np.ndarray, counts: np.ndarray, rounds: int = 100):
+def first_rates() -> np.ndarray:
+    """Labelers that are right four times in five; words against a span are rare before real ones."""
+    rates = np.empty((2, len(LABELERS), 3))
+    rates[1], rates[0] = (0.15, 0.25, 0.6), (0.6, 0.25, 0.15)
+    rates[1, LABELERS.index("context")] = (0.03, 0.4, 0.57)
+    denial = LABELERS.index("denial")
+    rates[1, denial], rates[0, denial] = (0.01, 0.98, 0.01), (0.4, 0.59, 0.01)
+    return rates
+
+
+def reliabilities(
+    vote: np.ndarray,
+    counts: np.ndarray,
+    rounds: int = 100,
+    known: np.ndarray | None = None,
+    trust: float = 3.0,
+):
     """EM: (share of real spans, rates[real, labeler, vote], posterior of each vote pattern).
 
-    Starts from labelers that are right four times in five; one pseudo-count per rate.
+    Starts from ``known`` rates (by default ``first_rates``), which count like ``trust`` spans of either sort.
+    A labeler without an opinion on a span says nothing about it.
     """
     share = 0.5
-    rates = np.empty((2, len(LABELERS), 3))
-    rates[1], rates[0] = (0.15, 0.25, 0.6), (0.6, 0.25, 0.15)
+    before = first_rates() if known is None else known
+    rates = before.copy()
+    prior = before if known is not None else np.full_like(before, 1 / 3)
     posterior = np.full(len(vote), 0.5)
     which = np.arange(len(LABELERS))
     for _ in range(rounds):
-        log = [np.log(rates[r][which, vote]).sum(axis=1) for r in (0, 1)]
+        log = [np.where(vote == 1, 0.0, np.log(rates[r][which, vote])).sum(axis=1) for r in (0, 1)]
         odds = log[1] - log[0] + np.log(share / (1 - share))
         now = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
         done = np.abs(now - posterior).max(initial=0) < 1e-9
@@ -226,7 +279,7 @@ def reliabilities(vote: np.ndarray, counts: np.ndarray, rounds: int = 100):
             break
         for r, weight in ((1, counts * posterior), (0, counts * (1 - posterior))):
             for v in range(3):
-                rates[r, :, v] = (weight[:, None] * (vote == v)).sum(axis=0) + 1
+                rates[r, :, v] = (weight[:, None] * (vote == v)).sum(axis=0) + trust * prior[r, :, v]
             rates[r] /= rates[r].sum(axis=1, keepdims=True)
         share = float(np.clip((counts @ posterior + 1) / (counts.sum() + 2), 0.01, 0.99))
     return share, rates, posterior
@@ -261,7 +314,12 @@ def learn(table: dict[str, int]) -> dict[str, float]:
     cells = sorted(table)
     counts = np.array([table[c] for c in cells], float)
     kind, vote, rest = split_cells(cells)
-    posterior = reliabilities(vote, counts)[2]
+    # a labeler may be good at one kind and poor at another: the rates of all kinds, and what a kind adds
+    rates = reliabilities(vote, counts)[1]
+    posterior = np.empty(len(cells))
+    for k in np.unique(kind):
+        own = kind == k
+        posterior[own] = reliabilities(vote[own], counts[own], known=rates, trust=OWN_TRUST)[2]
     x = one_hot(kind, vote, rest)
     weights = span_classifier(x, posterior, counts)
     p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
