@@ -32,12 +32,24 @@ def _by_number(rows: DataFrame, numbers: DataFrame, how: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects; the cutoffs come from the labelled ones among ``docs``."""
+    """Documents that no rule rejects; the cutoffs come from the labelled ones among ``docs``.
+
+    A verdict depends on text and language alone, so the rejected ones are known by id, language and the text's
+    digest; the texts are measured once and not stored.
+    """
     configure(spark)
-    figures = stored(rules.features(docs, *COLUMNS), "figures")
-    learnt = rules.cutoffs(figures, read_table(spark, sf_dir, "labels"))
-    judged = rules.verdicts(figures, stored(learnt, "cutoffs"))
-    return judged.where("kept").select("carried.*")
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest")
+    rows = docs.select(*COLUMNS, digest)
+    figures = stored(rules.features(rows, "digest"), "figures")
+    learnt = stored(rules.cutoffs(figures, read_table(spark, sf_dir, "labels")), "cutoffs")
+    judged = rules.verdicts(figures, learnt).where(~F.col("kept"))
+    gone = judged.select(F.col("doc_id").alias("id"), "stratum", F.col("carried.digest").alias("text_digest"))
+    same = (
+        F.col("doc_id").cast("long").eqNullSafe(F.col("id"))
+        & (F.coalesce(F.col("lang").cast("string"), F.lit("")) == F.col("stratum"))
+        & (F.col("digest") == F.col("text_digest"))
+    )
+    return rows.join(gone.distinct(), same, "left_anti").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
