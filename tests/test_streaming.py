@@ -2,13 +2,23 @@
 
 import random
 import re
+import shutil
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from wardline.operators.normalize import normalize_events
-from wardline.operators.stats import ip_sketches, unique_ips, unique_ips_from_sketches, value_counts
+from wardline.operators.stats import (
+    ip_sketches,
+    unique_ips,
+    unique_ips_from_sketches,
+    value_counts,
+    window_counts_from_batches,
+    window_records,
+    window_summary,
+)
 from wardline.operators.upkeep import upsert_events
 from wardline.operators.windows import analysis_windows, poll_aggregate, window_polls
 from wardline.plans import inputs as src
@@ -21,8 +31,11 @@ from wardline.streaming import (
     read_bronze,
     read_poll_log,
     read_slice,
+    read_summaries,
+    stream_polls,
     stream_raw_ndjson,
     stream_windows,
+    summarise_stream,
 )
 
 
@@ -157,6 +170,55 @@ def test_a_slice_reads_its_epochs(spark, sf_dir, landed, tmp_path):
     assert filters and not any(f.startswith("PartitionFilters: []") for f in filters) or "LocalTableScan" in plan
 
 
+def test_records_are_stored_as_windows_close(spark, sf_dir, landed, tmp_path):
+    """Poll log to windows to records, over restarts and a micro-batch of the ingest that ran twice."""
+    raw, target, table = tmp_path / "raw", str(tmp_path / "out"), str(tmp_path / "table")
+    folders = sorted(Path(landed).glob("config_id=*/poll_epoch=*"), key=lambda p: int(p.name.split("=")[1]))
+    some = Settings(event_count_threshold=2)
+
+    def run(upto):
+        for folder in folders[:upto]:
+            new = raw / folder.relative_to(landed)
+            if not new.exists():
+                shutil.copytree(folder, new)
+        query = ingest_stream(
+            stream_raw_ndjson(spark, str(raw)), target, available_now=True, table=table, counts=True
+        )
+        query.awaitTermination()
+        assert query.exception() is None
+        closed = stream_windows(stream_polls(spark, target), settings=some)
+        query = summarise_stream(closed, table, target, settings=some, available_now=True)
+        query.awaitTermination()
+        assert query.exception() is None
+
+    assert read_summaries(spark, target) is None
+    run(len(folders) // 2)
+    commits = sorted((tmp_path / "out" / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    run(len(folders))
+    got = read_summaries(spark, target)
+    polls = poll_aggregate(read_bronze(spark, target))
+    windows = analysis_windows(polls, settings=some)
+    columns = ["window_id", "trigger_reason", "event_count", "deny_count", "closed_at"]
+    rows = lambda df, cs: sorted(map(tuple, df.select(cs).collect()))
+    assert rows(got, columns) == rows(windows, columns) and windows.count() > 20
+    # windows whose events all stayed where they arrived have the records of the batch job
+    batch = window_summary(windows, event_table.read_events(spark, table), settings=some)
+    columns += ["stored_events", "unique_ips", "avg_bot_score", "severity", "model_used"]
+    whole = lambda df: df.where("stored_events = event_count")
+    assert rows(whole(batch), columns) == rows(whole(got.join(whole(batch).select("window_id"), "window_id")), columns)
+    files = [f for f in window_records(windows, window_counts_from_batches(
+        windows.limit(0).unionByName(got.select(windows.columns)), event_table.read_counts(spark, table)
+    )).inputFiles() if "/table/data/" in f]
+    assert files == []
+    edge = got.agg(F.expr("percentile_approx(closed_at, 0.5)")).first()[0]
+    late = read_summaries(spark, target, since=edge)
+    assert 0 < late.count() < got.count()
+    plan = late._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*closed_date", plan)
+
+
 def test_sketches_merge(spark):
     """Distinct addresses of windows from sketches per poll; the error against exact counts is small."""
     polls = [(f"b{i}", i) for i in range(8)]

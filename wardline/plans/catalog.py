@@ -6,6 +6,7 @@ Results are flat: arrays come out as one row per element, timestamps as epoch nu
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -451,12 +452,22 @@ def trigger_time_ceiling(spark, sf):
     return _flat_windows(src.windows(spark, sf).filter("trigger_reason = 'time_ceiling'"))
 
 
-@query
-def stream_windows(spark, sf):
-    """The windows of a stream of polls, with state per config."""
+@contextmanager
+def _state_store(spark):
+    """The session with the state store that the windows need."""
     before = {key: spark.conf.get(key, None) for key in streaming.STATE_STORE}
     for key, value in streaming.STATE_STORE.items():
         spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+@query
+def stream_windows(spark, sf):
+    """The windows of a stream of polls, with state per config."""
     polls = _stored(spark, src.polls(spark, sf), "polls")
     target = scratch_path(spark, "windows")
     sink = (
@@ -467,11 +478,8 @@ def stream_windows(spark, sf):
         .option("checkpointLocation", f"{target}/checkpoint")
         .trigger(availableNow=True)
     )
-    try:
+    with _state_store(spark):
         _finish(sink.start())
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return _flat_windows(spark.read.parquet(f"{target}/data"))
 
 
@@ -621,6 +629,37 @@ def window_summary_from_counts(spark, sf):
     return _recorded(stats.window_records(windows, totals, settings=FIXTURE))
 
 
+_SUMMARISED: dict[tuple[str, str], str] = {}
+
+
+def _summarised(spark, sf):
+    """The records that the streams leave behind: polls of the ingest, windows, records; made once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SUMMARISED:
+        target, ingested = scratch_path(spark, "summarised"), _ingested(spark, sf)
+        with _state_store(spark):
+            closed = streaming.stream_windows(streaming.stream_polls(spark, ingested), settings=FIXTURE)
+            _finish(
+                streaming.summarise_stream(
+                    closed, f"{ingested}/events", target, settings=FIXTURE, available_now=True
+                )
+            )
+        _SUMMARISED[key] = target
+    return streaming.read_summaries(spark, _SUMMARISED[key])
+
+
+@query
+def stored_summaries(spark, sf):
+    """Window records written by the streams, from the ingest's tables alone."""
+    return _recorded(_summarised(spark, sf))
+
+
+@query
+def stored_rule_tag_trend(spark, sf):
+    """The trend over stored records; neither windows nor events are computed again."""
+    return trends.rule_tag_trend(_summarised(spark, sf), by=["config_id"])
+
+
 @query
 def batch_request(spark, sf):
     """The requests, with some members read back out of their JSON."""

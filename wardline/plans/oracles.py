@@ -720,6 +720,7 @@ select strftime(d, '%Y-%m-%d') as date, coalesce(total, 0) / 1e9::double as esti
 from (select unnest(generate_series(min(date), max(date), interval 1 day))::date as d from usage)
 left join day on day.date = d"""),
     }
-    # the same records from counts per poll
-    found["window_summary_from_counts"] = found["window_summary"]
+    # the same records from counts per poll, and stored as windows close
+    found["window_summary_from_counts"] = found["stored_summaries"] = found["window_summary"]
+    found["stored_rule_tag_trend"] = found["rule_tag_trend"]
     return found

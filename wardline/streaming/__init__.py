@@ -6,6 +6,7 @@ from wardline.streaming.ingest import (
     read_slice,
     stream_raw_ndjson,
 )
+from wardline.streaming.summaries import read_summaries, stream_polls, summarise_stream
 from wardline.streaming.windows import STATE_STORE, stream_windows
 
 __all__ = [
@@ -15,6 +16,9 @@ __all__ = [
     "read_poll_log",
     "read_sketches",
     "read_slice",
+    "read_summaries",
+    "stream_polls",
     "stream_raw_ndjson",
     "stream_windows",
+    "summarise_stream",
 ]
