@@ -32,8 +32,13 @@ HEADLINE = (
     "complete_windows",
     "rule_tag_trend",
     "strategic_summary",
+    "merge_events",
+    "event_by_id",
     "query_events",
+    "query_events_in_range",
     "ip_drilldown",
+    "batch_page",
+    "window_summary_from_counts",
     "export_csv",
     "analysis_stream",
     "daily_spend",
