@@ -148,3 +148,29 @@ def test_components(spark):
 def test_whole_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert got(QUERIES["op10_near_dedup"](spark, sf_dir)) == brute(rows)
+
+
+def test_recall_of_planted_copies(spark, sf_dir):
+    """Copies by rate of changed words: all whose similarity is at least 0.8 are found; README states the table."""
+    rng = random.Random(8)
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    long = [t for t in dict.fromkeys(texts) if t and 150 <= len(t.split()) <= 1200][:60]
+    rows, pairs, rates = [], [], (0.002, 0.005, 0.01, 0.02, 0.03, 0.05)
+    for n, text in enumerate(long):
+        # every original has words of its own, so that only planted pairs are near
+        words = [f"{w}x{n}" for w in text.split()]
+        for rate in rates:
+            base = [f"{w}r{rate}" for w in words]
+            copy = [f"new{rng.randrange(10**6)}" if rng.random() < rate else w for w in base]
+            pairs.append((rate, len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    of = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+    table = {}
+    for rate in rates:
+        own = [(alike(bag(rows[i][1]), bag(rows[j][1])), of[i] == of[j]) for r, i, j in pairs if r == rate]
+        near = [found for s, found in own if s >= 0.8]
+        table[rate] = len(own), len(near), sum(near), sum(found for _, found in own)
+        assert all(near) and sum(found for _, found in own) == sum(near)
+    print(table)
+    assert table[0.01][1] > 50 and table[0.05][1] < 30
