@@ -52,7 +52,47 @@ def test_brute_force(spark, window, monkeypatch):
         "id", substrings.F.lit("clash")
     )
     got = substrings.remove_repeats(docs.repartition(3), window).collect()
-    assert sorted(map(repr, map(tuple, got))) == brute(rows, window)
+    assert sorted(repr(tuple(r)[:4]) for r in got) == brute(rows, window)
+    whole_passages(rows, got, window)
+
+
+def whole_passages(rows, got, window):
+    """Factors cover what is removed; each is long enough and stands earlier as one passage."""
+    big = substrings.LAST_ID
+    texts = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}
+    joined = {}
+    for r in got:
+        words, gone = texts[r.doc_id], set()
+        for f in r.factors:
+            assert f.words >= window
+            gone.update(range(f.start, f.start + f.words))
+            passage = "\t" + "\t".join(words[f.start : f.start + f.words]) + "\t"
+            earlier = (big if r.doc_id is None else r.doc_id, f.start)
+            assert any(
+                passage in joined.setdefault(i, "\t" + "\t".join(other) + "\t")
+                and (
+                    (big if i is None else i) < earlier[0]
+                    or (i == r.doc_id and any(other[s : s + f.words] == words[f.start : f.start + f.words] for s in range(f.start)))
+                )
+                for i, other in texts.items()
+            )
+        assert len(gone) == r.n_removed
+
+
+def test_factors():
+    span = lambda start, n, line: {"start": start, "n": n, "line": line}
+    assert substrings.factors_of([], 20) == []
+    # one line, then another source, then a gap; a place met twice counts once
+    spans = [span(9, 3, 7), span(0, 5, 7), span(5, 4, 7), span(12, 2, 8), span(20, 1, 8), span(5, 4, 9)]
+    assert substrings.factors_of(spans, 20) == [(0, 31), (12, 21), (20, 20)]
+
+
+def test_long_passages_are_one_factor(spark):
+    passage = " ".join(f"p{i}" for i in range(500))
+    rows = [(1, passage), (2, "own words first " + passage + " and after"), (3, passage + " x " + passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [tuple(f) for f in r.factors] for r in substrings.remove_repeats(docs).collect()}
+    assert got == {1: [], 2: [(3, 500)], 3: [(0, 500), (501, 500)]}
 
 
 def test_chunk_hands_on_blocks_marks_and_windows():
@@ -73,8 +113,8 @@ def test_chunk_hands_on_blocks_marks_and_windows():
         (substrings.WINDOW, 801, 3, 9, 1),
         (substrings.WINDOW, 802, 3, 10, 1),
         (substrings.WINDOW, 803, 4, 10, 1),
-        (substrings.AGAIN, 0, 2, 3, 1),
-        (substrings.AGAIN, 0, 4, 9, 1),
+        (substrings.AGAIN, 3, 4, 9, 1),
+        (substrings.AGAIN, 1 ^ 6 << 16, 2, 3, 1),  # its source: document 1, six words further on
     ]
     assert {r["group"] for r in rows if r["place"] & 255 in (0, 1)} == {5, 6}
 

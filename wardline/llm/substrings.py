@@ -1,19 +1,24 @@
-"""Removal of repeated word sequences by anchored blocks and window checks, in place of a greedy parse.
+"""Removal of repeated word sequences: documents parsed into factors of indexed reference blocks.
 
 Every document is cut into reference blocks by content: a block is the run of windows (``window`` words
 each) that share their anchor, the least hash of ``GRAM`` consecutive words in the window. Equal windows
 have the same anchor at the same place, wherever they stand, so one index by anchor finds them all. All
-blocks of all documents are indexed, and each is judged on its own against the blocks that start
-earlier (smaller id, or earlier in the same document): one equal to such a block is a repetition and needs
-no further look. Blocks that share the anchor but not all their words are checked window by window.
-Windows met earlier become spans, and spans that touch merge. There is no relative Lempel-Ziv parse: no
-factor is extended across blocks and no factor's length is tested.
+blocks of all documents are indexed, and each is looked up among the blocks that start earlier (smaller
+id, or earlier in the same document). A block equal to an earlier one is a piece of a factor; blocks that
+share the anchor but not all their words, as at the ends of a common passage, are looked up window by
+window. Every piece knows its line: where its source lies relative to itself. From the left, pieces that
+follow each other on one line are joined into one factor, which ends where the next piece stands on
+another line or is no repetition. Factors of at least ``window`` words are removed.
+
+This is the relative Lempel-Ziv parse with blocks as its alphabet: a source is the first occurrence of a
+block rather than the longest match of all references, and windows across the boundary of two factors
+are looked up like any others, so no repeated window is missed whatever the choice of sources.
 
 Blocks travel as 64-bit hashes, not as words; a task keeps only the first of equal blocks it reads (the
 others are repetitions at once), so a passage in a third of all documents is a few rows per task. Where a
 task itself sees an anchor with several blocks, as at the ends of such a passage, it hands on their
 windows, keyed by window, and one mark for the anchor: no anchor gathers more rows than there are
-chunks. An anchor and a block's hash are compared together. Spans and boundary windows are stored in
+chunks. An anchor and a block's hash are compared together. Pieces and boundary windows are stored in
 the shared folder.
 """
 
@@ -41,6 +46,7 @@ BLOCK, MARK, WINDOW, AGAIN = range(4)
 #: ``place`` packs the first word (upper 48 bits), the number of windows and the kind (a byte each), so
 #: that it sorts by word and rows stay narrow.
 PLACES = "`group` long, `hash` long, id long, tag long, place long"
+FACTORS = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())]))
 START, COUNT, KIND = "place >> 16", "(place >> 8) & 255", "place & 255"
 
 
@@ -89,8 +95,8 @@ class Places:
     def take(self, which: np.ndarray) -> Places:
         return Places(*(c[which] for c in self.columns))
 
-    def sorted(self) -> tuple[Places, np.ndarray, np.ndarray]:
-        """By sequence and place; where a new sequence begins, and what repeats an earlier place."""
+    def sorted(self) -> tuple[Places, np.ndarray, np.ndarray, np.ndarray]:
+        """By sequence and place; where a new sequence begins, what repeats an earlier place, and its line."""
         group, hashed, ids, tag, start, _ = self.columns
         order = np.lexsort((start, tag, ids, hashed, group))
         out = self.take(order)
@@ -99,15 +105,17 @@ class Places:
         new[1:] = (group[1:] != group[:-1]) | (hashed[1:] != hashed[:-1])
         head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(out) else new.astype(np.int64)
         # the same place twice is one document read twice, not a repetition
-        return out, new, (ids != ids[head]) | (tag != tag[head]) | (start != start[head])
+        again = (ids != ids[head]) | (tag != tag[head]) | (start != start[head])
+        return out, new, again, ids[head] ^ tag[head] ^ ((start[head] - start) << 16)
 
-    def batch(self, kind: int | np.ndarray) -> pa.RecordBatch:
-        """As rows. A window is dealt by its own hash, a repetition by its place."""
+    def batch(self, kind: int | np.ndarray, line: np.ndarray | None = None) -> pa.RecordBatch:
+        """As rows. A window is dealt by its own hash, a repetition by its place; its hash is its line."""
         group, hashed, ids, tag, start, n = self.columns
         kinds = np.broadcast_to(np.asarray(kind, np.int64), len(self))
         group = np.where(kinds == WINDOW, seeded(group ^ mix(hashed), 5), group)
         group = np.where(kinds == AGAIN, seeded(ids.view(np.uint64) ^ start.astype(np.uint64), 6), group)
-        hashed = np.where(kinds == AGAIN, np.uint64(0), hashed)
+        if line is not None:
+            hashed = np.where(kinds == AGAIN, line.view(np.uint64), hashed)
         place = (start.astype(np.int64) << 16) | (n.astype(np.int64) << 8) | kinds
         columns = [group.view(np.int64), hashed.view(np.int64), ids, tag, place]
         names = ["group", "hash", "id", "tag", "place"]
@@ -116,8 +124,8 @@ class Places:
 
 def window_places(places: Places) -> pa.RecordBatch:
     """Windows that a task hands on: the first of each, and the repetitions among them."""
-    out, _, again = places.sorted()
-    return out.batch(np.where(again, AGAIN, WINDOW))
+    out, _, again, line = places.sorted()
+    return out.batch(np.where(again, AGAIN, WINDOW), line)
 
 
 class Chunk:
@@ -137,7 +145,7 @@ class Chunk:
         n = columns[-1]
         blocks = Places(*columns)
         # where the windows of each block begin travels along in place of their number
-        out, new, again = Places(*columns[:-1], np.cumsum(n) - n).sorted()
+        out, new, again, line = Places(*columns[:-1], np.cumsum(n) - n).sorted()
         at = out.columns[-1]
         group = out.columns[0]
         n = blocks.columns[-1][np.searchsorted(np.cumsum(blocks.columns[-1]), at, "right")]
@@ -147,7 +155,7 @@ class Chunk:
         border[1:] = group[1:] != group[:-1]
         number = np.cumsum(border) - 1
         several = (np.bincount(number, weights=new) > 1)[number] if len(out) else border
-        yield out.take(again).batch(AGAIN)
+        yield out.take(again).batch(AGAIN, line[again])
         yield out.take(~again & ~several).batch(BLOCK)
         marks = out.take(border & several)
         zero = np.zeros(len(marks), np.int64)
@@ -195,8 +203,8 @@ def blocks(rows: DataFrame, window: int) -> DataFrame:
 
 
 def judge(places: DataFrame) -> DataFrame:
-    """``places`` with ``again`` (an equal sequence stands earlier) and ``open`` (a block, the first of
-    its kind, whose anchor has another one, or a mark). Marks are dropped.
+    """``places`` with ``again`` (an equal sequence stands earlier), its ``line``, and ``open`` (a block, the
+    first of its kind, whose anchor has another one, or a mark). Marks are dropped.
 
     Dealt by anchor for blocks and by sequence for windows; repetitions only pass through.
     """
@@ -212,9 +220,12 @@ def judge(places: DataFrame) -> DataFrame:
     )
     again = (kind == AGAIN) | (F.col("head") != own)
     several = F.col("low") != F.col("high")
+    shift = F.shiftleft(F.shiftright("head.place", 16) - F.shiftright("place", 16), 16)
+    line = F.col("head.id").bitwiseXOR(F.col("head.tag")).bitwiseXOR(shift)
     return judged.where(kind != MARK).select(
         "group", "hash", "id", "tag", "place",
-        again.alias("again"), ((kind == BLOCK) & ~again & several).alias("open"),
+        again.alias("again"), F.when(kind == AGAIN, F.col("hash")).otherwise(line).alias("line"),
+        ((kind == BLOCK) & ~again & several).alias("open"),
     )
 
 
@@ -247,7 +258,7 @@ def boundary_windows(rows: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
-    """(id, tag, spans): first words and numbers of windows that stand earlier, by document."""
+    """(id, tag, spans): first words, numbers and lines of windows that stand earlier, by document."""
     is_window = F.expr(KIND) == WINDOW
     judged = judge(blocks(rows, window))
     judged = stored(judged.where(F.col("again") | F.col("open") | is_window), "judged-blocks")
@@ -257,13 +268,34 @@ def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
     more = boundary_windows(rows.join(opened, ["id", "tag"]), window)
     waiting = judged.where(is_window & ~F.col("again")).select(more.columns)
     # what is a repetition already needs no second look
-    found = judged.where("again").select("id", "tag", "place")
-    edges = judge(more.unionByName(waiting)).where("again").select("id", "tag", "place")
+    found = judged.where("again").select("id", "tag", "place", "line")
+    edges = judge(more.unionByName(waiting)).where("again").select("id", "tag", "place", "line")
     edges = stored(edges, "judged-windows")
-    span = F.struct(F.expr(START).alias("start"), F.expr(COUNT).cast("int").alias("n"))
+    span = F.struct(F.expr(START).alias("start"), F.expr(COUNT).cast("int").alias("n"), "line")
     return found.unionByName(edges).groupBy("id", "tag").agg(F.collect_set(span).alias("spans"))
 
 
+def factors_of(spans: list[dict], window: int) -> list[tuple[int, int]]:
+    """(first word, words) of the factors of a document, from the left.
+
+    A piece goes on with the factor before it if it starts at the window after it and lies on its line: then
+    both are one earlier passage. A place that was met twice has one of its lines.
+    """
+    out: list[tuple[int, int]] = []
+    next_window, line = -1, None
+    for span in sorted(spans, key=lambda s: (s["start"], s["line"])):
+        start, n = span["start"], span["n"]
+        if start < next_window:
+            continue
+        if start == next_window and span["line"] == line:
+            first, words = out[-1]
+            out[-1] = first, words + n
+        else:
+            out.append((start, n - 1 + window))
+        next_window, line = start + n, span["line"]
+    return [f for f in out if f[1] >= window]
+
+
 def tag_of(digest: Column, salt: int) -> Column:
     """What tells texts of one id apart: 64 bits of the text's digest, mixed anew for every salt."""
     return F.xxhash64(digest, F.lit(salt))
@@ -288,11 +320,12 @@ def telling_salt(rows: DataFrame) -> int:
 
 
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
-    """(doc_id, text, n_words, n_removed) of every row of ``docs`` without repeated windows.
+    """(doc_id, text, n_words, n_removed, factors) of every row of ``docs`` without repeated windows.
 
     A word goes if a window of ``window`` consecutive words over it stands earlier too: in a
     document of smaller id, or earlier in the same one. All windows are judged on the input. The
-    words that stay are joined by one space. A null or empty text has no words. Rows of one doc_id
+    words that stay are joined by one space. ``factors``: (start, words) of the removed passages, each of which
+    stands earlier as a whole; they may overlap by less than a window. A null or empty text has no words. Rows of one doc_id
     with different texts are ordered by a hash of the text; rows equal in both are one document and
     get the same result. A null doc_id counts as the largest id. A text of any length is cut whole
     by one task; an empty table gives no rows; other columns are ignored.
@@ -310,15 +343,16 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            kept, counts, gone = [], [], []
+            kept, counts, gone, factors = [], [], [], []
             columns = part.column("text").to_pylist(), part.column("spans").to_pylist()
             for text, spans in zip(*columns):
                 words = (text or "").encode().split()
                 counts.append(len(words))
-                if spans:
+                factors.append(factors_of(spans or [], window))
+                if factors[-1]:
                     stays = np.ones(len(words), bool)
-                    for span in spans:
-                        stays[span["start"] : span["start"] + span["n"] - 1 + window] = False
+                    for start, n in factors[-1]:
+                        stays[start : start + n] = False
                     words = list(compress(words, stays.tolist()))
                 kept.append(b" ".join(words))
                 gone.append(counts[-1] - len(words))
@@ -328,8 +362,12 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                     pa.array(kept, pa.binary()).cast(pa.string()),
                     pa.array(counts, pa.int64()),
                     pa.array(gone, pa.int64()),
+                    pa.array([[{"start": s, "words": n} for s, n in f] for f in factors], FACTORS),
                 ],
-                names=["doc_id", "text", "n_words", "n_removed"],
+                names=["doc_id", "text", "n_words", "n_removed", "factors"],
             )
 
-    return joined.mapInArrow(apply, "doc_id long, text string, n_words long, n_removed long")
+    return joined.mapInArrow(
+        apply,
+        "doc_id long, text string, n_words long, n_removed long, factors array<struct<start:int,words:int>>",
+    )
