@@ -214,7 +214,7 @@ def encode_documents(docs: DataFrame, spec: str) -> DataFrame:
 
     ``spec`` is the JSON text of a vocabulary (fixed size; sent to the tasks once). A null text
     counts as empty; an empty text has no ids and decodes to an empty text. Every row gives one
-    row, repeated ones included; other columns are ignored.
+    row, repeated ones included; other columns are ignored. A text of any length is encoded whole by one task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 

@@ -308,7 +308,8 @@ def near_classes(
     ``root`` numbers the class, the connected component of all links: pairs of texts with a weighted
     Jaccard similarity of at least ``threshold`` on shingles of lower-cased words, a text of fewer
     words being one shingle. A null or empty text, or one without words, is like no other and equal
-    only to the same text. At 24 bands of 4 rows a pair at the threshold shares no bucket with
+    only to the same text. A text of any length is signed whole; repeated rows are one node; an empty table
+    gives no rows. At 24 bands of 4 rows a pair at the threshold shares no bucket with
     probability 3e-6.
     """
     k = bands * rows

@@ -39,7 +39,12 @@ RULES: dict[str, tuple[str, str, tuple[int, ...]]] = {
 
 
 def features(docs: DataFrame, *carry: str) -> DataFrame:
-    """Figures of each whole text: doc_id, stratum, counts, and the columns in ``carry``."""
+    """Figures of each whole text: doc_id, stratum, counts, and the columns in ``carry`` (as ``carried``).
+
+    A null or empty text has counts of 0, a null lang is a stratum of its own name ''. A text of any length is
+    one row's arrays in one task. Every row gives one row, repeated rows and null ids too; an empty table none;
+    other columns are ignored.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
