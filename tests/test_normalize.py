@@ -72,6 +72,7 @@ def normalized(spark, *docs, config="test-config-1"):
 
 def test_golden_event(spark):
     (e,) = normalized(spark, RAW)
+    # What the golden event becomes.
     assert e.id == "2ecf8294215b82d0af22c52bf8519e4f666706b01aacde217e0497652b95522b"
     assert [tuple(r) for r in e.decoded_rules] == [
         ("950002", "4", "SQL Injection Attack", "OWASP/SQLi", "select", "ARGS_GET:q", "deny"),
