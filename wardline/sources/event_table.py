@@ -23,7 +23,7 @@ from datetime import date, datetime
 from math import ceil
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions.times import utc_seconds
@@ -129,10 +129,13 @@ def _files(spark: SparkSession, path: str, schema: str, found: list[Part]) -> Da
     return reader.parquet(*(_folder(path, p) for p in found)).drop("commit")
 
 
-def _live(spark: SparkSession, path: str, schema: str, lines: Iterable[Part]) -> DataFrame:
-    """The last delivery of each event in the given dates.
+def _live(
+    spark: SparkSession, path: str, schema: str, lines: Iterable[Part], matching: Column | None = None
+) -> DataFrame:
+    """The last delivery of each event in the given dates, of those that match.
 
-    A date of one commit is read as it is; only dates with several are compared by id.
+    A date of one commit is read as it is; only dates with several are compared by id, and of them
+    only events of which some delivery matches.
     """
     by_date: dict[date | None, list[Part]] = {}
     for p in lines:
@@ -140,21 +143,34 @@ def _live(spark: SparkSession, path: str, schema: str, lines: Iterable[Part]) ->
             by_date.setdefault(p.event_date, []).append(p)
     single = [ps[0] for ps in by_date.values() if len(ps) == 1]
     several = [p for ps in by_date.values() if len(ps) > 1 for p in ps]
-    settled = _files(spark, path, schema, single)
+    wanted = F.lit(True) if matching is None else matching
+    settled = _files(spark, path, schema, single).where(wanted)
     if not several:
         return settled
-    compared = upsert_latest(_files(spark, path, schema, several), ["event_date", "id"], ORDER)
+    deliveries = _files(spark, path, schema, several)
+    if matching is not None:
+        hits = deliveries.where(matching).select(F.col("event_date").alias("_date"), F.col("id").alias("_id"))
+        same = (F.col("id") == F.col("_id")) & F.col("event_date").eqNullSafe(F.col("_date"))
+        deliveries = deliveries.join(hits.distinct(), same, "left_semi")
+    compared = upsert_latest(deliveries, ["event_date", "id"], ORDER).where(wanted)
     return settled.unionByName(compared) if single else compared
 
 
 def read_events(
-    spark: SparkSession, path: str, schema: str = SCHEMA, *, version: int | None = None
+    spark: SparkSession,
+    path: str,
+    schema: str = SCHEMA,
+    *,
+    version: int | None = None,
+    matching: Column | None = None,
 ) -> DataFrame:
     """The event table, or an older version of it; empty before the first merge.
 
-    ``event_date`` is a partition column: what filters it reads no other date's files.
+    ``event_date`` is a partition column: what filters it reads no other date's files. ``matching`` gives
+    the rows that a filter after it would, but reaches the files of dates with open deltas too, whose
+    other events are then neither shuffled nor compared.
     """
-    return _live(spark, path, schema, parts(spark, path, version)[1])
+    return _live(spark, path, schema, parts(spark, path, version)[1], matching)
 
 
 def batch_dates(spark: SparkSession, path: str, batch_id: str) -> list[date | None]:
@@ -171,7 +187,7 @@ def read_batch(spark: SparkSession, path: str, batch_id: str, schema: str = SCHE
     """The rows of one batch; only files of its dates are listed and read."""
     dates = set(batch_dates(spark, path, batch_id))
     lines = [p for p in parts(spark, path)[1] if p.event_date in dates]
-    return _live(spark, path, schema, lines).where(F.col("batch_id") == batch_id)
+    return _live(spark, path, schema, lines, F.col("batch_id") == batch_id)
 
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
