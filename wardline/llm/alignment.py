@@ -41,11 +41,11 @@ from wardline.llm.tables import slices, stored, texts
 #: Radix partitions of the ids of side A.
 PARTITIONS = 16
 #: Records of a run, pairs of a block, and runs merged by one task.
-RUN_RECORDS = 6_000_000
+RUN_RECORDS = 4_000_000
 BLOCK_PAIRS = 32_768
 FAN_IN = 32
 #: Chunks and links that a worker remembers; beyond it the memory starts afresh.
-MEMORY = 500_000
+MEMORY = 400_000
 MEMORY_LINKS = 10_000_000
 #: Longer chunks are encoded on their own, in time that does not grow with their square.
 LONG = 500
