@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -313,9 +314,8 @@ def negatives_of(anchors: Anchors, tiles: Iterator[Tile], size: int) -> Heaps:
     return heaps
 
 
-def _heaped(tiles: DataFrame, anchors, work: Callable, size: int) -> DataFrame:
+def _heaped(tiles: DataFrame, shared: Broadcast, work: Callable, size: int) -> DataFrame:
     """Every task's heaps as rows."""
-    shared = tiles.sparkSession.sparkContext.broadcast(anchors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -390,9 +390,12 @@ def mine_negatives(
     for r in range(rounds):
         turn = searched.where(F.pmod(F.xxhash64("anchor"), F.lit(rounds)) == r)
         known = Anchors(turn.collect())
-        first = stored(_merged(_heaped(tiles, known, positives_of, positives), positives), "positives")
+        shared = spark.sparkContext.broadcast(known)
+        first = stored(_merged(_heaped(tiles, shared, positives_of, positives), positives), "positives")
+        shared.unpersist()
         known.windows(first.collect(), positives, low, high)
-        heaps = _merged(_heaped(tiles, known, negatives_of, negatives), negatives)
+        shared = spark.sparkContext.broadcast(known)
+        heaps = _merged(_heaped(tiles, shared, negatives_of, negatives), negatives)
         chosen = first.select(
             "anchor",
             (F.col("rank") - 1).alias("slot"),
@@ -407,6 +410,8 @@ def mine_negatives(
             .write.mode("append")
             .parquet(path)
         )
+        # stored; executors need not keep the anchors of past rounds
+        shared.unpersist()
     return spark.read.schema(
         "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     ).parquet(path)
