@@ -16,7 +16,7 @@ from wardline.llm.tables import stored
 
 
 #: The links of one node are dealt over so many groups.
-SALTS = 32
+SALTS = 16
 
 
 def _around_least(links: DataFrame, larger_only: bool) -> DataFrame:
