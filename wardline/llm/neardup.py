@@ -35,7 +35,7 @@ SHINGLE = 5
 #: for: six standard deviations below it at 96 coordinates.
 AGREEMENT = 0.68
 #: Units of weight in a block of the comparison of outsiders.
-BLOCK_WEIGHT = 200_000
+BLOCK_WEIGHT = 50_000
 SALTS = 16
 
 
