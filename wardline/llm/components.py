@@ -22,10 +22,15 @@ SALTS = 16
 def _around_least(links: DataFrame, larger_only: bool) -> DataFrame:
     """For links (u, v): every v, and for a small star every u too, linked to the least around u."""
     least = links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    others = links.where(F.col("v") > F.col("u")) if larger_only else links
-    dealt = others.withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS)))
-    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    around = dealt.join(copies, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    if larger_only:
+        # a centre's larger neighbours may be millions; smaller ones are few, as centres are the least of their group
+        others = links.where(F.col("v") > F.col("u"))
+        others = others.withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS)))
+        copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = others.join(copies, ["u", "salt"])
+    else:
+        met = links.join(least, "u")
+    around = met.select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not larger_only:
         around = around.unionByName(least.select("u", F.col("m").alias("v")))
     return around.where(F.col("u") != F.col("v"))
