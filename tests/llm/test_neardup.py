@@ -125,7 +125,10 @@ def test_outsiders_meet_everyone_of_another_class(spark, weight):
     assert classes_of(rows, found + same) == classes_of(rows, near + same)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [10**6, 40])
+def test_components(spark, monkeypatch, most):
+    """Also with so few links a task that every star is salted."""
+    monkeypatch.setattr("wardline.llm.components.LINKS_A_TASK", most)
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))]
     edges += [(1000 + i, 1001 + i) for i in range(60)] + [(5, 2000 + i) for i in range(100)]

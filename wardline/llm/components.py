@@ -3,33 +3,35 @@
 A large star links every larger neighbour of a node to the smallest node around it, a small star
 links the smaller neighbours. Both keep components as they are, and alternating them ends in one
 star per component after a logarithmic number of rounds. Each half is one pre-aggregated minimum
-per node and one salted join, so the links of a centre of millions are dealt over many tasks; every
-round is one job, stored in the shared folder.
+per node and one join. From a million links on, a centre may have more than a task should read; the join is
+then salted, the more the more links there are. Every round is one job, stored in the shared folder.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wardline.llm.tables import stored
 
 
-#: The links of one node are dealt over so many groups.
-SALTS = 16
+#: Links of one node that a task may read, and groups that a node's links are dealt over at most.
+LINKS_A_TASK = 1_000_000
+MOST_SALTS = 64
 
 
-def _around_least(links: DataFrame, larger_only: bool) -> DataFrame:
+def _around_least(links: DataFrame, larger_only: bool, salts: int = 1) -> DataFrame:
     """For links (u, v): every v, and for a small star every u too, linked to the least around u."""
     least = links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    if larger_only:
-        # a centre's larger neighbours may be millions; smaller ones are few, as centres are the least of their group
-        others = links.where(F.col("v") > F.col("u"))
-        others = others.withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS)))
-        copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = others.join(copies, ["u", "salt"])
+    others = links.where(F.col("v") > F.col("u")) if larger_only else links
+    if salts > 1:
+        dealt = others.withColumn("salt", F.pmod(F.hash("v"), F.lit(salts)))
+        copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = dealt.join(copies, ["u", "salt"])
     else:
-        met = links.join(least, "u")
+        met = others.join(least, "u")
     around = met.select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not larger_only:
         around = around.unionByName(least.select("u", F.col("m").alias("v")))
@@ -61,7 +63,9 @@ def components(links: DataFrame) -> DataFrame:
     links, before = _stored_state(links, "links")
     while before[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        small = _around_least(_around_least(both, True), False)
+        # no node has more links than there are
+        salts = min(MOST_SALTS, ceil(2 * before[0] / LINKS_A_TASK))
+        small = _around_least(_around_least(both, True, salts), False, salts)
         links, now = _stored_state(small, "stars")
         if now == before:
             break
