@@ -308,3 +308,13 @@ def test_many_exports_in_one_job(spark, sf_dir, tmp_path):
         assert sum(len(p.read_text().splitlines()) for p in found) == want
     assert exports.run_exports(spark, table, folder, requests, as_of=now) == "failed"
     assert all(r.status == "failed" for r in exports.export_manifest(spark, folder).collect())
+
+
+def test_counts_are_written_by_many_tasks(spark, sf_dir, tmp_path):
+    path, rows = str(tmp_path / "t"), src.arrivals(spark, sf_dir)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        event_table.merge_events(spark, path, rows, counts=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(list((tmp_path / "t" / "counts").rglob("part-*"))) > 1

@@ -281,7 +281,8 @@ def merge_events(
         if counts:
             dates = {p.event_date for p in added}
             known = _live(spark, path, schema, [p for p in lines if p.event_date in dates])
-            _changes(new, known).coalesce(1).write.parquet(f"{path}/counts/commit={commit}")
+            # by the tasks of its shuffle: a few files of a large batch, one of a small one
+            _changes(new, known).write.parquet(f"{path}/counts/commit={commit}")
             added.append(Part("counts", commit=commit))
     if writer is not None:
         lines = [p for p in lines if p.kind != "applied" or p.writer != writer]

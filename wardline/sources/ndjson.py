@@ -160,4 +160,5 @@ def incremental_slice(
         | F.coalesce(~stale & (F.col("poll_time") > F.col("_covered_to")), F.lit(False))
         | F.coalesce(stale & (F.col("event_time_epoch") >= F.floor(now - limit)), F.lit(False))
     )
-    return events.join(latest, "config_id", "left").filter(wanted).drop("_covered_to", "_last_poll")
+    # one row per config: a shuffle by config would make each a single task
+    return events.join(F.broadcast(latest), "config_id", "left").filter(wanted).drop("_covered_to", "_last_poll")

@@ -185,7 +185,7 @@ def read_slice(
     started = F.col("covered").isNotNull()
     fresh = ~started | (~stale & (F.col("poll_time") > F.col("covered")))
     first, any_stale = (
-        polls.join(progress, "config_id")
+        polls.join(F.broadcast(progress), "config_id")
         .agg(F.min(F.when(fresh, F.col("epoch"))), F.coalesce(F.bool_or(started & stale), F.lit(False)))
         .first()
     )
