@@ -318,3 +318,27 @@ def test_counts_are_written_by_many_tasks(spark, sf_dir, tmp_path):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(list((tmp_path / "t" / "counts").rglob("part-*"))) > 1
+
+
+def test_compaction_shuffles_once(spark, sf_dir, tmp_path, monkeypatch):
+    path, rows = str(tmp_path / "t"), src.arrivals(spark, sf_dir)
+    schema = schema_of(rows)
+    for part in range(3):
+        event_table.merge_events(spark, path, rows.filter(F.col("poll_no") % 3 == part))
+    before, write, plans = key(event_table.read_events(spark, path, schema)), event_table._write, []
+
+    def watched(found, *args):
+        plans.append(plan_of(found))
+        write(found, *args)
+
+    monkeypatch.setattr(event_table, "_write", watched)
+    monkeypatch.setattr(event_table, "_staged", lambda *_: pytest.fail("rows are written twice"))
+    event_table.compact_events(spark, path, schema=schema, file_rows=100)
+    assert [(p.count("Exchange"), p.count("Sort [")) for p in plans] == [(1, 1)]
+    _, lines = event_table.parts(spark, path)
+    assert {p.kind for p in lines} == {"base", "batches"}
+    assert sum(p.rows for p in lines) == len(before)
+    assert key(event_table.read_events(spark, path, schema)) == before == key(upsert_events(rows))
+    for file in (tmp_path / "t" / "data").rglob(f"commit={lines[-1].commit}/*/part-*"):
+        ids = [r.id for r in spark.read.parquet(str(file)).select("id").collect()]
+        assert ids == sorted(ids)

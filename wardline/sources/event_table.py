@@ -207,14 +207,18 @@ def _summed(counts: DataFrame) -> DataFrame:
 # --- writing ------------------------------------------------------------------------
 
 
+def _ranged(rows: DataFrame, n: int, file_rows: int) -> DataFrame:
+    return rows.repartitionByRange(max(1, ceil(n / file_rows)), "event_date", "id")
+
+
 def clustered(rows: DataFrame, n: int, file_rows: int = FILE_ROWS) -> DataFrame:
     """``n`` rows as ranges of (event_date, id), sorted: a day of many rows is many tasks."""
-    tasks = max(1, ceil(n / file_rows))
-    return rows.repartitionByRange(tasks, "event_date", "id").sortWithinPartitions("event_date", "id")
+    return _ranged(rows, n, file_rows).sortWithinPartitions("event_date", "id")
 
 
 def _write(rows: DataFrame, n: int, folder: str, file_rows: int) -> None:
-    writer = clustered(rows, n, file_rows).write
+    """Write ``n`` rows, or some fewer, that are clustered."""
+    writer = rows.write
     for column in LOOKUPS:
         if column in rows.columns:
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
@@ -274,7 +278,8 @@ def merge_events(
     schema, commit = _ddl(new), uuid.uuid4().hex
     added = _dated(new, "delta", commit)
     if added:
-        _write(new, sum(p.rows for p in added), f"{path}/data/commit={commit}", file_rows)
+        n = sum(p.rows for p in added)
+        _write(clustered(new, n, file_rows), n, f"{path}/data/commit={commit}", file_rows)
         if "batch_id" in new.columns:
             new.select("batch_id", "event_date").distinct().write.parquet(f"{path}/batches/commit={commit}")
             added.append(Part("batches", commit=commit))
@@ -340,11 +345,19 @@ def compact_events(
     touched = [p for p in lines if p.kind in ("base", "delta") and p.event_date in wanted]
     rest = [p for p in lines if p not in touched]
     commit = uuid.uuid4().hex
-    if touched:
-        rows = _staged(_live(spark, path, schema, touched) if kept is None else kept, "compacted")
+    folder = f"{path}/data/commit={commit}"
+    if touched and kept is None:
+        # a commit holds an id once, so ids have few rows: one shuffle serves the comparison and the files
+        n = sum(p.rows for p in touched)
+        deliveries = _ranged(_files(spark, path, schema, touched), n, file_rows)
+        _write(upsert_latest(deliveries, ["event_date", "id"], ORDER), n, folder, file_rows)
+        rest += _dated(spark.read.schema(schema).parquet(folder), "base", commit)
+    elif touched:
+        rows = _staged(kept, "compacted")
         bases = _dated(rows, "base", commit)
         if bases:
-            _write(rows, sum(p.rows for p in bases), f"{path}/data/commit={commit}", file_rows)
+            n = sum(p.rows for p in bases)
+            _write(clustered(rows, n, file_rows), n, folder, file_rows)
         rest += bases
     for kind, kinds in (("batches", BATCHES), ("counts", COUNTS)):
         found = [p for p in rest if p.kind == kind]
