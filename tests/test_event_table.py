@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.operators import serving
-from wardline.operators.stats import value_counts
+from wardline.operators.stats import value_counts, window_counts_from_batches
 from wardline.operators.upkeep import upsert_events
 from wardline.plans import inputs as src
 from wardline.sources import event_table, exports
@@ -320,6 +320,18 @@ def test_counts_are_written_by_many_tasks(spark, sf_dir, tmp_path):
     assert len(list((tmp_path / "t" / "counts").rglob("part-*"))) > 1
 
 
+def test_no_events_or_counts_are_broadcast(spark, sf_dir):
+    rows = src.arrivals(spark, sf_dir).withColumn("event_date", F.to_date("event_time"))
+    rows = rows.filter("poll_no < 20").localCheckpoint()
+    counts = event_table._changes(rows, rows.filter("poll_no < 10"))
+    assert "SortMergeJoin" in plan_of(counts) and "BroadcastExchange" not in plan_of(counts)
+    polls = rows.groupBy("config_id").agg(F.collect_set("batch_id").alias("poll_batch_ids"))
+    totals = window_counts_from_batches(
+        polls.withColumnRenamed("config_id", "window_id").localCheckpoint(), counts.localCheckpoint()
+    )
+    assert "SortMergeJoin" in plan_of(totals) and "BroadcastExchange" not in plan_of(totals)
+
+
 def test_compaction_shuffles_once(spark, sf_dir, tmp_path, monkeypatch):
     path, rows = str(tmp_path / "t"), src.arrivals(spark, sf_dir)
     schema = schema_of(rows)

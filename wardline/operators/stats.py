@@ -78,7 +78,8 @@ def window_counts_from_batches(windows: DataFrame, batch_counts: DataFrame) -> D
     """
     keys = ["window_id", "kind", "value", "bot", "risk"]
     summed = (
-        batch_counts.join(window_polls(windows), "batch_id")
+        # a count is small, all of them are not: they are never sent through the driver to every task
+        batch_counts.hint("merge").join(window_polls(windows), "batch_id")
         .groupBy(*keys)
         .agg(F.sum("n").alias("n"), F.sum("denied").alias("denied"))
     )

@@ -305,12 +305,21 @@ def _changes(new: DataFrame, known: DataFrame) -> DataFrame:
     own = F.struct(*(F.col(f"n.{c}") for c in ORDER))
     other = F.struct(*(F.col(f"k.{c}") for c in ORDER))
     same = (F.col("n.id") == F.col("k.id")) & F.col("n.event_date").eqNullSafe(F.col("k.event_date"))
-    met = new.alias("n").join(known.alias("k"), same, "left")
-    wins = F.col("k.id").isNull() | (own > other)
-    plus = value_counts(met.where(wins).select("n.*"), key="batch_id")
-    minus = value_counts(met.where(F.col("k.id").isNotNull() & wins).select("k.*"), key="batch_id")
-    taken = {c: -F.col(c) for c in ("n", "denied")}
-    return _summed(plus.unionByName(minus.withColumns(taken)))
+    # events are shuffled, never sent through the driver to every task; once, for both kinds of change
+    met = new.alias("n").join(known.hint("merge").alias("k"), same, "left")
+    counted = [c for c in new.columns if c not in ("id", "event_date", *ORDER)]
+
+    def change(side: str, sign: int) -> Column:
+        batch = F.struct(F.col(f"{side}.batch_id").alias("batch_id"), F.lit(sign).alias("sign"))
+        return F.struct(batch.alias("change"), *(F.col(f"{side}.{c}").alias(c) for c in counted))
+
+    replaced = F.when(F.col("k.id").isNotNull(), change("k", -1))
+    changes = met.where(F.col("k.id").isNull() | (own > other)).select(
+        F.inline(F.array_compact(F.array(change("n", 1), replaced)))
+    )
+    signed = [(F.col("change.sign") * F.col(c)).alias(c) for c in ("n", "denied")]
+    found = value_counts(changes, key="change")
+    return _summed(found.select("change.batch_id", "kind", "value", "bot", "risk", *signed))
 
 
 def _due(lines: list[Part], delta_rows: int) -> list[date | None]:
