@@ -21,11 +21,12 @@ from wardline.operators.stats import (
 )
 from wardline.operators.upkeep import upsert_events
 from wardline.operators.windows import analysis_windows, poll_aggregate, window_polls
+from wardline.plans import catalog
 from wardline.plans import inputs as src
 from wardline.schemas import EVENT
 from wardline.settings import Settings
 from wardline.sources import event_table
-from wardline.sources.ndjson import event_docs, incremental_slice, parse_lines, tag_batch
+from wardline.sources.ndjson import event_docs, incremental_slice, parse_lines, read_raw_ndjson, tag_batch
 from wardline.streaming import (
     ingest_stream,
     read_bronze,
@@ -232,6 +233,15 @@ def test_a_config_is_no_task_of_its_own(spark, landed, tmp_path):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_landed_files_are_compressed(spark, sf_dir):
+    path = catalog._landed(spark, sf_dir)
+    names = [r[0] for r in spark.read.text(path).select("_metadata.file_name").distinct().collect()]
+    assert names and all(n.endswith(".gz") for n in names)
+    keys = ["config_id", "poll_epoch", "value"]
+    read, lines = read_raw_ndjson(spark, path).select(keys), src.raw_lines(spark, sf_dir).select(keys)
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, lines.collect()))
+
+
 def test_sketches_merge(spark):
     """Distinct addresses of windows from sketches per poll; the error against exact counts is small."""
     polls = [(f"b{i}", i) for i in range(8)]

@@ -66,17 +66,19 @@ def read_raw_ndjson(spark, sf):
 
 
 _LANDED: dict[tuple[str, str], str] = {}
+# a compressed file is read by one task: a large poll has several
+LANDING = {"compression": "gzip", "maxRecordsPerFile": "200000"}
 
 
 def _landed(spark, sf) -> str:
-    """The raw lines as files, a folder for each config and poll; written once per session."""
+    """The raw lines as compressed files, a folder for each config and poll; written once per session."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _LANDED:
         path = scratch_path(spark, "landed")
         lines = src.raw_lines(spark, sf).repartition("config_id", "poll_epoch")
         lines.sortWithinPartitions("config_id", "poll_epoch", "line_pos").select(
             "value", "config_id", "poll_epoch"
-        ).write.partitionBy("config_id", "poll_epoch").text(path)
+        ).write.partitionBy("config_id", "poll_epoch").options(**LANDING).text(path)
         _LANDED[key] = path
     return _LANDED[key]
 
