@@ -10,6 +10,7 @@ from wardline.operators import serving
 from wardline.operators.stats import value_counts, window_counts_from_batches
 from wardline.operators.upkeep import upsert_events
 from wardline.plans import inputs as src
+from wardline.session import fan_out
 from wardline.sources import event_table, exports
 
 KINDS = "id string, batch_id string, client_ip string, event_time timestamp, poll_time timestamp, line_pos int"
@@ -354,3 +355,9 @@ def test_compaction_shuffles_once(spark, sf_dir, tmp_path, monkeypatch):
     for file in (tmp_path / "t" / "data").rglob(f"commit={lines[-1].commit}/*/part-*"):
         ids = [r.id for r in spark.read.parquet(str(file)).select("id").collect()]
         assert ids == sorted(ids)
+
+
+def test_many_rows_are_many_tasks(spark):
+    rows = spark.range(0, 1000, 1, 8)
+    assert fan_out(rows, "id", task_rows=50).rdd.getNumPartitions() == 20
+    assert fan_out(rows, "id").rdd.getNumPartitions() == 8
