@@ -220,14 +220,14 @@ def test_records_are_stored_as_windows_close(spark, sf_dir, landed, tmp_path):
     assert re.search(r"PartitionFilters: \[[^]]*closed_date", plan)
 
 
-def test_a_config_is_no_task_of_its_own(spark, landed, tmp_path):
+def test_a_config_is_no_task_of_its_own(spark, sf_dir):
     """Rows of a config meet its progress where they are, also where nothing is small enough to say so."""
-    target, at = str(tmp_path), datetime(2024, 1, 1, 12)
-    ingest_stream(stream_raw_ndjson(spark, landed), target, available_now=True).awaitTermination()
+    log = src.polls(spark, sf_dir).withColumn("last_offset", F.lit("o1"))
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = read_slice(spark, target, at)._jdf.queryExecution().executedPlan().toString()
+        left = incremental_slice(src.arrivals(spark, sf_dir), log, datetime(2024, 1, 1, 12))
+        plan = left._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
