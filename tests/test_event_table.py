@@ -333,6 +333,16 @@ def test_no_events_or_counts_are_broadcast(spark, sf_dir):
     assert "SortMergeJoin" in plan_of(totals) and "BroadcastExchange" not in plan_of(totals)
 
 
+def test_changes_read_what_is_counted(spark, sf_dir, tmp_path):
+    path = str(tmp_path / "rows")
+    src.arrivals(spark, sf_dir).withColumn("event_date", F.to_date("event_time")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    plan = event_table._changes(rows, rows.filter("poll_no < 10"))._jdf.queryExecution().executedPlan().toString()
+    schemas = re.findall(r"ReadSchema: [^\n]*", plan)
+    assert len(schemas) == 2 and all("client_ip:string" in s for s in schemas)
+    assert not any(re.search(r"host:|request_id:|rule_message:|actions:", s) for s in schemas)
+
+
 def test_compaction_shuffles_once(spark, sf_dir, tmp_path, monkeypatch):
     path, rows = str(tmp_path / "t"), src.arrivals(spark, sf_dir)
     schema = schema_of(rows)

@@ -250,6 +250,36 @@ def test_rules_long_keeps_events_without_rules(spark):
     assert rows == [("a", 0, "t"), ("b", None, None)]
 
 
+def test_whole_documents_equal_single_paths(spark, sf_dir):
+    """One walk over a document takes what every path by itself does, whatever stands there."""
+    from wardline.plans import inputs as src
+
+    odd = [
+        json.dumps(RAW), "{}", "[]", "[{\"clientIP\": \"x\"}]", "7", '"text"', "true",
+        '{"attackData": 1, "httpMessage": [1, {"host": "h"}], "geo": null, "userRiskData": "s"}',
+        '{"attackData": null, "httpMessage": {"host": null, "port": 0, "status": 0.0, "bytes": false, "path": ["a"]}}',
+        '{"attackData": {"rules": "950002", "ruleTags": {"a": 1}, "policyId": {"b": [2]}}, "clientIP": {"c": 3}}',
+        '{"attackData": {"rules": [1, null, "x", [2], {"a": 3}, 1.5, true]}, "botScore": {}, "policyId": [4]}',
+        '{"httpMessage": {"requestHeaders": null, "responseHeaders": [1], "bytes": 1e3, "start": 1704067200.5}}',
+        '{"httpMessage": {"requestHeaders": "t", "requestId": 12345678901234567890, "start": 1e400}, "botData": 5}',
+        '{"httpMessage": {"host": "a"}, "httpMessage": {"path": "/b"}, "requestId": "q", "requestId": true}',
+        '{"userRiskData": {"reasons": ["a", null, 3, {"x": 1}], "score": "0x1F", "uuid": 1.0}, "botScore": 12.7}',
+        '{"userRiskData": {"reasons": {"a": 1}, "score": -3}, "HTTPMESSAGE": {"HOST": "H"}, "GEO": {"country": "C"}}',
+        '{"a.b": 1, "httpMessage.host": "dotted", "geo": {"country": "DE", "asn": 64500, "Country": "FR"}}',
+    ]
+    columns = "config_id string, poll_epoch bigint, line_pos struct<file:string,block_start:bigint,seq:bigint>, value string"
+    rows = spark.createDataFrame([("c", 1704067200, ("f", 0, i), text) for i, text in enumerate(odd)], columns)
+    for lines in (rows, src.raw_lines(spark, sf_dir)):
+        tagged = ndjson.tag_batch(ndjson.event_docs(ndjson.parse_lines(lines)))
+        one, each = (
+            sorted(str(r.asDict(True)) for r in normalize_events(tagged, whole=w).withColumns(
+                {c: F.to_json(c) for c in ("request_headers", "response_headers", "bot_client_data")}
+            ).collect())
+            for w in (True, False)
+        )
+        assert one == each and len(one) >= len(odd)
+
+
 def test_direct_mapping_equals_parsed_lines(spark, sf_dir):
     """``inputs.arrivals`` is what parsing and normalising ``inputs.raw_lines`` gives."""
     from wardline.plans import inputs as src

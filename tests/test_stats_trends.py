@@ -79,6 +79,23 @@ def test_score_buckets_and_average(spark):
     assert (avg.avg_bot_score, avg.avg_user_risk_score) == (54.67, 0.0)
 
 
+def test_statistics_share_a_shuffle(spark):
+    """Sums, top lists and busiest addresses come from one table of counts, shuffled once."""
+    counts = spark.createDataFrame(
+        [("b1", "ip", "a", None, None, 2, 1)],
+        "batch_id string, kind string, value string, bot bigint, risk bigint, n bigint, denied bigint",
+    )
+    windows = spark.createDataFrame([("w", ["b1"])], "window_id string, poll_batch_ids array<string>")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = stats.window_statistics(stats.window_counts_from_batches(windows, counts))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("SortMergeJoin [batch_id") == 1
+    assert [r.unique_ips for r in found.collect()] == [1]
+
+
 def test_severity_classes(spark):
     rows = [(0.6, True), (0.6, False), (0.5, True), (0.3, False), (0.15, True), (0.1, True), (0.0, True)]
     df = spark.createDataFrame(rows, "r double, c boolean")

@@ -28,6 +28,7 @@ from wardline.settings import Settings
 from wardline.sources import event_table
 from wardline.sources.ndjson import event_docs, incremental_slice, parse_lines, read_raw_ndjson, tag_batch
 from wardline.streaming import (
+    ingest,
     ingest_stream,
     read_bronze,
     read_poll_log,
@@ -119,6 +120,27 @@ def test_stream_feeds_the_table_once(spark, sf_dir, landed, tmp_path):
     assert state[1] == counts(want)
 
 
+def test_lines_are_mapped_once(spark, landed, tmp_path, monkeypatch):
+    """Bronze, poll log, sketches and the merge take one run of the normalisation."""
+    mapped = spark.sparkContext.accumulator(0)
+
+    def seen(_):
+        mapped.add(1)
+        return True
+
+    counting = F.udf(seen, "boolean").asNondeterministic()
+    monkeypatch.setattr(
+        ingest, "normalize_events", lambda *args, **options: normalize_events(*args, **options).filter(counting("id"))
+    )
+    target, table = str(tmp_path / "out"), str(tmp_path / "table")
+    query = ingest_stream(
+        stream_raw_ndjson(spark, landed), target, available_now=True, table=table, counts=True, file_rows=100
+    )
+    query.awaitTermination()
+    assert query.exception() is None
+    assert mapped.value == read_bronze(spark, target).count() > 0
+
+
 def test_files_that_land_twice(spark, tmp_path):
     """Within the remembered epochs a delivery is stored once; a later one is left to the merge."""
     raw, target, table = tmp_path / "raw", str(tmp_path / "out"), str(tmp_path / "table")

@@ -65,27 +65,57 @@ OPEN_FIELDS = {
     "response_headers": "httpMessage.responseHeaders",
     "bot_client_data": "botData",
 }
+RULE_IDS = "attackData.rules"
+RISK_REASONS = "userRiskData.reasons"
 # ---------------------------------------------------------------------------------------
 
 
 def _raw(path: str) -> Column:
-    """The bound raw text of a path."""
+    """The bound raw text of a path, or its open value or list."""
     return F.col(f"`_{path}`")
 
 
-def bind_texts(tagged: DataFrame) -> DataFrame:
-    """Take every raw text out of ``doc`` once; unused ones are pruned."""
-    paths = {
+def _leaves() -> dict[str, str]:
+    """The type that each path is taken out as."""
+    texts = {
         *RULE_LISTS.values(),
         *INT_FIELDS.values(),
         *(p for paths in TEXT_FIELDS.values() for p in paths),
         *(p for paths in NUMERIC_TEXT_FIELDS.values() for p in paths),
     }
-    return tagged.selectExpr(
-        "*",
-        *[f"try_variant_get(doc, '$.{p}', 'string') as `_{p}`" for p in sorted(paths)],
-        "transform(coalesce(try_variant_get(doc, '$.attackData.rules', 'array<string>'), array()),"
-        " r -> coalesce(r, 'null')) as _rule_ids",
+    return {
+        **{p: "string" for p in sorted(texts)},
+        **{p: "variant" for p in OPEN_FIELDS.values()},
+        **{p: "array<string>" for p in (RULE_IDS, RISK_REASONS)},
+    }
+
+
+def _document_type(leaves: dict[str, str]) -> str:
+    """One struct type over all the paths."""
+    members: dict[str, dict[str, str]] = {}
+    for path, kind in leaves.items():
+        name, _, rest = path.partition(".")
+        members.setdefault(name, {})[rest] = kind
+    kinds = {name: below[""] if "" in below else _document_type(below) for name, below in members.items()}
+    return f"struct<{', '.join(f'{name}: {kind}' for name, kind in kinds.items())}>"
+
+
+def bind_texts(tagged: DataFrame, *, whole: bool = False) -> DataFrame:
+    """Take every raw text out of ``doc`` once; unused ones are pruned.
+
+    Looking up a path compares its names with those of the members before it. With ``whole``, for jobs that
+    need most columns, one walk over the document takes all paths, and none is pruned.
+    """
+    leaves = _leaves()
+    if whole:
+        tagged = tagged.selectExpr("*", f"try_variant_get(doc, '$', '{_document_type(leaves)}') as _document")
+    taken = "_document.{0}" if whole else "try_variant_get(doc, '$.{0}', '{1}')"
+    bound = tagged.selectExpr(
+        *[c for c in tagged.columns if c != "_document"],
+        *[f"{taken.format(p, kind)} as `_{p}`" for p, kind in leaves.items()],
+    )
+    return bound.selectExpr(
+        "*", f"transform(coalesce(`_{RULE_IDS}`, array()), r -> coalesce(r, 'null')) as _rule_ids"
     )
 
 
@@ -111,6 +141,11 @@ def rule_list(name: str) -> Column:
     return decode_field(_raw(RULE_LISTS[name]))
 
 
+def _decoded(name: str) -> Column:
+    """A decoded list; the actions, of which much is made, are bound by then."""
+    return F.col("_rule_actions") if name == "rule_action" else rule_list(name)
+
+
 def _at(values: Column, i: Column) -> Column:
     return F.coalesce(F.get(values, i), F.lit(""))
 
@@ -122,7 +157,7 @@ def assemble_rules() -> Column:
     # decoded again per rule.
     bound = F.array(
         F.struct(
-            F.col("_rule_ids").alias("ids"), *[rule_list(name).alias(name) for name in RULE_LISTS]
+            F.col("_rule_ids").alias("ids"), *[_decoded(name).alias(name) for name in RULE_LISTS]
         )
     )
     return F.transform(
@@ -139,7 +174,7 @@ def assemble_rules() -> Column:
 def rule_actions() -> Column:
     """Lower-cased action per rule, without decoding the other five lists."""
     bound = F.array(
-        F.struct(F.col("_rule_ids").alias("ids"), rule_list("rule_action").alias("actions"))
+        F.struct(F.col("_rule_ids").alias("ids"), _decoded("rule_action").alias("actions"))
     )
     return F.transform(
         bound,
@@ -170,13 +205,18 @@ def event_id(request_id: Column, config_id: Column, start: Column) -> Column:
 
 def _open(path: str) -> Column:
     """An open object, or null when it is missing or JSON null."""
-    value = F.try_variant_get("doc", f"$.{path}", "variant")
-    return F.when(~F.is_variant_null(value), value)
+    return F.when(~F.is_variant_null(_raw(path)), _raw(path))
+
 
+def normalize_events(
+    tagged: DataFrame, *, source: str = DEFAULT_SOURCE, whole: bool = False
+) -> DataFrame:
+    """Flat event rows from ``(config_id, batch_id, poll_time, line_pos, doc)``.
 
-def normalize_events(tagged: DataFrame, *, source: str = DEFAULT_SOURCE) -> DataFrame:
-    """Flat event rows from ``(config_id, batch_id, poll_time, line_pos, doc)``."""
-    bound = bind_texts(tagged).withColumns(
+    ``whole``: for jobs that need most columns (see ``bind_texts``).
+    """
+    texts_bound = bind_texts(tagged, whole=whole).withColumn("_rule_actions", rule_list("rule_action"))
+    bound = texts_bound.withColumns(
         {
             "_actions": rule_actions(),
             "_request_id": numeric_text_field("request_id"),
@@ -213,10 +253,7 @@ def normalize_events(tagged: DataFrame, *, source: str = DEFAULT_SOURCE) -> Data
         int_field("bot_response_segment").alias("bot_response_segment"),
         _open(OPEN_FIELDS["bot_client_data"]).alias("bot_client_data"),
         int_field("user_risk_score").alias("user_risk_score"),
-        F.coalesce(
-            F.try_variant_get("doc", "$.userRiskData.reasons", "array<string>"),
-            F.array().cast("array<string>"),
-        ).alias("user_risk_reasons"),
+        F.coalesce(_raw(RISK_REASONS), F.array().cast("array<string>")).alias("user_risk_reasons"),
         *texts("user_risk_uuid"),
         *[c.alias(name) for name, c in indicators.items()],
         "poll_time",

@@ -32,6 +32,12 @@ def window_events(windows: DataFrame, events: DataFrame) -> DataFrame:
     return events.join(window_polls(windows), "batch_id")
 
 
+def counted_columns() -> list[Column]:
+    """What ``value_counts`` reads of an event, besides the key; of its rules the tags alone."""
+    tags = F.struct(F.col("decoded_rules.rule_tag").alias("rule_tag")).alias("decoded_rules")
+    return [F.col(c) for c in ("client_ip", "path", "geo_country", *SCORES, "rule_action_summary")] + [tags]
+
+
 def value_counts(
     joined: DataFrame, *, kinds: tuple[str, ...] = ALL_KINDS, key: str = "window_id"
 ) -> DataFrame:
@@ -89,9 +95,12 @@ def window_counts_from_batches(windows: DataFrame, batch_counts: DataFrame) -> D
 def top_values(counts: DataFrame, n: int = 10) -> DataFrame:
     """The n most frequent values per window and kind; ties by value.
 
-    The rank filter prunes to n rows per group before the shuffle.
+    The rank filter prunes to n rows per group before the shuffle. ``denied`` orders nothing, as a value
+    has one row: without it the counts would be pruned, and not share the shuffle of the other statistics.
     """
-    ranked = Window.partitionBy("window_id", "kind").orderBy(F.col("n").desc(), "value", "bot", "risk")
+    ranked = Window.partitionBy("window_id", "kind").orderBy(
+        F.col("n").desc(), "value", "bot", "risk", "denied"
+    )
     return counts.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= n)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions.times import utc_seconds
-from wardline.operators.stats import value_counts
+from wardline.operators.stats import counted_columns, value_counts
 from wardline.operators.upkeep import apply_retention, upsert_latest
 from wardline.schemas import EVENT
 from wardline.session import scratch_path
@@ -305,9 +305,12 @@ def _changes(new: DataFrame, known: DataFrame) -> DataFrame:
     own = F.struct(*(F.col(f"n.{c}") for c in ORDER))
     other = F.struct(*(F.col(f"k.{c}") for c in ORDER))
     same = (F.col("n.id") == F.col("k.id")) & F.col("n.event_date").eqNullSafe(F.col("k.event_date"))
+    # of the rest of an event nothing is read and moved; it would not be pruned below the structs
+    keys = ["id", "event_date", "batch_id", *ORDER]
+    new, known = (rows.select(*keys, *counted_columns()) for rows in (new, known))
     # events are shuffled, never sent through the driver to every task; once, for both kinds of change
     met = new.alias("n").join(known.hint("merge").alias("k"), same, "left")
-    counted = [c for c in new.columns if c not in ("id", "event_date", *ORDER)]
+    counted = [c for c in new.columns if c not in keys]
 
     def change(side: str, sign: int) -> Column:
         batch = F.struct(F.col(f"{side}.batch_id").alias("batch_id"), F.lit(sign).alias("sign"))

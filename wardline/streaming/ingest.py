@@ -24,10 +24,12 @@ from wardline.operators.windows import poll_aggregate
 from wardline.schemas import BRONZE, POLL_LOG, SKETCHES
 from wardline.session import configure
 from wardline.settings import DEFAULTS, Settings
-from wardline.sources.event_table import FILE_ROWS, clustered, merge_events
+from wardline.sources.event_table import FILE_ROWS, merge_events
 from wardline.sources.ndjson import (
     batch_id,
+    event_docs,
     incremental_slice,
+    may_be_metadata,
     parse_lines,
     split_batch_metadata,
     tag_batch,
@@ -79,31 +81,28 @@ def ingest_stream(
         # the stream runs on a session of its own
         spark = configure(batch.sparkSession)
         positioned = batch if "line_pos" in batch.columns else with_line_pos(batch)
-        # lines are read and parsed once, for all tables; a lost block is parsed again
-        parsed = parse_lines(positioned).persist()
-        try:
-            docs, metadata = split_batch_metadata(parsed)
-            events = normalize_events(tag_batch(docs), source=source)
-            if remembered_epochs:
-                events = _unseen(spark, target, events, epoch, remembered_epochs)
-            dated = events.withColumns({"event_date": F.to_date("event_time"), "epoch": F.lit(epoch)})
-            # ranges of ids per date, so that no date is one task; replaced as a whole on replay
-            clustered(dated, parsed.count(), file_rows).write.mode("overwrite").option(
-                "partitionOverwriteMode", "dynamic"
-            ).partitionBy("event_date", "epoch").parquet(f"{target}/bronze")
-            poll_log(poll_aggregate(events), metadata).write.mode("overwrite").parquet(
-                f"{target}/poll_log/epoch={epoch}"
+        # every line is parsed and mapped once, on its way to bronze; what follows reads columns of that
+        docs = event_docs(parse_lines(positioned))
+        events = normalize_events(tag_batch(docs), source=source, whole=True)
+        if remembered_epochs:
+            events = _unseen(spark, target, events, epoch, remembered_epochs)
+        dated = events.withColumns({"event_date": F.to_date("event_time"), "epoch": F.lit(epoch)})
+        _by_date(dated).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
+            "maxRecordsPerFile", file_rows
+        ).partitionBy("event_date", "epoch").parquet(f"{target}/bronze")
+        written = _read(spark, f"{target}/bronze", BRONZE).where(F.col("epoch") == epoch).drop("epoch")
+        # few lines are parsed for this: those whose text may be a poll's metadata
+        few = positioned.where(may_be_metadata(F.col("value")))
+        metadata = split_batch_metadata(parse_lines(few))[1]
+        poll_log(poll_aggregate(written), metadata).write.mode("overwrite").parquet(
+            f"{target}/poll_log/epoch={epoch}"
+        )
+        ip_sketches(written).write.mode("overwrite").parquet(f"{target}/sketches/epoch={epoch}")
+        if table is not None:
+            query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+            merge_events(
+                spark, table, written, writer=query, epoch=epoch, counts=counts, file_rows=file_rows
             )
-            ip_sketches(events).write.mode("overwrite").parquet(f"{target}/sketches/epoch={epoch}")
-            if table is not None:
-                query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
-                written = _read(spark, f"{target}/bronze", BRONZE).where(F.col("epoch") == epoch)
-                merge_events(
-                    spark, table, written.drop("epoch"),
-                    writer=query, epoch=epoch, counts=counts, file_rows=file_rows,
-                )
-        finally:
-            parsed.unpersist()
 
     writer = lines.writeStream.foreachBatch(write).option(
         "checkpointLocation", f"{target}/checkpoint"
@@ -112,6 +111,14 @@ def ingest_stream(
     return writer.trigger(**trigger).start()
 
 
+def _by_date(events: DataFrame) -> DataFrame:
+    """Rows of a date side by side, in the order of ids; by their size, a date is one task or many.
+
+    Ranges would have to be sampled first, which runs all that leads to the rows a second time.
+    """
+    return events.hint("rebalance", "event_date").sortWithinPartitions("event_date", "epoch", "id")
+
+
 def _unseen(spark: SparkSession, target: str, events: DataFrame, epoch: int, remembered: int) -> DataFrame:
     """Events that the ``remembered`` epochs before did not store for the same poll.
 
